@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, topk, urls
+from . import bpe, dedup, fingerprints, langid, mixing, quality, secrets, topk, urls
 from .bpe import doc_hash
 
 
@@ -14,11 +14,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda s: s["kind"] < len(secrets.BASE))
+    kinds = F.transform("found", lambda s: s["kind"])
+    counts = [(F.size("found") - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(secrets.BASE)]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("found")).alias("spans"))
+
+
+def _sql_spans(rule: secrets.Rule, number: int) -> str:
+    """Spans of one rule by the gaps between its matches; l: running lengths of gaps and matches."""
+    pattern = "'" + rule.pattern.replace("'", "''") + "'"
+    return f"""SELECT doc_id, list_transform(list_filter(list_zip(range(1, len(hit) + 1), hit, kept), lambda z: length(z[3]) >= {rule.least}),
+        lambda z: {{'s': CAST(list_sum(list_transform(gap[:z[1]], lambda g: length(g))) + coalesce(list_sum(list_transform(hit[:z[1] - 1], lambda h: length(h))), 0) AS BIGINT), 'k': {number},
+            'e': CAST(list_sum(list_transform(gap[:z[1]], lambda g: length(g))) + list_sum(list_transform(hit[:z[1]], lambda h: length(h))) AS BIGINT)}}) AS found
+    FROM (SELECT doc_id, string_split_regex(t, {pattern}) AS gap, regexp_extract_all(t, {pattern}) AS hit, regexp_extract_all(t, {pattern}, {rule.group}) AS kept FROM texts)"""
+
+
+def _op1_sql() -> str:
+    parts = " UNION ALL ".join(_sql_spans(r, i) for i, r in enumerate(secrets.RULES))
+    kinds = "[" + ", ".join(f"'{r.kind}'" for r in secrets.RULES) + "]"
+    text = f"list_transform(list_sort(%s), lambda s: {kinds}[s.k + 1] || ':' || s.s || ':' || s.e)"
+    base = text % f"list_filter(found, lambda s: s.k < {len(secrets.BASE)})"
+    counts = ", ".join(f"CAST(len(list_filter(found, lambda s: s.k = {i})) AS BIGINT) AS n_{r.kind}" for i, r in enumerate(secrets.BASE))
+    return f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), parts AS ({parts}),
+whole AS (SELECT doc_id, flatten(list(found)) AS found FROM parts GROUP BY doc_id)
+SELECT doc_id, {counts}, sha256(array_to_string({base}, ',')) AS base_sha256, array_to_string({text % 'found'}, ',') AS spans FROM whole"""
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"], digests=True)
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def language_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled table: documents that `labels` lists, with their language as domain."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("domain"))
+    return docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, language_labels(spark, sf_dir), mixing.TARGETS)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.learn(docs, doc_hash() % 4 != 2)
@@ -72,10 +119,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
+    "op2_fingerprints": op2_fingerprints,
     "op3_bpe": op3_bpe,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op5_mixing": op5_mixing,
     "op6_language": op6_language,
     "op7_url_filter": op7_url_filter,
     "op8_top_k": op8_top_k,
     "op10_quality": op10_quality,
 }
-ORACLES = {"op7_url_filter": OP7_SQL, "op8_top_k": OP8_SQL}
+ORACLES = {"op1_secrets": _op1_sql(), "op7_url_filter": OP7_SQL, "op8_top_k": OP8_SQL}
