@@ -164,3 +164,22 @@ def classify(docs: DataFrame, labels: DataFrame, learn_from, keep: tuple[str, ..
     stats = written(statistics_table(docs, list(keep)), "quality-stats")
     model = learn(stats.select("doc_id", "f").where(learn_from), labels)
     return score_table(stats, model)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, learn_from, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score `threshold` or more, all columns unchanged.
+
+    Texts are read twice, once to learn and once to judge, so that none is shuffled. Null and
+    empty texts are judged by their statistics; without any usable label all rows stay.
+    """
+    model = learn(written(statistics_table(docs.select("doc_id", "text"), ["doc_id"]), "quality-stats").where(learn_from), labels)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        hasher = Hasher()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                yield part.filter(pa.array(model.score(statistics(part.column(at), hasher)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

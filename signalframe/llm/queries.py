@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, fingerprints, langid, mixing, quality, secrets, topk, urls
+from . import bpe, dedup, fingerprints, langid, lm, mixing, quality, secrets, topk, urls
 from .bpe import doc_hash
 
 
@@ -112,6 +112,10 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10"""
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), doc_hash() % 10 == 0)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = quality.classify(docs, labels, doc_hash() % 5 != 0)
@@ -127,6 +131,7 @@ QUERIES = {
     "op6_language": op6_language,
     "op7_url_filter": op7_url_filter,
     "op8_top_k": op8_top_k,
+    "op9_lm": op9_lm,
     "op10_quality": op10_quality,
 }
 ORACLES = {"op1_secrets": _op1_sql(), "op7_url_filter": OP7_SQL, "op8_top_k": OP8_SQL}
