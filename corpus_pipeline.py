@@ -19,9 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quadratic discriminant scores at its threshold or above stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.classify(docs.select("doc_id", "text"), labels, bpe.doc_hash() % 5 != 0)
-    good = scored.where(F.col("score") >= quality.THRESHOLD).select("doc_id").distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["doc_id"]), "left_semi").select(COLUMNS)
+    return quality.keep_good(docs.select(COLUMNS), labels, bpe.doc_hash() % 5 != 0)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
