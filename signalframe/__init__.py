@@ -1,0 +1 @@
+"""PySpark operators for ordered signals, time intervals and transcripts."""
