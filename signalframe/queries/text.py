@@ -348,7 +348,7 @@ ORACLES = {
     "segment_dominant_speaker": f"""WITH {_SPOKEN}, {sql.SEGMENTS}, votes AS (SELECT s.conv_id, seg, speaker, sum(greatest(least("end", s_end) - greatest("start", s_start), 1e-3)) AS w FROM segments s JOIN spoken p ON p.conv_id = s.conv_id AND "start" <= s_end AND "end" >= s_start WHERE speaker IS NOT NULL GROUP BY 1, 2, 3),
         best AS (SELECT *, row_number() OVER (PARTITION BY conv_id, seg ORDER BY round(w, 9) DESC, speaker) AS r FROM votes) SELECT s.conv_id, s.seg, speaker FROM segments s LEFT JOIN best b ON b.conv_id = s.conv_id AND b.seg = s.seg AND r = 1""",
     "hop_owner": f"WITH {sql.SEGMENTS}, {sql.TURNS}, hops AS (SELECT conv_id, unnest(range(0, CAST(floor(max(s_end) / 5) AS BIGINT) + 1)) AS hop FROM segments GROUP BY 1) SELECT h.conv_id, hop, arg_max(speaker, ord) AS speaker FROM hops h LEFT JOIN turns t ON t.conv_id = h.conv_id AND (hop + 0.5::DOUBLE) * 5 >= t_start AND (hop + 0.5::DOUBLE) * 5 < t_end GROUP BY 1, 2",
-    "nearest_boundary": f"WITH {sql.SEGMENTS}, {sql.TURNS}, p AS (SELECT t.conv_id, ord, t_end AS "at", s_start AS nearest, row_number() OVER (PARTITION BY t.conv_id, ord ORDER BY abs(s_start - t_end), s_start) AS r FROM turns t JOIN segments s ON s.conv_id = t.conv_id) SELECT conv_id, ord, "at", nearest FROM p WHERE r = 1",
+    "nearest_boundary": f"WITH {sql.SEGMENTS}, {sql.TURNS}, p AS (SELECT t.conv_id, ord, t_end AS \"at\", s_start AS nearest, row_number() OVER (PARTITION BY t.conv_id, ord ORDER BY abs(s_start - t_end), s_start) AS r FROM turns t JOIN segments s ON s.conv_id = t.conv_id) SELECT conv_id, ord, \"at\", nearest FROM p WHERE r = 1",
     "talk_time": f"WITH {sql.TURNS} SELECT conv_id, speaker, round(sum(greatest(t_end - t_start, 0)), 6) AS seconds FROM turns GROUP BY 1, 2",
     "silence_outside_turns": f"WITH {sql.SEGMENTS}, {sql.TURNS} SELECT conv_id, seg FROM segments s WHERE NOT EXISTS (SELECT 1 FROM turns t WHERE t.conv_id = s.conv_id AND speaker = 1 AND t_start < s_end AND s_start < t_end)",
     "silence_cut_plan": f"WITH {_SILENCE} SELECT conv_id, round(\"start\", 6) AS \"start\", round(\"end\", 6) AS \"end\", kind, accepted FROM scuts",
