@@ -35,7 +35,8 @@ def level_db(mean_square: Column) -> Column:
 
 
 def clamp(x: Column, lo: float, hi: float) -> Column:
-    return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
+    """x within lo..hi; null stays null."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))
 
 
 def snr_to_strength(snr: Column) -> Column:

@@ -1,2 +1,75 @@
-QUERIES = {}
-ORACLES = {}
+"""Streaming queries, run over all there is and compared with batch SQL."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.tables import samples, table
+from ..streaming import streams
+
+
+def _folder(spark: SparkSession, tag: str) -> str:
+    named = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
+    return f"{named.rstrip('/')}/streams/{tag}-{uuid.uuid4().hex}"
+
+
+def _stream(spark: SparkSession, source: DataFrame, tag: str) -> DataFrame:
+    """source as a file stream: written to a folder of its own, read as a stream."""
+    path = _folder(spark, tag)
+    source.write.parquet(path)
+    return spark.readStream.schema(source.schema).parquet(path)
+
+
+def _complete(stream: DataFrame, tag: str) -> DataFrame:
+    return streams.run_available(stream, f"{tag}_{uuid.uuid4().hex}", "complete", _folder(stream.sparkSession, tag))
+
+
+def _events(spark, d):
+    return streams.timed(_stream(spark, table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value"), "events"))
+
+
+def stream_tumbling(spark, d):
+    out = _complete(streams.tumbling(_events(spark, d), "1 day", ["event_type"], "value"), "tumbling")
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def stream_sliding(spark, d):
+    out = _complete(streams.sliding(_events(spark, d), "2 days", "1 day", ["event_type"], "value"), "sliding")
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("mean", 6).alias("mean"))
+
+
+def stream_session(spark, d):
+    out = _complete(streams.sessions(_events(spark, d), "6 hours", ["user_id"]), "session")
+    return out.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
+
+
+def stream_dedup(spark, d):
+    twice = table(spark, d, "events").select("event_id", "ts", "user_id")
+    source = streams.timed(_stream(spark, twice.unionByName(twice.where("event_id % 3 = 0")), "dup"), late="400 days")
+    path = _folder(spark, "dedup")
+    return streams.run_to_table(streams.deduplicated(source, ["event_id"]), path, f"{path}-state").select("event_id", "user_id")
+
+
+def stream_stability(spark, d):
+    """Sizes of files by user: observed once an event, ready after 3 like sightings in a row."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    n = samples(spark, d)
+    observed = n.select(F.concat(F.lit("/f"), F.col("signal_id")).alias("path"), F.least(F.floor(F.col("n") / 7), F.lit(5)).alias("size_bytes"), F.col("n").alias("mtime_ms"), (F.col("n") * 1000).alias("observed_ms"))
+    path = _folder(spark, "stable")
+    return streams.run_to_table(streams.stable_files(_stream(spark, observed, "observed"), 5000), path, f"{path}-state")
+
+
+QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sliding, stream_session, stream_dedup, stream_stability)}
+ORACLES = {
+    "stream_tumbling": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+    "stream_sliding": "SELECT strftime(CAST(ts AS DATE) - k, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY 1, 2",
+    "stream_session": """WITH s AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS g FROM s)
+        SELECT user_id, epoch_us(min(ts)) AS "start", epoch_us(max(ts) + INTERVAL 6 HOUR) AS "end", count(*) AS n FROM g GROUP BY user_id, g""",
+    "stream_dedup": "SELECT event_id, user_id FROM events",
+    "stream_stability": """WITH n AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events), s AS (SELECT user_id, n, least(n // 7, 5) AS size FROM n), f AS (SELECT user_id, size, min(n) AS first FROM s GROUP BY 1, 2)
+        SELECT '/f' || f.user_id AS path, CAST(f.size AS BIGINT) AS size_bytes, CAST(s.n AS BIGINT) AS mtime_ms, CAST(s.n * 1000 AS BIGINT) AS ready_ms FROM f JOIN s ON s.user_id = f.user_id AND s.n = first + 5 AND s.size = f.size""",
+}
