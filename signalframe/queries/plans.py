@@ -72,8 +72,8 @@ def acx_conform(spark, d):
 def voice_memory_merge(spark, d):
     """Profiles by customer from their orders: every tenth order replaces, others are averaged in."""
     o = table(spark, d, "orders")
-    history = o.select(F.col("o_custkey").alias("label"), F.struct("o_orderdate", "o_orderkey").alias("at"), F.when(F.col("o_orderkey") % 10 == 0, "upsert").otherwise("merge").alias("op"), (F.col("o_totalprice") / 1000).alias("median"), (F.col("o_orderkey") % 100 / 10).alias("gain"))
-    return _r(folds.running_profiles(history, "label", "at", ["median", "gain"]), "median", "gain", digits=3)
+    history = o.select(F.col("o_custkey").alias("label"), F.struct("o_orderdate", "o_orderkey").alias("at"), F.when(F.col("o_orderkey") % 10 == 0, "upsert").otherwise("merge").alias("op"), F.col("o_totalprice").alias("median"), (F.col("o_orderkey") % 100).alias("gain"))
+    return _r(folds.running_profiles(history, "label", "at", ["median", "gain"]), "median", "gain")
 
 
 def speaker_gain_solve(spark, d):
@@ -185,8 +185,8 @@ ORACLES = {
     "acx_checks": f"WITH {_FILES} SELECT id, br AS book_rms, bp AS book_peak, bf AS book_floor FROM checked WHERE book",
     "acx_conform": f"""WITH {_FILES}, m AS (SELECT id, coalesce(rms, -30) AS rms, tp, coalesce(floor, -50) AS fl FROM files), g AS (SELECT *, CASE WHEN rms BETWEEN -23 AND -18 AND tp <= -3 THEN 0 ELSE least(-20.5 - rms, -3 - tp) END AS gain FROM m)
         SELECT id, round(gain, 6) AS gain_db, rms + gain BETWEEN -23 AND -18 AND tp + gain <= -3 AND fl <= -60 AS will_pass, array_to_string(list_filter([CASE WHEN fl > -60 THEN 'noise_floor' END, CASE WHEN NOT rms + gain BETWEEN -23 AND -18 THEN 'crest_factor' END], lambda x: x IS NOT NULL), ',') AS blockers FROM g""",
-    "voice_memory_merge": """WITH h AS (SELECT o_custkey AS label, o_orderkey % 10 = 0 AS up, o_totalprice / 1000 AS m, o_orderkey % 100 / 10 AS g, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders),
-        l AS (SELECT *, coalesce(max(i) FILTER (up) OVER (PARTITION BY label), 1) AS base FROM h) SELECT label, CAST(count(*) AS INT) AS n, round(avg(m), 3) AS median, round(avg(g), 3) AS gain FROM l WHERE i >= base GROUP BY 1""",
+    "voice_memory_merge": """WITH h AS (SELECT o_custkey AS label, o_orderkey % 10 = 0 AS up, o_totalprice AS m, o_orderkey % 100 AS g, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders),
+        l AS (SELECT *, coalesce(max(i) FILTER (up) OVER (PARTITION BY label), 1) AS base FROM h) SELECT label, CAST(count(*) AS INT) AS n, round(avg(m), 6) AS median, round(avg(g), 6) AS gain FROM l WHERE i >= base GROUP BY 1""",
     "speaker_gain_solve": """WITH o AS (SELECT o_custkey AS session, o_orderpriority AS speaker, avg(o_totalprice) AS p, count(*) AS n FROM orders GROUP BY 1, 2), s AS (SELECT session, speaker, CASE WHEN n > 1 THEN 'measured' WHEN session % 3 > 0 THEN 'remembered' ELSE 'unknown' END AS source,
         -16 - CASE WHEN n > 1 THEN -10 - p / 10000 WHEN session % 3 > 0 THEN -20 END + CASE WHEN session % 2 > 0 THEN 1.5 ELSE 0 END AS raw FROM o), w AS (SELECT *, min(raw) OVER (PARTITION BY session) AS lo, max(raw) OVER (PARTITION BY session) AS hi FROM s)
         SELECT session, speaker, source, round(CASE WHEN raw IS NULL THEN 0 ELSE least(greatest(raw + CASE WHEN hi - lo <= 24 THEN least(greatest(0, -12 - lo), 12 - hi) ELSE -0.5 * (lo + hi) END, -12), 12) END, 4) AS gain_db FROM w""",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars, stats
-from ..operators import folds, hops, islands, loudness, multitrack, recursive, segmentation, spectral
+from ..operators import folds, hops, islands, loudness, master, multitrack, recursive, reverb, segmentation, spectral
 from ..sources.tables import centred, samples, vectors
 from . import sql
 
@@ -268,7 +268,28 @@ def true_peak(spark, d):
     return loudness.true_peak(vectors(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (hop_energy, hop_zcr, second_difference, peaks_pyramid, noise_floor_p10, silence_rank, robust_sigma, upper_median, true_median, speech_gate, snr_two_pass, speech_music_ratio, silence_runs, energy_silence, clip_regions, mask_dilate, sliding_min, sliding_max, moving_average_edge, local_baseline, dc_offset, stereo_uncentred_corr, hum_vote, level_expressions, strength_expressions, downmix, hop_gain_ramp, slice_padded, linear_resample, dc_block, slew_limit, duck_gain, leveler_hop_gain, union_speech_mask, audible_tracks, mixdown_sum, track_place, bleed_source, quiet_floor, wls_drift_fit, segment_crossfade, loudness_gating, gcc_phat, ltas_fit, spectral_hops, true_peak)} | {
+def rt60_scan(spark, d):
+    rows = vectors(spark, d).select("signal_id", F.col("n").alias("hop"), (F.col("x") * 60).alias("energy_db"), (F.col("x") > 0.1).alias("speech"))
+    return reverb.rt60(rows)
+
+
+def clap_decay(spark, d):
+    rows = vectors(spark, d).select("signal_id", F.col("n").alias("win"), (F.col("x") * 100).alias("level_db"))
+    return _r(reverb.clap_decay(rows), "rt60")
+
+
+def level_spread(spark, d):
+    rows = vectors(spark, d).select("signal_id", "n", (F.col("x") * 100).alias("level"))
+    return _r(reverb.level_spread(rows, 6, 2), "sigma")
+
+
+def render_digest(spark, d):
+    """Whether two renders of each signal are equal."""
+    one, two = (master.digest(recursive.stage(vectors(spark, d).repartition(k), lambda x: recursive.dither(x, 16, 7))) for k in (2, 5))
+    return one.join(two.withColumnRenamed("digest", "again"), "signal_id").select("signal_id", (F.col("digest") == F.col("again")).alias("same"))
+
+
+QUERIES = {f.__name__: f for f in (rt60_scan, clap_decay, level_spread, render_digest, hop_energy, hop_zcr, second_difference, peaks_pyramid, noise_floor_p10, silence_rank, robust_sigma, upper_median, true_median, speech_gate, snr_two_pass, speech_music_ratio, silence_runs, energy_silence, clip_regions, mask_dilate, sliding_min, sliding_max, moving_average_edge, local_baseline, dc_offset, stereo_uncentred_corr, hum_vote, level_expressions, strength_expressions, downmix, hop_gain_ramp, slice_padded, linear_resample, dc_block, slew_limit, duck_gain, leveler_hop_gain, union_speech_mask, audible_tracks, mixdown_sum, track_place, bleed_source, quiet_floor, wls_drift_fit, segment_crossfade, loudness_gating, gcc_phat, ltas_fit, spectral_hops, true_peak)} | {
     "biquad_notch": _stage(lambda x: recursive.de_hum(x, RATE, 50.0)),
     "k_weighting": _stage(lambda x: recursive.run_filters(x, recursive.K_WEIGHTING)),
     "deesser": _stage(lambda x: recursive.de_ess(x, RATE)),
@@ -361,4 +382,9 @@ ORACLES = {
     "loudness_gating": f"""WITH {sql.VECTORS}, st AS (SELECT signal_id, n // 4 AS s, sum(x * x * 0.25) AS e, count(*) AS c FROM vectors GROUP BY 1, 2), b AS (SELECT signal_id, s, sum(e) OVER w / 16 AS ms, sum(c) OVER w AS c FROM st WINDOW w AS (PARTITION BY signal_id ORDER BY s ROWS 3 PRECEDING)),
         f AS (SELECT signal_id, ms, -0.691 + 10 * log10(ms) AS l FROM b WHERE c = 16), g AS (SELECT signal_id, -0.691 + 10 * log10(avg(ms)) - 10 AS gate FROM f WHERE l > -70 GROUP BY 1)
         SELECT f.signal_id, round(-0.691 + 10 * log10(avg(ms)), 5) AS integrated_lufs FROM f JOIN g USING (signal_id) WHERE l > -70 AND l > gate GROUP BY 1""",
+    "clap_decay": f"""WITH {sql.VECTORS}, t AS (SELECT signal_id, n, x * 100 AS l, max(x * 100) OVER (PARTITION BY signal_id) AS top FROM vectors), p AS (SELECT *, max(n) FILTER (l = top) OVER (PARTITION BY signal_id) AS peak FROM t),
+        d AS (SELECT signal_id, min(n) FILTER (l <= top - 5) AS a, min(n) FILTER (l <= top - 25) AS b FROM p WHERE n > peak GROUP BY 1) SELECT signal_id, round((b - a) * 0.005 * 3, 6) AS rt60 FROM d WHERE a IS NOT NULL AND b IS NOT NULL""",
+    "level_spread": f"""WITH {sql.VECTORS}, m AS (SELECT signal_id, n, avg(x * 100) OVER w AS m, count(*) OVER w AS c FROM vectors WINDOW w AS (PARTITION BY signal_id ORDER BY n ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)), k AS (SELECT *, max(m) OVER (PARTITION BY signal_id) AS top FROM m WHERE c = 6 AND n % 2 = 0)
+        SELECT signal_id, round(stddev_pop(m), 6) AS sigma FROM k WHERE m >= top - 40 GROUP BY 1""",
+    "render_digest": "SELECT vec_id AS signal_id, true AS same FROM embeddings",
 }
