@@ -117,42 +117,59 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_signatures, "doc_id long, n long, set_key binary, sig binary, keys array<long>")
 
 
-def _exact(docs: DataFrame, classes: DataFrame) -> Callable:
-    """For linked(): sets of the nodes are written once; pairs are then confirmed on them."""
+def _packed_set(s: np.ndarray) -> bytes:
+    return s.view(np.uint8).reshape(-1, 8)[:, 8 - SET_BYTES :].tobytes()
+
+
+def _sets(packed_sets: list[bytes]) -> list[np.ndarray]:
+    out = []
+    for raw in packed_sets:
+        rows = np.frombuffer(raw, np.uint8).reshape(-1, SET_BYTES)
+        out.append(np.concatenate([rows, np.zeros((len(rows), 8 - SET_BYTES), np.uint8)], axis=1).view(np.uint64).ravel())
+    return out
+
+
+def exact_test(packed_sets: list[bytes]) -> Callable[[int, np.ndarray], np.ndarray]:
+    """test(i, others): which of the others have a similarity of PERCENT or more with set i.
+
+    An index from shingles to the sets that hold them counts all intersections of a set at once.
+    """
+    sets = _sets(packed_sets)
+    size = np.array([len(s) for s in sets])
+    shingle = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    holder = np.repeat(np.arange(len(sets)), size)[np.argsort(shingle, kind="stable")]
+    edge = np.searchsorted(np.sort(shingle), np.arange(shingle.max(initial=-1) + 2))
+    start = np.cumsum(size) - size
+
+    def test(i: int, others: np.ndarray) -> np.ndarray:
+        own = shingle[start[i] : start[i] + size[i]]
+        n = edge[own + 1] - edge[own]
+        at = np.repeat(edge[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        common = np.bincount(holder[at], minlength=len(sets))[others]
+        return 100 * common >= PERCENT * (size[i] + size[others] - common)
+
+    return test
+
+
+def _payloads(docs: DataFrame, classes: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """For linked(): the packed sets of nodes, from the text of each class's smallest id."""
 
     def sets_of(batches):
         hasher = Hasher()
         for batch in batches:
-            named = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(batch.column(2), hasher), strict=True)
-            # An id may come with other texts as well.
-            rows = [(node, s.view(np.uint8).reshape(-1, 8)[:, :SET_BYTES].tobytes()) for node, key, s in named if set_key_of(s) == key]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "words"])
-
-    def similar(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = ((np.frombuffer(v, np.uint8).reshape(-1, SET_BYTES)) for v in (x, y))
-                x, y = (np.concatenate([v, np.zeros((len(v), 8 - SET_BYTES), np.uint8)], axis=1).view(np.uint64).ravel() for v in (x, y))
-                both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= PERCENT * (len(both) - common))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    def start(nodes: DataFrame) -> Callable:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                named = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), shingle_sets(part.column(2), hasher), strict=True)
+                # An id may come with other texts as well.
+                rows = [(node, _packed_set(s)) for node, key, s in named if set_key_of(s) == key]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "payload"])
+
+    def of(nodes: DataFrame) -> DataFrame:
         wanted = classes.join(nodes, "node").select("node", "set_key", F.col("id").alias("doc_id"))
         rows = docs.join(wanted, "doc_id").select("node", "set_key", "text")
-        sets = rows.mapInArrow(sets_of, "node long, words binary").groupBy("node").agg(F.any_value("words").alias("words"))
-        sets = written(sets, "sets")
-
-        def confirm(pairs: DataFrame) -> DataFrame:
-            with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("words").alias("x")), "a")
-            both = with_a.join(sets.select(F.col("node").alias("b"), F.col("words").alias("y")), "b")
-            return both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long").distinct()
-
-        return confirm
+        return rows.mapInArrow(sets_of, "node long, payload binary").groupBy("node").agg(F.any_value("payload").alias("payload"))
 
-    return start
+    return of
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -170,7 +187,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = table.where("n > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.any_value("sig").alias("sig"), F.any_value("keys").alias("keys"))
     classes = written(classes.withColumn("node", F.xxhash64("set_key")), "classes")
-    labels = linked(classes.select("node", "keys", "sig"), estimate, LEAST_ESTIMATE, _exact(docs, classes))
+    labels = linked(classes.select("node", "keys", "sig"), estimate, LEAST_ESTIMATE, _payloads(docs, classes), exact_test)
     placed = classes.select("set_key", "node", "id").join(labels, "node", "left").select("set_key", "id", F.coalesce("component", "node").alias("component"))
     placed = written(placed, "placed")
     least = written(placed.groupBy("component").agg(F.min("id").alias("component_id")), "least")

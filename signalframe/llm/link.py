@@ -1,8 +1,9 @@
 """Linking of items that share a band key: candidate stars, estimates, checks and components.
 
-No bucket is ever paired with itself. A bucket's members first meet single pivots; what is then
-in one component needs no further pair. Only members outside their bucket's largest component
-are compared with all others in it, block by block, so that no link is lost.
+A bucket's members first meet one pivot; what is then in one component needs no further pair.
+Buckets that still hold several components are searched for links between them, central members
+first, in blocks of bounded bytes. A block tells one link for each two components that it joins,
+so the result grows with the items and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .storage import drop_written, written
 
-BLOCK = 256
-STAR_ROUNDS = 3
+BLOCK_BYTES = 6 << 20
+PROBES = 64
 
 
 def _tally(edges: DataFrame) -> tuple:
@@ -50,99 +51,97 @@ def components(edges: DataFrame) -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def matrix(column) -> np.ndarray:
     values = column.to_pylist()
     return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
 
 
-def _estimated(pairs: DataFrame, likeness: Callable) -> DataFrame:
-    """pairs (a, b, sig_a, sig_b) as (a, b, near)."""
+def _star_links(pairs: DataFrame, likeness: Callable, least: float) -> DataFrame:
+    """pairs (a, b, sig_a, sig_b) that reach the least likeness, with it as near."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                near = likeness(_matrix(batch.column(2)), _matrix(batch.column(3)))
+                near = likeness(matrix(batch.column(2)), matrix(batch.column(3)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.float64())], ["a", "b", "near"])
 
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, near double")
+    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, near double").where(F.col("near") >= least)
 
 
-def _block_pairs(batches_of: Callable, least: float) -> Callable:
+def _block_links(likeness: Callable, least: float, exact: Callable | None) -> Callable:
+    """Links between components of a block; exact(payloads) gives a test of one row against others."""
+
     def run(rows: pa.Table) -> pa.Table:
-        node, comp = rows["node"].to_numpy(), rows["component"].to_numpy()
+        node, label = rows["node"].to_numpy(), np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
         home, odd = rows["home"].to_numpy(zero_copy_only=False), rows["odd"].to_numpy(zero_copy_only=False)
-        sigs = _matrix(rows["sig"].combine_chunks())
-        at = np.flatnonzero(home)
-        out_a, out_b = [], []
-        for i in np.flatnonzero(odd):
-            # Two odd members meet in both home blocks; the larger id's row tells the pair.
-            other = at[(comp[at] != comp[i]) & (~odd[at] | (node[at] < node[i]))]
-            if len(other):
-                near = batches_of(sigs[other], sigs[i][None, :])
-                hit = other[near >= least]
-                out_a.append(np.full(len(hit), node[i]))
-                out_b.append(node[hit])
-        a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-        b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        sigs = matrix(rows["sig"])
+        test = exact(rows["payload"].to_pylist()) if exact else None
+        probes = np.random.default_rng(1).choice(len(node), min(PROBES, len(node)), replace=False)
+        central = sum(likeness(sigs, sigs[p][None, :]) for p in probes)
+        links = []
+        for i in np.argsort(-central, kind="stable"):
+            other = label != label[i]
+            other &= odd | odd[i]
+            other &= home | home[i]
+            at = np.flatnonzero(other)
+            if len(at):
+                at = at[likeness(sigs[at], sigs[i][None, :]) >= least]
+            if len(at) and test:
+                at = at[test(i, at)]
+            if len(at):
+                met, first = np.unique(label[at], return_index=True)
+                links += [(node[i], node[at[k]]) for k in first]
+                label[np.isin(label, met)] = label[i]
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return run
 
 
-def linked(nodes: DataFrame, likeness: Callable, least: float, check: Callable[[DataFrame], Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+def linked(nodes: DataFrame, likeness: Callable, least: float, payloads: Callable[[DataFrame], DataFrame] | None = None, exact: Callable | None = None) -> DataFrame:
     """(node, component) of the nodes (node long, keys array<long>, sig binary) that have links.
 
-    Two nodes link if they share a key, likeness(sigs, sigs) is at least `least`, and check, made
-    from the nodes that share keys, keeps the pair. nodes must be a written table with unique,
-    non-null nodes. Nodes without a link may be missing from the result.
+    Two nodes link if they share a key, likeness(sigs, sigs) is at least `least`, and exact, given
+    the payloads (node, payload binary) of nodes that share keys, keeps them. nodes must be a
+    written table with unique, non-null nodes. Nodes without a link may be missing.
     """
     exploded = nodes.select("node", F.explode("keys").alias("key"))
-    shared = written(exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "n"), "buckets")
-    member = written(exploded.join(shared, "key").select("node", "key", "n"), "members")
-    spark = nodes.sparkSession
+    shared = written(exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1"), "buckets")
+    member = written(exploded.join(shared, "key").select("node", "key", "pivot"), "members")
     sigs = nodes.select("node", "sig")
-    confirm = check(member.select("node").distinct()) if check else (lambda pairs: pairs.select("a", "b"))
-    labels = None
-    edges = spark.createDataFrame([], "a long, b long")
-    tried = 0
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return written(confirm(pairs.select("a", "b")), "links")
-
-    for turn in range(STAR_ROUNDS):
-        rows = member
-        if labels is not None:
-            rows = member.join(labels, "node", "left").select("node", "key", F.coalesce("component", "node").alias("component"))
-        else:
-            rows = member.select("node", "key", F.col("node").alias("component"))
-        rank = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-        pivot = written(rows.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "node", "component")).alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", F.col("p.node").alias("pivot"), F.col("p.component").alias("pc")), "pivots")
-        stars = rows.join(pivot, "key").where("component <> pc").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-        stars = written(stars, "stars")
-        with_a = stars.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
-        both = with_a.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-        near = _estimated(both, likeness).where(F.col("near") >= least)
-        best = written(near.groupBy("a").agg(F.max(F.struct("near", (-F.col("b")).alias("nb"))).alias("x")).select("a", (-F.col("x.nb")).alias("b")), "best")
-        if best.isEmpty():
-            break
-        edges = edges.unionByName(confirmed(best))
-        tried += 1
-        labels = written(components(edges), "labels")
-    if labels is None:
-        labels = spark.createDataFrame([], "node long, component long")
-    placed = member.join(labels, "node", "left").select("node", "key", "n", F.coalesce("component", "node").alias("component"))
+    full = sigs.withColumn("payload", F.lit(None).cast("binary"))
+    if payloads:
+        full = written(payloads(member.select("node").distinct()).join(sigs, "node").select("node", "sig", "payload"), "payloads")
+
+    stars = written(member.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
+    side = lambda c: sigs.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
+    near = _star_links(stars.join(side("a"), "a").join(side("b"), "b"), likeness, least)
+    best = near.groupBy("a").agg(F.max(F.struct("near", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    if exact:
+        side = lambda c: full.select(F.col("node").alias(c), F.col("payload").alias(f"p_{c}"))
+
+        def confirm(batches):
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 512):
+                    part = batch.slice(lo, 512)
+                    kept = [bool(exact([x, y])(0, np.array([1]))[0]) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                    yield part.select([0, 1]).filter(pa.array(kept, pa.bool_()))
+
+        best = written(best, "best").join(side("a"), "a").join(side("b"), "b").select("a", "b", "p_a", "p_b").mapInArrow(confirm, "a long, b long")
+    edges = written(best, "links")
+    labels = written(components(edges), "labels")
+
+    placed = written(member.join(labels, "node", "left").select("node", "key", F.coalesce("component", "node").alias("component")), "placed")
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-    open_ = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("big"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("big.component").alias("big"))
-    open_ = written(open_, "open")
-    rows = placed.join(open_, "key").withColumn("odd", F.col("component") != F.col("big"))
-    blocks = F.ceil(F.col("n") / BLOCK)
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), blocks))
-    rows = rows.withColumn("block", F.explode(F.when(F.col("odd"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array("own"))))
-    rows = written(rows.select("key", "block", "node", "component", "odd", (F.col("own") == F.col("block")).alias("home")), "blocks")
-    rows = rows.join(sigs, "node")
-    pairs = rows.groupBy("key", "block").applyInArrow(_block_pairs(likeness, least), "a long, b long").distinct()
-    pairs = written(pairs, "pairs")
-    if not pairs.isEmpty():
-        edges = edges.unionByName(confirmed(pairs))
-        labels = written(components(edges), "labels")
-    return labels
+    several = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("big"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("big.component").alias("big"))
+    several = written(several, "several")
+    rows = written(placed.join(several, "key"), "several-rows")
+    weight = full.select("node", (F.coalesce(F.octet_length("payload"), F.lit(0)) + F.octet_length("sig") + 64).alias("bytes"))
+    blocks = rows.join(weight, "node").groupBy("key").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).alias("blocks"))
+    blocks = written(blocks, "blocks")
+    rows = rows.join(blocks, "key").withColumn("odd", F.col("component") != F.col("big"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")))
+    # A member beside the largest component meets every block of its bucket, others only their own.
+    rows = rows.withColumn("block", F.explode(F.when(F.col("odd"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("own"))))
+    rows = written(rows.select("key", "block", "node", "component", "odd", (F.col("own") == F.col("block")).alias("home")), "block-rows").join(full, "node")
+    found = written(rows.groupBy("key", "block").applyInArrow(_block_links(likeness, least, exact), "a long, b long").distinct(), "links")
+    return labels if found.isEmpty() else written(components(edges.unionByName(found)), "labels")
