@@ -325,11 +325,11 @@ ORACLES = {
     "snr_two_pass": f"WITH {sql.GATED} SELECT signal_id, round(any_value(floor_db), 6) AS floor_db, round(greatest(coalesce(avg(energy_db) FILTER (speech), any_value(floor_db)) - any_value(floor_db), 0), 6) AS snr_db FROM marked GROUP BY 1",
     "speech_music_ratio": f"""WITH {sql.GATED}, wins AS (SELECT signal_id, hop // 3 AS win, avg(CAST(speech AS INT)) > 0.85 AND var_pop(energy_db) < 25 AND (avg(flatness) > 0.10 OR avg(zcr) < 0.15) AS musical FROM marked GROUP BY 1, 2)
         SELECT signal_id, round(count(*) FILTER (speech AND NOT musical) / count(*), 6) AS speech_ratio, round(count(*) FILTER (speech AND musical) / count(*), 6) AS music_ratio FROM marked m JOIN wins w USING (signal_id) WHERE m.hop // 3 = w.win GROUP BY 1""",
-    "silence_runs": f"WITH {sql.GATED} SELECT signal_id, round(s * 0.01, 6) AS \"start\", round((e + 1) * 0.01, 6) AS \"end\" FROM {sql.islands('marked', 'signal_id', 'hop', 'NOT speech')} WHERE length >= 2",
+    "silence_runs": f"WITH {sql.GATED} SELECT signal_id, round(s * 0.01::DOUBLE, 6) AS \"start\", round((e + 1) * 0.01::DOUBLE, 6) AS \"end\" FROM {sql.islands('marked', 'signal_id', 'hop', 'NOT speech')} WHERE length >= 2",
     "energy_silence": f"""WITH {sql.CENTRED}, lev AS (SELECT signal_id, n // 10 AS hop, sqrt(avg(x * x)) / 1000 AS rms FROM cent GROUP BY 1, 2),
         k AS (SELECT *, {_RANK.format(v='rms')} FROM lev), p AS (SELECT signal_id, rms AS p10 FROM k WHERE r = floor(c * 0.1) + 1),
         low AS (SELECT lev.signal_id, hop, rms < greatest(10 ** (-2.5), p10 * 3) AS q FROM lev JOIN p USING (signal_id))
-        SELECT signal_id, round(s * 0.01, 6) AS "start", round((e + 1) * 0.01, 6) AS "end" FROM {sql.islands('low', 'signal_id', 'hop', 'q')} WHERE length >= 2""",
+        SELECT signal_id, round(s * 0.01::DOUBLE, 6) AS "start", round((e + 1) * 0.01::DOUBLE, 6) AS "end" FROM {sql.islands('low', 'signal_id', 'hop', 'q')} WHERE length >= 2""",
     "clip_regions": f"WITH {sql.VECTORS} SELECT signal_id, s AS \"start\", e AS \"end\", length FROM {sql.islands('vectors', 'signal_id', 'n', 'abs(x) >= 0.1')} WHERE length >= 2",
     "mask_dilate": f"WITH {sql.VECTORS} SELECT signal_id, n, max(CAST(abs(x) > 0.2 AS INT)) OVER (PARTITION BY signal_id ORDER BY n ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) = 1 AS mask FROM vectors",
     "sliding_min": f"WITH {sql.VECTORS} SELECT signal_id, n, min(x) OVER (PARTITION BY signal_id ORDER BY n ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS low FROM vectors",
@@ -383,7 +383,7 @@ ORACLES = {
         f AS (SELECT signal_id, ms, -0.691 + 10 * log10(ms) AS l FROM b WHERE c = 16), g AS (SELECT signal_id, -0.691 + 10 * log10(avg(ms)) - 10 AS gate FROM f WHERE l > -70 GROUP BY 1)
         SELECT f.signal_id, round(-0.691 + 10 * log10(avg(ms)), 5) AS integrated_lufs FROM f JOIN g USING (signal_id) WHERE l > -70 AND l > gate GROUP BY 1""",
     "clap_decay": f"""WITH {sql.VECTORS}, t AS (SELECT signal_id, n, x * 100 AS l, max(x * 100) OVER (PARTITION BY signal_id) AS top FROM vectors), p AS (SELECT *, max(n) FILTER (l = top) OVER (PARTITION BY signal_id) AS peak FROM t),
-        d AS (SELECT signal_id, min(n) FILTER (l <= top - 5) AS a, min(n) FILTER (l <= top - 25) AS b FROM p WHERE n > peak GROUP BY 1) SELECT signal_id, round((b - a) * 0.005 * 3, 6) AS rt60 FROM d WHERE a IS NOT NULL AND b IS NOT NULL""",
+        d AS (SELECT signal_id, min(n) FILTER (l <= top - 5) AS a, min(n) FILTER (l <= top - 25) AS b FROM p WHERE n > peak GROUP BY 1) SELECT signal_id, round((b - a) * 0.005::DOUBLE * 3, 6) AS rt60 FROM d WHERE a IS NOT NULL AND b IS NOT NULL""",
     "level_spread": f"""WITH {sql.VECTORS}, m AS (SELECT signal_id, n, avg(x * 100) OVER w AS m, count(*) OVER w AS c FROM vectors WINDOW w AS (PARTITION BY signal_id ORDER BY n ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)), k AS (SELECT *, max(m) OVER (PARTITION BY signal_id) AS top FROM m WHERE c = 6 AND n % 2 = 0)
         SELECT signal_id, round(stddev_pop(m), 6) AS sigma FROM k WHERE m >= top - 40 GROUP BY 1""",
     "render_digest": "SELECT vec_id AS signal_id, true AS same FROM embeddings",

@@ -332,9 +332,9 @@ _MS = lambda c: f"CAST(floor({c} * 1000 + 0.5) AS BIGINT)"
 ORACLES = {
     "term_counts": f"SELECT * FROM {_terms_sql('doc_id', 'documents')}",
     "idf_smoothed": f"WITH {_TERMS} SELECT conv_id, term, df, round(idf, 6) AS idf FROM weights",
-    "keywords_topk": f"WITH {_KEYWORDS} SELECT conv_id, rank, term, round(score, 6) AS score FROM kw WHERE rank <= 8",
+    "keywords_topk": f"WITH {_KEYWORDS} SELECT conv_id, CAST(rank AS INTEGER) AS rank, term, round(score, 6) AS score FROM kw WHERE rank <= 8",
     "episode_titles": f"WITH {_KEYWORDS}, t AS (SELECT conv_id, list(upper(term[1]) || term[2:] ORDER BY rank) AS t FROM kw WHERE rank <= 3 GROUP BY 1) SELECT conv_id, CASE len(t) WHEN 1 THEN t[1] WHEN 2 THEN t[1] || ' & ' || t[2] ELSE t[1] || ', ' || t[2] || ' & ' || t[3] END AS title FROM t",
-    "segment_rank": f"WITH {_RANKED} SELECT conv_id, seg, round(score, 6) AS score, rank FROM ranked",
+    "segment_rank": f"WITH {_RANKED} SELECT conv_id, seg, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ranked",
     "extractive_summary": f"WITH {_RANKED}, s AS (SELECT conv_id, trim(string_agg(trim(text), ' ' ORDER BY seg)) AS s FROM ranked WHERE rank <= 3 GROUP BY 1) SELECT conv_id, CASE WHEN length(s) <= 240 THEN s WHEN contains(s[:240], ' ') THEN regexp_replace(regexp_extract(s[:240], '(?s)^(.*) [^ ]*$', 1), '[,;:]+$', '') || '…' ELSE s[:240] || '…' END AS summary FROM s",
     "texttiling_similarity": f"WITH {_SIMS} SELECT conv_id, gap, round(sim, 6) AS sim FROM sims",
     "texttiling_depth": f"WITH {_DEPTHS} SELECT conv_id, gap, round(depth, 6) AS depth FROM depths",
