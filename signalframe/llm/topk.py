@@ -28,6 +28,9 @@ def tile_top(queries: np.ndarray, query_ids: np.ndarray, tile: np.ndarray, ids:
     """(row of the query, vec_id, score) of each query's k best in a tile, ties to smaller ids."""
     order = np.argsort(ids, kind="stable")
     tile, ids = tile[order], ids[order]
+    if (ids[1:] == ids[:-1]).any():
+        kept = np.unique(np.column_stack([ids, tile]), axis=0)
+        ids, tile = kept[:, 0], kept[:, 1:]
     exact = np.abs(queries).max(initial=0) * np.abs(tile).max(initial=0) * max(1, tile.shape[1]) < 2**53
     scores = (queries.astype(float) @ tile.T.astype(float)).astype(np.int64) if exact else queries.astype(np.int64) @ tile.T.astype(np.int64)
     own = query_ids[:, None] == ids[None, :]
@@ -89,7 +92,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, block_queries: int
     if best is None:
         best = spark.createDataFrame([], "query_id long, vec_id long, score long")
     order = [F.desc("score"), F.asc("vec_id")]
-    near = best.withColumn("part", F.spark_partition_id() % FAN_IN)
+    near = best.distinct().withColumn("part", F.spark_partition_id() % FAN_IN)
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).where(F.col("rank") <= k)
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
