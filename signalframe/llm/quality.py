@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .storage import written
 from .words import Hasher, chunks, split_words
 
-FEATURES = ("size", "upper", "symbol", "bar", "digit", "word_length", "line", "repeat", "distinct", "wide", "tail")
+FEATURES = ("upper", "symbol", "bar", "digit", "word_length", "line", "repeat", "distinct", "wide", "tail")
 SHRINK_TO_POOLED = 0.2
 SHRINK_TO_DIAGONAL = 0.1
 FLOOR = 1e-3
@@ -47,17 +47,17 @@ def statistics(texts: pa.Array, hasher: Hasher) -> np.ndarray:
         distinct = np.bincount(words.doc[order], weights=new, minlength=n)
         # Words that end in two like marks.
         tail = (words.end - words.start >= 3) & (data[words.end - 1] == data[np.maximum(words.end - 2, 0)]) & kinds[1][data[words.end - 1]] if len(words.end) else np.zeros(0, bool)
-        share = lambda x, of: np.log((x + 0.5) / (of + 10))
+        # Roots of shares steady their variance; the counts added draw short texts to plain ones.
+        share = lambda x, of: np.sqrt(x / (of + 10))
         out.append(np.stack([
-            np.log1p(size),
             share(count(kinds[0][data]), letters),
             share(count(kinds[1][data]), n_words),
             share(count(kinds[2][data]), n_words),
             share(count(kinds[3][data]), size),
-            np.log((size + 1) / (n_words + 1)),
+            np.log((size + 62) / (n_words + 10)),
             share(count(kinds[4][data]), n_words),
             share(np.bincount(words.doc, weights=same, minlength=n), n_words),
-            np.log((distinct + 1) / (n_words + 1)) / np.log(n_words + 3),
+            np.log((distinct + 10) / (n_words + 10)) / np.log(n_words + 30),
             share(count(data >= 128), size),
             share(np.bincount(words.doc, weights=tail, minlength=n), n_words),
         ], axis=1))
