@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import nearest_rank, order_statistic
+from ..sources.storage import settled
 from .islands import runs
 
 
@@ -19,8 +20,10 @@ def gated(hops: DataFrame, key: str = "signal_id") -> DataFrame:
 
     The floor is the 10th percentile of all hops, then of those that a first gate leaves out.
     """
+    # Hops are few beside samples, and both passes read them: they are computed once.
+    hops = settled(hops, "hops")
     first = order_statistic(hops, [key], "energy_db", nearest_rank(0.1), "floor0")
-    rows = hops.join(first, key)
+    rows = settled(hops.join(first, key), "hops-floor")
     quiet = rows.where(~speech_gate(F.col("energy_db"), F.col("floor0"), F.col("flatness")))
     second = order_statistic(quiet, [key], "energy_db", nearest_rank(0.1), "floor1")
     rows = rows.join(second, key, "left").withColumn("floor_db", F.coalesce("floor1", "floor0"))
