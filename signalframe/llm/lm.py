@@ -140,23 +140,28 @@ class Batch:
             own[ends] = False
             h[own], h[ends] = words.hash, END
             hashes.append(h)
-            docs.append(np.repeat(np.arange(first, last), count + 1))
-        token = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-        context = np.empty_like(token)
-        context[1:] = token[:-1]
+            docs.append(np.repeat(np.arange(first, last, dtype=np.int32), count + 1))
+        self.doc = np.concatenate(docs) if docs else np.zeros(0, np.int32)
         starts = np.searchsorted(self.doc, np.arange(len(texts)))
-        context[starts] = BEGIN
         counted = train[self.doc]
-        self.words, word = np.unique(np.concatenate([token, [BEGIN]]), return_inverse=True)
-        word = word[:-1]
+        token = np.concatenate([*hashes, [BEGIN]]).astype(np.uint64)
+        self.words, word = np.unique(token, return_inverse=True)
+        token = token[:-1]
+        del hashes, docs
+        word = word[:-1].astype(np.int32)
         self.word_n = np.bincount(word, weights=counted, minlength=len(self.words)).astype(np.uint32)
         begin = np.searchsorted(self.words, BEGIN)
         self.word_n[begin] = train.sum()
-        at = np.empty(len(token), np.int64)
+        key = token >> np.uint64(24)
+        del token
+        at = np.empty(len(word), np.uint64)
         at[1:] = word[:-1]
         at[starts] = begin
-        pair, self.pair = np.unique((at.astype(np.uint64) << TAIL_BITS) | (token >> np.uint64(24)), return_inverse=True)
+        key |= at << TAIL_BITS
+        del at
+        pair, self.pair = np.unique(key, return_inverse=True)
+        del key
+        self.pair = self.pair.astype(np.int32)
         pair_n = np.bincount(self.pair, weights=counted, minlength=len(pair)).astype(np.uint32)
         follower = np.empty(len(pair), np.int64)
         follower[self.pair] = word
@@ -165,9 +170,9 @@ class Batch:
         spread = np.isin(self.words, hot)
         shard = np.where(spread[of], home[follower], home[of])
         order = np.argsort(shard, kind="stable")
-        self.rank = np.empty(len(pair), np.int64)
-        self.rank[order] = np.arange(len(pair))
-        self.pair = self.rank[self.pair]
+        rank = np.empty(len(pair), np.int32)
+        rank[order] = np.arange(len(pair), dtype=np.int32)
+        self.pair = rank[self.pair]
         self.follower, self.of, self.tail, self.pair_n = follower[order], of[order], pair[order] & np.uint64(2**40 - 1), pair_n[order]
         self.bounds = np.searchsorted(shard[order], np.arange(shards + 1))
         self.home, self.spread, self.shards = home, spread, shards
