@@ -26,7 +26,7 @@ PRIOR = 400.0
 ADD = 0.1
 #: Quantised log10 probabilities: steps a unit; 0 stands for unseen.
 STEPS = 4096
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 14 << 20
 TAIL_BITS = np.uint64(40)
 
 
