@@ -226,7 +226,7 @@ def clock_formats(spark, d):
 
 
 def text_escapes(spark, d):
-    t = F.substring("text", 1, 300)
+    t = F.col("text")
     return table(spark, d, "documents").select("doc_id", scalars.escape_html(t).alias("html"), scalars.file_stem(t).alias("stem"), scalars.estimated_tokens(t).alias("tokens"), scalars.canonical_id(F.col("source")).alias("source"))
 
 
