@@ -216,7 +216,7 @@ def track_place(spark, d):
 
 
 def bleed_source(spark, d):
-    rows = vectors(spark, d).where("n < 32").select(F.floor(F.col("signal_id") / 4).alias("session"), F.col("signal_id").alias("track"), "n", "x")
+    rows = vectors(spark, d).select(F.floor(F.col("signal_id") / 4).alias("session"), F.col("signal_id").alias("track"), "n", "x")
     return _r(multitrack.best_source(multitrack.bleed(rows, "session", 16), "session"), "rho")
 
 

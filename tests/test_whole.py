@@ -22,3 +22,8 @@ def same(spark, duck, name, query):  # noqa: F811
 def test_text_escapes_whole_texts(spark, duck):  # noqa: F811
     df = same(spark, duck, "text_escapes", ORACLES["text_escapes"].replace("text[:300]", "text"))
     assert df.agg({"tokens": "max"}).first()[0] > 86
+
+
+def test_bleed_source_all_frames(spark, duck):  # noqa: F811
+    df = same(spark, duck, "bleed_source", ORACLES["bleed_source"].replace("WHERE a.n < 32 ", ""))
+    assert {r["frame"] for r in df.select("frame").distinct().collect()} == {0, 1, 2, 3}
