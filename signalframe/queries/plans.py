@@ -16,25 +16,25 @@ def _r(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 
 def _reports(spark, d):
-    """A measured report a supplier's line item, with a preset by line number."""
-    li = table(spark, d, "lineitem").where("l_linenumber = 1")
+    """A measured report a line item (id and line), with a preset by order."""
+    li = table(spark, d, "lineitem")
     p = presets.presets(spark).withColumn("k", F.monotonically_increasing_id()).select("preset_id", "target_lufs", "ceiling_dbtp")
     q, k = F.col("l_quantity"), F.col("l_orderkey")
-    rows = li.select(k.alias("id"), (q + 4).alias("snr_db"), (-q - 20).alias("noise_floor_dbfs"), (k % 10 / 10).alias("music_ratio"), (k % 4 / 4).alias("speech_ratio"), (k % 7).alias("clipping_regions"), ((k % 21 - 10) / 10).alias("correlation"), (k % 6 == 0).alias("dual_mono"), (F.col("l_discount") / 50).alias("dc"), F.when(k % 5 == 0, 50.0).when(k % 5 == 1, 60.0).alias("hum_hz"), (-q / 2 - 5).alias("integrated_lufs"), F.col("l_tax").alias("sibilance_ratio"), F.col("l_discount").alias("worst_clip_secs"), (q * 400).alias("bandwidth_hz"), F.when(F.col("l_tax") > 0.05, "bad").otherwise("ok").alias("reverb_bucket"), (k % 3 == 0).alias("diarized"), F.element_at(F.array(*[F.lit(x[0]) for x in presets.PRESETS]), (k % 7 + 1).cast("int")).alias("preset_id"))
+    rows = li.select(k.alias("id"), F.col("l_linenumber").alias("line"), (q + 4).alias("snr_db"), (-q - 20).alias("noise_floor_dbfs"), (k % 10 / 10).alias("music_ratio"), (k % 4 / 4).alias("speech_ratio"), (k % 7).alias("clipping_regions"), ((k % 21 - 10) / 10).alias("correlation"), (k % 6 == 0).alias("dual_mono"), (F.col("l_discount") / 50).alias("dc"), F.when(k % 5 == 0, 50.0).when(k % 5 == 1, 60.0).alias("hum_hz"), (-q / 2 - 5).alias("integrated_lufs"), F.col("l_tax").alias("sibilance_ratio"), F.col("l_discount").alias("worst_clip_secs"), (q * 400).alias("bandwidth_hz"), F.when(F.col("l_tax") > 0.05, "bad").otherwise("ok").alias("reverb_bucket"), (k % 3 == 0).alias("diarized"), F.element_at(F.array(*[F.lit(x[0]) for x in presets.PRESETS]), (k % 7 + 1).cast("int")).alias("preset_id"))
     return rows.join(F.broadcast(p), "preset_id")
 
 
 def auto_configure(spark, d):
-    keep = ["id", "downmix", "cutoff_hz", "denoise_strength", "dehum_hz", "declip", "declick_gate", "decrackle_ratio", "breath", "deess_threshold", "autoeq", "speaker_leveling", "noise_gate_lufs", "warm_start_db", "music_mode"]
+    keep = ["id", "line", "downmix", "cutoff_hz", "denoise_strength", "dehum_hz", "declip", "declick_gate", "decrackle_ratio", "breath", "deess_threshold", "autoeq", "speaker_leveling", "noise_gate_lufs", "warm_start_db", "music_mode"]
     return _r(decide.stages(_reports(spark, d)).select(*keep), "denoise_strength", "deess_threshold", "warm_start_db", "declick_gate", "noise_gate_lufs")
 
 
 def health_findings(spark, d):
-    return decide.findings(decide.stages(_reports(spark, d)), ["id"])
+    return decide.findings(decide.stages(_reports(spark, d)), ["id", "line"])
 
 
 def module_report(spark, d):
-    return decide.module_report(decide.stages(_reports(spark, d)), ["id"]).groupBy("module").agg(F.count_if("applied").alias("applied"), F.count(F.lit(1)).alias("files"))
+    return decide.module_report(decide.stages(_reports(spark, d)), ["id", "line"]).groupBy("module").agg(F.count_if("applied").alias("applied"), F.count(F.lit(1)).alias("files"))
 
 
 def preset_table(spark, d):
@@ -48,25 +48,25 @@ def reverb_bucket(spark, d):
 
 
 def _files(spark, d):
-    li = table(spark, d, "lineitem").where("l_linenumber = 1")
+    li = table(spark, d, "lineitem")
     k, q = F.col("l_orderkey"), F.col("l_quantity")
     p = presets.presets(spark).select("preset_id", "target_lufs", "ceiling_dbtp")
-    rows = li.select(k.alias("id"), F.element_at(F.array(*[F.lit(x[0]) for x in presets.PRESETS]), (k % 7 + 1).cast("int")).alias("preset_id"), (-14 - q / 10).alias("integrated_lufs"), (F.col("l_discount") * 20 - 4).alias("true_peak_dbtp"), F.when(k % 5 > 0, -18 - q / 10).alias("rms_dbfs"), F.when(k % 11 > 0, -40 - q).alias("floor_dbfs"))
+    rows = li.select(k.alias("id"), F.col("l_linenumber").alias("line"), F.element_at(F.array(*[F.lit(x[0]) for x in presets.PRESETS]), (k % 7 + 1).cast("int")).alias("preset_id"), (-14 - q / 10).alias("integrated_lufs"), (F.col("l_discount") * 20 - 4).alias("true_peak_dbtp"), F.when(k % 5 > 0, -18 - q / 10).alias("rms_dbfs"), F.when(k % 11 > 0, -40 - q).alias("floor_dbfs"))
     return rows.join(F.broadcast(p), "preset_id")
 
 
 def compliance_pass(spark, d):
-    return compliance.checks(_files(spark, d)).select("id", "loudness_pass", "peak_pass", "overall_pass")
+    return compliance.checks(_files(spark, d)).select("id", "line", "loudness_pass", "peak_pass", "overall_pass")
 
 
 def acx_checks(spark, d):
-    return compliance.checks(_files(spark, d)).where("book_rms IS NOT NULL").select("id", "book_rms", "book_peak", "book_floor")
+    return compliance.checks(_files(spark, d)).where("book_rms IS NOT NULL").select("id", "line", "book_rms", "book_peak", "book_floor")
 
 
 def acx_conform(spark, d):
     c = compliance.conform(F.coalesce("rms_dbfs", F.lit(-30.0)), F.col("true_peak_dbtp"), F.coalesce("floor_dbfs", F.lit(-50.0)))
-    rows = _files(spark, d).select("id", c.alias("c"))
-    return _r(rows.select("id", "c.gain_db", "c.will_pass", F.array_join("c.blockers", ",").alias("blockers")), "gain_db")
+    rows = _files(spark, d).select("id", "line", c.alias("c"))
+    return _r(rows.select("id", "line", "c.gain_db", "c.will_pass", F.array_join("c.blockers", ",").alias("blockers")), "gain_db")
 
 
 def voice_memory_merge(spark, d):

@@ -1,5 +1,7 @@
 """Queries over whole inputs, against DuckDB SQL without cuts."""
 
+import pytest
+
 from signalframe.queries import ORACLES, QUERIES
 
 from .conftest import DATA
@@ -27,3 +29,19 @@ def test_text_escapes_whole_texts(spark, duck):  # noqa: F811
 def test_bleed_source_all_frames(spark, duck):  # noqa: F811
     df = same(spark, duck, "bleed_source", ORACLES["bleed_source"].replace("WHERE a.n < 32 ", ""))
     assert {r["frame"] for r in df.select("frame").distinct().collect()} == {0, 1, 2, 3}
+
+
+def lines(query):
+    """The SQL over all line items, which their order and line name."""
+    query = query.replace(" WHERE l_linenumber = 1", "").replace("l_orderkey AS id", "l_orderkey AS id, l_linenumber AS line")
+    return query.replace("(SELECT id, coalesce", "(SELECT id, line, coalesce").replace("SELECT id, ", "SELECT id, line, ").replace("line, line", "line")
+
+
+@pytest.mark.parametrize("name", ["auto_configure", "health_findings", "module_report", "compliance_pass", "acx_checks", "acx_conform"])
+def test_reports_of_all_lines(spark, duck, name):  # noqa: F811
+    df = same(spark, duck, name, lines(ORACLES[name]))
+    n = duck.execute(f"SELECT count(*) FROM '{DATA}/lineitem.parquet'").fetchone()[0]
+    if name == "module_report":
+        assert {r["files"] for r in df.collect()} == {n}
+    elif name not in ("health_findings", "acx_checks"):
+        assert df.count() == n
