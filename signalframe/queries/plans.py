@@ -152,7 +152,7 @@ def der(spark, d):
 
 def rubric_score(spark, d):
     s = segments(spark, d)
-    notes = s.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "text"))), lambda x: F.substring(x["text"], 1, 60)), " ").alias("summary"), F.count(F.lit(1)).cast("int").alias("n"))
+    notes = s.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "text"))), lambda x: x["text"]), " ").alias("summary"), F.count(F.lit(1)).cast("int").alias("n"))
     n = F.col("n")
     notes = notes.select("conv_id", "summary", F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("point "), i)).alias("bullets"), F.transform(F.sequence(F.lit(0), n), lambda i: F.struct((i * 50.0).alias("start"), F.lit("part").alias("title"))).alias("chapters"), F.array(F.lit("A title")).alias("titles"), F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("k"), i)).alias("keywords"))
     return _r(gates.rubric(notes, "conv_id", F.lit(380.0), chapters_after=300.0, least_keywords=4).select("conv_id", "score", "usable", F.array_join("failed", ",").alias("failed")), "score")

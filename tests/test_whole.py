@@ -45,3 +45,10 @@ def test_reports_of_all_lines(spark, duck, name):  # noqa: F811
         assert {r["files"] for r in df.collect()} == {n}
     elif name not in ("health_findings", "acx_checks"):
         assert df.count() == n
+
+
+def test_rubric_score_whole_turns(spark, duck):  # noqa: F811
+    query = ORACLES["rubric_score"]
+    df = same(spark, duck, "rubric_score", query.replace("text[:60]", "text"))
+    cut = {r[0]: r[1:] for r in duck.execute("SELECT conv_id, score, failed FROM (" + query.replace("(text,", "(text[:60],") + ")").fetchall()}
+    assert any(cut[r["conv_id"]] != (r["score"], r["failed"]) for r in df.collect())
