@@ -65,7 +65,7 @@ def findings(configured: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def module_report(configured: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, module, applied of every stage in chain order, and whether the result is off target."""
+    """keep, ord, module, applied of every stage in chain order."""
     c = F.col
     modules = [("downmix", c("downmix")), ("hpf", F.lit(True)), ("dehum", c("dehum_hz").isNotNull()), ("declip", c("declip")), ("declick", c("declick_gate").isNotNull()), ("decrackle", c("decrackle_ratio").isNotNull()), ("denoise", c("denoise_strength").isNotNull()), ("breath", c("breath")), ("deess", c("deess_threshold").isNotNull()), ("autoeq", c("autoeq")), ("speaker", c("speaker_leveling")), ("leveler", F.lit(True)), ("limiter", F.lit(True))]
     rows = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(m).alias("module"), F.coalesce(on, F.lit(False)).alias("applied")) for i, (m, on) in enumerate(modules)])
