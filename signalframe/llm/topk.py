@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE = 1024
-#: Components of quantised vectors saturate here, so that an inner product of up to 512 fits 63 bits.
-LIMIT = 2**26
+#: Quantised components and scores lie below this, or the search fails.
+LIMIT = 2**63
 TILE_ROWS = 2048
 #: Queries that one pass broadcasts; further ones take further passes.
 BLOCK_QUERIES = 32_768
@@ -17,11 +17,36 @@ FAN_IN = 16
 
 
 def quantised(vector: Column) -> Column:
-    """floor(1024 * x) of each component as array<long>; null if the vector or a component is null or non-finite."""
+    """floor(1024 * x) of each component as array<long>; null if the vector or a component is null or non-finite.
+
+    A component that doesn't fit 63 bits is an error.
+    """
     x = vector.cast("array<double>")
     whole = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    inside = lambda v: F.greatest(F.least(v, F.lit(float(LIMIT))), F.lit(float(-LIMIT)))
-    return F.when(whole & (F.size(x) > 0), F.transform(x, lambda v: F.floor(inside(v * SCALE))))
+    wide = F.raise_error(F.lit("a component of 1024 times a vector doesn't fit 63 bits")).cast("long")
+    return F.when(whole & (F.size(x) > 0), F.transform(x, lambda v: F.when(F.abs(v * SCALE) < float(LIMIT), F.floor(v * SCALE)).otherwise(wide)))
+
+
+def exact_scores(queries: np.ndarray, tile: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Inner products as integers, but of own pairs; an error if one doesn't fit 63 bits."""
+    scores = queries.astype(float) @ tile.T.astype(float)
+    bound = lambda m: np.abs(m).max(axis=1, initial=0).astype(float)
+    a, b = bound(queries) * max(1, tile.shape[1]), bound(tile)
+    if a.max(initial=0) * b.max(initial=0) < 2**53:
+        return scores.astype(np.int64)
+    # Doubles hold the others exactly; the margin covers the rounding of bounds.
+    wide = (np.outer(a, b) >= 2**52) & ~own
+    scores = np.where(wide | own, 0, scores).astype(np.int64)
+    rows, columns = np.nonzero(wide)
+    for lo in range(0, len(rows), 2**16):
+        i, j = rows[lo : lo + 2**16], columns[lo : lo + 2**16]
+        scores[i, j] = np.einsum("ij,ij->i", queries[i], tile[j])
+        for p in np.flatnonzero(a[i] * b[j] >= 2**62):
+            whole = sum(x * y for x, y in zip(queries[i[p]].tolist(), tile[j[p]].tolist(), strict=True))
+            if abs(whole) >= LIMIT:
+                raise OverflowError("an inner product doesn't fit 63 bits")
+            scores[i[p], j[p]] = whole
+    return scores
 
 
 def tile_top(queries: np.ndarray, query_ids: np.ndarray, tile: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -31,9 +56,8 @@ def tile_top(queries: np.ndarray, query_ids: np.ndarray, tile: np.ndarray, ids:
     if (ids[1:] == ids[:-1]).any():
         kept = np.unique(np.column_stack([ids, tile]), axis=0)
         ids, tile = kept[:, 0], kept[:, 1:]
-    exact = np.abs(queries).max(initial=0) * np.abs(tile).max(initial=0) * max(1, tile.shape[1]) < 2**53
-    scores = (queries.astype(float) @ tile.T.astype(float)).astype(np.int64) if exact else queries.astype(np.int64) @ tile.T.astype(np.int64)
     own = query_ids[:, None] == ids[None, :]
+    scores = exact_scores(queries, tile, own)
     low = np.iinfo(np.int64).min
     scores[own] = low
     k = min(k, len(ids))
@@ -63,7 +87,8 @@ def _tiles(batches, query_ids, queries, k: int):
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k highest inner products of each query row.
 
-    vectors: vec_id, embedding. Components become floor(1024 * x). Rows with a null id, and
+    vectors: vec_id, embedding. Components become floor(1024 * x); if one, or a score, doesn't fit
+    63 bits, the search fails, as the SQL does. Rows with a null id, and
     vectors that are null, empty or hold null or non-finite components, take no part; vectors of
     different lengths aren't compared. Rows that repeat both id and vector count once; rows of one
     id with different vectors all count, but no row is a candidate for a query of its own id.
