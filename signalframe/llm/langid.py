@@ -7,9 +7,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import written
+
 LENGTHS = (1, 2, 3)
 SLOTS = 1 << 14
 LANDMARKS = 128
@@ -100,37 +102,44 @@ def fit(rows: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridg
 
 
 def learn(docs: DataFrame, learn_from: Column, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Fit on at most sample_rows rows with a language and a letter, chosen by a hash of the text.
+    """Fit on at most sample_rows distinct texts with a language and a letter, chosen by a hash.
 
-    Only n-gram bitmaps (2 KB a row) reach the driver. Each language has an equal share of the
-    sample, or all its rows. Without a labelled row the model knows no language.
+    Only n-gram bitmaps (2 KB a text) reach the driver. Each language has an equal share of the
+    sample, those of its distinct texts with the smallest hashes, or all of them. Without a labelled row the model knows no language.
     """
-    known = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(sample_rows).collect()}
+    known = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("text", F.lit(11)).alias("h"), "text")
+    texts = written(known.groupBy("lang", "h").agg(F.pmod("h", F.lit(1 << 30)).alias("draw")), "texts")
+    counts = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(sample_rows).collect()}
     if not counts:
         return fit(np.zeros((0, SLOTS)), [])
     quota = max(1, sample_rows // len(counts))
-    draw = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * quota / n))])
-    some = known.where(draw < F.coalesce(rate[F.col("lang")], F.lit(0.0))).select("lang", draw.alias("draw"), "text")
+    # Fewer draws than the quota lie below this with odds of 1e-10; the rest needn't be ordered.
+    below = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, (1 << 30) * min(1.0, (2.0 * quota + 30) / n))])
+    few = texts.where(F.col("draw") < F.coalesce(below[F.col("lang")], F.lit(0.0)))
+    order = Window.partitionBy("lang").orderBy("draw", "h")
+    chosen = written(few.withColumn("at", F.row_number().over(order)).where(F.col("at") <= quota).select("lang", "h", "draw"), "chosen")
+    some = known.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "draw", "text", "h")
 
     def run(batches):
+        seen: set[tuple[str, int]] = set()
         for batch in batches:
             for lo in range(0, batch.num_rows, TILE_DOCS):
                 part = batch.slice(lo, TILE_DOCS)
+                names = list(zip(part.column(0).to_pylist(), part.column(3).to_pylist(), strict=True))
+                new = [i for i, name in enumerate(names) if name not in seen and not seen.add(name)]
+                if not new:
+                    continue
+                part = part.take(pa.array(new, pa.int64()))
                 rows, has = presence(part.column(2).to_pylist())
                 bits = np.packbits(rows, axis=1)
                 at = np.flatnonzero(has)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array([bits[i].tobytes() for i in at], pa.binary())], ["lang", "draw", "bits"])
-
-    drawn = some.mapInArrow(run, "lang string, draw double, bits binary").orderBy("draw", "lang").limit(2 * sample_rows).collect()
-    taken: dict[str, int] = {}
-    bits, languages = [], []
-    for r in drawn:
-        if taken.get(r["lang"], 0) < quota:
-            taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-            bits.append(np.unpackbits(np.frombuffer(r["bits"], np.uint8)))
-            languages.append(r["lang"])
+                take = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(3).take(take), part.column(1).take(take), pa.array([bits[i].tobytes() for i in at], pa.binary())], ["lang", "h", "draw", "bits"])
+
+    drawn = some.mapInArrow(run, "lang string, h long, draw long, bits binary").dropDuplicates(["lang", "h"]).collect()
+    drawn.sort(key=lambda r: (r["draw"], r["lang"], r["h"]))
+    languages = [r["lang"] for r in drawn]
+    bits = [np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in drawn]
     return fit(np.array(bits, np.float32).reshape(len(bits), SLOTS), languages)
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from signalframe.llm import topk
+from signalframe.llm import langid, topk
 
 
 def test_top_k_of_large_components(spark):
@@ -20,3 +20,17 @@ def test_scores_that_do_not_fit():
         topk.exact_scores(q, t, other)
     assert topk.exact_scores(q, t, ~other).tolist() == [[0]]
     assert topk.exact_scores(np.array([[2**40, -(2**40)]]), np.array([[2**40, 2**40 - 1]]), other).tolist() == [[2**40]]
+
+
+def test_language_sample_of_copies(spark):
+    rows = [("xx", f"qu{k} zorp") for k in range(3) for _ in range(3000)]
+    rows += [("yy", f"mel{k} dran lo{k}") for k in range(400)] + [("zz", "123")] * 50
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    seen = {}
+    fit = langid.fit
+    try:
+        langid.fit = lambda bits, languages: seen.update(n={x: languages.count(x) for x in languages}) or fit(bits, languages)
+        model = langid.learn(docs, F.lit(True), 64)
+    finally:
+        langid.fit = fit
+    assert seen["n"] == {"xx": 3, "yy": 32} and model.languages == ["xx", "yy"]
