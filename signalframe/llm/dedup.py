@@ -1,4 +1,4 @@
-"""Near-duplicates by b-bit MinHash over 2-word shingles, links confirmed on full sets."""
+"""Near-duplicates by b-bit MinHash over word shingles (of 2 words by default), links confirmed on full sets."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .link import linked
@@ -21,19 +21,27 @@ PERCENT = 80
 #: Estimates below this can't belong to a link but with odds of 1e-9.
 LEAST_ESTIMATE = 0.62
 SET_BYTES = 6
+#: Words in a shingle.
+SHINGLE = 2
 
 
-def shingle_sets(texts: pa.Array, hasher: Hasher):
-    """Sorted distinct 64-bit hashes of each whole text's 2-word shingles.
+def shingle_sets(texts: pa.Array, hasher: Hasher, length: int = SHINGLE):
+    """Sorted distinct 64-bit hashes of each whole text's shingles of length words.
 
-    A text of one word has that word as its set; null, or no word, an empty one.
+    A text of fewer words has its words as its one shingle; null, or no word, an empty set.
     """
     for first, last, data, offsets in chunks(texts):
         words = split_words(data, offsets, hasher)
-        pairs = mix64(words.hash[:-1] * np.uint64(0xD6E8FEB86659FD93) + words.hash[1:])
+        # grown[n - 1][i] covers the n words from i on.
+        grown = [mix64(words.hash + np.uint64(1)), words.hash]
+        for n in range(1, length):
+            last_grown = grown[-1]
+            grown.append(mix64(last_grown[:-1] * np.uint64(0xD6E8FEB86659FD93) + words.hash[n:]))
+        grown = [grown[0], *grown[2:]]
         edge = np.searchsorted(words.doc, np.arange(last - first + 1))
         for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-            yield np.unique(pairs[lo : hi - 1]) if hi - lo > 1 else mix64(words.hash[lo:hi] + np.uint64(1))
+            n = min(length, hi - lo)
+            yield np.unique(grown[n - 1][lo : hi - n + 1]) if n else words.hash[:0]
 
 
 def set_key_of(s: np.ndarray) -> bytes:
@@ -83,11 +91,11 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _signatures(batches):
+def _signatures(batches, length: int):
     hasher, permutations = Hasher(), Permutations()
-    names = ["doc_id", "n", "set_key", "sig", "keys"]
+    names = ["doc_id", "text_key", "n", "set_key", "sig", "keys"]
 
-    def flush(ids, sets):
+    def flush(ids, texts, sets):
         n = np.array([len(s) for s in sets], np.int64)
         full = np.flatnonzero(n)
         set_key, sig, keys = [None] * len(sets), [None] * len(sets), [None] * len(sets)
@@ -97,24 +105,31 @@ def _signatures(batches):
             for row, i in enumerate(full):
                 set_key[i] = set_key_of(sets[i])
                 sig[i], keys[i] = bits[row].tobytes(), bands[row]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.array(set_key, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), pa.array(n), pa.array(set_key, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names)
 
     for batch in batches:
-        ids, kept, sets, size = batch.column(0).to_pylist(), [], [], 0
-        for i, s in zip(ids, shingle_sets(batch.column(1), hasher), strict=True):
+        ids, text_keys, kept, texts, sets, size = batch.column(0).to_pylist(), batch.column(2).to_pylist(), [], [], [], 0
+        for i, t, s in zip(ids, text_keys, shingle_sets(batch.column(1), hasher, length), strict=True):
             kept.append(i)
+            texts.append(t)
             sets.append(s)
             size += len(s)
             if size > 50_000:
-                yield flush(kept, sets)
-                kept, sets, size = [], [], 0
+                yield flush(kept, texts, sets)
+                kept, texts, sets, size = [], [], [], 0
         if kept:
-            yield flush(kept, sets)
+            yield flush(kept, texts, sets)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n, set_key (equal for equal sets), sig and band keys of docs (doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_signatures, "doc_id long, n long, set_key binary, sig binary, keys array<long>")
+def text_key() -> Column:
+    """What tells the texts of one id apart."""
+    return F.xxhash64("text")
+
+
+def signatures(docs: DataFrame, length: int = SHINGLE) -> DataFrame:
+    """doc_id, text_key, n, set_key (equal for equal sets), sig and band keys of docs (doc_id, text)."""
+    rows = docs.select(F.col("doc_id").cast("long"), "text", text_key().alias("text_key"))
+    return rows.mapInArrow(lambda batches: _signatures(batches, length), "doc_id long, text_key long, n long, set_key binary, sig binary, keys array<long>")
 
 
 def _packed_set(s: np.ndarray) -> bytes:
@@ -151,7 +166,7 @@ def exact_test(packed_sets: list[bytes]) -> Callable[[int, np.ndarray], np.ndarr
     return test
 
 
-def _payloads(docs: DataFrame, classes: DataFrame) -> Callable[[DataFrame], DataFrame]:
+def _payloads(docs: DataFrame, classes: DataFrame, length: int) -> Callable[[DataFrame], DataFrame]:
     """For linked(): the packed sets of nodes, from the text of each class's smallest id."""
 
     def sets_of(batches):
@@ -159,7 +174,7 @@ def _payloads(docs: DataFrame, classes: DataFrame) -> Callable[[DataFrame], Data
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                named = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), shingle_sets(part.column(2), hasher), strict=True)
+                named = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), shingle_sets(part.column(2), hasher, length), strict=True)
                 # An id may come with other texts as well.
                 rows = [(node, _packed_set(s)) for node, key, s in named if set_key_of(s) == key]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "payload"])
@@ -172,28 +187,52 @@ def _payloads(docs: DataFrame, classes: DataFrame) -> Callable[[DataFrame], Data
     return of
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, length: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept.
 
-    docs: doc_id, text. Links join texts whose sets of 2-word shingles have a similarity of 0.8 or
+    docs: doc_id, text. Links join texts whose sets of shingles of length words have a similarity of 0.8 or
     more. Equal sets form a class, which its smallest id stands for; classes meet by band keys and
     are confirmed on their full sets. Null texts and texts without a word have an empty set, link
     with nothing and are kept. Rows with a null id have a null component, link with nothing and
     are kept. Rows that repeat an id and a text share a result; if an id comes with different
     texts, each of its rows has the component of its own text. An empty table gives no rows.
     """
+    return labelled(docs, length).drop("text_key", "component")
+
+
+def one_of_each(docs: DataFrame, length: int = SHINGLE) -> DataFrame:
+    """docs with one row of each component: that of its smallest doc_id, and of its texts one.
+
+    docs: doc_id, text and others. Rows are dropped by id and text. Texts without a word and rows
+    with a null id stay, but of rows that repeat an id and a text one stays.
+    """
+    keys = ["doc_id", "text_key"]
+    found = written(labelled(docs.select("doc_id", "text"), length).where("doc_id IS NOT NULL"), "labelled")
+    several = found.where("kept AND n_shingles > 0").groupBy("component").agg(F.min("text_key").alias("first"), F.max("text_key").alias("last")).where("first < last")
+    other = found.join(several.select("component", "first"), "component").where("kept AND n_shingles > 0 AND text_key > first")
+    gone = written(found.where("NOT kept").select(keys).unionByName(other.select(keys)).distinct(), "gone")
+    left = found.where("kept").groupBy(keys).count().where("count > 1").join(gone, keys, "left_anti")
+    repeated = written(left.select(keys), "repeated")
+    rows = docs.withColumn("text_key", text_key()).join(gone, keys, "left_anti")
+    names = [F.col(f"row.`{c}`") for c in docs.columns]
+    first = rows.join(repeated, keys, "left_semi").groupBy(keys).agg(F.min(F.struct(*docs.columns)).alias("row")).select(names)
+    return rows.join(repeated, keys, "left_anti").select(docs.columns).unionByName(first)
+
+
+def labelled(docs: DataFrame, length: int = SHINGLE) -> DataFrame:
+    """near_duplicates() with the text_key of each row and a key of its component, which others of the same id don't share."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = written(signatures(docs), "signatures")
+    table = written(signatures(docs, length), "signatures")
     full = table.where("n > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.any_value("sig").alias("sig"), F.any_value("keys").alias("keys"))
     classes = written(classes.withColumn("node", F.xxhash64("set_key")), "classes")
-    labels = linked(classes.select("node", "keys", "sig"), estimate, LEAST_ESTIMATE, _payloads(docs, classes), exact_test)
+    labels = linked(classes.select("node", "keys", "sig"), estimate, LEAST_ESTIMATE, _payloads(docs, classes, length), exact_test)
     placed = classes.select("set_key", "node", "id").join(labels, "node", "left").select("set_key", "id", F.coalesce("component", "node").alias("component"))
     placed = written(placed, "placed")
     least = written(placed.groupBy("component").agg(F.min("id").alias("component_id")), "least")
-    named = written(placed.join(least, "component").select("set_key", "component_id"), "named")
-    rows = table.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key"))
+    named = written(placed.join(least, "component").select("set_key", "component_id", "component"), "named")
+    rows = table.select("doc_id", "text_key", "n", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key"))
     alone = F.concat(F.lit("#"), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("string")).cast("binary")
     rows = rows.withColumn("set_key", F.coalesce("set_key", alone))
-    joined = rows.join(named, "set_key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    joined = rows.join(named, "set_key", "left").select("doc_id", "text_key", "component", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return joined.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -1,10 +1,31 @@
 """Operators where ids or texts repeat, and where numbers are large."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from signalframe.llm import langid, topk
+import corpus_pipeline
+from signalframe.llm import dedup, langid, topk
+from signalframe.llm.words import Hasher
+
+A, B, C = "a b c d e f g h", "p q r s t u v w", "i j k l m n o x"
+
+
+def test_dedup_stage_drops_by_id_and_text(spark):
+    rows = [(1, A), (2, A), (2, B), (3, C), (3, C), (4, ""), (4, ""), (5, None), (None, A), (6, "z1 z2 z3"), (6, "z1 z2 z3 "), (6, "y1 y2 y3")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()]
+    assert len(got) == len(set(got))
+    six = [t for i, t in got if i == 6]
+    assert sorted({" ".join(t.split()) for t in six}) == ["y1 y2 y3", "z1 z2 z3"] and len(six) == 2
+    assert {x for x in got if x[0] != 6} == {(1, A), (2, B), (3, C), (4, ""), (5, None), (None, A)}
+
+
+def test_shingle_length():
+    texts = pa.array(["a b c d e f", "a", "a b", "", None])
+    sizes = lambda n: [len(s) for s in dedup.shingle_sets(texts, Hasher(), n)]
+    assert sizes(1) == [6, 1, 2, 0, 0] and sizes(2) == [5, 1, 1, 0, 0] and sizes(5) == [2, 1, 1, 0, 0]
 
 
 def test_top_k_of_large_components(spark):
