@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+#: Buckets a doubling of magnitude.
+BUCKETS = 4096
+# Exponents of doubles lie above this.
+LEAST_EXPONENT = 1080
 
 
 def round_half_up(x: Column) -> Column:
@@ -28,26 +31,48 @@ def floor_rank(p: float):
     return lambda n: F.floor(n * F.lit(p))
 
 
-def order_statistic(df: DataFrame, keys: list[str], value: str, place, name: str) -> DataFrame:
-    """keys and the value at the 0-based place(n) of each group's sorted values.
+def magnitude_bucket(v: Column) -> Column:
+    """A number that never falls as v rises: BUCKETS steps a doubling of |v|, with v's sign."""
+    size = F.abs(v)
+    e = F.floor(F.log2(size))
+    # Right below a power of two, a logarithm that is rounded up gives step -1: the last one of the doubling below.
+    step = (e + LEAST_EXPONENT) * BUCKETS + F.floor((size / F.pow(F.lit(2.0), e) - 1) * BUCKETS) + 1
+    b = F.when(size == 0, 0).when(size < 1e-300, F.signum(v)).when(size < float("inf"), F.when(v < 0, -step).otherwise(step))
+    top = 4 * LEAST_EXPONENT * BUCKETS
+    return F.when(F.isnan(v), top + 1).otherwise(F.coalesce(b, F.when(v < 0, -top).otherwise(top))).cast("long")
+
 
-    Nulls don't count; groups without a value are missing. Values fall into buckets between a
-    group's extremes first, so only the bucket that holds the place is sorted: a group may be of
-    any size and no task gets it whole.
+def order_statistics(df: DataFrame, keys: list[str], value: str, places: dict) -> DataFrame:
+    """keys and, by name, the value at the 0-based place(n) of each group's sorted values.
+
+    Nulls don't count; groups without a value are missing. Values are counted in buckets by
+    magnitude first, so that outliers don't crowd the others into one, and only the distinct
+    values of buckets that hold a place are put in order: a group may be of any size.
     """
-    rows = df.select(*keys, F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
-    ends = rows.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).withColumn("at", place(F.col("n")).cast("long"))
-    span = F.col("hi") - F.col("lo")
-    bucket = F.when(span > 0, F.least(F.floor((F.col("v") - F.col("lo")) / span * BUCKETS), F.lit(BUCKETS - 1))).otherwise(0)
-    placed = rows.join(ends, keys).select(*keys, "v", "at", bucket.alias("b"))
-    counts = placed.groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("c"), F.first("at").alias("at"))
-    up_to = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("before", F.coalesce(F.sum("c").over(up_to), F.lit(0)))
-    target = counts.where("before <= at AND at < before + c").select(*keys, "b", (F.col("at") - F.col("before")).alias("k"))
-    inside = placed.join(target, [*keys, "b"]).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"), F.first("k").alias("k"))
-    below = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumn("before", F.coalesce(F.sum("c").over(below), F.lit(0)))
-    return inside.where("before <= k AND k < before + c").select(*keys, F.col("v").alias(name))
+    rows = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v IS NOT NULL").withColumn("__b", magnitude_bucket(F.col("__v")))
+    counts = rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    whole = Window.partitionBy(*keys)
+    up_to = whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({"__n": F.sum("__c").over(whole), "__before": F.coalesce(F.sum("__c").over(up_to), F.lit(0))})
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), place(F.col("__n")).cast("long").alias("at")) for name, place in places.items()])
+    held = F.filter(wanted, lambda w: (w["at"] >= F.col("__before")) & (w["at"] < F.col("__before") + F.col("__c")))
+    target = counts.select(*keys, "__b", "__before", held.alias("__held")).where(F.size("__held") > 0)
+    inside = rows.join(target, [*keys, "__b"]).groupBy(*keys, "__b", "__v").agg(F.count(F.lit(1)).alias("__c"), F.first("__before").alias("__before"), F.first("__held").alias("__held"))
+    below = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("__before", F.col("__before") + F.coalesce(F.sum("__c").over(below), F.lit(0)))
+    here = lambda name: F.exists("__held", lambda w: (w["name"] == name) & (w["at"] >= F.col("__before")) & (w["at"] < F.col("__before") + F.col("__c")))
+    return inside.groupBy(*keys).agg(*[F.max(F.when(here(name), F.col("__v"))).alias(name) for name in places])
+
+
+def order_statistic(df: DataFrame, keys: list[str], value: str, place, name: str) -> DataFrame:
+    """order_statistics() of one place."""
+    return order_statistics(df, keys, value, {name: place})
+
+
+def averaging_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """keys and the mean of the two middle values, or the middle one."""
+    both = order_statistics(df, keys, value, {"__lo": lambda n: F.floor((n - 1) / 2), "__hi": upper_middle})
+    return both.select(*keys, ((F.col("__lo") + F.col("__hi")) / 2).alias(name))
 
 
 def robust_sigma(df: DataFrame, keys: list[str], value: str, name: str = "sigma") -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKET = 60.0
+# Fixed value: how far, in seconds, a word may lie from the turn that it is given to.
+SPEAKER_SNAP = 2.0
 
 
 def bucketed(df: DataFrame, start: Column, end: Column, width: float = BUCKET) -> DataFrame:
@@ -16,20 +18,14 @@ def bucketed(df: DataFrame, start: Column, end: Column, width: float = BUCKET) -
     return df.withColumn("__t", F.explode(F.sequence(F.floor(F.least(start, end) / width), F.floor(F.greatest(start, end) / width))))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, key: str, ls: str, le: str, rs: str, re: str, closed: bool = False, how: str = "inner", width: float = BUCKET) -> DataFrame:
-    """Pairs of a key that overlap (strictly, or with closed also where they touch), once each.
-
-    left_anti keeps the rows of left that overlap nothing.
-    """
-    a = bucketed(left.withColumn("__id", F.monotonically_increasing_id()) if how == "left_anti" else left, F.col(ls), F.col(le), width)
+def overlap_join(left: DataFrame, right: DataFrame, key: str, ls: str, le: str, rs: str, re: str, closed: bool = False, width: float = BUCKET) -> DataFrame:
+    """Pairs of a key that overlap (strictly, or with closed also where they touch), once each."""
+    a = bucketed(left, F.col(ls), F.col(le), width)
     b = bucketed(right.withColumnRenamed(key, "__k"), F.col(rs), F.col(re), width).withColumnRenamed("__t", "__u")
     hit = (F.col(ls) <= F.col(re)) & (F.col(rs) <= F.col(le)) if closed else (F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le))
     on = (F.col(key) == F.col("__k")) & (F.col("__t") == F.col("__u")) & hit
     # The bucket where the overlap begins tells each pair once.
     once = F.col("__t") == F.greatest(F.floor(F.col(ls) / width), F.floor(F.col(rs) / width))
-    if how == "left_anti":
-        met = a.join(b, on & once, "left_semi").select("__id").distinct()
-        return left.withColumn("__id", F.monotonically_increasing_id()).join(met, "__id", "left_anti").drop("__id")
     return a.join(b, on & once, "inner").drop("__k", "__t", "__u")
 
 
@@ -39,7 +35,7 @@ def drop_overlapping(left: DataFrame, right: DataFrame, key: str, ls: str, le: s
     return left.join(met, unique, "left_anti")
 
 
-def word_speakers(words: DataFrame, turns: DataFrame, key: str, snap: float = 0.5) -> DataFrame:
+def word_speakers(words: DataFrame, turns: DataFrame, key: str, snap: float = SPEAKER_SNAP) -> DataFrame:
     """key, word, start, end, speaker: of the turn that overlaps most, else the nearest within snap.
 
     words: key, word (its number), start, end. turns: key, ord, t_start, t_end, speaker. The first

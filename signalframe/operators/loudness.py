@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import lufs
-from ..functions.stats import nearest_rank, order_statistic
+from ..functions.stats import nearest_rank, order_statistics
 from .recursive import K_WEIGHTING, run_filters, stage, true_peaks
 
 
@@ -43,8 +43,8 @@ def loudness_range(short: DataFrame) -> DataFrame:
     loud = short.where(lufs(F.col("ms")) > -70)
     gate = loud.groupBy("signal_id").agg((lufs(F.avg("ms")) - 20).alias("gate"))
     kept = loud.join(gate, "signal_id").withColumn("l", lufs(F.col("ms"))).where("l > gate")
-    lo, hi = (order_statistic(kept, ["signal_id"], "l", nearest_rank(p), name) for p, name in ((0.10, "lo"), (0.95, "hi")))
-    return lo.join(hi, "signal_id").select("signal_id", (F.col("hi") - F.col("lo")).alias("range_lu"))
+    ends = order_statistics(kept, ["signal_id"], "l", {"lo": nearest_rank(0.10), "hi": nearest_rank(0.95)})
+    return ends.select("signal_id", (F.col("hi") - F.col("lo")).alias("range_lu"))
 
 
 def true_peak(samples: DataFrame) -> DataFrame:

@@ -22,8 +22,8 @@ def gated(hops: DataFrame, key: str = "signal_id") -> DataFrame:
     """
     # Hops are few beside samples, and both passes read them: they are computed once.
     hops = settled(hops, "hops")
-    first = order_statistic(hops, [key], "energy_db", nearest_rank(0.1), "floor0")
-    rows = settled(hops.join(first, key), "hops-floor")
+    first = settled(order_statistic(hops, [key], "energy_db", nearest_rank(0.1), "floor0"), "floors")
+    rows = hops.join(first, key)
     quiet = rows.where(~speech_gate(F.col("energy_db"), F.col("floor0"), F.col("flatness")))
     second = order_statistic(quiet, [key], "energy_db", nearest_rank(0.1), "floor1")
     rows = rows.join(second, key, "left").withColumn("floor_db", F.coalesce("floor1", "floor0"))

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import extension
+from ..functions.scalars import extension, output_name
 
 TERMINAL = ("done", "failed", "cancelled")
 #: State after an event; other events leave the state as it is.
 MOVES = {("queued", "start"): "running", ("running", "finish"): "done", ("running", "fail"): "failed", ("queued", "cancel"): "cancelled", ("running", "cancel"): "cancelled", ("failed", "retry"): "queued", ("cancelled", "retry"): "queued"}
 
 # Extensions of files that a folder scan takes.
-EXTENSIONS = ["wav", "mp3", "flac", "m4a", "aac", "ogg", "opus", "aif", "aiff", "wma", "mp4", "mov", "mkv", "webm", "m4b"]
+EXTENSIONS = ["wav", "wave", "mp3", "m4a", "m4b", "flac", "ogg", "oga", "aac", "wma", "aiff", "aif", "mp4", "mov", "mkv"]
+#: Name of the file in which a watcher keeps what it has processed; it is never an input.
+LOG_FILE = ".signalframe-watch-log.json"
 
 
 def progress(jobs: DataFrame, key: str) -> DataFrame:
@@ -33,9 +35,42 @@ def replay(events: DataFrame, key: str, order: str) -> DataFrame:
     return rows.select(key, F.aggregate("rows", F.struct(F.lit("queued").alias("state"), F.lit(0).alias("attempts")), step).alias("s")).select(key, "s.*")
 
 
-def targets(files: DataFrame, path: str = "path") -> DataFrame:
-    """Supported files in path order."""
-    return files.where(extension(F.col(path)).isin(EXTENSIONS)).orderBy(path)
+def base_name(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/\\]*)$", 1)
+
+
+def is_log_file(path: Column, name: str = LOG_FILE) -> Column:
+    return base_name(path) == name
+
+
+def matches(path: Column, extensions: list[str] | None = None) -> Column:
+    """Whether a path's extension, in any case, is one of those given, or a supported one."""
+    return extension(path).isin([e.lower() for e in extensions] if extensions is not None else EXTENSIONS)
+
+
+def targets(files: DataFrame, path: str = "path", extensions: list[str] | None = None) -> DataFrame:
+    """Supported files in path order; a watcher's log isn't one."""
+    return files.where(matches(F.col(path), extensions) & ~is_log_file(F.col(path))).orderBy(path)
+
+
+def outputs(files: DataFrame, root: str, output_dir: str, naming: str = "{name}_mastered", mirror: bool = False, path: str = "path") -> DataFrame:
+    """files with output: {name} replaced by the stem, under output_dir, with mirror in the same sub-folder as under root."""
+    name = output_name(F.col(path), F.lit(naming), "wav")
+    if not mirror:
+        return files.withColumn("output", F.concat(F.lit(f"{output_dir.rstrip('/')}/"), name))
+    top = root.rstrip("/") + "/"
+    inside = F.regexp_extract(F.expr(f"substr(`{path}`, {len(top) + 1})"), r"^(.*/)?[^/]*$", 1)
+    folder = F.when(F.col(path).startswith(top), inside).otherwise(F.lit(""))
+    return files.withColumn("output", F.concat(F.lit(f"{output_dir.rstrip('/')}/"), folder, name))
+
+
+def candidates(files: DataFrame, log: DataFrame, known_outputs: DataFrame, extensions: list[str] | None = None) -> DataFrame:
+    """files (path, size, mtime_ms) that a watcher takes: supported, not its log, not its own output, not processed yet.
+
+    log: path, size, mtime_ms of processed files; known_outputs: path of what the watcher wrote.
+    """
+    fresh = files.where(matches(F.col("path"), extensions) & ~is_log_file(F.col("path")))
+    return unseen(fresh.join(known_outputs.select("path"), "path", "left_anti"), log)
 
 
 def unseen(files: DataFrame, log: DataFrame) -> DataFrame:

@@ -99,7 +99,8 @@ def job_states(spark, d):
 
 
 def folder_targets(spark, d):
-    ext = F.element_at(F.array(*map(F.lit, (".WAV", ".txt", ".mp3", ".pdf", ".m4b"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    ends = (".WAV", ".txt", ".mp3", ".pdf", ".m4b", ".wave", ".oga", ".opus", ".webm", ".AIF", "")
+    ext = F.element_at(F.array(*map(F.lit, ends)), (F.col("p_partkey") % len(ends) + 1).cast("int"))
     return jobs.targets(table(spark, d, "part").select(F.concat(F.lit("/x/"), F.col("p_partkey"), ext).alias("path")))
 
 
@@ -161,12 +162,12 @@ def rubric_score(spark, d):
 QUERIES = {f.__name__: f for f in (auto_configure, health_findings, module_report, preset_table, reverb_bucket, compliance_pass, acx_checks, acx_conform, voice_memory_merge, speaker_gain_solve, batch_progress, job_states, folder_targets, unseen_files, manifest_validate, class_coverage, regression_bands, delta_gate, gate_verdict, der, rubric_score)}
 
 _PRESETS = "presets AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{p[0]}', '{p[1]}', '{p[2]}', {p[3]}::DOUBLE, {p[4]}::DOUBLE)" for i, p in enumerate(presets.PRESETS)) + ") t(k, preset_id, preset_name, tier, target_lufs, ceiling_dbtp))"
-_REPORTS = _PRESETS + """, reports AS (SELECT l_orderkey AS id, l_quantity + 4 AS snr, -l_quantity - 20 AS nf, l_orderkey % 10 / 10 AS mr, l_orderkey % 4 / 4 AS sr, l_orderkey % 7 AS clips, (l_orderkey % 21 - 10) / 10 AS corr, l_orderkey % 6 = 0 AS dual, l_discount / 50 AS dc,
-CASE l_orderkey % 5 WHEN 0 THEN 50.0::DOUBLE WHEN 1 THEN 60.0::DOUBLE END AS hum, -l_quantity / 2 - 5 AS il, l_tax AS sib, l_discount AS worst, l_quantity * 400 AS bw, l_tax > 0.05 AS bad, l_orderkey % 3 = 0 AS diar, target_lufs AS target FROM lineitem JOIN presets ON k = l_orderkey % 7 WHERE l_linenumber = 1),
+_REPORTS = _PRESETS + """, reports AS (SELECT l_orderkey AS id, l_linenumber AS line, l_quantity + 4 AS snr, -l_quantity - 20 AS nf, l_orderkey % 10 / 10 AS mr, l_orderkey % 4 / 4 AS sr, l_orderkey % 7 AS clips, (l_orderkey % 21 - 10) / 10 AS corr, l_orderkey % 6 = 0 AS dual, l_discount / 50 AS dc,
+CASE l_orderkey % 5 WHEN 0 THEN 50.0::DOUBLE WHEN 1 THEN 60.0::DOUBLE END AS hum, -l_quantity / 2 - 5 AS il, l_tax AS sib, l_discount AS worst, l_quantity * 400 AS bw, l_tax > 0.05 AS bad, l_orderkey % 3 = 0 AS diar, target_lufs AS target FROM lineitem JOIN presets ON k = l_orderkey % 7),
 conf AS (SELECT *, mr > 0.6 AS major, sr > 0 AND NOT mr > 0.6 AS voice, CASE WHEN snr < 45 THEN CASE WHEN snr < 35 THEN least(greatest(0.3 + (35 - snr) / 25 * 0.7, 0.3), 1) ELSE 0.2 END * CASE WHEN mr > 0.6 THEN 0.6 ELSE 1 END END AS strength FROM reports)"""
 _FINDINGS = [("info", "Dual-mono source", "dual"), ("warn", "Out-of-phase stereo", "NOT dual AND corr < -0.5"), ("info", "DC offset removed", "abs(dc) > 0.001"), ("info", "High-pass filter", "true"), ("info", "Clean source", "strength IS NULL"), ("info", "Denoise engaged", "strength IS NOT NULL"), ("info", "De-hum engaged", "hum IS NOT NULL"), ("info", "De-clip engaged", "clips > 3 AND NOT major"), ("warn", "Clipping detected", "clips > 3 AND major"), ("warn", "Heavily clipped source", "worst > 0.05"), ("info", "Breath control", "voice"), ("info", "De-esser engaged", "voice"), ("info", "AutoEQ", "voice"), ("info", "Per-speaker leveling", "diar AND NOT major"), ("info", "Music-aware leveling", "major"), ("info", "Loudness normalized", "true"), ("info", "Limited bandwidth", "bw > 0 AND bw < 12000"), ("warn", "Room reverb", "bad")]
 _MODULES = {"downmix": "dual", "hpf": "true", "dehum": "hum IS NOT NULL", "declip": "clips > 3 AND NOT major", "declick": "NOT major", "decrackle": "NOT major", "denoise": "strength IS NOT NULL", "breath": "voice", "deess": "voice", "autoeq": "voice", "speaker": "diar AND NOT major", "leveler": "true", "limiter": "true"}
-_FILES = _PRESETS + """, files AS (SELECT l_orderkey AS id, preset_id, target_lufs, ceiling_dbtp, -14 - l_quantity / 10 AS il, l_discount * 20 - 4 AS tp, CASE WHEN l_orderkey % 5 > 0 THEN -18 - l_quantity / 10 END AS rms, CASE WHEN l_orderkey % 11 > 0 THEN -40 - l_quantity END AS floor FROM lineitem JOIN presets ON k = l_orderkey % 7 WHERE l_linenumber = 1),
+_FILES = _PRESETS + """, files AS (SELECT l_orderkey AS id, l_linenumber AS line, preset_id, target_lufs, ceiling_dbtp, -14 - l_quantity / 10 AS il, l_discount * 20 - 4 AS tp, CASE WHEN l_orderkey % 5 > 0 THEN -18 - l_quantity / 10 END AS rms, CASE WHEN l_orderkey % 11 > 0 THEN -40 - l_quantity END AS floor FROM lineitem JOIN presets ON k = l_orderkey % 7),
 checked AS (SELECT *, preset_id = 'audiobook_acx' AS book, abs(il - target_lufs) <= 0.5 AS lp, tp <= ceiling_dbtp AS pp, coalesce(rms BETWEEN -23 AND -18, false) AS br, tp <= -3 AS bp, coalesce(floor <= -60, false) AS bf FROM files)"""
 _METRICS = lambda n: f"SELECT l_orderkey AS clip, round(l_discount * 4, 4) AS lufs, round(l_tax * 2, 4) AS true_peak FROM lineitem WHERE l_linenumber = {n}"
 _CLIPS = "clips AS (SELECT doc_id - CASE WHEN doc_id % 50 = 1 THEN 1 ELSE 0 END AS id, source AS class, CASE WHEN doc_id % 9 > 0 THEN lang END AS license FROM documents)"
@@ -174,17 +175,17 @@ _CLASSES = "(" + ", ".join(f"'{c}'" for c in CLASSES) + ")"
 _MOVES = " ".join(f"WHEN state = '{s}' AND event = '{e}' THEN '{to}'" for (s, e), to in jobs.MOVES.items())
 
 ORACLES = {
-    "auto_configure": f"""WITH {_REPORTS} SELECT id, dual AS downmix, CASE WHEN mr > 0.3 THEN 40.0::DOUBLE ELSE 80.0::DOUBLE END AS cutoff_hz, round(strength, 6) AS denoise_strength, hum AS dehum_hz, clips > 3 AND NOT major AS declip, CASE WHEN NOT major THEN round(nf + 6, 6) END AS declick_gate,
+    "auto_configure": f"""WITH {_REPORTS} SELECT id, line, dual AS downmix, CASE WHEN mr > 0.3 THEN 40.0::DOUBLE ELSE 80.0::DOUBLE END AS cutoff_hz, round(strength, 6) AS denoise_strength, hum AS dehum_hz, clips > 3 AND NOT major AS declip, CASE WHEN NOT major THEN round(nf + 6, 6) END AS declick_gate,
         CASE WHEN NOT major THEN CASE WHEN snr >= 35 THEN 7.0::DOUBLE ELSE 6.0::DOUBLE END END AS decrackle_ratio, voice AS breath, CASE WHEN voice THEN round(least(greatest(sib * 2.5, 0.12), 0.6), 6) END AS deess_threshold, voice AS autoeq, diar AND NOT major AS speaker_leveling, round(nf + 8, 6) AS noise_gate_lufs,
         CASE WHEN diar AND NOT major THEN 0 ELSE round(least(greatest(target - il, -12), 12), 6) END AS warm_start_db, major AS music_mode FROM conf""",
-    "health_findings": f"WITH {_REPORTS} " + " UNION ALL ".join(f"SELECT id, {i} AS ord, '{level}' AS level, '{title}' AS title FROM conf WHERE {on}" for i, (level, title, on) in enumerate(_FINDINGS)),
+    "health_findings": f"WITH {_REPORTS} " + " UNION ALL ".join(f"SELECT id, line, {i} AS ord, '{level}' AS level, '{title}' AS title FROM conf WHERE {on}" for i, (level, title, on) in enumerate(_FINDINGS)),
     "module_report": f"WITH {_REPORTS} " + " UNION ALL ".join(f"SELECT '{m}' AS module, count(*) FILTER ({on}) AS applied, count(*) AS files FROM conf" for m, on in _MODULES.items()),
     "preset_table": f"WITH {_PRESETS} SELECT 1 AS schema_version, preset_id, preset_name, tier, target_lufs, ceiling_dbtp FROM presets",
     "reverb_bucket": "SELECT CASE WHEN l_tax * 10 < 0.3 THEN 'dry' WHEN l_tax * 10 < 0.5 THEN 'ok' WHEN l_tax * 10 < 0.8 THEN 'noticeable' ELSE 'bad' END AS bucket, count(*) AS n FROM lineitem GROUP BY 1",
-    "compliance_pass": f"WITH {_FILES} SELECT id, lp AS loudness_pass, pp AS peak_pass, (book OR lp) AND pp AND (NOT book OR (br AND bp AND bf)) AS overall_pass FROM checked",
-    "acx_checks": f"WITH {_FILES} SELECT id, br AS book_rms, bp AS book_peak, bf AS book_floor FROM checked WHERE book",
-    "acx_conform": f"""WITH {_FILES}, m AS (SELECT id, coalesce(rms, -30) AS rms, tp, coalesce(floor, -50) AS fl FROM files), g AS (SELECT *, CASE WHEN rms BETWEEN -23 AND -18 AND tp <= -3 THEN 0 ELSE least(-20.5 - rms, -3 - tp) END AS gain FROM m)
-        SELECT id, round(gain, 6) AS gain_db, rms + gain BETWEEN -23 AND -18 AND tp + gain <= -3 AND fl <= -60 AS will_pass, array_to_string(list_filter([CASE WHEN fl > -60 THEN 'noise_floor' END, CASE WHEN NOT rms + gain BETWEEN -23 AND -18 THEN 'crest_factor' END], lambda x: x IS NOT NULL), ',') AS blockers FROM g""",
+    "compliance_pass": f"WITH {_FILES} SELECT id, line, lp AS loudness_pass, pp AS peak_pass, (book OR lp) AND pp AND (NOT book OR (br AND bp AND bf)) AS overall_pass FROM checked",
+    "acx_checks": f"WITH {_FILES} SELECT id, line, br AS book_rms, bp AS book_peak, bf AS book_floor FROM checked WHERE book",
+    "acx_conform": f"""WITH {_FILES}, m AS (SELECT id, line, coalesce(rms, -30) AS rms, tp, coalesce(floor, -50) AS fl FROM files), g AS (SELECT *, CASE WHEN rms BETWEEN -23 AND -18 AND tp <= -3 THEN 0 ELSE least(-20.5 - rms, -3 - tp) END AS gain FROM m)
+        SELECT id, line, round(gain, 6) AS gain_db, rms + gain BETWEEN -23 AND -18 AND tp + gain <= -3 AND fl <= -60 AS will_pass, array_to_string(list_filter([CASE WHEN fl > -60 THEN 'noise_floor' END, CASE WHEN NOT rms + gain BETWEEN -23 AND -18 THEN 'crest_factor' END], lambda x: x IS NOT NULL), ',') AS blockers FROM g""",
     "voice_memory_merge": """WITH h AS (SELECT o_custkey AS label, o_orderkey % 10 = 0 AS up, o_totalprice AS m, o_orderkey % 100 AS g, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders),
         l AS (SELECT *, coalesce(max(i) FILTER (up) OVER (PARTITION BY label), 1) AS base FROM h) SELECT label, CAST(count(*) AS INT) AS n, round(avg(m), 6) AS median, round(avg(g), 6) AS gain FROM l WHERE i >= base GROUP BY 1""",
     "speaker_gain_solve": """WITH o AS (SELECT o_custkey AS session, o_orderpriority AS speaker, avg(o_totalprice) AS p, count(*) AS n FROM orders GROUP BY 1, 2), s AS (SELECT session, speaker, CASE WHEN n > 1 THEN 'measured' WHEN session % 3 > 0 THEN 'remembered' ELSE 'unknown' END AS source,
@@ -194,7 +195,8 @@ ORACLES = {
     "job_states": f"""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, CASE event_type WHEN 'click' THEN 'start' WHEN 'purchase' THEN 'finish' WHEN 'view' THEN 'fail' WHEN 'signup' THEN 'retry' WHEN 'logout' THEN 'cancel' ELSE 'start' END AS event FROM events),
         f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, 'queued' AS state, 0 AS attempts FROM events UNION ALL SELECT e.user_id, e.i, CASE {_MOVES} ELSE state END, attempts + CAST((CASE {_MOVES} ELSE state END) = 'running' AND state <> 'running' AS INT) FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
         SELECT user_id, arg_max(state, i) AS state, arg_max(attempts, i) AS attempts FROM f GROUP BY 1""",
-    "folder_targets": "SELECT '/x/' || p_partkey || CASE p_partkey % 5 WHEN 0 THEN '.WAV' WHEN 2 THEN '.mp3' ELSE '.m4b' END AS path FROM part WHERE p_partkey % 5 IN (0, 2, 4)",
+    "folder_targets": """SELECT path FROM (SELECT '/x/' || p_partkey || list_extract(['.WAV', '.txt', '.mp3', '.pdf', '.m4b', '.wave', '.oga', '.opus', '.webm', '.AIF', ''], CAST(p_partkey % 11 + 1 AS INT)) AS path FROM part)
+        WHERE lower(regexp_extract(path, '[.]([^./]+)$', 1)) IN ('wav', 'wave', 'mp3', 'm4a', 'm4b', 'flac', 'ogg', 'oga', 'aac', 'wma', 'aiff', 'aif', 'mp4', 'mov', 'mkv')""",
     "unseen_files": "SELECT '/x/' || p_partkey AS path, CAST(p_size AS BIGINT) AS size, p_partkey AS mtime_ms FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 5 = 0",
     "manifest_validate": f"WITH {_CLIPS} SELECT id AS clip, 'missing license' AS error FROM clips WHERE license IS NULL UNION ALL SELECT id, 'unknown class' FROM clips WHERE class NOT IN {_CLASSES} UNION ALL SELECT id, 'repeated id' FROM clips GROUP BY id HAVING count(*) > 1",
     "class_coverage": f"WITH {_CLIPS} SELECT c.class, count(id) AS clips FROM (SELECT unnest([{', '.join(repr(c) for c in CLASSES)}]) AS class) c LEFT JOIN clips USING (class) GROUP BY 1",
@@ -208,7 +210,7 @@ ORACLES = {
         maps AS (SELECT unnest([[0, 1, 2], [0, 2, 1], [1, 0, 2], [1, 2, 0], [2, 0, 1], [2, 1, 0]]) AS p),
         sums AS (SELECT conv_id, p, sum(greatest(len(r), len(h)) - len(list_intersect(r, list_transform(h, lambda s: p[s + 1])))) AS w, sum(len(r)) AS t FROM cells, maps WHERE NOT near GROUP BY 1, 2)
         SELECT conv_id, round(min(CASE WHEN t > 0 THEN w / t ELSE 0 END), 6) AS der FROM sums GROUP BY 1""",
-    "rubric_score": f"""WITH {sql.SEGMENTS}, m AS (SELECT conv_id, count(*) AS n, string_agg(text[:60], ' ' ORDER BY seg) AS summary FROM segments GROUP BY 1),
+    "rubric_score": f"""WITH {sql.SEGMENTS}, m AS (SELECT conv_id, count(*) AS n, string_agg(text, ' ' ORDER BY seg) AS summary FROM segments GROUP BY 1),
         c AS (SELECT conv_id, len(list_filter(regexp_split_to_array(summary, '\\s+'), lambda w: w <> '')) BETWEEN 20 AND 250 AS a, n BETWEEN 3 AND 10 AS b, n * 50 <= 380 AS r, n >= 4 AS k FROM m)
         SELECT conv_id, round((2 * CAST(a AS INT) + 1.5 * CAST(b AS INT) + 1.5 + 2 + 2 * CAST(r AS INT) + 1 + 1 + 1 + CAST(k AS INT)) / 13, 6) AS score, a AND b AND r AND (2 * CAST(a AS INT) + 1.5 * CAST(b AS INT) + 1.5 + 2 + 2 * CAST(r AS INT) + 1 + 1 + 1 + CAST(k AS INT)) / 13 >= 0.8 AS usable,
         array_to_string(list_filter([CASE WHEN NOT a THEN 'summary_length' END, CASE WHEN NOT b THEN 'bullets_count' END, CASE WHEN NOT r THEN 'chapters_in_range' END, CASE WHEN NOT k THEN 'keywords_present' END], lambda x: x IS NOT NULL), ',') AS failed FROM c""",

@@ -59,7 +59,7 @@ def upper_median(spark, d):
 
 
 def true_median(spark, d):
-    return _r(samples(spark, d).groupBy("signal_id").agg(F.median("x").alias("median")), "median")
+    return _r(stats.averaging_median(samples(spark, d), ["signal_id"], "x", "median"), "median")
 
 
 def speech_gate(spark, d):
@@ -371,7 +371,7 @@ ORACLES = {
     "mixdown_sum": f"""WITH {sql.VECTORS}, t AS (SELECT vec_id, label, NOT vec_id % 7 = 0 AND (NOT bool_or(vec_id % 60 = 0) OVER (PARTITION BY vec_id % 50) OR vec_id % 60 = 0) AS audible FROM embeddings)
         SELECT signal_id % 50 AS session, n, round(sum(x * 10 ** ((label * 1.0::DOUBLE - 2) / 20)), 5) AS x FROM vectors JOIN t ON vec_id = signal_id WHERE audible GROUP BY 1, 2""",
     "track_place": f"WITH {sql.VECTORS} SELECT signal_id AS track, n - (signal_id % 5 - 2) AS n, x FROM vectors WHERE n - (signal_id % 5 - 2) BETWEEN 0 AND 59",
-    "bleed_source": f"""WITH {sql.VECTORS}, p AS (SELECT a.signal_id // 4 AS session, a.signal_id AS track, b.signal_id AS src, a.n // 16 AS frame, least(abs(sum(a.x * b.x)) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)), 1) AS rho FROM vectors a JOIN vectors b ON b.signal_id // 4 = a.signal_id // 4 AND b.signal_id <> a.signal_id AND b.n = a.n WHERE a.n < 32 GROUP BY 1, 2, 3, 4)
+    "bleed_source": f"""WITH {sql.VECTORS}, p AS (SELECT a.signal_id // 4 AS session, a.signal_id AS track, b.signal_id AS src, a.n // 16 AS frame, least(abs(sum(a.x * b.x)) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)), 1) AS rho FROM vectors a JOIN vectors b ON b.signal_id // 4 = a.signal_id // 4 AND b.signal_id <> a.signal_id AND b.n = a.n GROUP BY 1, 2, 3, 4)
         SELECT session, track, frame, arg_max(src, round(rho, 9)) AS source, round(max(rho), 6) AS rho FROM p GROUP BY 1, 2, 3""",
     "quiet_floor": f"""WITH {sql.VECTORS}, l AS (SELECT signal_id % 50 AS session, signal_id AS track, n, x, count(*) FILTER (x > 0.25) OVER (PARTITION BY signal_id % 50, n) - CAST(x > 0.25 AS INT) > 0 AS others FROM vectors),
         a AS (SELECT track, x, row_number() OVER (PARTITION BY track ORDER BY x) AS r, count(*) OVER (PARTITION BY track) AS c FROM l), q AS (SELECT track, x, row_number() OVER (PARTITION BY track ORDER BY x) AS r, count(*) OVER (PARTITION BY track) AS c FROM l WHERE NOT others)

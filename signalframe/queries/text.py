@@ -244,7 +244,7 @@ def names_and_types(spark, d):
 def parse_diarization(spark, d):
     t = turns(spark, d)
     line = F.when(F.col("ord") == 5, "progress: 50%").otherwise(F.concat(F.format_string("%.2f -- %.2f speaker_%02d", F.col("t_start") + 20, F.col("t_end") + 20, (2 - F.col("speaker")) * 3)))
-    got = readers.diarization_turns(t.select(OWNER, line.alias("value")), OWNER)
+    got = readers.diarization_turns(t.select(OWNER, "ord", line.alias("value")), OWNER, order="ord")
     return got.select(OWNER, "start", "end", "label", F.col("speaker").cast("long").alias("speaker"))
 
 
@@ -302,7 +302,7 @@ sims AS (SELECT e.conv_id, e.gap, round(coalesce(s.sim, 0), 9) AS sim FROM every
 _DEPTHS = _SIMS + """, curve AS (SELECT conv_id, list(sim ORDER BY gap) AS v, list(gap ORDER BY gap) AS g FROM sims GROUP BY 1), flat AS (SELECT conv_id, v, unnest(g) AS gap, unnest(range(1, len(g) + 1)) AS i FROM curve),
 climb AS (SELECT conv_id, gap, v, i, coalesce(list_max(list_filter(range(2, i + 1), lambda j: v[j - 1] < v[j])), 1) AS l, coalesce(list_min(list_filter(range(i, len(v)), lambda j: v[j + 1] < v[j])), len(v)) AS r FROM flat),
 depths AS (SELECT conv_id, gap, CASE WHEN (i = 1 OR v[i - 1] >= v[i]) AND (i = len(v) OR v[i + 1] >= v[i]) THEN v[l] - v[i] + v[r] - v[i] ELSE 0 END AS depth FROM climb)"""
-_SPOKEN = sql.WORDS + ", " + sql.TURNS + """, near AS (SELECT w.conv_id, w.word, t.speaker, t.ord, greatest(least(w."end", t_end) - greatest(w."start", t_start), 0) AS o, greatest(t_start - w."end", w."start" - t_end, 0) AS g FROM words w JOIN turns t ON t.conv_id = w.conv_id AND t_start <= w."end" + 0.5::DOUBLE AND t_end >= w."start" - 0.5::DOUBLE),
+_SPOKEN = sql.WORDS + ", " + sql.TURNS + """, near AS (SELECT w.conv_id, w.word, t.speaker, t.ord, greatest(least(w."end", t_end) - greatest(w."start", t_start), 0) AS o, greatest(t_start - w."end", w."start" - t_end, 0) AS g FROM words w JOIN turns t ON t.conv_id = w.conv_id AND t_start <= w."end" + 2.0::DOUBLE AND t_end >= w."start" - 2.0::DOUBLE),
 picked AS (SELECT conv_id, word, speaker, row_number() OVER (PARTITION BY conv_id, word ORDER BY o DESC, CASE WHEN o > 0 THEN 0 ELSE g END, ord) AS r FROM near),
 spoken AS (SELECT w.*, p.speaker FROM words w LEFT JOIN picked p ON p.conv_id = w.conv_id AND p.word = w.word AND r = 1)"""
 _SILENCE = sql.SEGMENTS + """, scuts AS (SELECT conv_id, s_end + 0.3::DOUBLE AS "start", s_end + 4 + seg * 2 - 0.3::DOUBLE AS "end", 'silence' AS kind, true AS accepted FROM segments WHERE 4 + seg * 2 >= 5 AND seg % 5 <> 4 AND seg % 3 <> 2)"""
@@ -373,13 +373,13 @@ ORACLES = {
     "clock_formats": f"""WITH t AS (SELECT event_id, greatest(value * 37.77::DOUBLE, 0) AS s FROM events), u AS (SELECT event_id, CAST(floor(s * 1000 + 0.5) AS BIGINT) AS ms, CAST(floor(s * 100 + 0.5) AS BIGINT) AS cs, CAST(floor(s + 0.5) AS BIGINT) AS w FROM t)
         SELECT event_id, {_hms('ms', ',')} AS srt, (cs // 360000) || ':' || lpad(CAST(cs // 6000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(cs // 100 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(cs % 100 AS VARCHAR), 2, '0') AS ass,
         CASE WHEN w >= 3600 THEN (w // 3600) || ':' || lpad(CAST(w // 60 % 60 AS VARCHAR), 2, '0') ELSE CAST(w // 60 AS VARCHAR) END || ':' || lpad(CAST(w % 60 AS VARCHAR), 2, '0') AS code FROM u""",
-    "text_escapes": """WITH t AS (SELECT doc_id, source, text[:300] AS t FROM documents) SELECT doc_id, replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS html, regexp_replace(t, '[\\\\/:*?"<>|]', '_', 'g') AS stem, CAST(ceil(length(t) / 3.5) AS BIGINT) AS tokens, replace(lower(trim(source)), '_', '-') AS source FROM t""",
+    "text_escapes": """WITH t AS (SELECT doc_id, source, text AS t FROM documents) SELECT doc_id, replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS html, regexp_replace(t, '[\\\\/:*?"<>|]', '_', 'g') AS stem, CAST(ceil(length(t) / 3.5) AS BIGINT) AS tokens, replace(lower(trim(source)), '_', '-') AS source FROM t""",
     "colours": "WITH t AS (SELECT event_id, event_id % 4 = 0 AS bad, (event_id * 7919) % 16777216 AS v FROM events) SELECT event_id, CASE WHEN NOT bad THEN '&H00' || printf('%02X%02X%02X', v % 256, v // 256 % 256, v // 65536) END AS ass, CASE WHEN NOT bad THEN CAST(v AS INT) END AS rgb FROM t",
     "names_and_types": "SELECT p_partkey, regexp_replace(p_name, '\\.[^.]*$', '') || '_out.wav' AS output, CASE p_partkey % 4 WHEN 1 THEN 'image/png' END AS mime, CASE p_partkey % 4 WHEN 0 THEN 'wav' WHEN 2 THEN 'audiobook' END AS format FROM part",
     "parse_diarization": f"WITH {sql.TURNS}, l AS (SELECT conv_id, t_start + 20 AS s, t_end + 20 AS e, 'speaker_' || lpad(CAST((2 - speaker) * 3 AS VARCHAR), 2, '0') AS label FROM turns WHERE ord <> 5), f AS (SELECT conv_id, label, row_number() OVER (PARTITION BY conv_id ORDER BY min((s, e)), label) - 1 AS speaker FROM l GROUP BY 1, 2) SELECT conv_id, s AS \"start\", e AS \"end\", label, speaker FROM l JOIN f USING (conv_id, label)",
     "rttm_turns": f"WITH {sql.TURNS} SELECT CAST(conv_id AS VARCHAR) AS file, 's' || speaker AS label, round(t_start + 20, 4) AS \"start\", round(t_end + 20, 4) AS \"end\" FROM turns",
     "asr_words": f"WITH {sql.WORDS} SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY word) - 1 AS word, trim(text) AS text, CAST(floor(\"start\" * 1000 + 0.5) AS BIGINT) / 1000 AS \"start\", CAST(floor(\"end\" * 1000 + 0.5) AS BIGINT) / 1000 AS \"end\", round(confidence, 6) AS confidence FROM words WHERE trim(text) <> ''",
-    "chapter_text": f"WITH {sql.SEGMENTS} SELECT conv_id, ';FFMETADATA1' || chr(10) || string_agg('[CHAPTER]' || chr(10) || 'TIMEBASE=1/1000' || chr(10) || 'START=' || CAST(s_start * 1000 AS BIGINT) || chr(10) || 'END=' || CAST(s_end * 1000 AS BIGINT) || chr(10) || 'title=a\\=b\; \\#' || seg || chr(10), '' ORDER BY s_start) AS body FROM segments GROUP BY 1",
+    "chapter_text": rf"WITH {sql.SEGMENTS} SELECT conv_id, ';FFMETADATA1' || chr(10) || string_agg('[CHAPTER]' || chr(10) || 'TIMEBASE=1/1000' || chr(10) || 'START=' || CAST(s_start * 1000 AS BIGINT) || chr(10) || 'END=' || CAST(s_end * 1000 AS BIGINT) || chr(10) || 'title=a\=b\; \#' || seg || chr(10), '' ORDER BY s_start) AS body FROM segments GROUP BY 1",
     "json_repair": "SELECT conv_id, turn, '{\"a\": \"}' || turn || '\", \"b\": {\"c\": 1}}' AS json FROM conversations",
     "clean_titles": "SELECT conv_id, turn, role AS title, role || '|' || role || '!' AS items FROM conversations",
 }

@@ -26,17 +26,22 @@ def asr_words(documents: DataFrame, key: str, body: str) -> DataFrame:
     return rows.select(key, word.alias("word"), F.trim("t.text").alias("text"), (F.col("t.offsets.from") / 1000).alias("start"), (F.col("t.offsets.to") / 1000).alias("end"), mean.alias("confidence"))
 
 
-def diarization_turns(lines: DataFrame, key: str, line: str = "value") -> DataFrame:
+def diarization_turns(lines: DataFrame, key: str, line: str = "value", order: str | None = None) -> DataFrame:
     """key, start, end, label, speaker of 'start -- end label' lines; others are skipped.
 
-    Speakers are numbered by first appearance in (start, end) order.
+    A turn that ends before it starts fails the query. Speakers are numbered by first appearance in
+    (start, end) order; equal ones by `order`, the lines' number, if that is given, or by label.
     """
-    pattern = r"^\s*([0-9.]+)\s*--\s*([0-9.]+)\s+(\S+)\s*$"
+    pattern = r"^\s*(\S+)\s+--\s+(\S+)\s+(\S+)\s*$"
+    number = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
     got = [F.regexp_extract(line, pattern, i) for i in (1, 2, 3)]
-    rows = lines.where(F.col(line).rlike(pattern)).select(key, got[0].try_cast("double").alias("start"), got[1].try_cast("double").alias("end"), got[2].alias("label")).where("start IS NOT NULL AND end IS NOT NULL AND end >= start")
-    first = rows.groupBy(key, "label").agg(F.min(F.struct("start", "end")).alias("f"))
+    rows = lines.where(F.col(line).rlike(pattern)).withColumns({"__s": got[0], "__e": got[1], "label": got[2]}).where(F.col("__s").rlike(number) & F.col("__e").rlike(number))
+    rows = rows.withColumns({"__s": F.col("__s").cast("double"), "__e": F.col("__e").cast("double")})
+    wrong = F.raise_error(F.concat(F.lit("turn ends before it starts: "), F.col(line))).cast("double")
+    rows = rows.select(key, F.col("__s").alias("start"), F.when(F.col("__e") < F.col("__s"), wrong).otherwise(F.col("__e")).alias("end"), "label", *([F.col(order).alias("__o")] if order else []))
+    first = rows.groupBy(key, "label").agg(F.min(F.struct("start", "end", *(["__o"] if order else []))).alias("f"))
     first = first.withColumn("speaker", F.row_number().over(Window.partitionBy(key).orderBy("f", "label")) - 1).drop("f")
-    return rows.join(first, [key, "label"])
+    return rows.drop("__o").join(first, [key, "label"])
 
 
 def rttm_turns(lines: DataFrame, line: str = "value") -> DataFrame:
