@@ -35,6 +35,22 @@ def test_top_k_of_large_components(spark):
     assert got == {(q, i): sum(x * y for x, y in zip(whole[q], whole[i], strict=True)) for q in (0, 100) for i in whole if i != q}
 
 
+def test_equal_scores_of_one_id_and_clashing_columns(spark):
+    data = [(0, [1.0, 1.0], 1, 2, 3), (5, [1.0, 0.0], 1, 2, 3), (5, [0.0, 1.0], 1, 2, 3), (6, [0.5, 0.5], 1, 2, 3)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, score int, rank int, q int")
+    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 100 == 0).orderBy("rank").collect()]
+    assert got == [(0, 1, 5, 1024 * 1024), (0, 2, 5, 1024 * 1024), (0, 3, 6, 1024 * 1024)]
+
+
+@pytest.mark.parametrize("size", [1e5, 1e6, 1e8, 1e12])
+def test_top_k_of_sizes(spark, size):
+    data = [(k, [size * (k % 7 - 3), float(k), -1.5 * k]) for k in range(30)] + [(100, [1.0 if size > 1e7 else size, 2.0, 3.0])]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("vec_id") == 100).orderBy("rank").collect()]
+    whole = {i: [int(np.floor(1024 * x)) for x in v] for i, v in data}
+    best = sorted((-sum(x * y for x, y in zip(whole[100], whole[i], strict=True)), i) for i in whole if i != 100)[:10]
+    assert got == [(100, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+
+
 def test_scores_that_do_not_fit():
     q, t, other = np.array([[2**40, 3]]), np.array([[2**40, 1]]), np.array([[False]])
     with pytest.raises(OverflowError):
