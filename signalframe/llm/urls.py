@@ -14,6 +14,10 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 BITS_PER_URL = 16
 PROBES = 6
 WORDS = 4  # 64-bit words a block
+#: Blocks of a filter that is sent to every task: 40 bytes each, 40 MB in all.
+BROADCAST_BLOCKS = 1_000_000
+#: Parts of a block's rows where the filter is joined by shuffling.
+SALTS = 32
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -56,9 +60,8 @@ def _bits(url: Column, word: int) -> Column:
 def blocked_bloom(listed: DataFrame, url: str = "url") -> tuple[DataFrame, int]:
     """A blocked Bloom filter of listed[url] as rows (block, w0..w3), and its number of blocks.
 
-    The filter is a table, so it has no size limit: Spark broadcasts it below
-    spark.sql.autoBroadcastJoinThreshold and shuffles by block beyond. Null URLs and repeats
-    add nothing; an empty list has an empty table, and then no URL may be listed.
+    Null URLs and repeats add nothing; an empty list has an empty table, and then no URL is a
+    possible hit.
     """
     keys = listed.select(F.col(url).alias("u")).where("u IS NOT NULL")
     blocks = max(1, -(-keys.count() * BITS_PER_URL // (64 * WORDS)))
@@ -66,27 +69,45 @@ def blocked_bloom(listed: DataFrame, url: str = "url") -> tuple[DataFrame, int]:
     return rows.groupBy("block").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(WORDS)]), blocks
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
+def possible_hits(rows: DataFrame, bloom: DataFrame, blocks: int, u: str = "u", broadcast_blocks: int = BROADCAST_BLOCKS) -> DataFrame:
+    """rows with maybe: whether the filter holds all bits of rows[u]; false for a null u.
+
+    Up to broadcast_blocks blocks, of 40 bytes each, the filter goes to every task and no row
+    moves. Beyond, rows meet it by block; blocks are dealt by a hash, and rows of one URL are salted,
+    by page_id, so that a URL with a third of all rows is split too.
+    """
+    held = lambda w: F.col(f"w{w}").bitwiseAND(_bits(F.col(u), w)) == _bits(F.col(u), w)
+    maybe = F.coalesce(reduce(lambda a, b: a & b, [held(w) for w in range(WORDS)]), F.lit(False))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(u), F.lit(blocks)))
+    if blocks <= broadcast_blocks:
+        return rows.join(F.broadcast(bloom), "block", "left").withColumn("maybe", maybe).drop("block", *[f"w{w}" for w in range(WORDS)])
+    salted = bloom.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", F.lit(3)), F.lit(SALTS)).cast("int"))
+    return rows.join(salted, ["block", "salt"], "left").withColumn("maybe", maybe).drop("block", "salt", *[f"w{w}" for w in range(WORDS)])
+
+
+def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, broadcast_blocks: int = BROADCAST_BLOCKS) -> DataFrame:
     """pages (page_id, url) with host, path, rule, listed (boolean) and verdict.
 
     listed: canonical URLs in column url. A rule's verdict stands; without one, listed URLs are
     blocked and others allowed. Null or odd URLs have empty host and path, fit no rule and are
-    never listed, so they are allowed. Repeated rows are judged alike; other columns are left out.
+    never listed, so they are allowed. Repeated rows are judged alike; other columns are left out;
+    an empty table gives no rows.
+
+    Only possible hits of the Bloom filter enter the exact join; the others are unlisted at once.
     """
-    names = listed.select("url").where("url IS NOT NULL").distinct()
-    names = written(names, "listed")
+    names = written(listed.select("url").where("url IS NOT NULL").distinct(), "listed")
     bloom, blocks = blocked_bloom(names)
     bloom = written(bloom, "bloom")
     host, path = host_and_path(F.col("url"))
-    rows = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = by_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "ruled": verdict, "u": canonical(F.col("host"), F.col("path"))})
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("u"), F.lit(blocks)))
-    held = lambda w: F.col(f"w{w}").bitwiseAND(_bits(F.col("u"), w)) == _bits(F.col("u"), w)
-    maybe = reduce(lambda a, b: a & b, [held(w) for w in range(WORDS)])
-    tried = rows.join(bloom, "block", "left").withColumn("maybe", F.coalesce(maybe & (F.col("host") != ""), F.lit(False)))
-    # A key of its own for what the filter rules out keeps those rows from meeting in one task.
-    tried = tried.withColumn("key", F.when(F.col("maybe"), F.col("u")).otherwise(F.concat(F.lit("\x00"), F.coalesce(F.col("page_id").cast("string"), F.col("u")))))
-    hits = names.select(F.col("url").alias("key"), F.lit(True).alias("listed"))
-    judged = tried.join(hits, "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    rows = rows.withColumns({"rule": rule, "ruled": verdict, "u": F.when(F.col("host") != "", canonical(F.col("host"), F.col("path")))})
+    tried = written(possible_hits(rows, bloom, blocks, "u", broadcast_blocks), "tried")
+    out = tried.where("NOT maybe").withColumn("listed", F.lit(False))
+    hits = names.select(F.col("url").alias("u"), F.lit(True).alias("found"))
+    # The possible hits are counted by URL before the join, so that it sees each URL once.
+    sure = tried.where("maybe").select("u").distinct().join(hits, "u").select("u", F.lit(True).alias("listed"))
+    inside = tried.where("maybe").join(sure, "u", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    judged = out.unionByName(inside)
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
