@@ -20,7 +20,9 @@ SAMPLE_ROWS = 2048
 RIDGE = 1.0
 SHARPNESS = 4.0
 UNKNOWN = "und"
+#: Texts whose bitmaps, and characters whose codes, are held at once.
 TILE_DOCS = 256
+TILE_CHARS = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -28,30 +30,46 @@ def _letters() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(0x10000)])
 
 
+def _tiles(texts: list[str | None]):
+    """(number of the text, piece) lists of about TILE_CHARS characters; pieces of a long text share two characters."""
+    held, chars = [], 0
+    for k, t in enumerate(texts):
+        t = " " + (t or "").lower() + "  "
+        for lo in range(0, len(t) - 2, TILE_CHARS):
+            held.append((k, t[lo : lo + TILE_CHARS + 2]))
+            chars += len(held[-1][1])
+            if chars >= TILE_CHARS:
+                yield held
+                held, chars = [], 0
+    if held:
+        yield held
+
+
 def presence(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(0/1 matrix: text by hashed character n-gram of the lengths 1 to 3, has a letter).
 
     The whole text counts, in lower case; what isn't a letter counts as a space.
     """
-    lowered = [" " + (t or "").lower() + "  " for t in texts]
-    sizes = np.array([len(t) for t in lowered])
-    code = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
     table = _letters()
-    letter = table[np.minimum(code, 0xFFFF)]
-    for c in np.unique(code[code > 0xFFFF]):
-        letter[code == c] = chr(c).isalpha()
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    code = np.where(letter, code, np.uint32(32)).astype(np.uint32)
-    has = np.bincount(doc, weights=letter, minlength=len(texts)) > 0
-    out = np.zeros(len(texts) * SLOTS, bool)
-    base = doc.astype(np.int64) * SLOTS
-    grown = np.zeros(len(code), np.uint32)
-    for n in LENGTHS:
-        # grown[i] covers the n codes from i on; those that would leave the batch are cut off.
-        grown = (grown[: len(code) - n + 1] * np.uint32(0x01000193)) ^ (code[n - 1 :] * np.uint32(0x9E3779B1))
-        slot = ((grown ^ (grown >> np.uint32(15))) * np.uint32(0x85EBCA6B + 2 * n)) >> np.uint32(18)
-        out[base[: len(slot)] + slot] = True
-    return out.reshape(len(texts), SLOTS), has
+    out, has = np.zeros((len(texts), SLOTS), bool), np.zeros(len(texts), bool)
+    for tile in _tiles(texts):
+        size = np.array([len(t) for _, t in tile])
+        code = np.frombuffer("".join(t for _, t in tile).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = table[np.minimum(code, 0xFFFF)]
+        for c in np.unique(code[code > 0xFFFF]):
+            letter[code == c] = chr(c).isalpha()
+        doc = np.repeat(np.array([k for k, _ in tile]), size)
+        left = np.repeat(np.cumsum(size), size) - np.arange(len(code))  # characters from each place to its piece's end
+        code = np.where(letter, code, np.uint32(32)).astype(np.uint32)
+        has[doc[letter]] = True
+        grown = np.zeros(len(code), np.uint32)
+        for n in LENGTHS:
+            # grown[i] covers the n codes from i on; those that would leave a piece don't count.
+            grown = (grown[: len(code) - n + 1] * np.uint32(0x01000193)) ^ (code[n - 1 :] * np.uint32(0x9E3779B1))
+            slot = ((grown ^ (grown >> np.uint32(15))) * np.uint32(0x85EBCA6B + 2 * n)) >> np.uint32(18)
+            inside = left[: len(slot)] >= n
+            out[doc[: len(slot)][inside], slot[inside]] = True
+    return out, has
 
 
 @dataclass
