@@ -124,10 +124,11 @@ def fit(moments: dict[int, tuple[float, np.ndarray, np.ndarray]]) -> Discriminan
 def learn(stats: DataFrame, labels: DataFrame) -> Discriminant:
     """Fit on all rows of stats (doc_id, f) joined with labels (doc_id, quality), by class moments.
 
-    Only sums leave the executors. Labels other than 0 and 1, and null ids, aren't used.
+    Only sums leave the executors. Labels other than 0 and 1, and null ids, aren't used; a label that
+    repeats counts once.
     """
     d = len(FEATURES)
-    rows = stats.join(labels.where("quality IN (0, 1)").select("doc_id", "quality"), "doc_id")
+    rows = stats.join(labels.where("quality IN (0, 1)").select("doc_id", "quality").distinct(), "doc_id")
     f = [F.col("f")[i] for i in range(d)]
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     sums = [F.sum(x) for x in f] + [F.sum(f[i] * f[j]) for i, j in pairs]

@@ -227,20 +227,48 @@ def test_mixing_meets_targets_like_a_direct_solver(spark, documents):
     goal = np.array([mixing.TARGETS[k] for k in sorted(mixing.TARGETS)]) * n.sum()
     assert (r >= 0).all() and np.abs(p.T @ (n * r) - goal).max() <= 2e-4 * n.sum()
     # Brute force: the same steps on whole arrays.
-    g = (p * n[:, None]).T @ p
-    w = 1 / np.diag(g)
-    bound = (np.sqrt(np.outer(w, w)) * g).sum(axis=1).max()
+    metric = np.linalg.pinv((p * n[:, None]).T @ p, rcond=1e-9, hermitian=True)
     q = np.ones(len(n))
     for _ in range(mixing.STEPS):
         gap = p.T @ (n * q) - goal
         if np.abs(gap).max() <= mixing.TOLERANCE * n.sum():
             break
-        q = np.maximum(0, q - p @ (w * gap) / bound)
+        q = np.maximum(0, q - p @ (metric @ gap))
     assert np.allclose(q, r, atol=1e-6)
     grown = mixing.mix(documents, labelled, mixing.TARGETS, least=1.0, grow=True).toPandas()
     assert (grown["copies"] >= 1).all()
 
 
+def test_mixing_posteriors_are_those_of_the_class_gaussians(documents):
+    labelled = documents.where("doc_id % 2 = 0").select("doc_id", F.col("lang").alias("domain"))
+    marks = mixing.learn_marks(documents, labelled, sorted(mixing.TARGETS))
+    assert len(marks) == mixing.MARKS and not any(a != b and a in b for a in marks for b in marks if len(a) > 1)
+    got = {r["doc_id"]: r["posterior"] for r in mixing.mix(documents, labelled.unionByName(labelled), mixing.TARGETS, marks=marks).collect()}
+    rows = {r["doc_id"]: (r["text"] or "", r["lang"]) for r in documents.select("doc_id", "text", "lang").collect()}
+    f = {i: np.array([math.log(((len(t.encode()) - len(t.replace(m, "").encode())) / len(m.encode()) + 0.5) / (len(t.encode()) + 50)) for m in marks]) for i, (t, _) in rows.items()}
+    logs = {}
+    known = [i for i in rows if i % 2 == 0 and rows[i][1] in mixing.TARGETS]
+    for d in sorted(mixing.TARGETS):
+        own = np.array([f[i] for i in known if rows[i][1] == d])
+        mean, var = own.mean(axis=0), own.var(axis=0) + mixing.LEAST_VARIANCE
+        logs[d] = {i: math.log(len(own) / len(known)) - 0.5 * (((f[i] - mean) ** 2 / var) + np.log(var)).sum() for i in rows}
+    right = 0
+    for i in rows:
+        x = np.array([logs[d][i] for d in sorted(logs)])
+        p = np.exp(x - x.max())
+        assert np.allclose(p / p.sum(), got[i], atol=1e-9)
+        right += rows[i][1] not in logs or sorted(logs)[int(x.argmax())] == rows[i][1]
+    assert right / len(rows) > 0.95
+
+
+def test_mixing_tells_what_it_cannot_meet(spark):
+    docs = spark.createDataFrame([(1, "aa bb"), (2, "aa cc"), (3, "xx yy"), (4, None)], "doc_id long, text string")
+    labelled = spark.createDataFrame([(1, "u"), (2, "u"), (3, "v"), (3, "v"), (None, "v")], "doc_id long, domain string")
+    with pytest.warns(UserWarning, match="from its targets"):
+        mixing.mix(docs, labelled, {"u": 0.999, "v": 0.001}, least=1.0).count()
+    assert {r["doc_id"] for r in mixing.mix(docs, labelled.where("false"), {"u": 0.5, "v": 0.5}).collect()} == {1, 2, 3, 4}
+
+
 def test_language_held_out(spark):
     got = queries.op6_language(spark, DATA).toPandas().merge(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang").toPandas())
     held = got[got["held_out"]]
@@ -251,6 +279,10 @@ def test_language_held_out(spark):
 def test_string_kernel_is_the_definition():
     rows, has = langid.presence(["abc", None, "12", "ABC abc"])
     assert has.tolist() == [True, False, False, True]
+    long = "straße " * (langid.TILE_CHARS // 3)
+    alone = [langid.presence([t])[0][0] for t in ("abc", long, "xyz")]
+    assert np.array_equal(langid.presence(["abc", long, "xyz"])[0], alone)
+    assert np.array_equal(alone[1], langid.presence(["straße straße straße "])[0][0])
     model = langid.fit(rows[[0, 3]].astype(np.float32), ["x", "y"])
     k = (rows[0] & rows[3]).sum() / np.sqrt(rows[0].sum() * rows[3].sum())
     assert np.isclose((rows[0] / np.sqrt(rows[0].sum())) @ model.landmarks[:, 1], k)
@@ -260,8 +292,11 @@ def test_url_parts_and_rules(spark):
     cases = [("HTTP://A.Example.NET/en/x?q#f", "a.example.net", "/en/x", "example.net/en/", "allow"), ("x://foo.net", "foo.net", "", None, "allow"), ("x://foo.net/", "foo.net", "/", "net/", "block"), ("noscheme.org/fr/", "", "", None, "allow"), (None, "", "", None, "allow"), ("a://b://c", "b:", "//c", None, "allow"), ("s://x.org/fr/1", "x.org", "/fr/1", "org/fr/", "allow"), ("s://badexample.com/de/", "badexample.com", "/de/", None, "allow"), ("s://Listed.info/p.html#x", "listed.info", "/p.html", None, "block"), ("", "", "", None, "allow")]
     pages = spark.createDataFrame([(i, c[0], "h", True) for i, c in enumerate(cases)], "page_id long, url string, html string, listed boolean")
     listed = spark.createDataFrame([("listed.info/p",), ("listed.info/p",), (None,)], "url string")
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.filter_urls(pages, listed).collect()}
-    assert got == {i: c[1:] for i, c in enumerate(cases)}
+    for most in (0, urls.BROADCAST_BLOCKS):
+        got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.filter_urls(pages, listed, broadcast_blocks=most).collect()}
+        assert got == {i: c[1:] for i, c in enumerate(cases)}
+    odd = pages.unionByName(pages).unionByName(spark.createDataFrame([(None, None, None, None)], pages.schema))
+    assert urls.filter_urls(odd, listed).count() == 2 * len(cases) + 1
     assert urls.filter_urls(pages, listed.where("false")).where("verdict = 'block'").count() == 1
     assert urls.filter_urls(pages.where("false"), listed).count() == 0
 
@@ -273,18 +308,22 @@ def test_bloom_has_no_false_negatives(spark):
     probe = spark.range(4000).select("id", F.concat(F.lit("h/"), "id").alias("u")).select("id", F.pmod(F.xxhash64("u"), F.lit(blocks)).alias("block"), *[urls._bits(F.col("u"), w).alias(f"w{w}") for w in range(urls.WORDS)]).collect()
     hit = {r["id"]: r["block"] in table and all(r[f"w{w}"] & table[r["block"]][f"w{w}"] == r[f"w{w}"] for w in range(urls.WORDS)) for r in probe}
     assert all(hit[i] for i in range(2000)) and sum(hit[i] for i in range(2000, 4000)) < 100
+    tried = spark.range(4000).select("id", F.concat(F.lit("h/"), "id").alias("u"))
+    for most in (0, urls.BROADCAST_BLOCKS):
+        told = {r["id"]: r["maybe"] for r in urls.possible_hits(tried, bloom, blocks, "u", most).collect()}
+        assert told == hit
 
 
 def test_top_k_brute_force(spark):
     rng = np.random.default_rng(6)
     data = [(i, [float(np.float32(x)) for x in rng.integers(-2, 3, 4) / 4]) for i in range(300)]
-    data += [(300, None), (301, [1.0, None, 0.0, 0.0]), (302, [float("nan")] * 4), (303, [float("inf")] * 4), (None, [1.0] * 4), (200, data[200][1]), (304, []), (400, [1e9, 0.0, 0.0, 0.0]), (305, [1.0, 2.0])]
+    data += [(300, None), (301, [1.0, None, 0.0, 0.0]), (302, [float("nan")] * 4), (303, [float("inf")] * 4), (None, [1.0] * 4), (200, data[200][1]), (7, data[7][1]), (200, [-1.0, 0.5, 2.0, 1.0]), (304, []), (400, [1e9, 0.0, 0.0, 0.0]), (305, [1.0, 2.0])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
-    good = sorted({(i, tuple(max(-topk.LIMIT, min(topk.LIMIT, math.floor(1024 * x))) for x in v)) for i, v in data if i is not None and v and all(x is not None and math.isfinite(x) for x in v)})
+    good = [(i, tuple(math.floor(1024 * x) for x in v)) for i, v in data if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for q, a in good:
+    for q, a in sorted(set(good)):
         if q % 100 == 0:
-            best = sorted(((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in good if i != q and len(a) == len(b)))[:10]
+            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in good if i != q and len(a) == len(b))[:10]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     for block in (2, 1000):
         assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 100 == 0, block_queries=block).collect())) == sorted(want)
