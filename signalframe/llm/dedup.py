@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .link import linked
-from .storage import drop_written, written
+from .storage import sent_if_small, written
 from .words import Hasher, chunks, mix64, split_words
 
 BANDS = 40
@@ -180,8 +180,8 @@ def _payloads(docs: DataFrame, classes: DataFrame, length: int) -> Callable[[Dat
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "payload"])
 
     def of(nodes: DataFrame) -> DataFrame:
-        wanted = classes.join(nodes, "node").select("node", "set_key", F.col("id").alias("doc_id"))
-        rows = docs.join(wanted, "doc_id").select("node", "set_key", "text")
+        wanted = written(classes.select("node", "set_key", "id").join(nodes, "node").select("node", "set_key", F.col("id").alias("doc_id")), "wanted")
+        rows = docs.join(sent_if_small(wanted, 96), "doc_id").select("node", "set_key", "text")
         return rows.mapInArrow(sets_of, "node long, payload binary").groupBy("node").agg(F.any_value("payload").alias("payload"))
 
     return of
@@ -225,7 +225,8 @@ def labelled(docs: DataFrame, length: int = SHINGLE) -> DataFrame:
     table = written(signatures(docs, length), "signatures")
     full = table.where("n > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.any_value("sig").alias("sig"), F.any_value("keys").alias("keys"))
-    classes = written(classes.withColumn("node", F.xxhash64("set_key")), "classes")
+    # Numbered once, as the table is written, so that no two classes share a node.
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     labels = linked(classes.select("node", "keys", "sig"), estimate, LEAST_ESTIMATE, _payloads(docs, classes, length), exact_test)
     placed = classes.select("set_key", "node", "id").join(labels, "node", "left").select("set_key", "id", F.coalesce("component", "node").alias("component"))
     placed = written(placed, "placed")

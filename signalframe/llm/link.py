@@ -1,9 +1,10 @@
 """Linking of items that share a band key: candidate stars, estimates, checks and components.
 
 A bucket's members first meet one pivot; what is then in one component needs no further pair.
-Buckets that still hold several components are searched for links between them, central members
-first, in blocks of bounded bytes. A block tells one link for each two components that it joins,
-so the result grows with the items and no link between components is lost.
+Buckets that still hold several components are searched for links between them: their members are
+dealt to parts of bounded bytes, and each pair of parts that can hold a link is a group of its
+own, with members near many others first. A group tells one link for each two components that it
+joins, so the result grows with the items and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import drop_written, written
+from .storage import drop_written, sent_if_small, written
 
-BLOCK_BYTES = 6 << 20
+#: Bytes of a part of a bucket; a group holds two parts, or one longer member beside a part.
+PART_BYTES = 1 << 20
 PROBES = 64
 
 
@@ -68,21 +70,49 @@ def _star_links(pairs: DataFrame, likeness: Callable, least: float) -> DataFrame
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, near double").where(F.col("near") >= least)
 
 
-def _block_links(likeness: Callable, least: float, exact: Callable | None) -> Callable:
-    """Links between components of a block; exact(payloads) gives a test of one row against others."""
+def _confirmed(exact: Callable) -> Callable:
+    """Of a group of members and their pivot (side 1): the pairs that exact keeps."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        side = rows["side"].to_numpy()
+        pivot = np.flatnonzero(side)[:1]
+        others = np.flatnonzero(side == 0)
+        order = np.concatenate([pivot, others])
+        payload = rows["payload"].take(pa.array(order)).to_pylist()
+        node = rows["node"].to_numpy()[order]
+        kept = 1 + np.flatnonzero(exact(payload)(0, np.arange(1, len(order)))) if len(pivot) and len(others) else np.zeros(0, np.int64)
+        return pa.table({"a": pa.array(node[kept], pa.int64()), "b": pa.array(np.full(len(kept), node[0] if len(node) else 0), pa.int64())})
+
+    return run
+
+
+def _confirm(best: DataFrame, full: DataFrame, weight: DataFrame, exact: Callable) -> DataFrame:
+    """The pairs (a, b) of best that exact keeps. A pivot's members come in groups of bounded bytes, its payload once a group."""
+    weighed = best.join(weight.withColumnRenamed("node", "a"), "a")
+    groups = weighed.groupBy("b").agg(F.ceil(F.sum("bytes") / PART_BYTES).alias("parts"))
+    dealt = written(best.join(groups, "b").select("b", F.pmod(F.xxhash64("a", F.lit(3)), F.col("parts")).alias("part"), F.col("a").alias("node")), "dealt")
+    pivots = dealt.select("b", "part").distinct().select("b", "part", F.col("b").alias("node"), F.lit(1).alias("side"))
+    rows = dealt.withColumn("side", F.lit(0)).unionByName(pivots).join(full.select("node", "payload"), "node")
+    return rows.groupBy("b", "part").applyInArrow(_confirmed(exact), "a long, b long")
+
+
+def _part_links(likeness: Callable, least: float, exact: Callable | None) -> Callable:
+    """Links between components of two parts of a bucket (side 0 and 1, or one part: side 2).
+
+    exact(payloads) gives a test of one row against others.
+    """
 
     def run(rows: pa.Table) -> pa.Table:
         node, label = rows["node"].to_numpy(), np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
-        home, odd = rows["home"].to_numpy(zero_copy_only=False), rows["odd"].to_numpy(zero_copy_only=False)
+        side = rows["side"].to_numpy()
         sigs = matrix(rows["sig"])
         test = exact(rows["payload"].to_pylist()) if exact else None
         probes = np.random.default_rng(1).choice(len(node), min(PROBES, len(node)), replace=False)
         central = sum(likeness(sigs, sigs[p][None, :]) for p in probes)
         links = []
         for i in np.argsort(-central, kind="stable"):
-            other = label != label[i]
-            other &= odd | odd[i]
-            other &= home | home[i]
+            # Members of one part meet in that part's own group.
+            other = (label != label[i]) & ((side != side[i]) | (side == 2))
             at = np.flatnonzero(other)
             if len(at):
                 at = at[likeness(sigs[at], sigs[i][None, :]) >= least]
@@ -97,6 +127,26 @@ def _block_links(likeness: Callable, least: float, exact: Callable | None) -> Ca
     return run
 
 
+def part_pairs(rows: DataFrame, weight: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """key, x, y, node, component, side: a row for each pair of parts (x, y) that a member has to be in.
+
+    rows: key, node, component, big (the bucket's largest component); weight: node, bytes. Members
+    beside the largest component ("odd" ones) are dealt to parts 0, 1, ... and meet each other and
+    the parts -1, -2, ... of the largest one, which don't meet each other.
+    """
+    rows = rows.join(weight, "node").withColumn("odd", F.col("component") != F.col("big"))
+    parts = rows.groupBy("key").agg(*[F.greatest(F.ceil(F.sum(F.when(F.col("odd") == odd, F.col("bytes")).otherwise(0)) / part_bytes), F.lit(1)).alias(name) for name, odd in (("odds", True), ("bigs", False))])
+    rows = rows.join(written(parts, "parts"), "key")
+    own = F.when(F.col("odd"), F.pmod(F.xxhash64("node", F.lit(3)), F.col("odds"))).otherwise(-1 - F.pmod(F.xxhash64("node", F.lit(3)), F.col("bigs")))
+    rows = rows.withColumn("own", own)
+    odd_parts = F.sequence(F.lit(0).cast("long"), F.col("odds") - 1)
+    big_parts = F.sequence(-F.col("bigs"), F.lit(-1).cast("long"))
+    mates = F.when(F.col("odd"), F.concat(big_parts, odd_parts)).otherwise(odd_parts)
+    rows = rows.select("key", "node", "component", "own", F.explode(mates).alias("mate"))
+    side = F.when(F.col("own") == F.col("mate"), 2).otherwise((F.col("own") > F.col("mate")).cast("int"))
+    return rows.select("key", F.least("own", "mate").alias("x"), F.greatest("own", "mate").alias("y"), "node", "component", side.alias("side"))
+
+
 def linked(nodes: DataFrame, likeness: Callable, least: float, payloads: Callable[[DataFrame], DataFrame] | None = None, exact: Callable | None = None) -> DataFrame:
     """(node, component) of the nodes (node long, keys array<long>, sig binary) that have links.
 
@@ -105,43 +155,27 @@ def linked(nodes: DataFrame, likeness: Callable, least: float, payloads: Callabl
     written table with unique, non-null nodes. Nodes without a link may be missing.
     """
     exploded = nodes.select("node", F.explode("keys").alias("key"))
-    shared = written(exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1"), "buckets")
-    member = written(exploded.join(shared, "key").select("node", "key", "pivot"), "members")
+    shared = written(exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1").select("key", "pivot"), "buckets")
+    member = written(exploded.join(sent_if_small(shared, 32), "key").select("node", "key", "pivot"), "members")
     sigs = nodes.select("node", "sig")
     full = sigs.withColumn("payload", F.lit(None).cast("binary"))
     if payloads:
         full = written(payloads(member.select("node").distinct()).join(sigs, "node").select("node", "sig", "payload"), "payloads")
+    weight = full.select("node", (F.coalesce(F.octet_length("payload"), F.lit(0)) + F.octet_length("sig") + 64).alias("bytes"))
 
     stars = written(member.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
     side = lambda c: sigs.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
     near = _star_links(stars.join(side("a"), "a").join(side("b"), "b"), likeness, least)
     best = near.groupBy("a").agg(F.max(F.struct("near", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     if exact:
-        side = lambda c: full.select(F.col("node").alias(c), F.col("payload").alias(f"p_{c}"))
-
-        def confirm(batches):
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 512):
-                    part = batch.slice(lo, 512)
-                    kept = [bool(exact([x, y])(0, np.array([1]))[0]) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
-                    yield part.select([0, 1]).filter(pa.array(kept, pa.bool_()))
-
-        best = written(best, "best").join(side("a"), "a").join(side("b"), "b").select("a", "b", "p_a", "p_b").mapInArrow(confirm, "a long, b long")
+        best = _confirm(written(best, "best"), full, weight, exact)
     edges = written(best, "links")
     labels = written(components(edges), "labels")
 
     placed = written(member.join(labels, "node", "left").select("node", "key", F.coalesce("component", "node").alias("component")), "placed")
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
     several = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("big"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("big.component").alias("big"))
-    several = written(several, "several")
-    rows = written(placed.join(several, "key"), "several-rows")
-    weight = full.select("node", (F.coalesce(F.octet_length("payload"), F.lit(0)) + F.octet_length("sig") + 64).alias("bytes"))
-    blocks = rows.join(weight, "node").groupBy("key").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).alias("blocks"))
-    blocks = written(blocks, "blocks")
-    rows = rows.join(blocks, "key").withColumn("odd", F.col("component") != F.col("big"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")))
-    # A member beside the largest component meets every block of its bucket, others only their own.
-    rows = rows.withColumn("block", F.explode(F.when(F.col("odd"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("own"))))
-    rows = written(rows.select("key", "block", "node", "component", "odd", (F.col("own") == F.col("block")).alias("home")), "block-rows").join(full, "node")
-    found = written(rows.groupBy("key", "block").applyInArrow(_block_links(likeness, least, exact), "a long, b long").distinct(), "links")
+    rows = written(placed.join(sent_if_small(written(several, "several"), 32), "key"), "several-rows")
+    pairs = written(part_pairs(rows, weight), "part-pairs").join(full, "node")
+    found = written(pairs.groupBy("key", "x", "y").applyInArrow(_part_links(likeness, least, exact), "a long, b long").distinct(), "links")
     return labels if found.isEmpty() else written(components(edges.unionByName(found)), "labels")

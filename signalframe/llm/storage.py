@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes up to which a counted table is sent to every task.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +33,14 @@ def written(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sent_if_small(table: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table of known row size, with a broadcast hint if its counted rows fit in `most` bytes.
+
+    A larger one is joined by shuffling, where Spark splits keys that hold many rows.
+    """
+    return F.broadcast(table) if table.count() * row_bytes <= most else table
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files of a table made by written() that nothing reads any more."""
     spark = df.sparkSession
