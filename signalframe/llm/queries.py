@@ -43,7 +43,7 @@ SELECT doc_id, {counts}, sha256(array_to_string({base}, ',')) AS base_sha256, ar
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
+    return fingerprints.compare_and_group(table(spark, sf_dir, "documents"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
