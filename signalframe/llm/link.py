@@ -21,6 +21,8 @@ from .storage import drop_written, sent_if_small, written
 #: Bytes of a part of a bucket; a group holds two parts, or one longer member beside a part.
 PART_BYTES = 1 << 20
 PROBES = 64
+#: Members of a group whose pairs are all estimated at once.
+SMALL = 128
 
 
 def _tally(edges: DataFrame) -> tuple:
@@ -102,10 +104,16 @@ def _part_links(likeness: Callable, least: float, exact: Callable | None) -> Cal
     exact(payloads) gives a test of one row against others.
     """
 
-    def run(rows: pa.Table) -> pa.Table:
+    def run(rows: pa.Table) -> list[tuple[int, int]]:
         node, label = rows["node"].to_numpy(), np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
         side = rows["side"].to_numpy()
         sigs = matrix(rows["sig"])
+        if len(node) <= SMALL:
+            first, second = np.triu_indices(len(node), 1)
+            fine = (label[first] != label[second]) & ((side[first] != side[second]) | (side[first] == 2))
+            first, second = first[fine], second[fine]
+            if not len(first) or not (likeness(sigs[first], sigs[second]) >= least).any():
+                return []
         test = exact(rows["payload"].to_pylist()) if exact else None
         probes = np.random.default_rng(1).choice(len(node), min(PROBES, len(node)), replace=False)
         central = sum(likeness(sigs, sigs[p][None, :]) for p in probes)
@@ -122,11 +130,37 @@ def _part_links(likeness: Callable, least: float, exact: Callable | None) -> Cal
                 met, first = np.unique(label[at], return_index=True)
                 links += [(node[i], node[at[k]]) for k in first]
                 label[np.isin(label, met)] = label[i]
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+        return links
 
     return run
 
 
+def _each_group(batches, keys: int, run: Callable[[pa.Table], list[tuple[int, int]]]):
+    """Links of each group of rows that agree in their first columns; groups come one after another, many a batch."""
+    held: list[pa.RecordBatch] = []
+    last = None
+
+    def told(found):
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in range(keys)]
+        edge = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        found = []
+        for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), batch.num_rows], strict=True):
+            name = tuple(c[lo] for c in columns)
+            if held and name != last:
+                found += run(pa.Table.from_batches(held))
+                held = []
+            last = name
+            held.append(batch.slice(lo, hi - lo))
+        yield told(found)
+    if held:
+        yield told(run(pa.Table.from_batches(held)))
+
+
 def part_pairs(rows: DataFrame, weight: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """key, x, y, node, component, side: a row for each pair of parts (x, y) that a member has to be in.
 
@@ -155,27 +189,38 @@ def linked(nodes: DataFrame, likeness: Callable, least: float, payloads: Callabl
     written table with unique, non-null nodes. Nodes without a link may be missing.
     """
     exploded = nodes.select("node", F.explode("keys").alias("key"))
-    shared = written(exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1").select("key", "pivot"), "buckets")
-    member = written(exploded.join(sent_if_small(shared, 32), "key").select("node", "key", "pivot"), "members")
+    shared = written(exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1"), "buckets")
+    member = written(exploded.join(sent_if_small(shared, 40), "key").select("node", "key", "pivot", "n"), "members")
     sigs = nodes.select("node", "sig")
     full = sigs.withColumn("payload", F.lit(None).cast("binary"))
     if payloads:
         full = written(payloads(member.select("node").distinct()).join(sigs, "node").select("node", "sig", "payload"), "payloads")
     weight = full.select("node", (F.coalesce(F.octet_length("payload"), F.lit(0)) + F.octet_length("sig") + 64).alias("bytes"))
+    confirm = lambda pairs: _confirm(written(pairs, "best"), full, weight, exact) if exact else pairs
+    named = lambda labels, c: labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
 
+    # Each member against its buckets' pivots: first the likeliest one, then those that are still apart.
     stars = written(member.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
     side = lambda c: sigs.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
-    near = _star_links(stars.join(side("a"), "a").join(side("b"), "b"), likeness, least)
+    near = written(_star_links(stars.join(side("a"), "a").join(side("b"), "b"), likeness, least), "near")
     best = near.groupBy("a").agg(F.max(F.struct("near", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-    if exact:
-        best = _confirm(written(best, "best"), full, weight, exact)
-    edges = written(best, "links")
+    edges = written(confirm(best), "links")
     labels = written(components(edges), "labels")
-
-    placed = written(member.join(labels, "node", "left").select("node", "key", F.coalesce("component", "node").alias("component")), "placed")
+    apart = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
+    rest = written(near.join(named(labels, "a"), "a", "left").join(named(labels, "b"), "b", "left").where(apart).select("a", "b"), "apart")
+    if not rest.isEmpty():
+        edges = written(edges.unionByName(confirm(rest)), "links")
+        labels = written(components(edges), "labels")
+
+    # Buckets of two members are done; larger ones may hold links beside their pivot.
+    placed = written(member.where("n > 2").join(labels, "node", "left").select("node", "key", F.coalesce("component", "node").alias("component")), "placed")
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
     several = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("big"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("big.component").alias("big"))
     rows = written(placed.join(sent_if_small(written(several, "several"), 32), "key"), "several-rows")
-    pairs = written(part_pairs(rows, weight), "part-pairs").join(full, "node")
-    found = written(pairs.groupBy("key", "x", "y").applyInArrow(_part_links(likeness, least, exact), "a long, b long").distinct(), "links")
+    if rows.isEmpty():
+        return labels
+    pairs = written(part_pairs(rows, weight), "part-pairs").join(full, "node").select("key", "x", "y", "node", "component", "side", "sig", "payload")
+    pairs = pairs.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    search = _part_links(likeness, least, exact)
+    found = written(pairs.mapInArrow(lambda batches: _each_group(batches, 3, search), "a long, b long").distinct(), "links")
     return labels if found.isEmpty() else written(components(edges.unionByName(found)), "labels")

@@ -1,15 +1,17 @@
 """Language-model scoring by Elias-Fano n-gram tries.
 
-Words are 64-bit hashes. Batches of documents send their distinct words and word pairs, with the
-counts of the training documents among them, to shards by context. A shard adds the counts up,
-writes a trie of memory-mapped levels and answers every batch from it: words, monotone pointers
-to their successors, and quantised smoothed probabilities. A batch then scores its documents.
+Documents are tokenised once, into a written table of batches. Distinct words are counted and
+numbered by frequency, and each batch learns the numbers and counts of its own words. It then
+sends its distinct word pairs and triples, with the counts of the training documents among them,
+to shards by their first word. A shard adds the counts up, writes a trie of memory-mapped levels
+and answers every batch from it; a batch then scores its documents.
 """
 
 from __future__ import annotations
 
-import hashlib
+import struct
 import tempfile
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,63 +19,105 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import Hasher, chunks, split_words
+from .storage import written
+from .words import Hasher, chunks, mix64, split_words
 
-END = np.uint64(0x1F3D5B79A2C4E687)
-BEGIN = np.uint64(0xE8A6C4927B5D3F10)
-#: Weight of the word's own probability against a context's counts.
-PRIOR = 400.0
+END = 0x1F3D5B79A2C4E687
 ADD = 0.1
+#: Weights of the lower order's probability against the counts of a context of one and of two words.
+PRIOR = (400.0, 20.0)
 #: Quantised log10 probabilities: steps a unit; 0 stands for unseen.
 STEPS = 4096
 BATCH_BYTES = 14 << 20
-TAIL_BITS = np.uint64(40)
+#: Tokens whose pairs and triples a shard has to itself.
+SHARD_TOKENS = 4 << 20
+#: Entries of a level that are unpacked at once.
+CHUNK = 1 << 16
 
 
 class EliasFano:
-    """A sorted list of 64-bit integers: whole low bytes and a unary bit vector of the rest."""
+    """A sorted list of 64-bit integers: whole low bytes and a unary bit vector of the rest.
 
-    def __init__(self, low: np.ndarray, high: np.ndarray):
-        self.low, self.bits = low, low.shape[1] * 8
-        ones = np.flatnonzero(np.unpackbits(high))[: len(low)]
-        self.upper = ones - np.arange(len(ones))
+    Both may be memory-mapped. Sampled places of ones let chunks of entries be unpacked alone.
+    """
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, ones: np.ndarray, firsts: np.ndarray):
+        self.low, self.high, self.ones, self.firsts = low, high, ones, firsts
 
     @staticmethod
-    def levels(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def parts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(low bytes: entry by byte, packed unary bits) of sorted values."""
         n = len(values)
         top = int(values[-1]) + 1 if n else 1
         width = 0
         while width < 8 and top >> (8 * width) > n:
             width += 1
-        low = np.ascontiguousarray(values).view(np.uint8).reshape(n, 8)[:, :width]
+        low = np.ascontiguousarray(values, np.uint64).view(np.uint8).reshape(n, 8)[:, :width]
         upper = (values >> np.uint64(8 * width) if width < 8 else np.zeros(n, np.uint64)).astype(np.int64)
-        high = np.zeros(n + (int(upper[-1]) if n else 0) + 1, bool)
-        high[upper + np.arange(n)] = True
-        return low, np.packbits(high)
-
-    def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        out = self.upper[i].astype(np.uint64) << np.uint64(self.bits) if self.bits < 64 else np.zeros(len(i), np.uint64)
-        for b in range(self.bits // 8):
-            out |= self.low[i, b].astype(np.uint64) << np.uint64(8 * b)
+        bits = np.zeros(n + (int(upper[-1]) if n else 0) + 1, bool)
+        bits[upper + np.arange(n)] = True
+        return np.ascontiguousarray(low), np.packbits(bits)
+
+    @staticmethod
+    def levels(values: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What __init__ takes, of sorted values."""
+        low, high = EliasFano.parts(values)
+        ones = np.flatnonzero(np.unpackbits(high))[::CHUNK] if len(values) else np.zeros(0, np.int64)
+        return low, high, ones, np.ascontiguousarray(values[::CHUNK], np.uint64)
+
+    @staticmethod
+    def pack(values: np.ndarray) -> bytes:
+        low, high = EliasFano.parts(values)
+        return struct.pack("<QB", len(values), low.shape[1]) + low.tobytes() + high.tobytes()
+
+    @staticmethod
+    def unpack(raw: bytes) -> np.ndarray:
+        n, width = struct.unpack_from("<QB", raw)
+        low = np.frombuffer(raw, np.uint8, n * width, 9).reshape(n, width)
+        return EliasFano._values(low, np.frombuffer(raw, np.uint8, offset=9 + n * width), 0, 0)
+
+    @staticmethod
+    def _values(low: np.ndarray, high: np.ndarray, skipped: int, first: int) -> np.ndarray:
+        """Entries first, first + 1, ...: low bytes, and unary bits of which `skipped` aren't given."""
+        at = np.flatnonzero(np.unpackbits(high))[: len(low)] + skipped
+        out = np.zeros((len(low), 8), np.uint8)
+        out[:, : low.shape[1]] = low
+        values = out.view(np.uint64).ravel()
+        width = low.shape[1]
+        return values | ((at - np.arange(first, first + len(low))).astype(np.uint64) << np.uint64(8 * width)) if width < 8 else values
+
+    def __len__(self) -> int:
+        return len(self.low)
+
+    def chunk(self, k: int) -> np.ndarray:
+        """Entries k * CHUNK to (k + 1) * CHUNK - 1."""
+        lo = int(self.ones[k])
+        hi = int(self.ones[k + 1]) if k + 1 < len(self.ones) else len(self.high) * 8
+        part = np.array(self.high[lo // 8 : -(-hi // 8)])
+        part[0] &= 0xFF >> (lo % 8)
+        return self._values(self.low[k * CHUNK : (k + 1) * CHUNK], part, lo // 8 * 8, k * CHUNK)
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        """Entries at sorted places."""
+        out = np.empty(len(at), np.uint64)
+        edge = np.searchsorted(at, np.arange(len(self.ones) + 1) * CHUNK)
+        for k in range(len(self.ones)):
+            if edge[k] < edge[k + 1]:
+                out[edge[k] : edge[k + 1]] = self.chunk(k)[at[edge[k] : edge[k + 1]] - k * CHUNK]
         return out
 
-    def find(self, wanted: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """The place of each wanted value among places lo to hi, or -1."""
-        lo, end = lo.copy(), hi
-        hi = hi.copy()
-        while True:
-            live = np.flatnonzero(lo < hi)
-            if not len(live):
-                break
-            mid = (lo[live] + hi[live]) // 2
-            less = self[mid] < wanted[live]
-            lo[live] = np.where(less, mid + 1, lo[live])
-            hi[live] = np.where(less, hi[live], mid)
-        inside = np.flatnonzero(lo < end)
-        found = np.full(len(wanted), -1)
-        same = inside[self[lo[inside]] == wanted[inside]]
-        found[same] = lo[same]
-        return found
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each of sorted values, or -1."""
+        out = np.full(len(wanted), -1)
+        edge = np.append(np.searchsorted(wanted, self.firsts), len(wanted))
+        for k in range(len(self.ones)):
+            lo, hi = edge[k], edge[k + 1]
+            if lo < hi:
+                values = self.chunk(k)
+                at = np.searchsorted(values, wanted[lo:hi])
+                same = (at < len(values)) & (values[np.minimum(at, len(values) - 1)] == wanted[lo:hi])
+                out[lo:hi] = np.where(same, at + k * CHUNK, -1)
+        return out
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -87,118 +131,100 @@ def restore(q: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """Level 1: word hashes, pointers, context weights; level 2: successors and probabilities."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, pair: np.ndarray, pair_n: np.ndarray):
-        """words sorted; pair: place of the context << 40 | top bits of the successor, sorted."""
-        context = (pair >> TAIL_BITS).astype(np.int64)
-        total = counts.astype(float)
-        starts = np.searchsorted(context, np.arange(len(words) + 1)).astype(np.uint64)
-        arrays = [*EliasFano.levels(words), *EliasFano.levels(starts), *EliasFano.levels(pair), quantise(PRIOR / (total + PRIOR)), quantise(pair_n / (total[context] + PRIOR)), counts.astype(np.uint32)]
-        # One file, mapped, so that the levels are paged and not held.
+    """Word pairs and triples seen in training, with the quantised probabilities of both.
+
+    Level 1 has first words, level 2 the successors of each, level 3 those of each pair. Entries
+    are numbered relative to their context: place of the context * size + word. Monotone pointers
+    lead from a context to its successors. All levels are mapped from one file.
+    """
+
+    def __init__(self, size: int, pairs: np.ndarray, pair_p: np.ndarray, context: np.ndarray, word: np.ndarray, triple_p: np.ndarray):
+        """pairs: first word * size + second, sorted; context, word: places of triples' pairs and third words, sorted."""
+        self.size = np.uint64(size)
+        first = pairs // self.size
+        new = np.ones(len(pairs), bool)
+        new[1:] = first[1:] != first[:-1]
+        parent = (np.cumsum(new) - 1).astype(np.uint64)
+        lists = [
+            first[new],
+            np.append(np.flatnonzero(new), len(pairs)).astype(np.uint64),
+            parent * self.size + pairs % self.size,
+            np.searchsorted(context, np.arange(len(pairs) + 1)).astype(np.uint64),
+            context.astype(np.uint64) * self.size + word,
+        ]
+        arrays = [a for values in lists for a in EliasFano.levels(values)] + [quantise(pair_p), quantise(triple_p)]
         self.file = tempfile.TemporaryFile()
         places = []
         for a in arrays:
             self.file.seek(-self.file.tell() % 8, 1)
             places.append((self.file.tell(), a.dtype, a.shape))
-            self.file.write(np.ascontiguousarray(a).tobytes())
+            self.file.write(a.tobytes())
         self.file.flush()
         mapped = [np.memmap(self.file, t, "r", at, shape) if np.prod(shape) else np.zeros(shape, t) for at, t, shape in places]
-        self.words, self.starts, self.pairs = (EliasFano(*mapped[k : k + 2]) for k in (0, 2, 4))
-        self.weight, self.chance, self.count = mapped[6:]
-        self.n = len(words)
+        self.words, self.to_pairs, self.pairs, self.to_triples, self.triples = (EliasFano(*mapped[k : k + 4]) for k in range(0, 20, 4))
+        self.pair_level, self.triple_level = mapped[20:]
 
     def close(self) -> None:
         self.file.close()
 
-    def place(self, words: np.ndarray) -> np.ndarray:
-        return self.words.find(words, np.zeros(len(words), np.int64), np.full(len(words), self.n))
-
-    def successors(self, place: np.ndarray, tails: np.ndarray) -> np.ndarray:
-        """Quantised chance of each successor in its context; 0 if unseen."""
+    def _successors(self, pointers: EliasFano, level: EliasFano, place: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Places of words among the successors of contexts at (rising) places, or -1."""
+        out = np.full(len(place), -1)
         known = np.flatnonzero(place >= 0)
         at = place[known]
-        lo, hi = self.starts[at].astype(np.int64), self.starts[at + 1].astype(np.int64)
-        found = self.pairs.find((at.astype(np.uint64) << TAIL_BITS) | tails[known], lo, hi)
-        out = np.zeros(len(place), np.uint16)
-        out[known[found >= 0]] = self.chance[found[found >= 0]]
+        # Contexts without successors are done with their pointers.
+        known = known[pointers.get(at) < pointers.get(at + 1)] if len(at) else known
+        out[known] = level.find(place[known].astype(np.uint64) * self.size + word[known])
         return out
 
+    def find_pairs(self, pairs: np.ndarray) -> np.ndarray:
+        """Places of sorted pairs (first word * size + second), or -1."""
+        first, at = np.unique(pairs // self.size, return_inverse=True)
+        return self._successors(self.to_pairs, self.pairs, self.words.find(first)[at], pairs % self.size)
 
-class Batch:
-    """Words and pairs of a batch of documents, in the order in which shards answer."""
-
-    def __init__(self, texts: pa.Array, train: np.ndarray, hasher: Hasher, shards: int, hot: np.ndarray):
-        hashes, docs = [], []
-        for first, last, data, offsets in chunks(texts):
-            words = split_words(data, offsets, hasher)
-            n = last - first
-            count = np.bincount(words.doc, minlength=n)
-            ends = np.cumsum(count + 1) - 1
-            h = np.empty(len(words.hash) + n, np.uint64)
-            own = np.ones(len(h), bool)
-            own[ends] = False
-            h[own], h[ends] = words.hash, END
-            hashes.append(h)
-            docs.append(np.repeat(np.arange(first, last, dtype=np.int32), count + 1))
-        self.doc = np.concatenate(docs) if docs else np.zeros(0, np.int32)
-        starts = np.searchsorted(self.doc, np.arange(len(texts)))
-        counted = train[self.doc]
-        token = np.concatenate([*hashes, [BEGIN]]).astype(np.uint64)
-        self.words, word = np.unique(token, return_inverse=True)
-        token = token[:-1]
-        del hashes, docs
-        word = word[:-1].astype(np.int32)
-        self.word_n = np.bincount(word, weights=counted, minlength=len(self.words)).astype(np.uint32)
-        begin = np.searchsorted(self.words, BEGIN)
-        self.word_n[begin] = train.sum()
-        key = token >> np.uint64(24)
-        del token
-        at = np.empty(len(word), np.uint64)
-        at[1:] = word[:-1]
-        at[starts] = begin
-        key |= at << TAIL_BITS
-        del at
-        pair, self.pair = np.unique(key, return_inverse=True)
-        del key
-        self.pair = self.pair.astype(np.int32)
-        pair_n = np.bincount(self.pair, weights=counted, minlength=len(pair)).astype(np.uint32)
-        follower = np.empty(len(pair), np.int64)
-        follower[self.pair] = word
-        of = (pair >> TAIL_BITS).astype(np.int64)
-        home = home_of(self.words, shards)
-        spread = np.isin(self.words, hot)
-        shard = np.where(spread[of], home[follower], home[of])
-        order = np.argsort(shard, kind="stable")
-        rank = np.empty(len(pair), np.int32)
-        rank[order] = np.arange(len(pair), dtype=np.int32)
-        self.pair = rank[self.pair]
-        self.follower, self.of, self.tail, self.pair_n = follower[order], of[order], pair[order] & np.uint64(2**40 - 1), pair_n[order]
-        self.bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-        self.home, self.spread, self.shards = home, spread, shards
-
-    def questions(self) -> Iterator[tuple]:
-        """(words, counts, contexts' places among them, successors, counts) for each shard in turn."""
-        everywhere = np.flatnonzero(self.spread)
-        homes = np.searchsorted(self.home, np.arange(self.shards + 1))
-        for s in range(self.shards):
-            # home rises with the words, so that the list of words stays sorted.
-            mine = np.union1d(np.arange(homes[s], homes[s + 1]), everywhere)
-            lo, hi = self.bounds[s], self.bounds[s + 1]
-            yield self.words[mine], self.word_n[mine], np.searchsorted(mine, self.of[lo:hi]).astype(np.uint32), self.tail[lo:hi], self.pair_n[lo:hi]
+    def find_triples(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return self._successors(self.to_triples, self.triples, context, word)
 
 
-def home_of(words: np.ndarray, shards: int) -> np.ndarray:
-    return ((words >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24)).astype(np.int64)
+def _small(counts: np.ndarray) -> bytes:
+    """Counts, nearly all of them below 255, in few bytes."""
+    low = np.minimum(counts, 255).astype(np.uint8)
+    return zlib.compress(low.tobytes() + counts[low == 255].astype(np.uint64).tobytes(), 1)
 
 
-def _tails(tail: np.ndarray) -> bytes:
-    return tail.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def _from_small(raw: bytes, n: int) -> np.ndarray:
+    raw = zlib.decompress(raw)
+    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, np.uint64, offset=n).astype(np.int64)
+    return out
 
 
-def _from_tails(raw: bytes) -> np.ndarray:
-    rows = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return np.concatenate([rows, np.zeros((len(rows), 3), np.uint8)], axis=1).view(np.uint64).ravel()
+BATCHES = "ids array<long>, held array<boolean>, sizes binary, words binary, word_n binary, low binary, high binary"
+
+
+def _batch(part: pa.RecordBatch, hasher: Hasher) -> pa.RecordBatch:
+    """One row: the documents, their sizes in tokens, and tokens as places among the batch's words, frequent ones first."""
+    hashes, sizes = [], []
+    for first, last, data, offsets in chunks(part.column(1)):
+        words = split_words(data, offsets, hasher)
+        count = np.bincount(words.doc, minlength=last - first) + 1
+        h = np.full(count.sum(), END, np.uint64)
+        own = np.ones(len(h), bool)
+        own[np.cumsum(count) - 1] = False
+        h[own] = words.hash
+        hashes.append(h)
+        sizes.append(count)
+    held = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
+    size = np.concatenate(sizes).astype(np.uint32)
+    word, token, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    token = rank[token]
+    trained = np.bincount(token, weights=~np.repeat(held, size), minlength=len(word)).astype(np.uint32)
+    columns = (size, word[order], trained, (token & np.uint32(0xFFFF)).astype(np.uint16), (token >> np.uint32(16)).astype(np.uint16))
+    kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()))
+    return pa.RecordBatch.from_arrays([*(pa.array([part.column(c).to_pylist()], k) for c, k in zip((0, 2), kinds, strict=True)), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], [c.split()[0] for c in BATCHES.split(", ")])
 
 
 def _split(batches) -> Iterator[pa.RecordBatch]:
@@ -209,133 +235,213 @@ def _split(batches) -> Iterator[pa.RecordBatch]:
             yield batch.slice(lo, step)
 
 
-def _name(part: pa.RecordBatch) -> int:
-    """A batch's number: a hash of its rows' numbers and texts, so that two readings agree."""
-    told = hashlib.blake2b(repr([c.to_pylist() for i, c in enumerate(part.columns) if i != 1]).encode(), digest_size=8)
-    for _, _, data, offsets in chunks(part.column(1)):
-        told.update(offsets.tobytes())
-        told.update(data)
-    return int.from_bytes(told.digest(), "little", signed=True)
-
-
-def hot_words(rows: DataFrame, shards: int) -> np.ndarray:
-    """Hashes of words with a share of tokens of 1 / shards or so, and BEGIN; at most 2 * shards + 1.
+class Ngrams:
+    """Distinct pairs and triples of a batch, and the shards that count them, in a fixed order.
 
-    A batch tells the words with half that share in it; a word of the full share keeps at least
-    half of it when those are added up.
+    Words are numbered by falling count, size - 1 stands before a document's first word, and
+    words that training lacks take no part. An n-gram goes to the shard of its first word that
+    isn't hot (its number below hot), so that no shard has a frequent word to itself.
     """
 
-    def run(batches):
-        hasher = Hasher()
-        for part in _split(batches):
-            h = np.concatenate([split_words(d, o, hasher).hash for _, _, d, o in chunks(part.column(1))] or [np.zeros(0, np.uint64)])
-            word, n = np.unique(h, return_counts=True)
-            most = np.flatnonzero(n * 2 * shards >= len(h))
-            yield pa.RecordBatch.from_arrays([pa.array([None, *word[most].view(np.int64)], pa.int64()), pa.array([len(h), *n[most]], pa.int64())], ["word", "n"])
-
-    told = rows.select("doc_id", "text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = told.where("word IS NULL").collect()
-    least = (total[0]["n"] if total else 0) / (2 * shards)
-    found = told.where((F.col("word").isNotNull()) & (F.col("n") >= least)).orderBy(F.desc("n")).limit(2 * shards).collect()
-    return np.array([r["word"] for r in found], np.int64).view(np.uint64).tolist() + [int(BEGIN)]
-
-
-def _answers(table: pa.Table, shard: int, shards: int) -> pa.Table:
-    rows = table.to_pylist()
-    words = [np.frombuffer(r["words"], np.uint64) for r in rows]
-    every, where = np.unique(np.concatenate(words), return_inverse=True)
-    counts = np.bincount(where, weights=np.concatenate([np.frombuffer(r["word_n"], np.uint32) for r in rows]), minlength=len(every))
-    base = np.cumsum([0, *map(len, words[:-1])])
-    keys = [(where[b + np.frombuffer(r["of"], np.uint32)].astype(np.uint64) << TAIL_BITS) | _from_tails(r["tails"]) for b, r in zip(base, rows, strict=True)]
-    pair, at = np.unique(np.concatenate(keys), return_inverse=True)
-    pair_n = np.bincount(at, weights=np.concatenate([np.frombuffer(r["pair_n"], np.uint32) for r in rows]), minlength=len(pair))
-    del at
-    # The trie holds what was seen in training.
-    seen, trained = np.flatnonzero(counts > 0), pair_n > 0
-    place = np.cumsum(counts > 0) - 1
-    tail = pair & np.uint64(2**40 - 1)
-    trie = Trie(every[seen], counts[seen], (place[(pair >> TAIL_BITS).astype(np.int64)].astype(np.uint64)[trained] << TAIL_BITS) | tail[trained], pair_n[trained])
-    own = (home_of(every, shards) == shard) & (every != BEGIN) & (counts > 0)
-    n, v = int(counts[own].sum()), int(own.sum())
-    out = []
-    for r, w in zip(rows, words, strict=True):
-        place = trie.place(w)
-        count = np.zeros(len(w), np.uint32)
-        count[place >= 0] = trie.count[place[place >= 0]]
-        of = np.frombuffer(r["of"], np.uint32)
-        chance = trie.successors(place[of], _from_tails(r["tails"]))
-        weight = np.full(len(of), quantise(np.ones(1))[0])
-        known = place[of] >= 0
-        weight[known] = trie.weight[place[of][known]]
-        mine = (home_of(w, shards) == shard)
-        out.append({"batch": r["batch"], "shard": shard, "n": n, "v": v, "counts": count[mine].tobytes(), "chance": chance.tobytes(), "weight": weight.tobytes()})
-    trie.close()
-    return pa.Table.from_pylist(out, ANSWERS)
-
-
-QUESTIONS = "shard int, batch long, words binary, word_n binary, of binary, tails binary, pair_n binary"
-ANSWERS = pa.schema([("batch", pa.int64()), ("shard", pa.int32()), ("n", pa.int64()), ("v", pa.int64()), ("counts", pa.binary()), ("chance", pa.binary()), ("weight", pa.binary())])
+    def __init__(self, token: np.ndarray, sizes: np.ndarray, number: np.ndarray, size: int, hot: int, shards: int):
+        word = number[token]
+        first = np.zeros(len(word), bool)
+        first[np.cumsum(sizes, dtype=np.int64) - sizes] = True
+        before = np.empty(len(word), np.int64)
+        before[1:] = word[:-1]
+        before[first] = size - 1
+        fine = np.flatnonzero((word >= 0) & (before >= 0))
+        self.pairs, at = np.unique(before[fine].astype(np.uint64) * np.uint64(size) + word[fine].astype(np.uint64), return_inverse=True)
+        self.pair_at = np.full(len(word), -1, np.int32)
+        self.pair_at[fine] = at
+        context = np.empty(len(word), np.int32)
+        context[1:] = self.pair_at[:-1]
+        context[first] = -1
+        fine = np.flatnonzero((word >= 0) & (context >= 0))
+        triples, at = np.unique(context[fine].astype(np.uint64) * np.uint64(size) + word[fine].astype(np.uint64), return_inverse=True)
+        self.triple_at = np.full(len(word), -1, np.int32)
+        self.triple_at[fine] = at
+        self.context, self.word = (triples // np.uint64(size)).astype(np.int64), triples % np.uint64(size)
+        self.size, self.shards = size, shards
+        home = lambda x: (mix64(x + np.uint64(1)) % np.uint64(shards)).astype(np.int64)
+        warm = lambda x: (x >= hot) & (x != size - 1)
+        u, v = self.pairs // np.uint64(size), self.pairs % np.uint64(size)
+        pair_home = np.where(warm(u), home(u), home(v))
+        # A pair of a hot word and another lives with the other, and so do the triples that begin with it.
+        triple_home = np.where((warm(u) | warm(v))[self.context], pair_home[self.context], home(self.word))
+        self.pair_order, self.triple_order = np.argsort(pair_home, kind="stable"), np.argsort(triple_home, kind="stable")
+        edges = np.arange(shards + 1)
+        self.pair_edge, self.triple_edge = np.searchsorted(pair_home[self.pair_order], edges), np.searchsorted(triple_home[self.triple_order], edges)
+
+    def questions(self, trained: np.ndarray) -> Iterator[tuple]:
+        """(shard, pairs, whether they are asked, counts, triples, counts), packed, of each shard that has any."""
+        pair_n = np.bincount(self.pair_at[self.pair_at >= 0], weights=trained[self.pair_at >= 0], minlength=len(self.pairs)).astype(np.int64)
+        triple_n = np.bincount(self.triple_at[self.triple_at >= 0], weights=trained[self.triple_at >= 0], minlength=len(self.word)).astype(np.int64)
+        for s in range(self.shards):
+            own = self.pair_order[self.pair_edge[s] : self.pair_edge[s + 1]]
+            triples = self.triple_order[self.triple_edge[s] : self.triple_edge[s + 1]]
+            if len(own) + len(triples) == 0:
+                continue
+            # Triples of two hot words come here by their third: their pairs come along, without counts.
+            every = np.union1d(own, self.context[triples])
+            asked = np.isin(every, own, assume_unique=True)
+            relative = np.searchsorted(every, self.context[triples]).astype(np.uint64) * np.uint64(self.size) + self.word[triples]
+            yield s, EliasFano.pack(self.pairs[every]), b"" if asked.all() else np.packbits(asked).tobytes(), _small(np.where(asked, pair_n[every], 0)), EliasFano.pack(relative), _small(triple_n[triples])
+
+
+QUESTIONS = "shard int, batch long, pairs binary, asked binary, pair_n binary, triples binary, triple_n binary"
+ANSWERS = pa.schema([("batch", pa.int64()), ("shard", pa.int32()), ("pairs", pa.binary()), ("triples", pa.binary())])
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scores(documents: pa.Table, answers: pa.Table) -> pa.Table:
-    # Rows that repeat can make a batch come twice: its answers are alike, and it is scored each time.
-    answers = answers.take(np.unique(answers["shard"].to_numpy(), return_index=True)[1])
-    if documents.num_rows == 0:
-        return pa.table({c.split()[0]: pa.array([], pa.int64()) for c in RESULT.split(", ")}).cast(_result_schema())
-    n, v = sum(answers["n"].to_pylist()), sum(answers["v"].to_pylist())
-    joined = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in answers[c].to_pylist()])
-    counts = joined("counts", np.uint32).astype(float)
-    own = (counts + ADD) / (n + ADD * (v + 1))
-    tables = []
-    for row in documents.to_pylist():
-        follower, pair = np.frombuffer(row["follower"], np.uint32), np.frombuffer(row["pair"], np.uint32)
-        size = np.frombuffer(row["sizes"], np.uint32)
-        doc = np.repeat(np.arange(len(size)), size)
-        chance, weight = restore(joined("chance", np.uint16)), restore(joined("weight", np.uint16))
-        model = np.log10(chance + weight * own[follower])
-        plain, known = np.log10(own), counts > 0
-        add = lambda x: np.bincount(doc, weights=x, minlength=len(size))  # noqa: E731,B023
-        tables.append(pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": size.astype(np.int64), "n_known": add(known[follower][pair]).astype(np.int64), "train_tokens": np.full(len(size), n), "base_score": add(plain[follower][pair]), "score": add(model[pair])}))
-    return pa.concat_tables(tables).cast(_result_schema())
-
-
-def _result_schema() -> pa.Schema:
-    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
-    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in RESULT.split(", ")])
-
-
-def score(docs: DataFrame, held_out: Column, shards: int | None = None) -> DataFrame:
+def _answers(rows: pa.Table, size: int, total: int) -> pa.Table:
+    """Quantised probabilities (of all training tokens) of the pairs and triples that each batch asks for."""
+    size_ = np.uint64(size)
+    pairs = [EliasFano.unpack(x.as_py()) for x in rows["pairs"]]
+    edge = np.cumsum([0, *map(len, pairs)])
+    every, at = np.unique(np.concatenate(pairs), return_inverse=True)
+    count = np.bincount(at, weights=np.concatenate([_from_small(x.as_py(), len(p)) for x, p in zip(rows["pair_n"], pairs, strict=True)]), minlength=len(every))
+    del pairs
+    triples = [EliasFano.unpack(x.as_py()) for x in rows["triples"]]
+    triple_edge = np.cumsum([0, *map(len, triples)])
+    triple_n = np.concatenate([_from_small(x.as_py(), len(t)) for x, t in zip(rows["triple_n"], triples, strict=True)])
+    for b, t in enumerate(triples):
+        triples[b] = at[edge[b] : edge[b + 1]][(t // size_).astype(np.int64)].astype(np.uint64) * size_ + t % size_
+    triple, triple_at = np.unique(np.concatenate(triples), return_inverse=True)
+    triple_n = np.bincount(triple_at, weights=triple_n, minlength=len(triple))
+    del triples
+    context, word = (triple // size_).astype(np.int64), triple % size_
+    seen3 = triple_n > 0
+    # The trie holds what was seen in training, and the pairs on the way to it.
+    seen2 = count > 0
+    seen2[context[seen3]] = True
+    place = np.cumsum(seen2) - 1
+    trie = Trie(size, every[seen2], count[seen2] / total, place[context[seen3]], word[seen3], triple_n[seen3] / total)
+    found = trie.find_pairs(every)
+    level2 = np.where(found >= 0, trie.pair_level[np.maximum(found, 0)], 0).astype(np.uint16) if seen2.any() else np.zeros(len(every), np.uint16)
+    found = trie.find_triples(found[context], word)
+    level3 = np.where(found >= 0, trie.triple_level[np.maximum(found, 0)], 0).astype(np.uint16) if seen3.any() else np.zeros(len(triple), np.uint16)
+    trie.close()
+    out2, out3 = [], []
+    for b, asked in enumerate(rows["asked"].to_pylist()):
+        mine = level2[at[edge[b] : edge[b + 1]]]
+        if asked:
+            mine = mine[np.unpackbits(np.frombuffer(asked, np.uint8))[: len(mine)].astype(bool)]
+        out2.append(zlib.compress(mine.tobytes(), 1))
+        out3.append(zlib.compress(level3[triple_at[triple_edge[b] : triple_edge[b + 1]]].tobytes(), 1))
+    return pa.table([rows["batch"], rows["shard"], pa.array(out2, pa.binary()), pa.array(out3, pa.binary())], schema=ANSWERS)
+
+
+def _tokens(row: dict) -> np.ndarray:
+    return np.frombuffer(row["low"], np.uint16).astype(np.int32) | (np.frombuffer(row["high"], np.uint16).astype(np.int32) << 16)
+
+
+def _numbers(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(number or -1, training count) of each word of a batch."""
+    n = len(row["words"]) // 8
+    number, count = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+    if row["known_at"]:
+        at = np.array(row["known_at"])
+        number[at], count[at] = row["known_id"], row["known_n"]
+    return number, count
+
+
+def _scores(row: dict, size: int, hot: int, shards: int, total: int, ends: int) -> pa.Table:
+    number, count = _numbers(row)
+    token, sizes = _tokens(row), np.frombuffer(row["sizes"], np.uint32)
+    grams = Ngrams(token, sizes, number, size, hot, shards)
+    level2, level3 = np.zeros(len(grams.pairs), np.uint16), np.zeros(len(grams.word), np.uint16)
+    for a in row["answers"] or []:
+        s = a["shard"]
+        level2[grams.pair_order[grams.pair_edge[s] : grams.pair_edge[s + 1]]] = np.frombuffer(zlib.decompress(a["pairs"]), np.uint16)
+        level3[grams.triple_order[grams.triple_edge[s] : grams.triple_edge[s + 1]]] = np.frombuffer(zlib.decompress(a["triples"]), np.uint16)
+    # Expected counts; the last entry stands for n-grams with a word that training lacks.
+    n2, n3 = np.append(restore(level2) * total, 0.0), np.append(restore(level3) * total, 0.0)
+    own = (count + ADD) / (total + ADD * (size - 1 + 1))
+    one = own[token]
+    first = np.zeros(len(token), bool)
+    first[np.cumsum(sizes, dtype=np.int64) - sizes] = True
+    before = np.empty(len(token))
+    before[1:] = count[token[:-1]]
+    before[first] = ends
+    two = (n2[grams.pair_at] + PRIOR[0] * one) / (before + PRIOR[0])
+    context = np.empty(len(token))
+    context[1:] = n2[grams.pair_at[:-1]]
+    context[first] = 0.0
+    # Rounding must not make a triple likelier than its context.
+    three = (np.minimum(n3[grams.triple_at], context) + PRIOR[1] * two) / (context + PRIOR[1])
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    add = lambda x: np.bincount(doc, weights=x, minlength=len(sizes))
+    return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": sizes.astype(np.int64), "n_known": add(count[token] > 0).astype(np.int64), "train_tokens": np.full(len(sizes), total, np.int64), "base_score": add(np.log10(one)), "score": add(np.log10(three))})
+
+
+def numbered_words(asked: DataFrame) -> DataFrame:
+    """word, n, id of the words (word, n) with training counts: numbers from 0 by falling count.
+
+    Sorted by ranges, and numbered within them as the table is written, so no task gets all words.
+    """
+    counts = asked.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
+    table = written(counts.orderBy(F.desc("n"), "word").withColumn("at", F.monotonically_increasing_id()), "lm-words")
+    part = F.shiftright("at", 33)
+    sizes = sorted((r["part"], r["size"]) for r in table.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("size")).collect())
+    # One number a range of the sort.
+    starts, total = [], 0
+    for k, size in sizes:
+        starts.append((k, total))
+        total += size
+    ranges = table.sparkSession.createDataFrame(starts, "part long, start long")
+    return table.withColumn("part", part.cast("long")).join(F.broadcast(ranges), "part").select("word", "n", (F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("id"))
+
+
+def score(docs: DataFrame, held_out: Column, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """RESULT for every row of docs (doc_id, text), learning from the rows that aren't held out.
 
     Tokens are lower-cased words and one end; null and empty texts have the end alone. The model
-    is a bigram one with a Dirichlet prior from the word's own smoothed probability, which is what
-    base_score adds up. Repeated rows count and are scored each; null ids are held in if held_out
-    says so. Without training rows N is 0 and each token has probability 1. An empty table gives
-    no rows. shards: the model's parts, by default spark.sql.shuffle.partitions.
+    is a trigram one: Dirichlet priors lead from a word's own smoothed probability, which is what
+    base_score adds up, over pairs to triples. Repeated rows count and are scored each; null ids are
+    held in if held_out says so. Without training rows N is 0 and each token has probability 1. An
+    empty table gives no rows. shard_tokens: how many tokens' n-grams a shard counts.
     """
-    spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long"), "text", held_out.alias("held"))
-    hot = np.array(hot_words(rows, shards), np.uint64)
-
-    def ask(batches):
-        hasher = Hasher()
-        for part in _split(batches):
-            name = _name(part)
-            batch = Batch(part.column(1), ~part.column(2).to_numpy(zero_copy_only=False).astype(bool), hasher, shards, hot)
-            for s, (words, n, of, tail, pair_n) in enumerate(batch.questions()):
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([name], pa.int64()), *(pa.array([x], pa.binary()) for x in (words.tobytes(), n.tobytes(), of.tobytes(), _tails(tail), pair_n.tobytes()))], [c.split()[0] for c in QUESTIONS.split(", ")])
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(held_out, F.lit(False)).alias("held"))
 
-    def tell(batches):
+    def tokenise(batches):
         hasher = Hasher()
         for part in _split(batches):
-            batch = Batch(part.column(1), ~part.column(2).to_numpy(zero_copy_only=False).astype(bool), hasher, shards, hot)
-            # Places of the followers among the words without BEGIN's extra copies: homes in order.
-            sizes = np.bincount(batch.doc, minlength=part.num_rows).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array([_name(part)], pa.int64()), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([part.column(2).to_pylist()], pa.list_(pa.bool_())), *(pa.array([x.tobytes()], pa.binary()) for x in (sizes, batch.follower.astype(np.uint32), batch.pair.astype(np.uint32)))], ["batch", "ids", "held", "sizes", "follower", "pair"])
-
-    asked = rows.mapInArrow(ask, QUESTIONS)
-    answered = asked.groupBy("shard").applyInArrow(lambda key, table: _answers(table, key[0].as_py(), shards), "batch long, shard int, n long, v long, counts binary, chance binary, weight binary")
-    told = rows.mapInArrow(tell, "batch long, ids array<long>, held array<boolean>, sizes binary, follower binary, pair binary")
-    return told.groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(lambda key, a, b: _scores(a, b), RESULT)
+            yield _batch(part, hasher)
+
+    batches = written(rows.mapInArrow(tokenise, BATCHES).withColumn("batch", F.monotonically_increasing_id()), "lm-batches", compression="zstd")
+
+    def ask_words(parts):
+        for part in parts:
+            for row in part.to_pylist():
+                words, n = np.frombuffer(row["words"], np.int64), np.frombuffer(row["word_n"], np.uint32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), row["batch"]), pa.int64()), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(words), pa.array(n.astype(np.int64))], ["batch", "at", "word", "n"])
+
+    asked = batches.select("batch", "words", "word_n").mapInArrow(ask_words, "batch long, at int, word long, n long")
+    words = written(numbered_words(asked.select("word", "n")), "lm-numbered")
+    sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("n"))), F.lit(0)).alias("ends")).collect()[0]
+    total, size, ends = int(sums["n"]), int(sums["v"]) + 1, int(sums["ends"])
+    shards = max(1, -(-total // shard_tokens))
+    # A hot word has a share of tokens that would fill half a shard.
+    hot = words.where(F.col("n") * (2 * shards) >= total).count() if total else 0
+    known = asked.select("batch", "at", "word").join(words, "word").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("at", "id", "n"))).alias("k"))
+    known = written(known.select("batch", F.col("k.at").alias("known_at"), F.col("k.id").alias("known_id"), F.col("k.n").alias("known_n")), "lm-known")
+
+    def ask(key, table):
+        out = []
+        for row in table.to_pylist():
+            number, _ = _numbers(row)
+            sizes = np.frombuffer(row["sizes"], np.uint32)
+            grams = Ngrams(_tokens(row), sizes, number, size, hot, shards)
+            out += [(s, row["batch"], *rest) for s, *rest in grams.questions(~np.repeat(np.array(row["held"], bool), sizes))]
+        return pa.Table.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate([pa.int32(), pa.int64(), *[pa.binary()] * 5])], [c.split()[0] for c in QUESTIONS.split(", ")])
+
+    told = batches.join(known, "batch", "left")
+    questions = told.select("batch", "held", "sizes", "words", "low", "high", "known_at", "known_id", "known_n").groupBy("batch").applyInArrow(ask, QUESTIONS)
+    answered = questions.repartition(shards, "shard").groupBy("shard").applyInArrow(lambda table: _answers(table, size, total), "batch long, shard int, pairs binary, triples binary")
+    answers = answered.groupBy("batch").agg(F.collect_list(F.struct("shard", "pairs", "triples")).alias("answers"))
+
+    def tell(key, table):
+        return pa.concat_tables([_scores(row, size, hot, shards, total, ends) for row in table.to_pylist()])
+
+    return told.drop("word_n").join(answers, "batch", "left").groupBy("batch").applyInArrow(tell, RESULT)

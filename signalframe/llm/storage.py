@@ -26,10 +26,10 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/signalframe/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
+def written(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Cut lineage: write df as Parquet to the shared folder and read it again."""
     path = new_path(df.sparkSession, tag)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

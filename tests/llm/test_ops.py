@@ -442,40 +442,73 @@ def brute_base(rows):
 
 
 @pytest.mark.parametrize("which", ["odd", "documents"])
-@pytest.mark.parametrize("shards", [1, 5])
-def test_language_model_base(request, which, shards):
+@pytest.mark.parametrize("shard_tokens", [1 << 40, 3000])
+def test_language_model_base(request, which, shard_tokens):
     docs = request.getfixturevalue(which)
     held = bpe.doc_hash() % 10 == 0
-    got = sorted(lm.score(docs, held, shards).collect(), key=lambda r: (repr(r["doc_id"]), r["n_tokens"]))
+    got = sorted(lm.score(docs, held, shard_tokens).collect(), key=lambda r: (repr(r["doc_id"]), r["n_tokens"]))
     rows = [(r[0], r[1], r[2]) for r in docs.select("doc_id", "text", held).collect()]
     want = sorted(brute_base(rows), key=lambda r: (repr(r[0]), r[2]))
     assert [tuple(r)[:5] for r in got] == [w[:5] for w in want]
     assert np.allclose([r["base_score"] for r in got], [w[5] for w in want], atol=1e-6)
 
 
-def test_language_model_is_the_smoothed_bigram(documents):
+@pytest.mark.parametrize("shard_tokens", [1 << 40, 20_000])
+def test_language_model_is_the_smoothed_trigram(documents, monkeypatch, shard_tokens):
+    monkeypatch.setattr(lm, "CHUNK", 512)
+    monkeypatch.setattr(lm, "BATCH_BYTES", 100_000)
     held = F.col("doc_id") % 3 == 0
     rows = [(r[0], [*tokens(r[1]), "\0end"], r[2]) for r in documents.select("doc_id", "text", held).collect()]
     one = Counter(w for _, t, h in rows if not h for w in t)
     two = Counter(p for _, t, h in rows if not h for p in zip(["\0begin", *t], t, strict=False))
-    ctx = Counter(a for (a, _), c in two.items() for _ in range(c))
+    three = Counter(p for _, t, h in rows if not h for p in zip(["\0begin", *t], t, t[1:], strict=False))
     n, v = sum(one.values()), len(one)
+    one["\0begin"] = one["\0end"]
     own = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
-    got = {r["doc_id"]: r for r in lm.score(documents, held, 4).collect()}
+    pair = lambda a, b: (two[a, b] + lm.PRIOR[0] * own(b)) / (one[a] + lm.PRIOR[0])
+    triple = lambda a, b, c: (three[a, b, c] + lm.PRIOR[1] * pair(b, c)) / (two[a, b] + lm.PRIOR[1])
+    got = {r["doc_id"]: r for r in lm.score(documents, held, shard_tokens).collect()}
     for i, t, _ in rows:
-        want = sum(math.log10((two[a, b] + lm.PRIOR * own(b)) / (ctx[a] + lm.PRIOR)) for a, b in zip(["\0begin", *t], t, strict=False))
-        assert abs(got[i]["score"] - want) < 2e-4 * len(t) + 1e-6
-
-
-def test_elias_fano_finds_what_it_holds():
-    values = np.unique(np.random.default_rng(8).integers(0, 2**63, 5000, np.uint64))
-    low, high = lm.EliasFano.levels(values)
-    ef = lm.EliasFano(low, high)
-    at = np.arange(len(values))
-    assert np.array_equal(ef[at], values) and low.nbytes + high.nbytes < values.nbytes * 0.95
-    wanted = np.concatenate([values, values + np.uint64(1)])
-    found = ef.find(wanted, np.zeros(len(wanted), np.int64), np.full(len(wanted), len(values)))
-    assert np.array_equal(found[: len(values)], at) and np.array_equal(found[len(values) :] >= 0, np.isin(values + np.uint64(1), values))
+        want = math.log10(pair("\0begin", t[0])) + sum(math.log10(triple(a, b, c)) for a, b, c in zip(["\0begin", *t], t, t[1:], strict=False))
+        assert abs(got[i]["score"] - want) < 5e-4 * len(t) + 1e-6
+
+
+def test_elias_fano_finds_what_it_holds(monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(lm, "CHUNK", 700)
+    for values in (np.unique(rng.integers(0, 2**63, 5000, np.uint64)), np.sort(rng.integers(0, 4000, 5000)).astype(np.uint64), np.arange(3, dtype=np.uint64), np.zeros(0, np.uint64)):
+        assert np.array_equal(lm.EliasFano.unpack(lm.EliasFano.pack(values)), values)
+        ef = lm.EliasFano(*lm.EliasFano.levels(values))
+        at = np.sort(rng.integers(0, max(len(values), 1), 300)) if len(values) else np.zeros(0, np.int64)
+        assert np.array_equal(ef.get(at), values[at])
+        assert len(values) < 100 or ef.low.nbytes + ef.high.nbytes < values.nbytes * 0.95
+        wanted = np.unique(np.concatenate([values, values + np.uint64(1), np.array([0, 2**40], np.uint64)]))
+        found = ef.find(wanted)
+        assert np.array_equal(found >= 0, np.isin(wanted, values))
+        assert np.array_equal(values[found[found >= 0]], wanted[found >= 0])
+
+
+def test_trie_holds_pairs_and_triples():
+    rng = np.random.default_rng(9)
+    size = 50
+    pairs = np.unique(rng.integers(0, size * size, 600, np.uint64))
+    keys = np.unique(rng.integers(0, len(pairs), 900).astype(np.uint64) * np.uint64(size) + rng.integers(0, size, 900, np.uint64))
+    context, word = (keys // np.uint64(size)).astype(np.int64), keys % np.uint64(size)
+    p2, p3 = rng.random(len(pairs)), rng.random(len(keys))
+    trie = lm.Trie(size, pairs, p2, context, word, p3)
+    every = np.arange(size * size, dtype=np.uint64)
+    found = trie.find_pairs(every)
+    assert np.array_equal(found >= 0, np.isin(every, pairs)) and np.array_equal(found[pairs.astype(int)], np.arange(len(pairs)))
+    assert np.allclose(lm.restore(trie.pair_level), p2, rtol=1e-3)
+    asked = np.arange(len(pairs) * size, dtype=np.uint64)
+    place = trie.find_triples((asked // np.uint64(size)).astype(np.int64), asked % np.uint64(size))
+    assert np.array_equal(place >= 0, np.isin(asked, keys)) and np.allclose(lm.restore(trie.triple_level[place[place >= 0]]), p3, rtol=1e-3)
+    trie.close()
+
+
+def test_counts_of_any_size_are_packed():
+    counts = np.array([0, 1, 254, 255, 256, 2**40])
+    assert np.array_equal(lm._from_small(lm._small(counts), len(counts)), counts)
 
 
 def test_quality_held_out(spark):
