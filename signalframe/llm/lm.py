@@ -24,8 +24,8 @@ from .words import Hasher, chunks, mix64, split_words
 
 END = 0x1F3D5B79A2C4E687
 ADD = 0.1
-#: Weights of the lower order's probability against the counts of a context of one and of two words.
-PRIOR = (400.0, 20.0)
+#: Weights of the lower order's probability against the counts of a context of one and of two words, by the likelihood of held-out documents.
+PRIOR = (2000.0, 5.0)
 #: Quantised log10 probabilities: steps a unit; 0 stands for unseen.
 STEPS = 4096
 BATCH_BYTES = 14 << 20
