@@ -106,7 +106,7 @@ def parse_clock(text: Column) -> Column:
 
 
 def escape_html(text: Column) -> Column:
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
 
@@ -136,8 +136,8 @@ def rgb(text: Column) -> Column:
     return F.when(is_hex_colour(text), F.conv(text.substr(2, 6), 16, 10).cast("int"))
 
 
-#: Image types by extension.
-MIME = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp"}
+# Image types by extension; anything else counts as the first.
+MIME = {"jpg": "image/jpeg", "png": "image/png", "gif": "image/gif", "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff", "webp": "image/webp"}
 
 
 def extension(path: Column) -> Column:
@@ -145,7 +145,7 @@ def extension(path: Column) -> Column:
 
 
 def mime(path: Column) -> Column:
-    return F.create_map(*[F.lit(x) for kv in MIME.items() for x in kv])[extension(path)]
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in MIME.items() for x in kv])[extension(path)], F.lit("image/jpeg"))
 
 
 def data_url(kind: Column, content: Column) -> Column:
@@ -153,7 +153,8 @@ def data_url(kind: Column, content: Column) -> Column:
 
 
 def canonical_id(text: Column) -> Column:
-    return F.replace(F.lower(F.trim(text)), F.lit("_"), F.lit("-"))
+    """Lower case, with - for _: the form in which preset names are compared."""
+    return F.replace(F.lower(text), F.lit("_"), F.lit("-"))
 
 
 def output_name(path: Column, pattern: Column, suffix: str) -> Column:
@@ -175,8 +176,19 @@ def reverb_bucket(rt60: Column) -> Column:
 
 
 def headroom_bucket(peak_db: Column) -> Column:
-    return F.when(peak_db > -3, "hot").when(peak_db > -9, "good").when(peak_db > -24, "low").when(peak_db > -50, "very_low").otherwise("silent")
+    return F.when(peak_db > -9, "hot").when(peak_db > -24, "good").when(peak_db > -50, "quiet").otherwise("silent")
 
 
 def noise_bucket(floor_db: Column) -> Column:
-    return F.when(floor_db < -55, "quiet").when(floor_db < -40, "fair").otherwise("noisy")
+    return F.when(floor_db < -55, "quiet").when(floor_db < -40, "some_hiss").otherwise("noisy")
+
+
+def engaged_dither(bits: Column) -> Column:
+    """Whether a depth in bits calls for dither: below 32; null doesn't."""
+    return F.coalesce(bits < 32, F.lit(False))
+
+
+def lanczos(x: Column, a: int = 8) -> Column:
+    """The Lanczos kernel of a lobes: 1 at 0, 0 from a on."""
+    px = F.lit(math.pi) * x
+    return F.when(F.abs(x) < 1e-12, 1.0).when(F.abs(x) >= a, 0.0).otherwise(a * F.sin(px) * F.sin(px / a) / (px * px))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,11 +73,40 @@ def removed_seconds(cuts: DataFrame, key: str) -> DataFrame:
     return cuts.groupBy(key).agg(F.coalesce(F.sum(F.when(F.col("accepted"), F.col("end") - F.col("start"))), F.lit(0.0)).alias("removed"))
 
 
-def render(samples: DataFrame, edits: DataFrame, key: str, rate: float) -> DataFrame:
-    """key, n, x of the kept ranges one after another (hard joins at sample resolution)."""
-    w = Window.partitionBy(key).orderBy("start")
-    lo, hi = F.floor(F.col("start") * rate + 0.5).cast("long"), F.floor(F.col("end") * rate + 0.5).cast("long")
-    kept = edits.where("kept").select(key, lo.alias("lo"), hi.alias("hi"), "start")
-    kept = kept.withColumn("at", F.coalesce(F.sum(F.col("hi") - F.col("lo")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    pairs = samples.join(kept, key).where((F.col("n") >= F.col("lo")) & (F.col("n") < F.col("hi")))
-    return pairs.select(key, (F.col("at") + F.col("n") - F.col("lo")).alias("n"), "x")
+SAMPLES_A_BUCKET = 1 << 16
+
+
+def render(samples: DataFrame, edits: DataFrame, key: str, rate: float, crossfade: float = 0.060) -> DataFrame:
+    """key, n, x of the kept ranges one after another, with equal-power crossfades where they join.
+
+    samples: key, n, x. A join is as long as crossfade, or as the shorter of its two ranges; what a
+    later join fades out is all that lies under it, earlier joins included. Samples meet ranges by
+    buckets of places, so a long signal with many ranges is dealt over tasks.
+    """
+    place = lambda c: F.floor(F.greatest(F.col(c), F.lit(0.0)) * rate + 0.5).cast("long")
+    ends = samples.groupBy(key).agg((F.max("n") + 1).alias("frames"))
+    kept = edits.where("kept").join(ends, key).select(key, F.least(place("start"), F.col("frames")).alias("lo"), F.least(place("end"), F.col("frames")).alias("hi"), "start").where("hi > lo")
+    order = Window.partitionBy(key).orderBy("start", "lo")
+    size = F.col("hi") - F.col("lo")
+    kept = kept.withColumn("k", F.row_number().over(order)).withColumn("fade", F.when(F.lag(size).over(order).isNull(), 0).otherwise(F.least(F.lit(int(crossfade * rate + 0.5)), F.lag(size).over(order), size)))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    kept = kept.withColumn("at", F.coalesce(F.sum(size).over(before), F.lit(0)) - F.sum("fade").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    bucket = lambda c: F.floor(c / SAMPLES_A_BUCKET)
+    ranges = kept.withColumn("b", F.explode(F.sequence(bucket(F.col("lo")), bucket(F.col("hi") - 1))))
+    parts = samples.select(key, "n", "x", bucket(F.col("n")).alias("b")).join(ranges, [key, "b"]).where("n >= lo AND n < hi")
+    i = F.col("n") - F.col("lo")
+    rising = F.when(i < F.col("fade"), F.sin(F.lit(math.pi / 2) * (i + 0.5) / F.col("fade"))).otherwise(1.0)
+    parts = parts.select(key, (F.col("at") + i).alias("p"), "k", (F.col("x") * rising).alias("x")).withColumn("b", bucket(F.col("p")))
+    joins = kept.where("fade > 0").select(key, F.col("k").alias("join"), F.col("at").alias("from"), (F.col("at") + F.col("fade")).alias("to"), "fade")
+    joins = joins.withColumn("b", F.explode(F.sequence(bucket(F.col("from")), bucket(F.col("to") - 1)))).withColumnRenamed(key, "__k").withColumnRenamed("b", "__b")
+    under = (F.col(key) == F.col("__k")) & (F.col("b") == F.col("__b")) & (F.col("join") > F.col("k")) & (F.col("p") >= F.col("from")) & (F.col("p") < F.col("to"))
+    falling = F.log(F.cos(F.lit(math.pi / 2) * (F.col("p") - F.col("from") + 0.5) / F.col("fade")))
+    faded = parts.join(joins, under, "left").groupBy(key, "p", "k").agg(F.first("x").alias("x"), F.exp(F.coalesce(F.sum(falling), F.lit(0.0))).alias("w"))
+    return faded.groupBy(key, F.col("p").alias("n")).agg(F.sum(F.col("x") * F.col("w")).alias("x"))
+
+
+def valid_clips(clips: DataFrame, durations: DataFrame, key: str, rate: float) -> DataFrame:
+    """clips (key, start, end) with an end behind their start and a sample inside 0 to duration."""
+    d = durations.select(key, "duration")
+    lo, hi = (F.floor(F.least(F.greatest(c, F.lit(0.0)), F.col("duration")) * rate + 0.5) for c in ("start", "end"))
+    return clips.join(d, key).where((F.col("end") > F.col("start")) & (hi > lo)).drop("duration")

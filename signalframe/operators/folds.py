@@ -1,14 +1,17 @@
-"""Ordered folds whose state isn't associative, over the arrays of bounded groups.
+"""Ordered folds whose state isn't associative, over ordered groups.
 
-A fold runs in the JVM over one group's sorted array: a conversation, a transcript or a hop-level
-curve. Sample-level recursions are in recursive.py.
+Folds of one number a group stay in the JVM as aggregate(); those that tell something of each row
+run over sorted groups (grouped.py), linear in their rows. Sample-level recursions are in recursive.py.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .grouped import grouped_map, numbers
+
 
 def ordered(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
     """key and rows: its rows as structs (order, columns), sorted."""
@@ -17,10 +20,22 @@ def ordered(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFram
 
 def thin(df: DataFrame, key: str, at: str, gap: float, columns: list[str]) -> DataFrame:
     """Rows kept in order, each at least gap after the last kept one."""
-    rows = ordered(df, key, at, columns)
-    kind = rows.schema["rows"].dataType.simpleString()
-    step = lambda kept, x: F.when((F.size(kept) == 0) | (x[at] - F.element_at(kept, -1)[at] >= gap), F.array_append(kept, x)).otherwise(kept)
-    return rows.select(key, F.explode(F.aggregate("rows", F.array().cast(kind), step)).alias("x")).select(key, "x.*")
+    kinds = dict(df.dtypes)
+
+    def run(group):
+        v = numbers(group, at)
+        kept, k = [], 0
+        while k < len(v):
+            kept.append(k)
+            k = int(np.searchsorted(v, v[k] + gap))
+            # Rounding of the sum mustn't keep a row that lies nearer.
+            while k < len(v) and v[k] - v[kept[-1]] < gap:
+                k += 1
+            k = max(k, kept[-1] + 1)
+        rows = group.take(kept)
+        return {c: rows[c].to_pylist() for c in [at, *columns]}
+
+    return grouped_map(df, [key], [at], columns, run, ", ".join(f"`{c}` {kinds[c]}" for c in [at, *columns]))
 
 
 def greedy_far(df: DataFrame, key: str, score: str, at: str, gap: float, most: int) -> DataFrame:
@@ -31,66 +46,76 @@ def greedy_far(df: DataFrame, key: str, score: str, at: str, gap: float, most: i
     return rows.select(key, F.explode(F.aggregate("rows", F.array().cast("array<double>"), step)).alias(at))
 
 
-def slew(df: DataFrame, key: str, order: str, wanted: str, up: float, down: float, start: Column, hold: str | None = None, name: str = "gain") -> DataFrame:
+def slew(df: DataFrame, key: str, order: str, wanted: str, up: float, down: float, start: float = 0.0, hold: str | None = None, name: str = "gain") -> DataFrame:
     """key, order, name: follows wanted by at most up or down a row; rows with hold keep the last value."""
-    extra = [wanted] + ([hold] if hold else [])
-    rows = ordered(df, key, order, extra)
 
-    def step(acc, x):
-        last = acc["g"]
-        moved = last + F.least(F.greatest(x[wanted] - last, F.lit(-down)), F.lit(up))
-        now = F.when(x[hold], last).otherwise(moved) if hold else moved
-        return F.struct(now.alias("g"), F.array_append(acc["out"], F.struct(x[order].alias(order), now.alias(name))).alias("out"))
+    def run(group):
+        held = group[hold].to_pylist() if hold else [False] * group.num_rows
+        g, out = float(start), np.empty(group.num_rows)
+        for i, (want, keep) in enumerate(zip(numbers(group, wanted).tolist(), held, strict=True)):
+            if not keep:
+                g += min(max(want - g, -down), up)
+            out[i] = g
+        return {order: group[order].to_pylist(), name: out}
 
-    kind = dict(df.dtypes)[order]
-    begin = F.struct(start.cast("double").alias("g"), F.array().cast(f"array<struct<{order}:{kind},{name}:double>>").alias("out"))
-    folded = rows.select(key, F.explode(F.aggregate("rows", begin, step, lambda acc: acc["out"])).alias("x"))
-    return folded.select(key, "x.*")
+    return grouped_map(df, [key], [order], [wanted, *([hold] if hold else [])], run, f"`{order}` {dict(df.dtypes)[order]}, `{name}` double")
 
 
 def dc_block(df: DataFrame, key: str, order: str, value: str, pole: float = 0.9975) -> DataFrame:
     """key, order, y of y = x - x[-1] + pole * y[-1], from zero."""
-    rows = ordered(df, key, order, [value])
-    kind = dict(df.dtypes)[order]
+    from .recursive import dc_blocked
 
-    def step(acc, s):
-        y = s[value] - acc["x"] + pole * acc["y"]
-        return F.struct(s[value].cast("double").alias("x"), y.alias("y"), F.array_append(acc["out"], F.struct(s[order].alias(order), y.alias("y"))).alias("out"))
+    def run(group):
+        return {order: group[order].to_pylist(), "y": dc_blocked(numbers(group, value), pole)}
 
-    begin = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.array().cast(f"array<struct<{order}:{kind},y:double>>").alias("out"))
-    return rows.select(key, F.explode(F.aggregate("rows", begin, step, lambda acc: acc["out"])).alias("s")).select(key, "s.*")
+    return grouped_map(df, [key], [order], [value], run, f"`{order}` {dict(df.dtypes)[order]}, y double")
 
 
 def caption_lines(words: DataFrame, key: str, most_words: int = 6, most_chars: int = 32, pause: float = 0.7) -> DataFrame:
     """words (key, start, end, text, word) with line: a new one beyond the words, characters or pause."""
-    rows = ordered(words, key, "start", ["word", "end", "text"])
+    kinds = dict(words.dtypes)
 
-    def step(acc, x):
-        size = F.length(x["text"])
-        breaks = (acc["n"] > 0) & ((acc["n"] >= most_words) | (acc["chars"] + 1 + size > most_chars) | (x["start"] - acc["end"] > pause))
-        line = acc["line"] + F.when(breaks, 1).otherwise(0)
-        out = F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), x["word"].alias("word"), line.alias("line"))
-        return F.struct(line.alias("line"), F.when(breaks, 1).otherwise(acc["n"] + 1).alias("n"), F.when(breaks | (acc["n"] == 0), size).otherwise(acc["chars"] + 1 + size).alias("chars"), x["end"].cast("double").alias("end"), F.array_append(acc["out"], out).alias("out"))
+    def run(group):
+        line = n = chars = 0
+        last, out = 0.0, []
+        for start, end, size in zip(numbers(group, "start").tolist(), numbers(group, "end").tolist(), map(len, group["text"].to_pylist()), strict=True):
+            if n and (n >= most_words or chars + 1 + size > most_chars or start - last > pause):
+                line, n, chars = line + 1, 0, 0
+            chars = chars + 1 + size if n else size
+            n, last = n + 1, end
+            out.append(line)
+        return {**{c: group[c].to_pylist() for c in ("start", "end", "text", "word")}, "line": out}
 
-    kinds = dict(words.dtypes)
-    out = f"array<struct<start:{kinds['start']},end:{kinds['end']},text:string,word:{kinds['word']},line:int>>"
-    begin = F.struct(F.lit(0).alias("line"), F.lit(0).alias("n"), F.lit(0).alias("chars"), F.lit(0.0).alias("end"), F.array().cast(out).alias("out"))
-    return rows.select(key, F.explode(F.aggregate("rows", begin, step, lambda acc: acc["out"])).alias("x")).select(key, "x.*")
+    return grouped_map(words, [key], ["start", "word"], ["end", "text"], run, f"start {kinds['start']}, end {kinds['end']}, text string, word {kinds['word']}, line int")
+
+
+BANDS = "array<struct<freq:double,gain:double,q:double>>"
+
+
+def merged_bands(old, new, n):
+    """Bands matched by their place and averaged as the n-th of a history; those that one side lacks stay as they are."""
+    mean = lambda a, b: a + (b - a) / n
+    both = lambda a, b: F.struct(*[mean(a[c], b[c]).alias(c) for c in ("freq", "gain", "q")])
+    return F.zip_with(old, new, lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(both(a, b)))
 
 
-def running_profiles(history: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
+def running_profiles(history: DataFrame, key: str, order: str, values: list[str], bands: str | None = None) -> DataFrame:
     """key, n and values after a history of rows in order: 'merge' averages in, 'upsert' replaces.
 
-    history has a column op. A merge into nothing is an upsert; after an upsert n is 1.
+    history has a column op. A merge into nothing is an upsert; after an upsert n is 1. bands: a
+    column of BANDS, merged by place.
     """
-    rows = ordered(history, key, order, ["op", *values])
+    rows = ordered(history, key, order, ["op", *values, *([bands] if bands else [])])
 
     def step(acc, x):
         fresh = (x["op"] == "upsert") | (acc["n"] == 0)
         n = F.when(fresh, 1).otherwise(acc["n"] + 1)
-        return F.struct(n.alias("n"), *[F.when(fresh, x[v].cast("double")).otherwise(acc[v] + (x[v] - acc[v]) / n).alias(v) for v in values])
+        told = [F.when(fresh, x[v].cast("double")).otherwise(acc[v] + (x[v] - acc[v]) / n).alias(v) for v in values]
+        if bands:
+            told.append(F.when(fresh, x[bands].cast(BANDS)).otherwise(merged_bands(acc[bands], x[bands].cast(BANDS), n)).cast(BANDS).alias(bands))
+        return F.struct(n.alias("n"), *told)
 
-    begin = F.struct(F.lit(0).alias("n"), *[F.lit(0.0).alias(v) for v in values])
+    begin = F.struct(F.lit(0).alias("n"), *[F.lit(0.0).alias(v) for v in values], *([F.array().cast(BANDS).alias(bands)] if bands else []))
     return rows.select(key, F.aggregate("rows", begin, step).alias("x")).select(key, "x.*")
 
 
@@ -100,10 +125,10 @@ def greedy_chunks(df: DataFrame, key: str, order: str, size: str, budget: int, o
     Each chunk after the first begins with whole rows of the last one worth up to the overlap, but
     always later than it began. A row beyond the budget makes a chunk alone.
     """
-    rows = ordered(df, key, order, [size])
     back = int(budget * overlap)
 
-    def pack(sizes: list[int]) -> list[tuple[int, int, int]]:
+    def run(group):
+        sizes = group[size].to_pylist()
         out, start = [], 0
         while start < len(sizes):
             end, used = start, 0
@@ -118,7 +143,6 @@ def greedy_chunks(df: DataFrame, key: str, order: str, size: str, budget: int, o
                 spare -= sizes[again - 1] + 1
                 again -= 1
             start = again
-        return out
+        return {c: [r[k] for r in out] for k, c in enumerate(("chunk", "first", "last"))}
 
-    packed = F.udf(pack, "array<struct<chunk:int,first:int,last:int>>", useArrow=True)
-    return rows.select(key, F.explode(packed(F.transform("rows", lambda r: r[size].cast("int")))).alias("x")).select(key, "x.*")
+    return grouped_map(df, [key], [order], [size], run, "chunk int, first int, last int")

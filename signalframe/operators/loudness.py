@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import lufs
 from ..functions.stats import nearest_rank, order_statistics
+from .grouped import grouped_map, numbers
 from .recursive import K_WEIGHTING, run_filters, stage, true_peaks
 
 
@@ -50,12 +50,30 @@ def loudness_range(short: DataFrame) -> DataFrame:
 def true_peak(samples: DataFrame) -> DataFrame:
     """signal_id, true_peak_db, four times oversampled."""
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        x = group.sort_values("n")["x"].to_numpy(float)
-        return pd.DataFrame({"signal_id": [group["signal_id"].iloc[0]], "true_peak_db": [20 * np.log10(max(true_peaks(x).max(initial=0.0), 1e-6))]})
+    def one(group):
+        return {"true_peak_db": [20 * np.log10(max(true_peaks(numbers(group, "x")).max(initial=0.0), 1e-6))]}
 
-    kind = dict(samples.dtypes)["signal_id"]
-    return samples.groupBy("signal_id").applyInPandas(one, f"signal_id {kind}, true_peak_db double")
+    return grouped_map(samples, ["signal_id"], ["n"], ["x"], one, "true_peak_db double")
+
+
+def loudness_maxima(weighted: DataFrame, rate: int) -> DataFrame:
+    """signal_id, momentary_max_lufs, short_term_max_lufs: the loudest 400 ms and 3 s, a block each 100 ms.
+
+    -120 for signals shorter than a block.
+    """
+    step = rate // 10
+    top = lambda block, name: block_loudness(weighted, block, step).groupBy("signal_id").agg(lufs(F.max("ms")).alias(name))
+    every = weighted.select("signal_id").distinct()
+    out = every.join(top(4 * step, "momentary_max_lufs"), "signal_id", "left").join(top(30 * step, "short_term_max_lufs"), "signal_id", "left")
+    return out.fillna(-120.0, ["momentary_max_lufs", "short_term_max_lufs"])
+
+
+def weighted_blocks(weighted: DataFrame, block: int, step: int, gains: dict[int, float] | None = None) -> DataFrame:
+    """signal_id, block, ms of channels (signal_id, ch, n, x) added up, each times its gain (1; surrounds 1.41)."""
+    gain = F.create_map(*[F.lit(v) for kv in (gains or {}).items() for v in kv]) if gains else None
+    g = F.coalesce(gain[F.col("ch")], F.lit(1.0)) if gain is not None else F.lit(1.0)
+    power = weighted.groupBy("signal_id", "n").agg(F.sum(F.col("x") * F.col("x") * g).alias("p"))
+    return block_loudness(power.select("signal_id", "n", F.sqrt("p").alias("x")), block, step)
 
 
 def drive_gain(measure, target: float, tolerance: float = 0.3, most_probes: int = 8, most_step: float = 12.0, cap: float = 30.0) -> tuple[float, int]:

@@ -1,4 +1,4 @@
-"""One signal's chain in one group: the engaged stages, the drive search and the limiter."""
+"""Digests of renders, the injected completer, and generators of test signals."""
 
 from __future__ import annotations
 
@@ -10,37 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import recursive
-from .loudness import drive_gain
-
-
-def block_loudness(x: np.ndarray, rate: float) -> float:
-    """Gated loudness of one channel: 400 ms blocks each 100 ms, absolute and relative gates."""
-    k = recursive.run_filters(x, recursive.K_WEIGHTING)
-    block, step = int(0.4 * rate), int(0.1 * rate)
-    sums = np.concatenate([[0.0], np.cumsum(k * k)])
-    ms = np.array([(sums[i + block] - sums[i]) / block for i in range(0, len(x) - block + 1, step)])
-    level = lambda v: -0.691 + 10 * np.log10(v) if v > 1e-12 else -120.0
-    loud = np.array([v for v in ms if level(v) > -70])
-    if not len(loud):
-        return -120.0
-    kept = loud[[level(v) > level(loud.mean()) - 10 for v in loud]]
-    return level(kept.mean())
-
-
-def master(x: np.ndarray, rate: float, target: float = -16.0, ceiling: float = -1.0, hum: float | None = None, speech: bool = True) -> tuple[np.ndarray, float, int]:
-    """(signal, drive in dB, probes): front stages, then the gain that meets the target after limiting."""
-    y = recursive.run_filter(recursive.dc_blocked(x), recursive.biquad("highpass", rate, 80.0, 0.7071))
-    if hum:
-        y = recursive.de_hum(y, rate, hum)
-    if speech:
-        y = recursive.de_ess(y, rate)
-    render = lambda g: recursive.limit(y * 10 ** (g / 20), rate, ceiling)
-    gain, probes = drive_gain(lambda g: block_loudness(render(g), rate), target, tolerance=0.3)
-    return render(gain), gain, probes
-
-
-def master_signals(samples: DataFrame, rate: float, **settings) -> DataFrame:
-    return recursive.stage(samples, lambda x: master(x, rate, **settings)[0])
 
 
 def digest(samples: DataFrame, key: str = "signal_id") -> DataFrame:
@@ -73,6 +42,43 @@ def tone(rate: float, seconds: float, freq: float, level: float, seed: int, nois
     return level * np.sin(2 * np.pi * freq * np.arange(n) / rate) + noise * (2 * recursive.splitmix(seed, n) - 1)
 
 
+def coloured_noise(n: int, seed: int, slope_db: float = -3.0, rate: float = 48_000.0) -> np.ndarray:
+    """Seeded noise whose power falls by slope_db an octave; root mean square 1."""
+    spectrum = np.fft.rfft(2 * recursive.splitmix(seed, n) - 1)
+    freq = np.maximum(np.arange(len(spectrum)) * rate / n, 20.0)
+    x = np.fft.irfft(spectrum * (freq / 1000) ** (slope_db / 6.0206), n)
+    return x / max(float(np.sqrt(np.mean(x * x))), 1e-12)
+
+
+def room(x: np.ndarray, rt60: float, seed: int, rate: float = 48_000.0, wet: float = 0.3) -> np.ndarray:
+    """x with a seeded room: noise that decays by 60 dB in rt60 seconds, after the direct sound."""
+    n = max(1, int(rt60 * rate))
+    tail = (2 * recursive.splitmix(seed, n) - 1) * 10 ** (-3 * np.arange(n) / n)
+    tail *= wet / max(float(np.sqrt((tail * tail).sum())), 1e-12)
+    size = 1 << (len(x) + n).bit_length()
+    return x + np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(tail, size), size)[: len(x)]
+
+
+def with_hum(x: np.ndarray, fundamental: float, level: float, harmonics: int = 4, rate: float = 48_000.0) -> np.ndarray:
+    t = np.arange(len(x)) / rate
+    return x + level * sum(np.sin(2 * np.pi * k * fundamental * t) / k for k in range(1, harmonics + 1))
+
+
+def band_limited(x: np.ndarray, top_hz: float, rate: float = 48_000.0) -> np.ndarray:
+    spectrum = np.fft.rfft(x)
+    spectrum[np.arange(len(spectrum)) * rate / max(len(x), 1) > top_hz] = 0
+    return np.fft.irfft(spectrum, len(x))
+
+
+def clipped(x: np.ndarray, drive_db: float) -> np.ndarray:
+    return np.clip(x * 10 ** (drive_db / 20), -1.0, 1.0)
+
+
+def looped(x: np.ndarray, n: int) -> np.ndarray:
+    """x repeated or cut to n samples."""
+    return np.resize(x, n) if len(x) else np.zeros(n)
+
+
 def at_snr(signal: np.ndarray, noise: np.ndarray, snr_db: float) -> np.ndarray:
     power = lambda v: float(np.mean(v * v)) + 1e-20
     return signal + noise * np.sqrt(power(signal) / power(noise) / 10 ** (snr_db / 10))

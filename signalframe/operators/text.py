@@ -29,8 +29,10 @@ def fold_plural(term: Column) -> Column:
 def term_counts(segments: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys, term, tf. Terms have 3 bytes or more, aren't numbers or stopwords, plurals folded."""
     t = segments.select(*keys, F.explode(tokens(F.col(text))).alias("t"))
-    t = t.where((F.octet_length("t") >= 3) & ~F.col("t").rlike(r"^\p{N}+$") & ~F.col("t").isin(STOPWORDS))
-    return t.groupBy(*keys, fold_plural(F.col("t")).alias("term")).agg(F.count(F.lit(1)).alias("tf"))
+    t = t.where((F.octet_length("t") >= 3) & ~F.col("t").isin(STOPWORDS))
+    # Numbers have no plural, so they are told from the terms, of which there are fewer.
+    found = t.groupBy(*keys, fold_plural(F.col("t")).alias("term")).agg(F.count(F.lit(1)).alias("tf"))
+    return found.where(~F.col("term").rlike(r"^\p{N}+$"))
 
 
 def idf(terms: DataFrame, docs: DataFrame, owner: str) -> DataFrame:
@@ -116,7 +118,7 @@ def clip(text: Column, most: int) -> Column:
 
 
 def title_case(term: Column) -> Column:
-    return F.concat(F.upper(F.substring(term, 1, 1)), F.substring(term, 2, 1_000_000))
+    return F.concat(F.upper(F.substring(term, 1, 1)), term.substr(F.lit(2), F.length(term)))
 
 
 def join_terms(terms: Column) -> Column:
@@ -132,6 +134,12 @@ def clean_list(items: Column) -> Column:
     return F.filter(t, lambda s, i: (i == 0) | (s != F.get(t, i - 1)))
 
 
+def clean_keywords(items: Column) -> Column:
+    """clean_list() in lower case without hash marks; adjacent repeats once."""
+    t = F.filter(F.transform(clean_list(items), lambda s: F.lower(F.trim(F.regexp_replace(s, "^#+", "")))), lambda s: s != "")
+    return F.filter(t, lambda s, i: (i == 0) | (s != F.get(t, i - 1)))
+
+
 def clean_title(title: Column) -> Column:
     """Without quotes, marks and a leading 'Chapter 3:'."""
     t = F.trim(F.regexp_replace(F.trim(title), r'^["*#-]+|["*#-]+$', ""))
@@ -142,8 +150,9 @@ def clean_title(title: Column) -> Column:
 
 def first_json(text: Column) -> Column:
     """The first balanced JSON object in a text, strings honoured; null if there is none."""
+    import pandas as pd
 
-    def find(value: str | None) -> str | None:
+    def scan(value: str | None) -> str | None:
         at = (value or "").find("{")
         if at < 0:
             return None
@@ -160,4 +169,8 @@ def first_json(text: Column) -> Column:
                     return value[at : i + 1]
         return None
 
-    return F.udf(find, "string", useArrow=True)(text)
+    @F.pandas_udf("string")
+    def find(values: pd.Series) -> pd.Series:
+        return values.map(scan, na_action="ignore")
+
+    return find(text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clamp, snr_to_strength
+from ..functions.scalars import clamp, denoise_limit_db, snr_to_strength
 
 
 def stages(report: DataFrame) -> DataFrame:
@@ -64,12 +64,47 @@ def findings(configured: DataFrame, keep: list[str]) -> DataFrame:
     return configured.select(*keep, F.explode(found).alias("f")).select(*keep, "f.*")
 
 
-def module_report(configured: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, ord, module, applied of every stage in chain order."""
+# The modules of a report, in chain order.
+MODULES = ("dc_hpf", "dehum", "declip", "declick", "decrackle", "denoise", "breath", "deess", "autoeq", "speaker", "leveler", "loudness", "limiter", "dither")
+
+
+def module_report(configured: DataFrame, keep: list[str], dither_bits: int | None = None) -> DataFrame:
+    """keep, ord, module, applied, detail of every stage in chain order.
+
+    configured: rows of stages(); with before_lufs and after_lufs the loudness row tells both.
+    """
     c = F.col
-    modules = [("downmix", c("downmix")), ("hpf", F.lit(True)), ("dehum", c("dehum_hz").isNotNull()), ("declip", c("declip")), ("declick", c("declick_gate").isNotNull()), ("decrackle", c("decrackle_ratio").isNotNull()), ("denoise", c("denoise_strength").isNotNull()), ("breath", c("breath")), ("deess", c("deess_threshold").isNotNull()), ("autoeq", c("autoeq")), ("speaker", c("speaker_leveling")), ("leveler", F.lit(True)), ("limiter", F.lit(True))]
-    rows = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(m).alias("module"), F.coalesce(on, F.lit(False)).alias("applied")) for i, (m, on) in enumerate(modules)])
-    return configured.select(*keep, F.explode(rows).alias("m")).select(*keep, "m.*")
+    text = lambda pattern, *values: F.format_string(pattern, *values)
+    music = "off (music mode)"
+    has = lambda name: c(name) if name in configured.columns else F.lit(None).cast("double")
+    limit_db = denoise_limit_db(c("denoise_strength"), c("music_mode"))
+    target = c("target_lufs")
+    off = dither_bits is None or dither_bits >= 32
+    rows = {
+        "dc_hpf": (F.lit(True), text("DC blocker + %.0f Hz high-pass", c("cutoff_hz"))),
+        "dehum": (c("dehum_hz").isNotNull(), F.when(c("dehum_hz").isNull(), "skipped (no confirmed hum)").otherwise(text("notch cascade at %.0f Hz + harmonics", c("dehum_hz")))),
+        "declip": (c("declip"), F.when(c("declip"), text("%d clipped regions rebuilt, peaks trimmed to -1 dBFS", c("clipping_regions"))).when(c("clipping_regions") > 3, "off (music-mode percussion guard)").otherwise("skipped (no clipping)")),
+        "declick": (c("declick_gate").isNotNull(), F.when(c("declick_gate").isNull(), music).otherwise("mouth-click outliers bridged (up to 2 ms)")),
+        "decrackle": (c("decrackle_ratio").isNotNull(), F.when(c("decrackle_ratio").isNull(), music).otherwise(text("impulse outliers (%.0f times what is beside them) bridged by prediction (up to 1 ms)", c("decrackle_ratio")))),
+        "denoise": (c("denoise_strength").isNotNull(), F.when(c("denoise_strength").isNull(), "skipped (clean source)").otherwise(text("~%.0f dB max attenuation", limit_db))),
+        "breath": (c("breath"), F.when(c("breath"), "breaths softened by 6 dB (ramped)").otherwise(music)),
+        "deess": (c("deess_threshold").isNotNull(), F.when(c("deess_threshold").isNull(), "skipped (no sibilance)").otherwise(text("5-9 kHz 3:1 above %.2f band ratio", c("deess_threshold")))),
+        "autoeq": (c("autoeq"), F.when(c("autoeq"), "neutral target, amount 0.50 (bells within 6 dB)").otherwise("skipped (non-speech)")),
+        "speaker": (c("speaker_leveling"), F.when(c("speaker_leveling"), text("per-speaker leveling to %.0f LUFS", target)).otherwise("skipped (no diarization)")),
+        "leveler": (F.lit(True), F.concat(text("adaptive leveler to %.0f LUFS speech target", target), F.when(c("music_mode"), " (music mode)").otherwise(""))),
+        "loudness": (F.lit(True), F.when(has("after_lufs").isNull(), text("two-pass normalize (target %.0f)", target)).otherwise(text("two-pass normalize %.1f to %.1f LUFS (target %.0f)", has("before_lufs"), has("after_lufs"), target))),
+        "limiter": (F.lit(True), text("true-peak ceiling %.1f dBTP", c("ceiling_dbtp"))),
+        "dither": (F.lit(not off), F.lit("off (float output)" if off else f"TPDF dither at {dither_bits}-bit")),
+    }
+    found = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(m).alias("module"), F.coalesce(rows[m][0], F.lit(False)).alias("applied"), rows[m][1].alias("detail")) for i, m in enumerate(MODULES)])
+    return configured.select(*keep, F.explode(found).alias("m")).select(*keep, "m.*")
+
+
+def off_target(mastered: DataFrame, keep: list[str], tolerance: float = 0.5) -> DataFrame:
+    """keep, level, title, detail: a warning for each render (after_lufs, target_lufs) further than tolerance from its target."""
+    far = F.abs(F.col("after_lufs") - F.col("target_lufs"))
+    detail = F.format_string("Output integrated loudness is %.1f LUFS, %.1f LU from the %.0f LUFS target: the limiter is at its depth limit, so driving louder would only add distortion.", F.col("after_lufs"), far, F.col("target_lufs"))
+    return mastered.where(far > tolerance).select(*keep, F.lit("warn").alias("level"), F.lit("Loudness off target").alias("title"), detail.alias("detail"))
 
 
 def speaker_gains(speakers: DataFrame, session: str, target: float, most: float = 12.0) -> DataFrame:

@@ -43,6 +43,31 @@ def delta_gate(before: DataFrame, after: DataFrame, key: str, metric: str, least
     return rows.select(key, (F.col("a") - F.col("b")).alias("delta"), (F.col("a") - F.col("b") >= least).alias("passed"))
 
 
+def clip_gates(clips: DataFrame, key: str) -> DataFrame:
+    """key, gate, status, value of each clip's gates: pass, fail, skip (not measured) or report.
+
+    clips: lufs, target_lufs, true_peak, ceiling, real_speech, noisy, bak, ovrl, sig (differences
+    after less before), pesq (difference), stoi, spread_before, spread_after, music_delta.
+    Perceptual gates judge real speech only; intelligibility is only reported.
+    """
+    c = F.col
+    speech = F.coalesce(c("real_speech"), F.lit(False))
+    drop = F.when(c("spread_before") > 0, 1 - c("spread_after") / c("spread_before"))
+    rules = [
+        ("loudness", F.abs(c("lufs") - c("target_lufs")), F.abs(c("lufs") - c("target_lufs")) <= 0.5, F.lit(True)),
+        ("true_peak", c("true_peak"), c("true_peak") <= c("ceiling"), F.lit(True)),
+        ("background", c("bak"), c("bak") >= 1.0, speech & c("noisy")),
+        ("overall", c("ovrl"), c("ovrl") >= F.when(c("noisy"), 0.4).otherwise(-0.05), speech),
+        ("signal", c("sig"), c("sig") >= -0.1, speech),
+        ("pesq", c("pesq"), c("pesq") >= 0.4, speech & c("noisy")),
+        ("leveler", drop, drop >= 0.5, F.lit(True)),
+        ("music", c("music_delta"), F.abs(c("music_delta")) <= 2.0, F.lit(True)),
+        ("stoi", c("stoi"), None, speech),
+    ]
+    rows = [F.struct(F.lit(n).alias("gate"), F.when(v.isNull() | ~F.coalesce(on, F.lit(False)), "skip").when(F.lit(ok is None), "report").when(F.coalesce(ok if ok is not None else F.lit(True), F.lit(False)), "pass").otherwise("fail").alias("status"), v.cast("double").alias("value")) for n, v, ok, on in rules]
+    return clips.select(key, F.explode(F.array(*rows)).alias("g")).select(key, "g.*")
+
+
 def verdict(results: DataFrame, key: str) -> DataFrame:
     """key, passed: whether all gates that weren't skipped or only reported passed."""
     return results.groupBy(key).agg(F.coalesce(F.bool_and(F.when(~F.col("status").isin("skip", "report"), F.col("status") == "pass")), F.lit(True)).alias("passed"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import extension, output_name
@@ -23,6 +25,48 @@ def progress(jobs: DataFrame, key: str) -> DataFrame:
     return jobs.groupBy(key).agg(F.avg(p).alias("progress"))
 
 
+@contextmanager
+def tagged(spark: SparkSession, tag: str):
+    """Jobs started inside carry the tag, so that cancel() ends them and no others."""
+    spark.addTag(tag)
+    try:
+        yield
+    finally:
+        spark.removeTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    spark.interruptTag(tag)
+
+
+def overall(jobs: DataFrame) -> DataFrame:
+    """progress over all jobs, 1 without any."""
+    p = F.when(F.col("state").isin(*TERMINAL), 1.0).otherwise(F.least(F.greatest("progress", F.lit(0.0)), F.lit(1.0)))
+    return jobs.agg(F.coalesce(F.avg(p), F.lit(1.0)).alias("progress"))
+
+
+def queue_order(requests: DataFrame, batch: str) -> DataFrame:
+    """batch, job, place of queued jobs after requests (batch, at, job, action, place) in order.
+
+    submit appends, remove takes out, move puts a job at a place; requests for jobs that aren't queued
+    do nothing.
+    """
+    from ..operators.grouped import grouped_map
+
+    def run(group):
+        line: list = []
+        for job, action, place in zip(group["job"].to_pylist(), group["action"].to_pylist(), group["place"].to_pylist(), strict=True):
+            if action == "submit" and job not in line:
+                line.append(job)
+            elif action in ("remove", "move") and job in line:
+                line.remove(job)
+                if action == "move":
+                    line.insert(max(0, place or 0), job)
+        return {"job": line, "place": list(range(len(line)))}
+
+    return grouped_map(requests, [batch], ["at"], ["job", "action", "place"], run, f"job {dict(requests.dtypes)['job']}, place int")
+
+
 def replay(events: DataFrame, key: str, order: str) -> DataFrame:
     """key, state, attempts after a job's events in order, from queued."""
     table = F.create_map(*[F.lit(x) for (s, e), to in MOVES.items() for x in (f"{s}/{e}", to)])

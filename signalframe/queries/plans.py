@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import folds
-from ..plans import compliance, decide, gates, jobs, presets
+from ..plans import catalog, compliance, decide, gates, jobs, presets, report
 from ..sources.tables import segments, table, turns
 from . import sql
 
@@ -159,14 +159,46 @@ def rubric_score(spark, d):
     return _r(gates.rubric(notes, "conv_id", F.lit(380.0), chapters_after=300.0, least_keywords=4).select("conv_id", "score", "usable", F.array_join("failed", ",").alias("failed")), "score")
 
 
-QUERIES = {f.__name__: f for f in (auto_configure, health_findings, module_report, preset_table, reverb_bucket, compliance_pass, acx_checks, acx_conform, voice_memory_merge, speaker_gain_solve, batch_progress, job_states, folder_targets, unseen_files, manifest_validate, class_coverage, regression_bands, delta_gate, gate_verdict, der, rubric_score)}
+def html_reports(spark, d):
+    """Digests of HTML reports of files, whole documents hashed."""
+    facts = {"source_file": F.concat(F.lit("/in/<"), "id", F.lit(">.wav")), "output_file": F.concat(F.lit("/out/"), "id", F.lit(".wav")), "duration_secs": F.col("id") * 60.0, "preset_name": F.col("preset_id"), "tier": F.lit("standard"), "sample_rate": F.lit(48_000), "channels": F.lit(2), "chain_version": F.lit(5), "before_lufs": F.lit(-30.0), "before_peak_dbtp": F.lit(-9.0), "before_range_lu": F.lit(8.0), "after_range_lu": F.lit(5.0)}
+    modules = F.array(F.struct(F.lit("leveler").alias("module"), F.lit(True).alias("applied"), F.lit("to 'target'").alias("detail")))
+    rows = compliance.checks(_files(spark, d)).withColumns({**facts, "modules": modules}).withColumn("key", F.struct("id", "line"))
+    made = report.html(rows, "key")
+    return made.select("key.id", "key.line", F.instr("html", "&lt;").alias("escaped"), (F.instr("html", "Audiobook checklist") > 0).alias("book"), F.size(F.split("html", "PASS")).alias("passes"))
+
+
+def model_states(spark, d):
+    """States of known model files among those found."""
+    p = table(spark, d, "part")
+    name, size = F.concat(F.lit("m"), F.col("p_partkey"), F.lit(".bin")), F.col("p_size").cast("long")
+    models = p.select(F.col("p_partkey").cast("string").alias("id"), F.lit("asr").alias("kind"), name.alias("file"), size.alias("bytes"), F.when(F.col("p_partkey") % 4 > 0, F.sha2(name, 256)).alias("sha256"))
+    files = p.where("p_partkey % 3 > 0").select(name.alias("file"), F.concat(F.lit("/m/"), name).alias("path"), (size + (F.col("p_partkey") % 5 == 0).cast("long")).alias("bytes"), F.sha2(F.concat(name, F.when(F.col("p_partkey") % 7 == 0, "!").otherwise("")), 256).alias("found_sha256"))
+    return catalog.located(models, files).select("id", "path", "state")
+
+
+def preset_names(spark, d):
+    """Presets by ids, in any case, and short names."""
+    names = F.element_at(F.array(*map(F.lit, ("ACX", "podcast-Stereo", "Voice_Memo", "none", "r128", "MUSIC_HEAVY_SHOW"))), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return presets.resolved(table(spark, d, "part").select("p_partkey", names.alias("name"))).select("p_partkey", "name", "preset_id")
+
+
+def gate_rows(spark, d):
+    """Gates of clips with measurements from line items."""
+    li = table(spark, d, "lineitem")
+    q, k = F.col("l_quantity"), F.col("l_orderkey")
+    clips = li.select(F.struct(k, "l_linenumber").alias("clip"), (-16 + F.col("l_discount") * 8).alias("lufs"), F.lit(-16.0).alias("target_lufs"), (F.col("l_tax") * 20 - 2).alias("true_peak"), F.lit(-1.0).alias("ceiling"), (k % 2 == 0).alias("real_speech"), (k % 3 == 0).alias("noisy"), (q / 20).alias("bak"), (q / 50).alias("ovrl"), (q / 50 - 0.2).alias("sig"), F.when(k % 5 > 0, q / 40).alias("pesq"), F.lit(0.9).alias("stoi"), q.alias("spread_before"), F.lit(12.0).alias("spread_after"), F.when(k % 7 == 0, q / 10).alias("music_delta"))
+    return gates.clip_gates(clips, "clip").groupBy("gate", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (html_reports, model_states, preset_names, gate_rows, auto_configure, health_findings, module_report, preset_table, reverb_bucket, compliance_pass, acx_checks, acx_conform, voice_memory_merge, speaker_gain_solve, batch_progress, job_states, folder_targets, unseen_files, manifest_validate, class_coverage, regression_bands, delta_gate, gate_verdict, der, rubric_score)}
 
 _PRESETS = "presets AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{p[0]}', '{p[1]}', '{p[2]}', {p[3]}::DOUBLE, {p[4]}::DOUBLE)" for i, p in enumerate(presets.PRESETS)) + ") t(k, preset_id, preset_name, tier, target_lufs, ceiling_dbtp))"
 _REPORTS = _PRESETS + """, reports AS (SELECT l_orderkey AS id, l_linenumber AS line, l_quantity + 4 AS snr, -l_quantity - 20 AS nf, l_orderkey % 10 / 10 AS mr, l_orderkey % 4 / 4 AS sr, l_orderkey % 7 AS clips, (l_orderkey % 21 - 10) / 10 AS corr, l_orderkey % 6 = 0 AS dual, l_discount / 50 AS dc,
 CASE l_orderkey % 5 WHEN 0 THEN 50.0::DOUBLE WHEN 1 THEN 60.0::DOUBLE END AS hum, -l_quantity / 2 - 5 AS il, l_tax AS sib, l_discount AS worst, l_quantity * 400 AS bw, l_tax > 0.05 AS bad, l_orderkey % 3 = 0 AS diar, target_lufs AS target FROM lineitem JOIN presets ON k = l_orderkey % 7),
 conf AS (SELECT *, mr > 0.6 AS major, sr > 0 AND NOT mr > 0.6 AS voice, CASE WHEN snr < 45 THEN CASE WHEN snr < 35 THEN least(greatest(0.3 + (35 - snr) / 25 * 0.7, 0.3), 1) ELSE 0.2 END * CASE WHEN mr > 0.6 THEN 0.6 ELSE 1 END END AS strength FROM reports)"""
 _FINDINGS = [("info", "Dual-mono source", "dual"), ("warn", "Out-of-phase stereo", "NOT dual AND corr < -0.5"), ("info", "DC offset removed", "abs(dc) > 0.001"), ("info", "High-pass filter", "true"), ("info", "Clean source", "strength IS NULL"), ("info", "Denoise engaged", "strength IS NOT NULL"), ("info", "De-hum engaged", "hum IS NOT NULL"), ("info", "De-clip engaged", "clips > 3 AND NOT major"), ("warn", "Clipping detected", "clips > 3 AND major"), ("warn", "Heavily clipped source", "worst > 0.05"), ("info", "Breath control", "voice"), ("info", "De-esser engaged", "voice"), ("info", "AutoEQ", "voice"), ("info", "Per-speaker leveling", "diar AND NOT major"), ("info", "Music-aware leveling", "major"), ("info", "Loudness normalized", "true"), ("info", "Limited bandwidth", "bw > 0 AND bw < 12000"), ("warn", "Room reverb", "bad")]
-_MODULES = {"downmix": "dual", "hpf": "true", "dehum": "hum IS NOT NULL", "declip": "clips > 3 AND NOT major", "declick": "NOT major", "decrackle": "NOT major", "denoise": "strength IS NOT NULL", "breath": "voice", "deess": "voice", "autoeq": "voice", "speaker": "diar AND NOT major", "leveler": "true", "limiter": "true"}
+_MODULES = {"dc_hpf": "true", "dehum": "hum IS NOT NULL", "declip": "clips > 3 AND NOT major", "declick": "NOT major", "decrackle": "NOT major", "denoise": "strength IS NOT NULL", "breath": "voice", "deess": "voice", "autoeq": "voice", "speaker": "diar AND NOT major", "leveler": "true", "loudness": "true", "limiter": "true", "dither": "false"}
 _FILES = _PRESETS + """, files AS (SELECT l_orderkey AS id, l_linenumber AS line, preset_id, target_lufs, ceiling_dbtp, -14 - l_quantity / 10 AS il, l_discount * 20 - 4 AS tp, CASE WHEN l_orderkey % 5 > 0 THEN -18 - l_quantity / 10 END AS rms, CASE WHEN l_orderkey % 11 > 0 THEN -40 - l_quantity END AS floor FROM lineitem JOIN presets ON k = l_orderkey % 7),
 checked AS (SELECT *, preset_id = 'audiobook_acx' AS book, abs(il - target_lufs) <= 0.5 AS lp, tp <= ceiling_dbtp AS pp, coalesce(rms BETWEEN -23 AND -18, false) AS br, tp <= -3 AS bp, coalesce(floor <= -60, false) AS bf FROM files)"""
 _METRICS = lambda n: f"SELECT l_orderkey AS clip, round(l_discount * 4, 4) AS lufs, round(l_tax * 2, 4) AS true_peak FROM lineitem WHERE l_linenumber = {n}"
@@ -175,6 +207,23 @@ _CLASSES = "(" + ", ".join(f"'{c}'" for c in CLASSES) + ")"
 _MOVES = " ".join(f"WHEN state = '{s}' AND event = '{e}' THEN '{to}'" for (s, e), to in jobs.MOVES.items())
 
 ORACLES = {
+    "model_states": """WITH m AS (SELECT p_partkey AS k, 'm' || p_partkey || '.bin' AS f FROM part) SELECT CAST(k AS VARCHAR) AS id, CASE WHEN k % 3 > 0 THEN '/m/' || f END AS path,
+        CASE WHEN k % 3 = 0 THEN 'missing' WHEN k % 5 = 0 THEN 'wrong size' WHEN k % 4 = 0 THEN 'unverified' WHEN k % 7 = 0 THEN 'wrong hash' ELSE 'ok' END AS state FROM m""",
+    "preset_names": """SELECT p_partkey, list_extract(['ACX', 'podcast-Stereo', 'Voice_Memo', 'none', 'r128', 'MUSIC_HEAVY_SHOW'], CAST(p_partkey % 6 + 1 AS INT)) AS name,
+        list_extract(['audiobook_acx', 'podcast_stereo', 'voice_memo_cleanup', NULL, 'broadcast_ebu', 'music_heavy_show'], CAST(p_partkey % 6 + 1 AS INT)) AS preset_id FROM part""",
+    "html_reports": f"""WITH {_FILES} SELECT id, line, CAST(strpos(h, '&lt;') AS INT) AS escaped, book, CAST(1 + CAST(lp AS INT) + CAST(pp AS INT) + CASE WHEN book THEN CAST(br AS INT) + CAST(bp AS INT) + CAST(bf AS INT) ELSE 0 END AS INT) AS passes
+        FROM (SELECT *, {chr(39)}{report.HEAD.replace(chr(39), chr(39) * 2)}<h1>Compliance report</h1>
+<p><b>Source</b> /in/&lt;{chr(39)} AS h FROM checked)""",
+    "gate_rows": """WITH c AS (SELECT l_orderkey AS k, l_quantity AS q, l_discount AS d, l_tax AS t FROM lineitem), g AS (
+        SELECT 'loudness' AS gate, CASE WHEN abs(-16 + d * 8 + 16) <= 0.5 THEN 'pass' ELSE 'fail' END AS status FROM c
+        UNION ALL SELECT 'true_peak', CASE WHEN t * 20 - 2 <= -1 THEN 'pass' ELSE 'fail' END FROM c
+        UNION ALL SELECT 'background', CASE WHEN k % 6 <> 0 THEN 'skip' WHEN q / 20 >= 1 THEN 'pass' ELSE 'fail' END FROM c
+        UNION ALL SELECT 'overall', CASE WHEN k % 2 <> 0 THEN 'skip' WHEN q / 50 >= CASE WHEN k % 3 = 0 THEN 0.4::DOUBLE ELSE -0.05::DOUBLE END THEN 'pass' ELSE 'fail' END FROM c
+        UNION ALL SELECT 'signal', CASE WHEN k % 2 <> 0 THEN 'skip' WHEN q / 50 - 0.2::DOUBLE >= -0.1::DOUBLE THEN 'pass' ELSE 'fail' END FROM c
+        UNION ALL SELECT 'pesq', CASE WHEN k % 6 <> 0 OR k % 5 = 0 THEN 'skip' WHEN q / 40 >= 0.4::DOUBLE THEN 'pass' ELSE 'fail' END FROM c
+        UNION ALL SELECT 'leveler', CASE WHEN 1 - 12 / q >= 0.5 THEN 'pass' ELSE 'fail' END FROM c
+        UNION ALL SELECT 'music', CASE WHEN k % 7 <> 0 THEN 'skip' WHEN q / 10 <= 2 THEN 'pass' ELSE 'fail' END FROM c
+        UNION ALL SELECT 'stoi', CASE WHEN k % 2 <> 0 THEN 'skip' ELSE 'report' END FROM c) SELECT gate, status, count(*) AS n FROM g GROUP BY 1, 2""",
     "auto_configure": f"""WITH {_REPORTS} SELECT id, line, dual AS downmix, CASE WHEN mr > 0.3 THEN 40.0::DOUBLE ELSE 80.0::DOUBLE END AS cutoff_hz, round(strength, 6) AS denoise_strength, hum AS dehum_hz, clips > 3 AND NOT major AS declip, CASE WHEN NOT major THEN round(nf + 6, 6) END AS declick_gate,
         CASE WHEN NOT major THEN CASE WHEN snr >= 35 THEN 7.0::DOUBLE ELSE 6.0::DOUBLE END END AS decrackle_ratio, voice AS breath, CASE WHEN voice THEN round(least(greatest(sib * 2.5, 0.12), 0.6), 6) END AS deess_threshold, voice AS autoeq, diar AND NOT major AS speaker_leveling, round(nf + 8, 6) AS noise_gate_lufs,
         CASE WHEN diar AND NOT major THEN 0 ELSE round(least(greatest(target - il, -12), 12), 6) END AS warm_start_db, major AS music_mode FROM conf""",

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars, stats
-from ..operators import folds, hops, islands, loudness, master, multitrack, recursive, reverb, segmentation, spectral
+from ..operators import bleedgate, chain, cuts, folds, hops, islands, loudness, master, multitrack, recursive, reverb, segmentation, speakers, spectral
+from ..plans import decide
 from ..sources.tables import centred, samples, vectors
 from . import sql
 
@@ -172,14 +173,14 @@ def dc_block(spark, d):
 
 
 def slew_limit(spark, d):
-    return _r(folds.slew(vectors(spark, d), "signal_id", "n", "x", 0.05, 0.02, F.lit(0.0)), "gain")
+    return _r(folds.slew(vectors(spark, d), "signal_id", "n", "x", 0.05, 0.02), "gain")
 
 
 def duck_gain(spark, d):
     frames = vectors(spark, d).select((F.col("signal_id") % 50).alias("session"), "signal_id", F.col("n").alias("frame"), (F.col("x") > 0.25).alias("speech"))
     mask = multitrack.union_mask(frames, "session")
     target = multitrack.duck_target(multitrack.duck_mask(mask, "session", 1, 2, 2))
-    return _r(folds.slew(target, "session", "frame", "wanted", 1.5, 6.0, F.lit(0.0)), "gain")
+    return _r(folds.slew(target, "session", "frame", "wanted", 1.5, 6.0), "gain")
 
 
 def leveler_hop_gain(spark, d):
@@ -187,7 +188,7 @@ def leveler_hop_gain(spark, d):
     spoken = rows.where("speech").withColumn("k", F.row_number().over(Window.partitionBy("signal_id").orderBy("hop")) - 1)
     mean = islands.sliding(spoken, "signal_id", "k", 2, 0, st=F.avg("energy_db")).select("signal_id", "hop", "st")
     rows = rows.join(mean, ["signal_id", "hop"], "left").withColumn("wanted", scalars.clamp(F.coalesce(28.0 - F.col("st"), F.lit(0.0)), -12.0, 12.0) * 0.65).withColumn("hold", ~F.col("speech"))
-    return _r(folds.slew(rows, "signal_id", "hop", "wanted", 0.5, 0.5, F.lit(0.0), "hold"), "gain", digits=4)
+    return _r(folds.slew(rows, "signal_id", "hop", "wanted", 0.5, 0.5, hold="hold"), "gain", digits=4)
 
 
 def union_speech_mask(spark, d):
@@ -242,9 +243,10 @@ def loudness_gating(spark, d):
     return _r(loudness.integrated(loudness.block_loudness(rows, 16, 4)), "integrated_lufs", digits=5)
 
 
-def _stage(run, source=vectors):
+def _stage(run, source=vectors, digits=None):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return recursive.stage(source(spark, d), run)
+        rows = recursive.stage(source(spark, d), run)
+        return rows if digits is None else _r(rows, "x", digits=digits)
 
     return query
 
@@ -255,9 +257,15 @@ def gcc_phat(spark, d):
     return spectral.window_lags(pairs, 1 << 16, 8)
 
 
+def long_signals(spark, d, vectors_each: int = 500):
+    """signal_id, n, x: embeddings one after another, as signals of 32,000 samples."""
+    rows = vectors(spark, d)
+    signal, at = F.floor(F.col("signal_id") / vectors_each), F.col("signal_id") % vectors_each
+    return rows.select(signal.alias("signal_id"), (at * 64 + F.col("n")).alias("n"), "x")
+
+
 def ltas_fit(spark, d):
-    edges = [0.0, 3000.0, 6000.0, 12_000.0, 24_001.0]
-    return spectral.eq_gains(spectral.band_levels(vectors(spark, d), edges, RATE, 64), {0: 3.0, 1: 0.0, 2: -2.0, 3: -6.0})
+    return spectral.eq_bands(long_signals(spark, d), RATE)
 
 
 def spectral_hops(spark, d):
@@ -265,7 +273,7 @@ def spectral_hops(spark, d):
 
 
 def true_peak(spark, d):
-    return loudness.true_peak(vectors(spark, d))
+    return _r(loudness.true_peak(vectors(spark, d)), "true_peak_db", digits=5)
 
 
 def rt60_scan(spark, d):
@@ -289,15 +297,79 @@ def render_digest(spark, d):
     return one.join(two.withColumnRenamed("digest", "again"), "signal_id").select("signal_id", (F.col("digest") == F.col("again")).alias("same"))
 
 
-QUERIES = {f.__name__: f for f in (rt60_scan, clap_decay, level_spread, render_digest, hop_energy, hop_zcr, second_difference, peaks_pyramid, noise_floor_p10, silence_rank, robust_sigma, upper_median, true_median, speech_gate, snr_two_pass, speech_music_ratio, silence_runs, energy_silence, clip_regions, mask_dilate, sliding_min, sliding_max, moving_average_edge, local_baseline, dc_offset, stereo_uncentred_corr, hum_vote, level_expressions, strength_expressions, downmix, hop_gain_ramp, slice_padded, linear_resample, dc_block, slew_limit, duck_gain, leveler_hop_gain, union_speech_mask, audible_tracks, mixdown_sum, track_place, bleed_source, quiet_floor, wls_drift_fit, segment_crossfade, loudness_gating, gcc_phat, ltas_fit, spectral_hops, true_peak)} | {
+def _stereo(spark, d):
+    """long_signals() in two channels, the second one quieter, raised to the level of speech."""
+    rows = long_signals(spark, d).withColumn("x", F.col("x") * 0.5)
+    return rows.withColumn("ch", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("x", F.when(F.col("ch") == 1, F.col("x") * 0.5).otherwise(F.col("x")))
+
+
+def analyze_signals(spark, d):
+    """Reports of long signals."""
+    keep = ["signal_id", "duration_secs", "integrated_lufs", "momentary_max_lufs", "true_peak_dbtp", "noise_floor_dbfs", "snr_db", "speech_ratio", "bandwidth_hz", "correlation", "dual_mono", "clipping_regions"]
+    return chain.analyze(_stereo(spark, d), RATE).select(*keep)
+
+
+def master_signals(spark, d):
+    """What mastering long signals gives, each by the configuration that its report leads to."""
+    rows = _stereo(spark, d)
+    report = chain.analyze(rows, RATE).withColumns({"dc": F.array_max(F.transform("dc_offset", lambda v: F.abs(v))), "diarized": F.lit(False), "target_lufs": F.lit(-16.0), "ceiling_dbtp": F.lit(-1.0)})
+    return chain.master_report(rows, decide.stages(report), RATE)
+
+
+def loudness_maxima(spark, d):
+    rows = long_signals(spark, d)
+    return _r(loudness.loudness_maxima(rows, 4800), "momentary_max_lufs", "short_term_max_lufs", digits=5)
+
+
+def edl_render(spark, d):
+    """Three kept ranges of each vector, joined over four samples."""
+    ranges = spark.createDataFrame([(0.0, 20.0, True), (20.0, 24.0, False), (24.0, 40.0, True), (40.0, 44.0, False), (44.0, 64.0, True)], "start double, end double, kept boolean")
+    edits = vectors(spark, d).select("signal_id").distinct().join(F.broadcast(ranges))
+    return _r(cuts.render(vectors(spark, d), edits, "signal_id", 1.0, 4.0), "x")
+
+
+def lanczos_values(spark, d):
+    """Each vector between its samples 20 and 21, by 16 taps of the kernel."""
+    rows = vectors(spark, d).where("n BETWEEN 13 AND 28")
+    at = F.lit(20.3)
+    return rows.groupBy("signal_id").agg(F.round(F.sum(F.col("x") * scalars.lanczos(at - F.col("n"))), 6).alias("x"))
+
+
+def drift_repair(spark, d):
+    """Vectors read at a speed that undoes a drift of 20,000 ppm."""
+    rows = vectors(spark, d).withColumnRenamed("signal_id", "track")
+    return _r(spectral.repair_drift(rows, rows.select("track").distinct().withColumn("ppm", F.lit(20_000.0))), "x")
+
+
+def short_term_medians(spark, d):
+    """Median levels of two speakers a signal, over four hops in a row."""
+    rows = vectors(spark, d).groupBy("signal_id", F.floor(F.col("n") / 4).alias("hop")).agg(F.avg(F.col("x") * F.col("x")).alias("ms")).withColumn("speaker", F.col("hop") % 2)
+    return _r(speakers.median_levels(speakers.gated_hops(rows, "signal_id", -40.0), "signal_id", 4).select("signal_id", "speaker", "hops", "median_lufs"), "median_lufs", digits=5)
+
+
+def crossgate_reports(spark, d):
+    """Four tracks a session, each against the others: which bled, and how much was gated."""
+    rows = long_signals(spark, d, 100).select(F.floor(F.col("signal_id") / 4).alias("session"), F.col("signal_id").cast("long").alias("track"), "n", "x")
+    return bleedgate.crossgate_report(rows, "session", RATE)
+
+
+def breath_hops(spark, d):
+    """Hops that look like breaths: between floor and voice, with many crossings."""
+    rows = _hops(spark, d)
+    top = stats.order_statistic(rows, ["signal_id"], "energy_db", stats.nearest_rank(0.9), "p90")
+    low = stats.order_statistic(rows, ["signal_id"], "energy_db", stats.nearest_rank(0.1), "p10")
+    return rows.join(top, "signal_id").join(low, "signal_id").select("signal_id", "hop", ((F.col("energy_db") > F.col("p10") + 2) & (F.col("energy_db") < F.col("p90") - 2) & (F.col("zcr") >= 0.10)).alias("breath"))
+
+
+QUERIES = {f.__name__: f for f in (analyze_signals, master_signals, loudness_maxima, edl_render, lanczos_values, drift_repair, short_term_medians, crossgate_reports, breath_hops, rt60_scan, clap_decay, level_spread, render_digest, hop_energy, hop_zcr, second_difference, peaks_pyramid, noise_floor_p10, silence_rank, robust_sigma, upper_median, true_median, speech_gate, snr_two_pass, speech_music_ratio, silence_runs, energy_silence, clip_regions, mask_dilate, sliding_min, sliding_max, moving_average_edge, local_baseline, dc_offset, stereo_uncentred_corr, hum_vote, level_expressions, strength_expressions, downmix, hop_gain_ramp, slice_padded, linear_resample, dc_block, slew_limit, duck_gain, leveler_hop_gain, union_speech_mask, audible_tracks, mixdown_sum, track_place, bleed_source, quiet_floor, wls_drift_fit, segment_crossfade, loudness_gating, gcc_phat, ltas_fit, spectral_hops, true_peak)} | {
     "biquad_notch": _stage(lambda x: recursive.de_hum(x, RATE, 50.0)),
-    "k_weighting": _stage(lambda x: recursive.run_filters(x, recursive.K_WEIGHTING)),
+    "k_weighting": _stage(lambda x: recursive.run_filters(x, recursive.K_WEIGHTING), digits=6),
     "deesser": _stage(lambda x: recursive.de_ess(x, RATE)),
     "limiter_ceiling": _stage(lambda x: recursive.limit(x, RATE, -12.0)),
     "declip_hermite": _stage(lambda x: recursive.hermite_bridge(x / max(abs(x).max(), 1e-9), 1, 20)),
     "declick": _stage(lambda x: recursive.repair_clicks(x, RATE, 3.0)),
-    "burg_repair": _stage(lambda x: recursive.repair_clicks(x, RATE, 3.0, predict=True)),
-    "fast_tamer": _stage(lambda x: recursive.tame(x, RATE, -24.0)),
+    "burg_repair": _stage(lambda x: recursive.repair_crackle(x, RATE, 1.5)),
+    "fast_tamer": _stage(lambda x: recursive.tame(x, RATE, -24.0), digits=6),
     "dither": _stage(lambda x: recursive.dither(x, 16, recursive.fnv1a(x.tobytes()))),
 }
 
@@ -311,7 +383,38 @@ UNION ALL SELECT w.{key}, w.{order}, CASE WHEN {hold} THEN f.gain ELSE f.gain +
 SELECT {key}, {order}, round(gain, {digits}) AS gain FROM fold"""
 
 
+def _biquad(source: str, name: str, c: tuple) -> str:
+    """A recursion over source(signal_id, n, x), as y of table name."""
+    b0, b1, b2, a1, a2 = (f"({v!r}::DOUBLE)" for v in c)
+    return f"""{name} AS (SELECT signal_id, n, {b0} * x AS y, {b1} * x - {a1} * {b0} * x AS z1, {b2} * x - {a2} * {b0} * x AS z2 FROM {source} WHERE n = 0
+    UNION ALL SELECT s.signal_id, s.n, {b0} * s.x + f.z1, {b1} * s.x - {a1} * ({b0} * s.x + f.z1) + f.z2, {b2} * s.x - {a2} * ({b0} * s.x + f.z1) FROM {name} f JOIN {source} s ON s.signal_id = f.signal_id AND s.n = f.n + 1)"""
+
+
+_ATTACK, _RELEASE = (repr(recursive.pole(v, RATE)) + "::DOUBLE" for v in (0.005, 0.150))
+_LOUD = "longs AS (SELECT vec_id // 500 AS signal_id, vec_id % 500 * 64 + n AS n, x FROM (SELECT vec_id, CAST(unnest(range(len(embedding))) AS BIGINT) AS n, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings))"
+
 ORACLES = {
+    "k_weighting": f"WITH RECURSIVE {sql.VECTORS}, {_biquad('vectors', 'one', recursive.K_WEIGHTING[0])}, mid AS (SELECT signal_id, n, y AS x FROM one), {_biquad('mid', 'two', recursive.K_WEIGHTING[1])} SELECT signal_id, n, round(y, 6) AS x FROM two",
+    "fast_tamer": f"""WITH RECURSIVE {sql.VECTORS}, env AS (SELECT signal_id, n, x, abs(x) + (0 - abs(x)) * CASE WHEN abs(x) > 0 THEN {_ATTACK} ELSE {_RELEASE} END AS e FROM vectors WHERE n = 0
+        UNION ALL SELECT v.signal_id, v.n, v.x, abs(v.x) + (f.e - abs(v.x)) * CASE WHEN abs(v.x) > f.e THEN {_ATTACK} ELSE {_RELEASE} END FROM env f JOIN vectors v ON v.signal_id = f.signal_id AND v.n = f.n + 1)
+        SELECT signal_id, n, round(x * 10 ** (-least(greatest(20 * log10(greatest(e / 10 ** (-18.0::DOUBLE / 20), 1)), 0) / 2, 6) * 0.65::DOUBLE / 20), 6) AS x FROM env""",
+    "true_peak": f"""WITH {sql.VECTORS}, taps AS (SELECT p, k, CASE WHEN abs(k - 15 - p / 4) < 1e-9 THEN 1 ELSE sin(pi() * (k - 15 - p / 4)) / (pi() * (k - 15 - p / 4)) END * (0.42 - 0.5 * cos(2 * pi() * k / 31) + 0.08 * cos(4 * pi() * k / 31)) AS c FROM range(1, 4) a(p), range(32) b(k)),
+        over AS (SELECT v.signal_id, v.n, p, abs(sum(c * u.x)) AS y FROM vectors v, taps JOIN vectors u ON u.signal_id = v.signal_id AND u.n = v.n + k - 15 GROUP BY 1, 2, 3)
+        SELECT signal_id, round(20 * log10(greatest(max(m), 1e-6)), 5) AS true_peak_db FROM (SELECT signal_id, y AS m FROM over UNION ALL SELECT signal_id, abs(x) FROM vectors) GROUP BY 1""",
+    "loudness_maxima": f"""WITH {_LOUD}, t AS (SELECT signal_id, n // 480 AS s, sum(x * x) AS e, count(*) AS c FROM longs GROUP BY 1, 2),
+        b AS (SELECT signal_id, s, sum(e) OVER m / 1920 AS m4, sum(c) OVER m AS c4, sum(e) OVER l / 14400 AS m30, sum(c) OVER l AS c30 FROM t WINDOW m AS (PARTITION BY signal_id ORDER BY s ROWS 3 PRECEDING), l AS (PARTITION BY signal_id ORDER BY s ROWS 29 PRECEDING))
+        SELECT signal_id, round(coalesce(-0.691 + 10 * log10(max(m4) FILTER (c4 = 1920)), -120), 5) AS momentary_max_lufs, round(coalesce(-0.691 + 10 * log10(max(m30) FILTER (c30 = 14400)), -120), 5) AS short_term_max_lufs FROM b GROUP BY 1""",
+    "edl_render": f"""WITH {sql.VECTORS}, p AS (SELECT signal_id, CASE WHEN n < 20 THEN n WHEN n < 40 THEN n - 8 ELSE n - 16 END AS n, x * CASE WHEN n BETWEEN 16 AND 19 THEN cos(pi() / 2 * (n - 15.5) / 4) WHEN n BETWEEN 24 AND 27 THEN sin(pi() / 2 * (n - 23.5) / 4)
+        WHEN n BETWEEN 36 AND 39 THEN cos(pi() / 2 * (n - 35.5) / 4) WHEN n BETWEEN 44 AND 47 THEN sin(pi() / 2 * (n - 43.5) / 4) ELSE 1 END AS x FROM vectors WHERE NOT n BETWEEN 20 AND 23 AND NOT n BETWEEN 40 AND 43) SELECT signal_id, n, round(sum(x), 6) AS x FROM p GROUP BY 1, 2""",
+    "lanczos_values": f"WITH {sql.VECTORS}, k AS (SELECT signal_id, x, pi() * (20.3::DOUBLE - n) AS p FROM vectors WHERE n BETWEEN 13 AND 28) SELECT signal_id, round(sum(x * CASE WHEN abs(p) >= 8 * pi() THEN 0 ELSE 8 * sin(p) * sin(p / 8) / (p * p) END), 6) AS x FROM k GROUP BY 1",
+    "drift_repair": f"""WITH {sql.VECTORS}, o AS (SELECT signal_id, CAST(m AS BIGINT) AS m, m / (1 - 0.02::DOUBLE) AS pos FROM (SELECT DISTINCT signal_id FROM vectors), range(62) t(m)),
+        k AS (SELECT o.signal_id, m, x, pi() * (pos - floor(pos) - j) AS p FROM o, range(-7, 9) r(j) JOIN vectors v ON v.signal_id = o.signal_id AND v.n = CAST(floor(pos) AS BIGINT) + j)
+        SELECT signal_id AS track, m AS n, round(sum(x * CASE WHEN abs(p) < 1e-12 THEN 1 WHEN abs(p) >= 8 * pi() - 1e-9 THEN 0 ELSE 8 * sin(p) * sin(p / 8) / (p * p) END), 6) AS x FROM k GROUP BY 1, 2""",
+    "short_term_medians": f"""WITH {sql.VECTORS}, h AS (SELECT signal_id, n // 4 AS hop, n // 4 % 2 AS speaker, avg(x * x) AS ms FROM vectors GROUP BY 1, 2, 3), l AS (SELECT *, CASE WHEN ms > 1e-12 THEN -0.691 + 10 * log10(ms) ELSE -120 END AS lv FROM h),
+        a AS (SELECT *, -0.691 + 10 * log10(avg(ms) OVER (PARTITION BY signal_id, speaker)) - 10 AS floor FROM l WHERE lv > -40), g AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY signal_id, speaker) AS hops, avg(ms) OVER (PARTITION BY signal_id, speaker ORDER BY hop ROWS 3 PRECEDING) AS m FROM a WHERE lv > floor WINDOW w AS (PARTITION BY signal_id, speaker ORDER BY hop)),
+        r AS (SELECT signal_id, speaker, hops, m FROM g WHERE k >= 4 OR k = hops AND hops < 4) SELECT signal_id, speaker, hops, round(median(-0.691 + 10 * log10(m)), 5) AS median_lufs FROM r GROUP BY 1, 2, 3""",
+    "breath_hops": f"""WITH {sql.HOPS}, k AS (SELECT *, {_RANK.format(v='energy_db')} FROM hops), p AS (SELECT signal_id, max(energy_db) FILTER (r = floor((c - 1) * 0.9 + 0.5) + 1) AS p90, max(energy_db) FILTER (r = floor((c - 1) * 0.1 + 0.5) + 1) AS p10 FROM k GROUP BY 1)
+        SELECT signal_id, hop, energy_db > p10 + 2 AND energy_db < p90 - 2 AND zcr >= 0.10 AS breath FROM hops JOIN p USING (signal_id)""",
     "hop_energy": f"WITH {sql.HOPS} SELECT signal_id, hop, round(energy_db, 6) AS energy_db FROM hops",
     "hop_zcr": f"WITH {sql.HOPS} SELECT signal_id, hop, round(zcr, 6) AS zcr FROM hops",
     "second_difference": f"WITH {_D2} SELECT signal_id, n, round(d2, 6) AS d2 FROM diff",
@@ -349,8 +452,8 @@ ORACLES = {
     "strength_expressions": """SELECT l_orderkey, l_linenumber, round(least(greatest(0.3 + (35 - l_quantity) / 25 * 0.7, 0.3), 1), 6) AS strength,
         round(CASE WHEN l_returnflag = 'R' THEN least((6 + least(greatest(l_discount * 10, 0), 1) * 94) * 0.5, 12) ELSE 6 + least(greatest(l_discount * 10, 0), 1) * 94 END, 6) AS limit_db, round(1 - 10 ** (-l_quantity / 20), 6) AS wet,
         CASE WHEN l_tax * 10 < 0.3 THEN 'dry' WHEN l_tax * 10 < 0.5 THEN 'ok' WHEN l_tax * 10 < 0.8 THEN 'noticeable' ELSE 'bad' END AS reverb,
-        CASE WHEN -l_quantity > -3 THEN 'hot' WHEN -l_quantity > -9 THEN 'good' WHEN -l_quantity > -24 THEN 'low' WHEN -l_quantity > -50 THEN 'very_low' ELSE 'silent' END AS headroom,
-        CASE WHEN -l_quantity - 20 < -55 THEN 'quiet' WHEN -l_quantity - 20 < -40 THEN 'fair' ELSE 'noisy' END AS noise,
+        CASE WHEN -l_quantity > -9 THEN 'hot' WHEN -l_quantity > -24 THEN 'good' WHEN -l_quantity > -50 THEN 'quiet' ELSE 'silent' END AS headroom,
+        CASE WHEN -l_quantity - 20 < -55 THEN 'quiet' WHEN -l_quantity - 20 < -40 THEN 'some_hiss' ELSE 'noisy' END AS noise,
         round(cos(pi() / 2 * (l_linenumber - 0.5) / 8), 6) AS fade_out, round(sin(pi() / 2 * (l_linenumber - 0.5) / 8), 6) AS fade_in,
         round((l_discount ** 3 - 2 * l_discount ** 2 + l_discount) * 0.5 + (3 * l_discount ** 2 - 2 * l_discount ** 3) - (l_discount ** 3 - l_discount ** 2) * 0.5, 6) AS cubic FROM lineitem""",
     "downmix": f"WITH {sql.VECTORS} SELECT signal_id // 2 AS signal_id, n, round(avg(x), 6) AS x FROM vectors GROUP BY 1, 2",
@@ -386,5 +489,4 @@ ORACLES = {
         d AS (SELECT signal_id, min(n) FILTER (l <= top - 5) AS a, min(n) FILTER (l <= top - 25) AS b FROM p WHERE n > peak GROUP BY 1) SELECT signal_id, round((b - a) * 0.005::DOUBLE * 3, 6) AS rt60 FROM d WHERE a IS NOT NULL AND b IS NOT NULL""",
     "level_spread": f"""WITH {sql.VECTORS}, m AS (SELECT signal_id, n, avg(x * 100) OVER w AS m, count(*) OVER w AS c FROM vectors WINDOW w AS (PARTITION BY signal_id ORDER BY n ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)), k AS (SELECT *, max(m) OVER (PARTITION BY signal_id) AS top FROM m WHERE c = 6 AND n % 2 = 0)
         SELECT signal_id, round(stddev_pop(m), 6) AS sigma FROM k WHERE m >= top - 40 GROUP BY 1""",
-    "render_digest": "SELECT vec_id AS signal_id, true AS same FROM embeddings",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import cuts, folds, intervals, text, transcript
+from ..operators import cuts, folds, intervals, notes, text, transcript
 from ..sources import readers
 from ..sources.tables import segments, table, turns, words
 from . import sql
@@ -281,7 +281,36 @@ def clean_titles(spark, d):
     return table(spark, d, "conversations").select(OWNER, "turn", text.clean_title(t).alias("title"), F.array_join(text.clean_list(items), "|").alias("items"))
 
 
-QUERIES = {f.__name__: f for f in (term_counts, idf_smoothed, keywords_topk, episode_titles, segment_rank, extractive_summary, texttiling_similarity, texttiling_depth, depth_cutoff, chapters_greedy, min_gap_thin, words_to_speakers, segment_dominant_speaker, hop_owner, nearest_boundary, talk_time, silence_outside_turns, silence_cut_plan, filler_cut_plan, cut_merge, edl_complement, removed_seconds, derive_segments, srt_export, vtt_export, plain_export, caption_lines, caption_cues, chunk_overlap, stride_sample, adjacent_dedup, dense_speaker_ids, parse_clock, clock_formats, text_escapes, colours, names_and_types, parse_diarization, rttm_turns, asr_words, chapter_text, json_repair, clean_titles)}
+def note_chapters(spark, d):
+    """Chapters of conversations with titles."""
+    return notes.chapters(segments(spark, d), _terms(spark, d), OWNER)
+
+
+def show_notes(spark, d):
+    """Show notes of conversations, lists joined by bars."""
+    rows = notes.show_notes(segments(spark, d), OWNER)
+    joined = {c: F.array_join(c, " | ") for c in ("bullets", "titles", "keywords")}
+    return rows.select(OWNER, "summary", *[v.alias(c) for c, v in joined.items()], F.array_join(F.transform("chapters", lambda c: F.concat(F.format_string("%.1f ", c["start"]), c["title"])), " | ").alias("chapters"))
+
+
+def sanitised_chapters(spark, d):
+    """Raw chapters a turn, in seconds or as clocks, snapped to turns and thinned."""
+    s = segments(spark, d)
+    k = F.col(SEG)
+    at = F.when(k % 3 == 0, F.format_string("%.1f", F.col("s_start") + 7)).when(k % 3 == 1, F.concat(F.floor(F.col("s_start") / 60).cast("string"), F.lit(":20"))).otherwise("later")
+    raw = s.select(OWNER, F.when(k % 7 == 6, ' "" ').otherwise(F.concat(F.lit("Chapter "), k, F.lit(": part "), k)).alias("title"), at.alias("start"))
+    marks, durations = s.select(OWNER, F.col("s_start").alias("t")), s.groupBy(OWNER).agg(F.max("s_end").alias("duration"))
+    return notes.sanitised_chapters(raw, marks, durations, OWNER, 100.0, 3)
+
+
+def clip_ranges(spark, d):
+    """Clips around turns that hold a sample."""
+    s = segments(spark, d)
+    clips = s.select(OWNER, SEG, (F.col("s_start") - 5).alias("start"), F.when(F.col(SEG) % 3 == 0, F.col("s_start") - 9).otherwise(F.col("s_start") + 4).alias("end"))
+    return cuts.valid_clips(clips, s.groupBy(OWNER).agg((F.max("s_end") - 60).alias("duration")), OWNER, 10.0).select(OWNER, SEG)
+
+
+QUERIES = {f.__name__: f for f in (note_chapters, show_notes, sanitised_chapters, clip_ranges, term_counts, idf_smoothed, keywords_topk, episode_titles, segment_rank, extractive_summary, texttiling_similarity, texttiling_depth, depth_cutoff, chapters_greedy, min_gap_thin, words_to_speakers, segment_dominant_speaker, hop_owner, nearest_boundary, talk_time, silence_outside_turns, silence_cut_plan, filler_cut_plan, cut_merge, edl_complement, removed_seconds, derive_segments, srt_export, vtt_export, plain_export, caption_lines, caption_cues, chunk_overlap, stride_sample, adjacent_dedup, dense_speaker_ids, parse_clock, clock_formats, text_escapes, colours, names_and_types, parse_diarization, rttm_turns, asr_words, chapter_text, json_repair, clean_titles)}
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + ")"
 
@@ -330,6 +359,21 @@ def _hms(ms: str, mark: str) -> str:
 _MS = lambda c: f"CAST(floor({c} * 1000 + 0.5) AS BIGINT)"
 
 ORACLES = {
+    "clip_ranges": f"""WITH {sql.SEGMENTS}, c AS (SELECT conv_id, seg, s_start - 5 AS s, CASE WHEN seg % 3 = 0 THEN s_start - 9 ELSE s_start + 4 END AS e, max(s_end) OVER (PARTITION BY conv_id) - 60 AS d FROM segments)
+        SELECT conv_id, seg FROM c WHERE e > s AND floor(least(greatest(e, 0), d) * 10 + 0.5) > floor(least(greatest(s, 0), d) * 10 + 0.5)""",
+    "sanitised_chapters": f"""WITH RECURSIVE {sql.SEGMENTS}, r AS (SELECT conv_id, seg, CASE seg % 3 WHEN 0 THEN s_start + 7 WHEN 1 THEN CAST(floor(s_start / 60) * 60 + 20 AS DOUBLE) END AS "at", CASE WHEN seg % 7 <> 6 THEN 'part ' || seg END AS title, max(s_end) OVER (PARTITION BY conv_id) AS d, min(s_start) OVER (PARTITION BY conv_id) AS t0 FROM segments),
+        n AS (SELECT r.conv_id, title, "at", t0, arg_min(s.s_start, (abs(s.s_start - "at"), s.s_start)) AS "start" FROM r JOIN segments s USING (conv_id) WHERE title IS NOT NULL AND "at" BETWEEN 0 AND d GROUP BY 1, 2, 3, 4), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY "start", "at", title) AS k FROM n),
+        f AS (SELECT conv_id, k, "start" AS last, true AS keep, "start", title, t0 FROM o WHERE k = 1 UNION ALL SELECT o.conv_id, o.k, CASE WHEN o."start" - f.last >= 100 THEN o."start" ELSE f.last END, o."start" - f.last >= 100, o."start", o.title, o.t0 FROM f JOIN o ON o.conv_id = f.conv_id AND o.k = f.k + 1),
+        g AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS i FROM f WHERE keep) SELECT conv_id, CASE WHEN i = 1 THEN t0 ELSE "start" END AS "start", title FROM g WHERE i <= 3""",
+    "chunk_overlap": f"""WITH RECURSIVE {sql.SEGMENTS}, c AS (SELECT conv_id, list_concat([0], list(t ORDER BY seg)) AS p, count(*) AS n FROM (SELECT conv_id, seg, CAST(sum(strlen(text) + 1) OVER (PARTITION BY conv_id ORDER BY seg) AS BIGINT) AS t FROM segments) GROUP BY 1),
+        f AS (SELECT conv_id, p, n, 0 AS chunk, CAST(0 AS BIGINT) AS s, greatest(list_max(list_concat([0], list_filter(range(1, n + 1), lambda e: p[e + 1] <= 600))), 1) AS e FROM c
+        UNION ALL SELECT conv_id, p, n, chunk + 1, a, greatest(list_max(list_concat([0], list_filter(range(a + 1, n + 1), lambda x: p[x + 1] - p[a + 1] <= 600))), a + 1) FROM (SELECT *, list_min(list_filter(range(s + 1, e + 1), lambda j: p[e + 1] - p[j + 1] <= 150)) AS a FROM f WHERE e < n))
+        SELECT conv_id, chunk, CAST(s AS INT) AS first, CAST(e - 1 AS INT) AS last FROM f""",
+    "caption_cues": rf"""WITH RECURSIVE {sql.WORDS}, o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY "start", word) AS k FROM (SELECT conv_id, word, "start", "end", array_to_string(list_filter(regexp_split_to_array(translate(text, '{{}}\', '()/'), '\s+'), lambda w: w <> ''), ' ') AS text FROM words WHERE text <> '')),
+        fold AS (SELECT conv_id, word, k, 0 AS line, 1 AS n, length(text) AS chars, "start", "end" FROM o WHERE k = 1
+        UNION ALL SELECT o.conv_id, o.word, o.k, line + CAST(n >= 6 OR chars + 1 + length(text) > 32 OR o."start" - f."end" > 0.7 AS INT), CASE WHEN n >= 6 OR chars + 1 + length(text) > 32 OR o."start" - f."end" > 0.7 THEN 1 ELSE n + 1 END, CASE WHEN n >= 6 OR chars + 1 + length(text) > 32 OR o."start" - f."end" > 0.7 THEN length(text) ELSE chars + 1 + length(text) END, o."start", o."end" FROM fold f JOIN o ON o.conv_id = f.conv_id AND o.k = f.k + 1),
+        l AS (SELECT *, lead("start") OVER w AS nx, lead(line) OVER w AS nl FROM fold WINDOW w AS (PARTITION BY conv_id ORDER BY k))
+        SELECT conv_id, word, round("start", 6) AS "start", round(greatest(CASE WHEN nl IS NULL OR nl <> line THEN greatest(least("end" + 0.15::DOUBLE, coalesce(nx, 1e9)), "end") ELSE nx END, "start" + 0.02::DOUBLE), 6) AS "end" FROM l""",
     "term_counts": f"SELECT * FROM {_terms_sql('doc_id', 'documents')}",
     "idf_smoothed": f"WITH {_TERMS} SELECT conv_id, term, df, round(idf, 6) AS idf FROM weights",
     "keywords_topk": f"WITH {_KEYWORDS} SELECT conv_id, CAST(rank AS INTEGER) AS rank, term, round(score, 6) AS score FROM kw WHERE rank <= 8",
@@ -373,9 +417,9 @@ ORACLES = {
     "clock_formats": f"""WITH t AS (SELECT event_id, greatest(value * 37.77::DOUBLE, 0) AS s FROM events), u AS (SELECT event_id, CAST(floor(s * 1000 + 0.5) AS BIGINT) AS ms, CAST(floor(s * 100 + 0.5) AS BIGINT) AS cs, CAST(floor(s + 0.5) AS BIGINT) AS w FROM t)
         SELECT event_id, {_hms('ms', ',')} AS srt, (cs // 360000) || ':' || lpad(CAST(cs // 6000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(cs // 100 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(cs % 100 AS VARCHAR), 2, '0') AS ass,
         CASE WHEN w >= 3600 THEN (w // 3600) || ':' || lpad(CAST(w // 60 % 60 AS VARCHAR), 2, '0') ELSE CAST(w // 60 AS VARCHAR) END || ':' || lpad(CAST(w % 60 AS VARCHAR), 2, '0') AS code FROM u""",
-    "text_escapes": """WITH t AS (SELECT doc_id, source, text AS t FROM documents) SELECT doc_id, replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS html, regexp_replace(t, '[\\\\/:*?"<>|]', '_', 'g') AS stem, CAST(ceil(length(t) / 3.5) AS BIGINT) AS tokens, replace(lower(trim(source)), '_', '-') AS source FROM t""",
+    "text_escapes": """WITH t AS (SELECT doc_id, source, text AS t FROM documents) SELECT doc_id, replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html, regexp_replace(t, '[\\\\/:*?"<>|]', '_', 'g') AS stem, CAST(ceil(length(t) / 3.5) AS BIGINT) AS tokens, replace(lower(source), '_', '-') AS source FROM t""",
     "colours": "WITH t AS (SELECT event_id, event_id % 4 = 0 AS bad, (event_id * 7919) % 16777216 AS v FROM events) SELECT event_id, CASE WHEN NOT bad THEN '&H00' || printf('%02X%02X%02X', v % 256, v // 256 % 256, v // 65536) END AS ass, CASE WHEN NOT bad THEN CAST(v AS INT) END AS rgb FROM t",
-    "names_and_types": "SELECT p_partkey, regexp_replace(p_name, '\\.[^.]*$', '') || '_out.wav' AS output, CASE p_partkey % 4 WHEN 1 THEN 'image/png' END AS mime, CASE p_partkey % 4 WHEN 0 THEN 'wav' WHEN 2 THEN 'audiobook' END AS format FROM part",
+    "names_and_types": "SELECT p_partkey, regexp_replace(p_name, '\\.[^.]*$', '') || '_out.wav' AS output, CASE p_partkey % 4 WHEN 1 THEN 'image/png' ELSE 'image/jpeg' END AS mime, CASE p_partkey % 4 WHEN 0 THEN 'wav' WHEN 2 THEN 'audiobook' END AS format FROM part",
     "parse_diarization": f"WITH {sql.TURNS}, l AS (SELECT conv_id, t_start + 20 AS s, t_end + 20 AS e, 'speaker_' || lpad(CAST((2 - speaker) * 3 AS VARCHAR), 2, '0') AS label FROM turns WHERE ord <> 5), f AS (SELECT conv_id, label, row_number() OVER (PARTITION BY conv_id ORDER BY min((s, e)), label) - 1 AS speaker FROM l GROUP BY 1, 2) SELECT conv_id, s AS \"start\", e AS \"end\", label, speaker FROM l JOIN f USING (conv_id, label)",
     "rttm_turns": f"WITH {sql.TURNS} SELECT CAST(conv_id AS VARCHAR) AS file, 's' || speaker AS label, round(t_start + 20, 4) AS \"start\", round(t_end + 20, 4) AS \"end\" FROM turns",
     "asr_words": f"WITH {sql.WORDS} SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY word) - 1 AS word, trim(text) AS text, CAST(floor(\"start\" * 1000 + 0.5) AS BIGINT) / 1000 AS \"start\", CAST(floor(\"end\" * 1000 + 0.5) AS BIGINT) / 1000 AS \"end\", round(confidence, 6) AS confidence FROM words WHERE trim(text) <> ''",

@@ -94,27 +94,64 @@ def probe_wav(content: bytes) -> tuple[float, int, int, str] | None:
         return None
 
 
-def resample(x: np.ndarray, source: int, target: int) -> np.ndarray:
-    """Linear; the same samples at equal rates. Length is frames * target / source, rounded."""
-    if source == target:
+def resample(x: np.ndarray, source: int, target: int, lobes: int = 16) -> np.ndarray:
+    """Band-limited, by a windowed sinc; the same samples at equal rates. Length is frames * target / source, rounded.
+
+    When the rate falls, the kernel widens so that nothing above the new band is left.
+    """
+    if source == target or not len(x):
         return x
     n = int(np.floor(len(x) * target / source + 0.5))
-    return np.interp(np.arange(n) * source / target, np.arange(len(x)), x) if len(x) else x
+    cut = min(1.0, target / source)
+    half = int(np.ceil(lobes / cut))
+    padded = np.concatenate([np.zeros(half), x, np.zeros(half + 1)])
+    out = np.empty(n)
+    taps = np.arange(1 - half, half + 1)
+    for lo in range(0, n, 1 << 15):
+        at = np.arange(lo, min(n, lo + (1 << 15))) * source / target
+        base = np.floor(at).astype(np.int64)
+        t = (at - base)[:, None] - taps
+        kernel = cut * np.sinc(cut * t) * np.cos(np.pi * np.clip(t / (2 * half), -0.5, 0.5)) ** 2
+        kernel /= np.maximum(kernel.sum(axis=1, keepdims=True), 1e-12)
+        out[lo : lo + len(at)] = (padded[base[:, None] + taps + half] * kernel).sum(axis=1)
+    return out
+
+
+def pcm(raw: bytes, width: int, channels: int) -> np.ndarray:
+    """(channel, sample) values of PCM bytes of 8 (unsigned), 16, 24 or 32 bits."""
+    if width == 1:
+        v = (np.frombuffer(raw, np.uint8).astype(float) - 128) / 128
+    elif width == 3:
+        b = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        v = np.concatenate([np.zeros((len(b), 1), np.uint8), b], axis=1).view("<i4").ravel() / 2.0**31
+    else:
+        v = np.frombuffer(raw, f"<i{width}") / 2.0 ** (8 * width - 1)
+    return v.reshape(-1, channels).T
+
+
+def probe(files: DataFrame) -> DataFrame:
+    """path, duration, rate, channels, format of binary files (path, content); nulls for those that aren't PCM."""
+
+    def facts(batches):
+        for batch in batches:
+            found = [probe_wav(c) or (None,) * 4 for c in batch["content"]]
+            yield pd.DataFrame([(p, *f) for p, f in zip(batch["path"], found, strict=True)], columns=["path", "duration", "rate", "channels", "format"])
+
+    return files.select("path", "content").mapInPandas(facts, "path string, duration double, rate int, channels int, format string")
 
 
 def read_wav(spark: SparkSession, path: str, rate: int = 48_000, block: int = 4_800) -> DataFrame:
-    """path, ch, block_no, x (array<float>) of 16-bit PCM files at the given rate; bad files give no rows."""
+    """path, ch, block_no, x (array<float>) of PCM files at the given rate; bad files give no rows."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(path).select("path", "content")
 
     def decode(batches):
         for batch in batches:
             for p, content in zip(batch["path"], batch["content"], strict=True):
                 facts = probe_wav(content)
-                if facts is None or facts[3] != "pcm_s16":
+                if facts is None:
                     continue
                 with wave.open(io.BytesIO(content)) as w:
-                    data = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels()).T / 32768.0
-                    data = [resample(c, w.getframerate(), rate) for c in data]
+                    data = [resample(c, w.getframerate(), rate) for c in pcm(w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels())]
                 for ch, x in enumerate(data):
                     rows = [(p, ch, i // block, x[i : i + block].astype(np.float32)) for i in range(0, len(x), block)]
                     yield pd.DataFrame(rows, columns=["path", "ch", "block_no", "x"])
@@ -139,10 +176,38 @@ def wav_bytes(samples: np.ndarray, rate: int) -> bytes:
     return out.getvalue()
 
 
+def write_wav(samples: DataFrame, path: str, rate: int, key: str = "signal_id") -> None:
+    """A table of key, name and content (16-bit PCM files) at path, of samples (key, ch, n, x).
+
+    Files are rows, so the sink is any that Spark can write; a signal is encoded where it is grouped.
+    """
+    from ..operators.grouped import grouped_map, numbers
+
+    def run(group):
+        rows = len(np.unique(group["ch"].to_numpy()))
+        return {"content": [wav_bytes(numbers(group, "x").reshape(rows, -1), rate)]}
+
+    out = grouped_map(samples, [key], ["ch", "n"], ["x"], run, "content binary")
+    out.select(key, F.concat(F.regexp_replace(F.regexp_extract(F.col(key).cast("string"), r"([^/\\]*)$", 1), r"\.[^.]*$", ""), F.lit("_mastered.wav")).alias("name"), "content").write.parquet(path)
+
+
+def write_blocks(blocks: DataFrame, path: str, checkpoint: str | None = None):
+    """Blocks of samples to Parquet: a table at once, or of a stream each micro-batch, and then the running query."""
+    if not blocks.isStreaming:
+        blocks.write.mode("append").parquet(path)
+        return None
+
+    def sink(batch: DataFrame, number: int) -> None:
+        # A batch that is told again after a failure replaces its own files.
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return blocks.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).start()
+
+
 def output_format(path: Column) -> Column:
     """Target of an output path's extension; null for one that isn't known."""
     ext = F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
-    return F.when(ext.isin("wav", "flac", "mp3", "opus"), ext).when(ext.isin("m4a", "aac"), "aac").when(ext == "m4b", "audiobook").when(ext == "ogg", "vorbis")
+    return F.when(ext.isin("wav", "wave"), "wav").when(ext.isin("flac", "mp3", "opus"), ext).when(ext.isin("m4a", "aac"), "aac").when(ext == "m4b", "audiobook").when(ext.isin("ogg", "oga"), "vorbis")
 
 
 def loudness_summary(texts: DataFrame, key: str, body: str) -> DataFrame:
