@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import headroom_bucket, noise_bucket
+from ..operators.recursive import pole
+from ..sources.storage import shared_path
 from ..sources.tables import samples, table
 from ..streaming import streams
+from . import sql
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _folder(spark: SparkSession, tag: str) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{named.rstrip('/')}/streams/{tag}-{uuid.uuid4().hex}"
+    return shared_path(spark, "streams", tag)
+
+
+@contextmanager
+def _state_store(spark: SparkSession):
+    """Queries with their own state need this store; the session's setting comes back afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
 def _stream(spark: SparkSession, source: DataFrame, tag: str) -> DataFrame:
@@ -25,7 +41,8 @@ def _stream(spark: SparkSession, source: DataFrame, tag: str) -> DataFrame:
 
 
 def _complete(stream: DataFrame, tag: str) -> DataFrame:
-    return streams.run_available(stream, f"{tag}_{uuid.uuid4().hex}", "complete", _folder(stream.sparkSession, tag))
+    path = _folder(stream.sparkSession, tag)
+    return streams.run_complete(stream, path, f"{path}-state")
 
 
 def _events(spark, d):
@@ -56,15 +73,34 @@ def stream_dedup(spark, d):
 
 def stream_stability(spark, d):
     """Sizes of files by user: observed once an event, ready after 3 like sightings in a row."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     n = samples(spark, d)
     observed = n.select(F.concat(F.lit("/f"), F.col("signal_id")).alias("path"), F.least(F.floor(F.col("n") / 7), F.lit(5)).alias("size_bytes"), F.col("n").alias("mtime_ms"), (F.col("n") * 1000).alias("observed_ms"))
     path = _folder(spark, "stable")
-    return streams.run_to_table(streams.stable_files(_stream(spark, observed, "observed"), 5000), path, f"{path}-state")
+    with _state_store(spark):
+        return streams.run_to_table(streams.stable_files(_stream(spark, observed, "observed"), 5000), path, f"{path}-state")
+
+
+METER_RATE = 100.0
+
+
+def guard_meter(spark, d):
+    """Levels of each signal's input at its end, metered as a stream, and what they call for."""
+    rows = samples(spark, d).select("signal_id", "n", (F.col("x") / 500).alias("x"))
+    path = _folder(spark, "meter")
+    with _state_store(spark):
+        told = streams.run_to_table(streams.metered(_stream(spark, rows, "metered"), METER_RATE), path, f"{path}-state")
+    last = told.groupBy("signal_id").agg(F.max_by(F.struct("power", "floor"), "n").alias("v"))
+    db = lambda c: F.round(10 * F.log10(F.greatest(F.col(f"v.{c}"), F.lit(1e-14))), 5)
+    return last.select("signal_id", db("power").alias("level_db"), db("floor").alias("floor_db")).select("*", headroom_bucket(F.col("level_db")).alias("headroom"), noise_bucket(F.col("floor_db")).alias("noise"))
 
 
-QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sliding, stream_session, stream_dedup, stream_stability)}
+QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sliding, stream_session, stream_dedup, stream_stability, guard_meter)}
+_UP, _DOWN, _DRIFT = (f"{pole(v, METER_RATE)!r}::DOUBLE" for v in (0.010, 0.300, 4.0))
 ORACLES = {
+    "guard_meter": f"""WITH RECURSIVE {sql.SAMPLES}, p AS (SELECT signal_id, n, (x / 500) * (x / 500) AS p FROM samples), f AS (SELECT signal_id, n, p + (0 - p) * CASE WHEN p > 0 THEN {_UP} ELSE {_DOWN} END AS w, p + (0 - p) * CASE WHEN p > 0 THEN {_UP} ELSE {_DOWN} END AS l FROM p WHERE n = 0
+        UNION ALL SELECT signal_id, n, w, CASE WHEN w < l THEN w ELSE w + (l - w) * {_DRIFT} END FROM (SELECT p.signal_id, p.n, p.p + (f.w - p.p) * CASE WHEN p.p > f.w THEN {_UP} ELSE {_DOWN} END AS w, f.l FROM f JOIN p ON p.signal_id = f.signal_id AND p.n = f.n + 1)),
+        e AS (SELECT signal_id, round(10 * log10(greatest(arg_max(w, n), 1e-14)), 5) AS level_db, round(10 * log10(greatest(arg_max(l, n), 1e-14)), 5) AS floor_db FROM f GROUP BY 1)
+        SELECT *, CASE WHEN level_db > -9 THEN 'hot' WHEN level_db > -24 THEN 'good' WHEN level_db > -50 THEN 'quiet' ELSE 'silent' END AS headroom, CASE WHEN floor_db < -55 THEN 'quiet' WHEN floor_db < -40 THEN 'some_hiss' ELSE 'noisy' END AS noise FROM e""",
     "stream_tumbling": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "stream_sliding": "SELECT strftime(CAST(ts AS DATE) - k, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY 1, 2",
     "stream_session": """WITH s AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS g FROM s)

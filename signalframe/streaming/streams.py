@@ -107,14 +107,73 @@ def metered(samples: DataFrame, rate: float) -> DataFrame:
     return samples.groupBy("signal_id").transformWithStateInPandas(Meter(rate), f"signal_id {kind}, n long, power double, floor double", "Append", "none")
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over all there is into a memory table and return that."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def run_complete(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run an aggregate over all there is; each batch's whole result replaces the files at path, which are read at the end."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Run a stream over all there is into Parquet files, append mode, and read those."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def log_processed(ready: DataFrame, path: str, log: str, checkpoint: str):
+    """Run a stream of ready files (path, size_bytes, mtime_ms) into jobs at path, those that the log lacks, and into the log.
+
+    A batch that is told again after a failure replaces its own files, so a job is neither lost nor told twice.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        names = ["path", "size_bytes", "mtime_ms"]
+        try:
+            seen = spark.read.parquet(log).where(f"batch <> {number}").select(names)
+            fresh = batch.join(seen, names, "left_anti")
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            fresh = batch
+        fresh = fresh.dropDuplicates(names)
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark.read.schema(fresh.schema).parquet(f"{path}/batch={number}").select(names).write.mode("overwrite").parquet(f"{log}/batch={number}")
+
+    return ready.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class CarriedLimiter(StatefulProcessor):
+    """recursive.Limiter by signal: its held samples and gain are state, so blocks may be cut anywhere.
+
+    Rows: signal_id, n, x, last (true on a signal's last sample). Samples come out as they settle.
+    """
+
+    def __init__(self, rate: float, ceiling_db: float = -1.0):
+        self.rate, self.ceiling_db = rate, ceiling_db
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "held array<double>, done int, gain double, next long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        from ..operators.recursive import Limiter
+
+        held, done, gain, following = self.state.get() if self.state.exists() else ([], 0, None, 0)
+        limiter = Limiter(self.rate, self.ceiling_db, state=(list(held), done, gain))
+        frame = pd.concat(list(rows)).sort_values("n", kind="stable")
+        out = limiter.push(frame["x"].to_numpy(float), bool(frame["last"].any()))
+        held, done, gain = limiter.state()
+        self.state.update((held, done, gain, following + len(out)))
+        yield pd.DataFrame({"signal_id": key[0], "n": range(following, following + len(out)), "x": out})
+
+    def close(self) -> None:
+        pass
+
+
+def limited(samples: DataFrame, rate: float, ceiling_db: float = -1.0) -> DataFrame:
+    """Stream of signal_id, n, x through the limiter."""
+    kind = dict(samples.dtypes)["signal_id"]
+    return samples.groupBy("signal_id").transformWithStateInPandas(CarriedLimiter(rate, ceiling_db), f"signal_id {kind}, n long, x double", "Append", "none")
