@@ -84,25 +84,26 @@ def render(samples: DataFrame, edits: DataFrame, key: str, rate: float, crossfad
     buckets of places, so a long signal with many ranges is dealt over tasks.
     """
     place = lambda c: F.floor(F.greatest(F.col(c), F.lit(0.0)) * rate + 0.5).cast("long")
-    ends = samples.groupBy(key).agg((F.max("n") + 1).alias("frames"))
-    kept = edits.where("kept").join(ends, key).select(key, F.least(place("start"), F.col("frames")).alias("lo"), F.least(place("end"), F.col("frames")).alias("hi"), "start").where("hi > lo")
-    order = Window.partitionBy(key).orderBy("start", "lo")
-    size = F.col("hi") - F.col("lo")
-    kept = kept.withColumn("k", F.row_number().over(order)).withColumn("fade", F.when(F.lag(size).over(order).isNull(), 0).otherwise(F.least(F.lit(int(crossfade * rate + 0.5)), F.lag(size).over(order), size)))
+    ends = samples.groupBy(key).agg((F.max("n") + 1).alias("__frames"))
+    kept = edits.where("kept").join(ends, key).select(key, F.least(place("start"), F.col("__frames")).alias("__lo"), F.least(place("end"), F.col("__frames")).alias("__hi"), "start").where("__hi > __lo")
+    order = Window.partitionBy(key).orderBy("start", "__lo")
+    size = F.col("__hi") - F.col("__lo")
+    fade = F.when(F.lag(size).over(order).isNull(), 0).otherwise(F.least(F.lit(int(crossfade * rate + 0.5)), F.lag(size).over(order), size))
+    kept = kept.withColumns({"__r": F.row_number().over(order), "__fade": fade})
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    kept = kept.withColumn("at", F.coalesce(F.sum(size).over(before), F.lit(0)) - F.sum("fade").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = kept.withColumn("__at", F.coalesce(F.sum(size).over(before), F.lit(0)) - F.sum("__fade").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     bucket = lambda c: F.floor(c / SAMPLES_A_BUCKET)
-    ranges = kept.withColumn("b", F.explode(F.sequence(bucket(F.col("lo")), bucket(F.col("hi") - 1))))
-    parts = samples.select(key, "n", "x", bucket(F.col("n")).alias("b")).join(ranges, [key, "b"]).where("n >= lo AND n < hi")
-    i = F.col("n") - F.col("lo")
-    rising = F.when(i < F.col("fade"), F.sin(F.lit(math.pi / 2) * (i + 0.5) / F.col("fade"))).otherwise(1.0)
-    parts = parts.select(key, (F.col("at") + i).alias("p"), "k", (F.col("x") * rising).alias("x")).withColumn("b", bucket(F.col("p")))
-    joins = kept.where("fade > 0").select(key, F.col("k").alias("join"), F.col("at").alias("from"), (F.col("at") + F.col("fade")).alias("to"), "fade")
-    joins = joins.withColumn("b", F.explode(F.sequence(bucket(F.col("from")), bucket(F.col("to") - 1)))).withColumnRenamed(key, "__k").withColumnRenamed("b", "__b")
-    under = (F.col(key) == F.col("__k")) & (F.col("b") == F.col("__b")) & (F.col("join") > F.col("k")) & (F.col("p") >= F.col("from")) & (F.col("p") < F.col("to"))
-    falling = F.log(F.cos(F.lit(math.pi / 2) * (F.col("p") - F.col("from") + 0.5) / F.col("fade")))
-    faded = parts.join(joins, under, "left").groupBy(key, "p", "k").agg(F.first("x").alias("x"), F.exp(F.coalesce(F.sum(falling), F.lit(0.0))).alias("w"))
-    return faded.groupBy(key, F.col("p").alias("n")).agg(F.sum(F.col("x") * F.col("w")).alias("x"))
+    ranges = kept.withColumn("__b", F.explode(F.sequence(bucket(F.col("__lo")), bucket(F.col("__hi") - 1))))
+    parts = samples.select(key, "n", "x", bucket(F.col("n")).alias("__b")).join(ranges, [key, "__b"]).where("n >= __lo AND n < __hi")
+    i = F.col("n") - F.col("__lo")
+    rising = F.when(i < F.col("__fade"), F.sin(F.lit(math.pi / 2) * (i + 0.5) / F.col("__fade"))).otherwise(1.0)
+    parts = parts.select(key, (F.col("__at") + i).alias("__p"), "__r", (F.col("x") * rising).alias("x")).withColumn("__b", bucket(F.col("__p")))
+    joins = kept.where("__fade > 0").select(F.col(key).alias("__key"), F.col("__r").alias("__join"), F.col("__at").alias("__from"), (F.col("__at") + F.col("__fade")).alias("__to"), F.col("__fade").alias("__width"))
+    joins = joins.withColumn("__c", F.explode(F.sequence(bucket(F.col("__from")), bucket(F.col("__to") - 1))))
+    under = (F.col(key) == F.col("__key")) & (F.col("__b") == F.col("__c")) & (F.col("__join") > F.col("__r")) & (F.col("__p") >= F.col("__from")) & (F.col("__p") < F.col("__to"))
+    falling = F.log(F.cos(F.lit(math.pi / 2) * (F.col("__p") - F.col("__from") + 0.5) / F.col("__width")))
+    faded = parts.join(joins, under, "left").groupBy(key, "__p", "__r").agg(F.first("x").alias("x"), F.exp(F.coalesce(F.sum(falling), F.lit(0.0))).alias("__w"))
+    return faded.groupBy(key, F.col("__p").alias("n")).agg(F.sum(F.col("x") * F.col("__w")).alias("x"))
 
 
 def valid_clips(clips: DataFrame, durations: DataFrame, key: str, rate: float) -> DataFrame:

@@ -16,6 +16,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 ROWS = 65_536
 
 
+def _flat(columns: list[pa.Array]) -> list[pa.Array]:
+    """The columns, and for structs those of their fields."""
+    return [f for c in columns for f in (_flat(c.flatten()) if pa.types.is_struct(c.type) else [c])]
+
+
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
     """Tables of rows that agree in the first n_keys columns, of batches sorted by them."""
     held: list[pa.RecordBatch] = []
@@ -28,8 +33,8 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table
         if n == 0:
             continue
         change = np.zeros(n - 1, bool)
-        for k in range(n_keys):
-            codes = batch.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        for column in _flat([batch.column(k) for k in range(n_keys)]):
+            codes = column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
             change |= codes[1:] != codes[:-1]
         edges = [0, *(np.flatnonzero(change) + 1).tolist(), n]
         if held and not same(held[-1], held[-1].num_rows - 1, batch, 0):
@@ -66,7 +71,7 @@ def grouped_map(df: DataFrame, keys: list[str], order: list[str], columns: list[
             size = len(next(iter(made.values())))
             if size == 0:
                 continue
-            own = [pa.repeat(group.column(k)[0], size).cast(out.field(k).type) for k in range(len(keys))]
+            own = [pa.array([group.column(k)[0].as_py()] * size, out.field(k).type) for k in range(len(keys))]
             parts.append(pa.table([*own, *(pa.array(made[f.name], f.type) for f in list(out)[len(keys) :])], schema=out))
             n += size
             if n >= ROWS:
