@@ -1,10 +1,10 @@
 """Language-model scoring by Elias-Fano n-gram tries.
 
-Documents are tokenised once, into a written table of batches. Distinct words are counted and
-numbered by frequency, and each batch learns the numbers and counts of its own words. It then
-sends its distinct word pairs and triples, with the counts of the training documents among them,
-to shards by their first word. A shard adds the counts up, writes a trie of memory-mapped levels
-and answers every batch from it; a batch then scores its documents.
+Documents are tokenised once, into a written table of batches that doesn't move again. Batches send
+their distinct words, in order and packed, to shards that count and number them. With the numbers
+they send their distinct word pairs and triples, with the counts of the training documents among
+them, to shards by their first word. A shard adds the counts up, writes a trie of memory-mapped
+levels and answers every batch from it; a batch then scores its documents.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import bucketed, written
 from .words import Hasher, chunks, mix64, split_words
 
 END = 0x1F3D5B79A2C4E687
@@ -28,9 +28,11 @@ ADD = 0.1
 PRIOR = (2000.0, 5.0)
 #: Quantised log10 probabilities: steps a unit; 0 stands for unseen.
 STEPS = 4096
-BATCH_BYTES = 14 << 20
+BATCH_BYTES = 8 << 20
 #: Tokens whose pairs and triples a shard has to itself.
 SHARD_TOKENS = 4 << 20
+#: Words of batches that a shard counts.
+SHARD_WORDS = 4 << 20
 #: Entries of a level that are unpacked at once.
 CHUNK = 1 << 16
 
@@ -47,12 +49,12 @@ class EliasFano:
     @staticmethod
     def parts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(low bytes: entry by byte, packed unary bits) of sorted values."""
-        n = len(values)
+        n, values = len(values), np.ascontiguousarray(values, np.uint64)
         top = int(values[-1]) + 1 if n else 1
         width = 0
         while width < 8 and top >> (8 * width) > n:
             width += 1
-        low = np.ascontiguousarray(values, np.uint64).view(np.uint8).reshape(n, 8)[:, :width]
+        low = values.view(np.uint8).reshape(n, 8)[:, :width]
         upper = (values >> np.uint64(8 * width) if width < 8 else np.zeros(n, np.uint64)).astype(np.int64)
         bits = np.zeros(n + (int(upper[-1]) if n else 0) + 1, bool)
         bits[upper + np.arange(n)] = True
@@ -199,7 +201,7 @@ def _from_small(raw: bytes, n: int) -> np.ndarray:
     return out
 
 
-BATCHES = "ids array<long>, held array<boolean>, sizes binary, words binary, word_n binary, low binary, high binary"
+BATCHES = "ids array<long>, held array<boolean>, n_words long, sizes binary, words binary, word_n binary, low binary, high binary"
 
 
 def _batch(part: pa.RecordBatch, hasher: Hasher) -> pa.RecordBatch:
@@ -224,7 +226,7 @@ def _batch(part: pa.RecordBatch, hasher: Hasher) -> pa.RecordBatch:
     trained = np.bincount(token, weights=~np.repeat(held, size), minlength=len(word)).astype(np.uint32)
     columns = (size, word[order], trained, (token & np.uint32(0xFFFF)).astype(np.uint16), (token >> np.uint32(16)).astype(np.uint16))
     kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()))
-    return pa.RecordBatch.from_arrays([*(pa.array([part.column(c).to_pylist()], k) for c, k in zip((0, 2), kinds, strict=True)), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], [c.split()[0] for c in BATCHES.split(", ")])
+    return pa.RecordBatch.from_arrays([*(pa.array([part.column(c).to_pylist()], k) for c, k in zip((0, 2), kinds, strict=True)), pa.array([len(word)], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], [c.split()[0] for c in BATCHES.split(", ")])
 
 
 def _split(batches) -> Iterator[pa.RecordBatch]:
@@ -238,12 +240,12 @@ def _split(batches) -> Iterator[pa.RecordBatch]:
 class Ngrams:
     """Distinct pairs and triples of a batch, and the shards that count them, in a fixed order.
 
-    Words are numbered by falling count, size - 1 stands before a document's first word, and
-    words that training lacks take no part. An n-gram goes to the shard of its first word that
-    isn't hot (its number below hot), so that no shard has a frequent word to itself.
+    Words have numbers, size - 1 stands before a document's first word, and words that training
+    lacks take no part. An n-gram goes to the shard of its first word that isn't hot, so that no
+    shard has all that begins with a frequent word.
     """
 
-    def __init__(self, token: np.ndarray, sizes: np.ndarray, number: np.ndarray, size: int, hot: int, shards: int):
+    def __init__(self, token: np.ndarray, sizes: np.ndarray, number: np.ndarray, size: int, hot: np.ndarray, shards: int):
         word = number[token]
         first = np.zeros(len(word), bool)
         first[np.cumsum(sizes, dtype=np.int64) - sizes] = True
@@ -264,7 +266,7 @@ class Ngrams:
         self.context, self.word = (triples // np.uint64(size)).astype(np.int64), triples % np.uint64(size)
         self.size, self.shards = size, shards
         home = lambda x: (mix64(x + np.uint64(1)) % np.uint64(shards)).astype(np.int64)
-        warm = lambda x: (x >= hot) & (x != size - 1)
+        warm = lambda x: ~np.isin(x, hot) & (x != size - 1)
         u, v = self.pairs // np.uint64(size), self.pairs % np.uint64(size)
         pair_home = np.where(warm(u), home(u), home(v))
         # A pair of a hot word and another lives with the other, and so do the triples that begin with it.
@@ -336,18 +338,60 @@ def _tokens(row: dict) -> np.ndarray:
     return np.frombuffer(row["low"], np.uint16).astype(np.int32) | (np.frombuffer(row["high"], np.uint16).astype(np.int32) << 16)
 
 
-def _numbers(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(number or -1, training count) of each word of a batch."""
-    n = len(row["words"]) // 8
-    number, count = np.full(n, -1, np.int64), np.zeros(n, np.int64)
-    if row["known_at"]:
-        at = np.array(row["known_at"])
-        number[at], count[at] = row["known_id"], row["known_n"]
+WORD_QUESTIONS = "shard int, batch long, words binary, n binary"
+WORD_ANSWERS = "batch long, shard int, known binary, ranks binary, n binary, v long, total long, ends long, hot array<long>"
+
+
+def word_home(words: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of sorted hashes, rising with them."""
+    return ((words >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24)).astype(np.int64)
+
+
+def _ask_words(row: dict, shards: int) -> Iterator[tuple]:
+    words, n = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["word_n"], np.uint32)
+    order = np.argsort(words)
+    words, n = words[order], n[order]
+    edge = np.searchsorted(word_home(words, shards), np.arange(shards + 1))
+    for s in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
+        lo, hi = edge[s], edge[s + 1]
+        yield s, row["batch"], EliasFano.pack(words[lo:hi]), _small(n[lo:hi].astype(np.int64))
+
+
+def _count_words(rows: pa.Table, hot_n: float) -> pa.Table:
+    """Training counts of a shard's words, and for each batch the ranks of those that it holds among those that training has."""
+    words = [EliasFano.unpack(x.as_py()) for x in rows["words"]]
+    edge = np.cumsum([0, *map(len, words)])
+    every, at = np.unique(np.concatenate(words), return_inverse=True)
+    n = np.bincount(at, weights=np.concatenate([_from_small(x.as_py(), len(w)) for x, w in zip(rows["n"], words, strict=True)]), minlength=len(every)).astype(np.int64)
+    known = n > 0
+    rank = np.cumsum(known) - 1
+    facts = (int(known.sum()), int(n.sum()), int(n[every == np.uint64(END)].sum()), rank[n >= hot_n].tolist())
+    out = []
+    for b, batch in enumerate(rows["batch"].to_pylist()):
+        mine = at[edge[b] : edge[b + 1]]
+        told = mine[known[mine]]
+        # A shard's facts come with its first row.
+        out.append((batch, rows["shard"][b].as_py(), np.packbits(known[mine]).tobytes(), EliasFano.pack(rank[told]), _small(n[told]), *(facts if b == 0 else (None,) * 4)))
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    return pa.Table.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], [c.split()[0] for c in WORD_ANSWERS.split(", ")])
+
+
+def _numbers(row: dict, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number or -1, training count) of each word of a batch; starts: the first number of each word shard."""
+    words = np.frombuffer(row["words"], np.uint64)
+    number, count = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64)
+    order = np.argsort(words)
+    edge = np.searchsorted(word_home(words[order], len(starts)), np.arange(len(starts) + 1))
+    for a in row["known"] or []:
+        mine = order[edge[a["shard"]] : edge[a["shard"] + 1]]
+        mine = mine[np.unpackbits(np.frombuffer(a["known"], np.uint8))[: len(mine)].astype(bool)]
+        number[mine] = EliasFano.unpack(a["ranks"]).astype(np.int64) + starts[a["shard"]]
+        count[mine] = _from_small(a["n"], len(mine))
     return number, count
 
 
-def _scores(row: dict, size: int, hot: int, shards: int, total: int, ends: int) -> pa.Table:
-    number, count = _numbers(row)
+def _scores(row: dict, starts: np.ndarray, size: int, hot: np.ndarray, shards: int, total: int, ends: int) -> pa.Table:
+    number, count = _numbers(row, starts)
     token, sizes = _tokens(row), np.frombuffer(row["sizes"], np.uint32)
     grams = Ngrams(token, sizes, number, size, hot, shards)
     level2, level3 = np.zeros(len(grams.pairs), np.uint16), np.zeros(len(grams.word), np.uint16)
@@ -375,24 +419,6 @@ def _scores(row: dict, size: int, hot: int, shards: int, total: int, ends: int)
     return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": sizes.astype(np.int64), "n_known": add(count[token] > 0).astype(np.int64), "train_tokens": np.full(len(sizes), total, np.int64), "base_score": add(np.log10(one)), "score": add(np.log10(three))})
 
 
-def numbered_words(asked: DataFrame) -> DataFrame:
-    """word, n, id of the words (word, n) with training counts: numbers from 0 by falling count.
-
-    Sorted by ranges, and numbered within them as the table is written, so no task gets all words.
-    """
-    counts = asked.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
-    table = written(counts.orderBy(F.desc("n"), "word").withColumn("at", F.monotonically_increasing_id()), "lm-words")
-    part = F.shiftright("at", 33)
-    sizes = sorted((r["part"], r["size"]) for r in table.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("size")).collect())
-    # One number a range of the sort.
-    starts, total = [], 0
-    for k, size in sizes:
-        starts.append((k, total))
-        total += size
-    ranges = table.sparkSession.createDataFrame(starts, "part long, start long")
-    return table.withColumn("part", part.cast("long")).join(F.broadcast(ranges), "part").select("word", "n", (F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("id"))
-
-
 def score(docs: DataFrame, held_out: Column, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """RESULT for every row of docs (doc_id, text), learning from the rows that aren't held out.
 
@@ -409,39 +435,44 @@ def score(docs: DataFrame, held_out: Column, shard_tokens: int = SHARD_TOKENS) -
         for part in _split(batches):
             yield _batch(part, hasher)
 
-    batches = written(rows.mapInArrow(tokenise, BATCHES).withColumn("batch", F.monotonically_increasing_id()), "lm-batches", compression="zstd")
+    batches = bucketed(rows.mapInArrow(tokenise, BATCHES).withColumn("batch", F.monotonically_increasing_id()), "lm-batches", "batch")
+    word_shards = max(1, -(-(batches.agg(F.sum("n_words")).collect()[0][0] or 0) // SHARD_WORDS))
 
     def ask_words(parts):
         for part in parts:
             for row in part.to_pylist():
-                words, n = np.frombuffer(row["words"], np.int64), np.frombuffer(row["word_n"], np.uint32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), row["batch"]), pa.int64()), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(words), pa.array(n.astype(np.int64))], ["batch", "at", "word", "n"])
-
-    asked = batches.select("batch", "words", "word_n").mapInArrow(ask_words, "batch long, at int, word long, n long")
-    words = written(numbered_words(asked.select("word", "n")), "lm-numbered")
-    sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("n"))), F.lit(0)).alias("ends")).collect()[0]
-    total, size, ends = int(sums["n"]), int(sums["v"]) + 1, int(sums["ends"])
+                out = list(_ask_words(row, word_shards))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate([pa.int32(), pa.int64(), pa.binary(), pa.binary()])], [c.split()[0] for c in WORD_QUESTIONS.split(", ")])
+
+    asked = batches.select("batch", "words", "word_n").mapInArrow(ask_words, WORD_QUESTIONS)
+    # A word that fills half a shard of n-grams is hot.
+    counted = asked.repartition(word_shards, "shard").groupBy("shard").applyInArrow(lambda table: _count_words(table, shard_tokens / 2), WORD_ANSWERS)
+    counted = written(counted, "lm-words")
+    # One row of sums a shard of words.
+    facts = sorted((r["shard"], r["v"], r["total"], r["ends"], r["hot"]) for r in counted.where("v IS NOT NULL").select("shard", "v", "total", "ends", "hot").collect())
+    each = np.zeros(word_shards, np.int64)
+    each[[f[0] for f in facts]] = [f[1] for f in facts]
+    starts = np.cumsum(each) - each
+    hot = np.array(sorted(starts[f[0]] + k for f in facts for k in f[4]), np.int64).astype(np.uint64)
+    total, size, ends = sum(f[2] for f in facts), sum(f[1] for f in facts) + 1, sum(f[3] for f in facts)
     shards = max(1, -(-total // shard_tokens))
-    # A hot word has a share of tokens that would fill half a shard.
-    hot = words.where(F.col("n") * (2 * shards) >= total).count() if total else 0
-    known = asked.select("batch", "at", "word").join(words, "word").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("at", "id", "n"))).alias("k"))
-    known = written(known.select("batch", F.col("k.at").alias("known_at"), F.col("k.id").alias("known_id"), F.col("k.n").alias("known_n")), "lm-known")
+    known = counted.groupBy("batch").agg(F.collect_list(F.struct("shard", "known", "ranks", "n")).alias("known"))
+    told = batches.join(known, "batch", "left")
 
     def ask(key, table):
         out = []
         for row in table.to_pylist():
-            number, _ = _numbers(row)
+            number, _ = _numbers(row, starts)
             sizes = np.frombuffer(row["sizes"], np.uint32)
             grams = Ngrams(_tokens(row), sizes, number, size, hot, shards)
             out += [(s, row["batch"], *rest) for s, *rest in grams.questions(~np.repeat(np.array(row["held"], bool), sizes))]
         return pa.Table.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate([pa.int32(), pa.int64(), *[pa.binary()] * 5])], [c.split()[0] for c in QUESTIONS.split(", ")])
 
-    told = batches.join(known, "batch", "left")
-    questions = told.select("batch", "held", "sizes", "words", "low", "high", "known_at", "known_id", "known_n").groupBy("batch").applyInArrow(ask, QUESTIONS)
+    questions = told.select("batch", "held", "sizes", "words", "low", "high", "known").groupBy("batch").applyInArrow(ask, QUESTIONS)
     answered = questions.repartition(shards, "shard").groupBy("shard").applyInArrow(lambda table: _answers(table, size, total), "batch long, shard int, pairs binary, triples binary")
     answers = answered.groupBy("batch").agg(F.collect_list(F.struct("shard", "pairs", "triples")).alias("answers"))
 
     def tell(key, table):
-        return pa.concat_tables([_scores(row, size, hot, shards, total, ends) for row in table.to_pylist()])
+        return pa.concat_tables([_scores(row, starts, size, hot, shards, total, ends) for row in table.to_pylist()])
 
-    return told.drop("word_n").join(answers, "batch", "left").groupBy("batch").applyInArrow(tell, RESULT)
+    return told.drop("word_n", "n_words").join(answers, "batch", "left").groupBy("batch").applyInArrow(tell, RESULT)

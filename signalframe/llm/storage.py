@@ -33,6 +33,15 @@ def written(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, tag: str, column: str) -> DataFrame:
+    """written(), dealt to spark.sql.shuffle.partitions buckets by a column, so that joins and groups on it needn't move the table."""
+    spark = df.sparkSession
+    name = f"{tag}_{uuid.uuid4().hex}".replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, column).sortBy(column).option("path", new_path(spark, tag)).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
 def sent_if_small(table: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
     """A written table of known row size, with a broadcast hint if its counted rows fit in `most` bytes.
 
