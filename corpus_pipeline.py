@@ -29,11 +29,12 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are redacted."""
-    return secrets.redact(docs).select(COLUMNS)
+    return secrets.redact(docs.select(COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of scarce languages repeat until token shares meet the targets; none is dropped."""
+    docs = docs.select(COLUMNS)
     listed = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id")
     labelled = docs.select("doc_id", F.col("lang").alias("domain")).join(listed, "doc_id", "left_semi")
     rates = mixing.mix(docs.select("doc_id", "text"), labelled, mixing.TARGETS, least=1.0, grow=True)

@@ -1,12 +1,13 @@
 """Operators where ids or texts repeat, and where numbers are large."""
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from signalframe.llm import dedup, langid, topk
+from signalframe.llm import bpe, dedup, langid, quality, topk
 from signalframe.llm.words import Hasher
 
 A, B, C = "a b c d e f g h", "p q r s t u v w", "i j k l m n o x"
@@ -71,3 +72,68 @@ def test_language_sample_of_copies(spark):
     finally:
         langid.fit = fit
     assert seen["n"] == {"xx": 3, "yy": 32} and model.languages == ["xx", "yy"]
+
+
+ODD = [(1, "Some plain words of a clean text that goes on for a while.", "en"), (1, "Some plain words of a clean text that goes on for a while.", "en"), (2, None, None), (3, "", "fr"), (4, " \t\n", "de"), (None, "a text without an id, quite long enough to be judged by itself", "en"), (None, None, None), (5, "x" * 70_000 + " und " * 9000, "de"), (6, "password = ABCDEFGHIJKL0123 and more words", "en"), (6, "another text of the same id, with other words in it", "es"), (7, "Some plain words of a clean text that goes on for a while.", "en")]
+
+
+@pytest.fixture(scope="module")
+def odd_docs(spark):
+    rows = [(i, t, lang, "s", len(t or ""), 1, "y", 0.5, [1]) for i, t, lang in ODD]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, copies int, blob string, score double, keys array<int>")
+
+
+@pytest.fixture(scope="module")
+def odd_folder(spark, tmp_path_factory):
+    folder = f"file://{tmp_path_factory.mktemp('odd')}"
+    spark.createDataFrame([(1, 1, 0), (1, 1, 0), (5, 0, 0), (None, 1, 0), (6, None, 0), (3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def table_of(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_take_odd_tables(spark, odd_docs, odd_folder, name, stage):
+    out = stage(spark, odd_docs, odd_folder)
+    none = stage(spark, odd_docs.where("false"), odd_folder)
+    assert none.count() == 0
+    if name == "bpe":
+        assert out.count() == len(ODD) and none.columns == out.columns
+        return
+    assert out.columns == none.columns == corpus_pipeline.COLUMNS
+    rows, every = table_of(out), table_of(odd_docs)
+    if name == "quality classifier":
+        # Rows go whole or stay, and rows that are alike share their fate.
+        assert all(rows.count(r) in (0, every.count(r)) for r in every) and set(rows) <= set(every)
+    if name == "near-dedup":
+        assert rows == sorted({(i, t) for i, t in every if (i, t) != (7, every[0][1])}, key=repr)
+    if name == "secret scan":
+        assert len(rows) == len(every) and (6, "[REDACTED] and more words") in rows and (2, None) in rows
+    if name == "mixing":
+        assert set(rows) == set(every) and all(rows.count(r) >= every.count(r) for r in every)
+
+
+def test_pipeline_against_single_steps(spark, tmp_path):
+    """The pipeline's rows, from the quality model's own decisions on, by brute force."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    scored = quality.classify(docs, labels, bpe.doc_hash() % 5 != 0, keep=("doc_id", "text")).collect()
+    kept = sorted((r["doc_id"], r["text"] or "") for r in scored if r["score"] >= quality.THRESHOLD)
+    sets = [frozenset(zip(w, w[1:], strict=False)) if len(w) > 1 else frozenset(w) for w in ((t.translate({i: i + 32 for i in range(65, 91)})).split() for _, t in kept)]
+    root = list(range(len(kept)))
+    for a in range(len(kept)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    left = {kept[k][0]: kept[k][1] for k in range(len(kept)) if root[k] == k}
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    assert {r["doc_id"] for r in out} == set(left)
+    enc = bpe.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    for r in out:
+        text = bpe.decode(np.frombuffer(r["token_ids"], "<u4"), enc).decode()
+        assert text == left[r["doc_id"]] or "[REDACTED]" in text
+    # What only scarce languages have more than once is whole documents.
+    assert len(out) >= len(left)
