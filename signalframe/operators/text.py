@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,8 +151,6 @@ def clean_title(title: Column) -> Column:
 
 def first_json(text: Column) -> Column:
     """The first balanced JSON object in a text, strings honoured; null if there is none."""
-    import pandas as pd
-
     def scan(value: str | None) -> str | None:
         at = (value or "").find("{")
         if at < 0:
