@@ -21,6 +21,8 @@ from .storage import drop_written, sent_if_small, written
 #: Bytes of a part of a bucket; a group holds two parts, or one longer member beside a part.
 PART_BYTES = 1 << 20
 PROBES = 64
+#: Edges that a file of a step of components() holds.
+PART_EDGES = 250_000
 #: Members of a group whose pairs are all estimated at once.
 SMALL = 128
 
@@ -32,19 +34,23 @@ def _tally(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for the nodes of edges (a, b).
 
-    Alternating large and small stars; each step is written, so a lost executor costs one step.
+    Alternating large and small stars; each step is written, so a lost executor costs one step. Steps
+    come in as many files as their rows ask for, so that small graphs take few tasks.
     """
-    current = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
+    first = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    current = written(first, "cc")
     before = _tally(current)
+    parts = 1 + int(before[0]) // PART_EDGES
+    step = lambda df, tag: written(df.coalesce(parts), tag)
     while before[0]:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m")), "cc-min")
-        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc")
+        least = step(both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m")), "cc-min")
+        large = step(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc")
         drop_written(current)
         drop_written(least)
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "cc-min")
+        least = step(large.groupBy("u").agg(F.min("v").alias("m")), "cc-min")
         small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        current = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        current = step(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
         drop_written(large)
         drop_written(least)
         now = _tally(current)
@@ -55,6 +61,11 @@ def components(edges: DataFrame) -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
 
 
+def more_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """components() of the edges that gave labels and of some more: what is joined already is a star."""
+    return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(edges))
+
+
 def matrix(column) -> np.ndarray:
     values = column.to_pylist()
     return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
@@ -181,12 +192,16 @@ def part_pairs(rows: DataFrame, weight: DataFrame, part_bytes: int = PART_BYTES)
     return rows.select("key", F.least("own", "mate").alias("x"), F.greatest("own", "mate").alias("y"), "node", "component", side.alias("side"))
 
 
-def linked(nodes: DataFrame, likeness: Callable, least: float, payloads: Callable[[DataFrame], DataFrame] | None = None, exact: Callable | None = None) -> DataFrame:
+def linked(nodes: DataFrame, likeness: Callable, least: float, payloads: Callable[[DataFrame], DataFrame] | None = None, exact: Callable | None = None, search: bool = True) -> DataFrame:
     """(node, component) of the nodes (node long, keys array<long>, sig binary) that have links.
 
     Two nodes link if they share a key, likeness(sigs, sigs) is at least `least`, and exact, given
     the payloads (node, payload binary) of nodes that share keys, keeps them. nodes must be a
     written table with unique, non-null nodes. Nodes without a link may be missing.
+
+    search: also look for links between a bucket's members beside its pivot. Without it, two nodes
+    link only by way of the pivots of their buckets, which is what an approximate search needs: a
+    pair that alone shares a bucket is found, and groups hang together by several buckets.
     """
     exploded = nodes.select("node", F.explode("keys").alias("key"))
     shared = written(exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1"), "buckets")
@@ -203,14 +218,17 @@ def linked(nodes: DataFrame, likeness: Callable, least: float, payloads: Callabl
     stars = written(member.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
     side = lambda c: sigs.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
     near = written(_star_links(stars.join(side("a"), "a").join(side("b"), "b"), likeness, least), "near")
-    best = near.groupBy("a").agg(F.max(F.struct("near", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-    edges = written(confirm(best), "links")
-    labels = written(components(edges), "labels")
+    if exact:
+        best = near.groupBy("a").agg(F.max(F.struct("near", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+        labels = written(components(written(confirm(best), "links")), "labels")
+    else:
+        labels = written(components(near.select("a", "b")), "labels")
+    if not search:
+        return labels
     apart = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
-    rest = written(near.join(named(labels, "a"), "a", "left").join(named(labels, "b"), "b", "left").where(apart).select("a", "b"), "apart")
-    if not rest.isEmpty():
-        edges = written(edges.unionByName(confirm(rest)), "links")
-        labels = written(components(edges), "labels")
+    rest = near.limit(0) if not exact else written(near.join(named(labels, "a"), "a", "left").join(named(labels, "b"), "b", "left").where(apart).select("a", "b"), "apart")
+    if exact and not rest.isEmpty():
+        labels = written(more_components(labels, written(confirm(rest), "links")), "labels")
 
     # Buckets of two members are done; larger ones may hold links beside their pivot.
     placed = written(member.where("n > 2").join(labels, "node", "left").select("node", "key", F.coalesce("component", "node").alias("component")), "placed")
@@ -223,4 +241,4 @@ def linked(nodes: DataFrame, likeness: Callable, least: float, payloads: Callabl
     pairs = pairs.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
     search = _part_links(likeness, least, exact)
     found = written(pairs.mapInArrow(lambda batches: _each_group(batches, 3, search), "a long, b long").distinct(), "links")
-    return labels if found.isEmpty() else written(components(edges.unionByName(found)), "labels")
+    return labels if found.isEmpty() else written(more_components(labels, found), "labels")
