@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bucketed, written
+from .storage import bucketed, dealt_keys, written
 from .words import Hasher, chunks, mix64, split_words
 
 END = 0x1F3D5B79A2C4E687
@@ -291,7 +291,7 @@ class Ngrams:
             yield s, EliasFano.pack(self.pairs[every]), b"" if asked.all() else np.packbits(asked).tobytes(), _small(np.where(asked, pair_n[every], 0)), EliasFano.pack(relative), _small(triple_n[triples])
 
 
-QUESTIONS = "shard int, batch long, pairs binary, asked binary, pair_n binary, triples binary, triple_n binary"
+QUESTIONS = "deal int, shard int, batch long, pairs binary, asked binary, pair_n binary, triples binary, triple_n binary"
 ANSWERS = pa.schema([("batch", pa.int64()), ("shard", pa.int32()), ("pairs", pa.binary()), ("triples", pa.binary())])
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -338,7 +338,7 @@ def _tokens(row: dict) -> np.ndarray:
     return np.frombuffer(row["low"], np.uint16).astype(np.int32) | (np.frombuffer(row["high"], np.uint16).astype(np.int32) << 16)
 
 
-WORD_QUESTIONS = "shard int, batch long, words binary, n binary"
+WORD_QUESTIONS = "deal int, shard int, batch long, words binary, n binary"
 WORD_ANSWERS = "batch long, shard int, known binary, ranks binary, n binary, v long, total long, ends long, hot array<long>"
 
 
@@ -428,6 +428,7 @@ def score(docs: DataFrame, held_out: Column, shard_tokens: int = SHARD_TOKENS) -
     held in if held_out says so. Without training rows N is 0 and each token has probability 1. An
     empty table gives no rows. shard_tokens: how many tokens' n-grams a shard counts.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(held_out, F.lit(False)).alias("held"))
 
     def tokenise(batches):
@@ -438,15 +439,17 @@ def score(docs: DataFrame, held_out: Column, shard_tokens: int = SHARD_TOKENS) -
     batches = bucketed(rows.mapInArrow(tokenise, BATCHES).withColumn("batch", F.monotonically_increasing_id()), "lm-batches", "batch")
     word_shards = max(1, -(-(batches.agg(F.sum("n_words")).collect()[0][0] or 0) // SHARD_WORDS))
 
+    word_keys = dealt_keys(spark, word_shards)
+
     def ask_words(parts):
         for part in parts:
             for row in part.to_pylist():
-                out = list(_ask_words(row, word_shards))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate([pa.int32(), pa.int64(), pa.binary(), pa.binary()])], [c.split()[0] for c in WORD_QUESTIONS.split(", ")])
+                out = [(word_keys[r[0]], *r) for r in _ask_words(row, word_shards)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate([pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()])], [c.split()[0] for c in WORD_QUESTIONS.split(", ")])
 
     asked = batches.select("batch", "words", "word_n").mapInArrow(ask_words, WORD_QUESTIONS)
     # A word that fills half a shard of n-grams is hot.
-    counted = asked.repartition(word_shards, "shard").groupBy("shard").applyInArrow(lambda table: _count_words(table, shard_tokens / 2), WORD_ANSWERS)
+    counted = asked.repartition(word_shards, "deal").groupBy("deal").applyInArrow(lambda table: _count_words(table, shard_tokens / 2), WORD_ANSWERS)
     counted = written(counted, "lm-words")
     # One row of sums a shard of words.
     facts = sorted((r["shard"], r["v"], r["total"], r["ends"], r["hot"]) for r in counted.where("v IS NOT NULL").select("shard", "v", "total", "ends", "hot").collect())
@@ -456,6 +459,7 @@ def score(docs: DataFrame, held_out: Column, shard_tokens: int = SHARD_TOKENS) -
     hot = np.array(sorted(starts[f[0]] + k for f in facts for k in f[4]), np.int64).astype(np.uint64)
     total, size, ends = sum(f[2] for f in facts), sum(f[1] for f in facts) + 1, sum(f[3] for f in facts)
     shards = max(1, -(-total // shard_tokens))
+    keys = dealt_keys(spark, shards)
     known = counted.groupBy("batch").agg(F.collect_list(F.struct("shard", "known", "ranks", "n")).alias("known"))
     told = batches.join(known, "batch", "left")
 
@@ -465,11 +469,11 @@ def score(docs: DataFrame, held_out: Column, shard_tokens: int = SHARD_TOKENS) -
             number, _ = _numbers(row, starts)
             sizes = np.frombuffer(row["sizes"], np.uint32)
             grams = Ngrams(_tokens(row), sizes, number, size, hot, shards)
-            out += [(s, row["batch"], *rest) for s, *rest in grams.questions(~np.repeat(np.array(row["held"], bool), sizes))]
-        return pa.Table.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate([pa.int32(), pa.int64(), *[pa.binary()] * 5])], [c.split()[0] for c in QUESTIONS.split(", ")])
+            out += [(keys[s], s, row["batch"], *rest) for s, *rest in grams.questions(~np.repeat(np.array(row["held"], bool), sizes))]
+        return pa.Table.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate([pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5])], [c.split()[0] for c in QUESTIONS.split(", ")])
 
     questions = told.select("batch", "held", "sizes", "words", "low", "high", "known").groupBy("batch").applyInArrow(ask, QUESTIONS)
-    answered = questions.repartition(shards, "shard").groupBy("shard").applyInArrow(lambda table: _answers(table, size, total), "batch long, shard int, pairs binary, triples binary")
+    answered = questions.repartition(shards, "deal").groupBy("deal").applyInArrow(lambda table: _answers(table, size, total), "batch long, shard int, pairs binary, triples binary")
     answers = answered.groupBy("batch").agg(F.collect_list(F.struct("shard", "pairs", "triples")).alias("answers"))
 
     def tell(key, table):

@@ -42,6 +42,17 @@ def bucketed(df: DataFrame, tag: str, column: str) -> DataFrame:
     return spark.table(name)
 
 
+def dealt_keys(spark: SparkSession, n: int) -> list[int]:
+    """n numbers that repartition(n, number) deals to n partitions, one each, so that no two groups share a task."""
+    tried = 8
+    while True:
+        ids = spark.range(tried * n + 64).select(F.col("id").cast("int").alias("k"))
+        found = ids.groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k")).orderBy("p").collect()
+        if len(found) == n:
+            return [r["k"] for r in found]
+        tried *= 2
+
+
 def sent_if_small(table: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
     """A written table of known row size, with a broadcast hint if its counted rows fit in `most` bytes.
 
