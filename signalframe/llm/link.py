@@ -205,7 +205,7 @@ def linked(nodes: DataFrame, likeness: Callable, least: float, payloads: Callabl
     """
     exploded = nodes.select("node", F.explode("keys").alias("key"))
     shared = written(exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1"), "buckets")
-    member = written(exploded.join(sent_if_small(shared, 40), "key").select("node", "key", "pivot", "n"), "members")
+    member = written(exploded.join(shared, "key").select("node", "key", "pivot", "n"), "members")
     sigs = nodes.select("node", "sig")
     full = sigs.withColumn("payload", F.lit(None).cast("binary"))
     if payloads:
