@@ -1,4 +1,4 @@
-"""Training-data operators: ten self-contained modules and their registered queries.
+"""Training-data operators: self-contained modules and their registered queries.
 
 Nothing outside this subpackage imports it. The functions that run on executors are
 pickled by value, so workers need no copy of the package.

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, fingerprints, langid, lm, mixing, quality, secrets, topk, urls
+from . import bpe, dedup, fingerprints, forced, langid, lm, mixing, periods, quality, resample, secrets, topk, urls
 from .bpe import doc_hash
 
 
@@ -122,6 +122,41 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (doc_hash() % 5 == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forced.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"], digests=True)
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: crc32 by its table, which follows from the polynomial; words are hashed once each.
+OP12_SQL = """
+WITH RECURSIVE step(i, v, k) AS (SELECT i, i, 0 FROM range(256) r(i)
+    UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM step WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM step WHERE k = 8),
+raw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+aim AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+own AS (SELECT doc_id, word, count(*) AS c FROM (SELECT doc_id, unnest(w) AS word FROM raw) GROUP BY ALL),
+theirs AS (SELECT word, count(*) AS c FROM (SELECT unnest(w) AS word FROM aim) GROUP BY ALL),
+names AS (SELECT word FROM own UNION SELECT word FROM theirs),
+bytes AS (SELECT word, list_transform(range(1, octet_length(encode(word)) + 1), lambda i: CAST('0x' || substr(hex(encode(word)), 2 * i - 1, 2) AS BIGINT)) AS b FROM names),
+hashed AS (SELECT word, CAST(xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], b), lambda a, x: xor(a >> 8, t[CAST(xor(a, x) & 255 AS BIGINT) + 1])), 4294967295) % 10000 AS BIGINT) AS bucket FROM bytes, crc),
+s AS (SELECT bucket, CAST(sum(c) AS BIGINT) AS s FROM own JOIN hashed USING (word) GROUP BY bucket),
+t AS (SELECT bucket, CAST(sum(c) AS BIGINT) AS t FROM theirs JOIN hashed USING (word) GROUP BY bucket),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT sum(s) FROM s) + 10000.0::DOUBLE) / ((s + 1.0::DOUBLE) * (coalesce((SELECT sum(t) FROM t), 0) + 10000.0::DOUBLE)))) AS BIGINT) AS g FROM s LEFT JOIN t USING (bucket)),
+weights AS (SELECT doc_id, CAST(sum(c * g) AS BIGINT) AS weight FROM own JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM raw LEFT JOIN weights USING (doc_id)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= (SELECT 10 * count(*) // 100 FROM scored WHERE n_features >= 20) THEN r END AS rank FROM placed"""
+
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.periodic_runs(table(spark, sf_dir, "documents"), keep=["doc_id"], order=periods.repeated_order, digests=True)
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_fingerprints": op2_fingerprints,
@@ -133,5 +168,8 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_lm": op9_lm,
     "op10_quality": op10_quality,
+    "op11_forced_bpe": op11_forced_bpe,
+    "op12_resample": op12_resample,
+    "op13_periods": op13_periods,
 }
-ORACLES = {"op1_secrets": _op1_sql(), "op7_url_filter": OP7_SQL, "op8_top_k": OP8_SQL}
+ORACLES = {"op1_secrets": _op1_sql(), "op7_url_filter": OP7_SQL, "op8_top_k": OP8_SQL, "op12_resample": OP12_SQL}

@@ -11,6 +11,13 @@ import pyarrow as pa
 CHUNK_BYTES = 1 << 20
 
 
+def spare(name: str, taken: list[str]) -> str:
+    """name, with underscores until no column of taken has it in any case."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 class Words(NamedTuple):
     """Words of documents first..last: start and end byte in data, number within the chunk, hash."""
 
@@ -91,3 +98,26 @@ def split_words(data: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> Words:
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     doc = np.searchsorted(offsets, start, "right") - 1
     return Words(data, offsets, start, end, doc, hasher.spans(data, start, end))
+
+
+class Coded(NamedTuple):
+    """Words of the documents of a chunk as numbers: dictionary, number of each word, and each document's first."""
+
+    words: pa.Array  # distinct, large_string
+    codes: np.ndarray
+    first: np.ndarray  # of each document, and the end
+
+
+def coded_words(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray) -> Coded:
+    """The runs of bytes that solid (by byte value) marks, cut at the ends of documents, numbered by first place in the chunk."""
+    held = solid[data]
+    begins = held.copy()
+    begins[1:] &= ~held[:-1]
+    cut = offsets[1:-1]
+    cut = cut[(cut > 0) & (cut < len(data))]
+    begins[cut] = held[cut]
+    start = np.flatnonzero(begins)
+    # A word ends where the next one begins among the solid bytes.
+    bounds = np.append(np.flatnonzero(begins[held]), np.count_nonzero(held)).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(data[held])]).dictionary_encode()
+    return Coded(words.dictionary, words.indices.to_numpy(), np.searchsorted(start, offsets))
