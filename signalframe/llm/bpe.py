@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: A match never runs from a letter or number into a space or line feed, so such places are safe to cut.
 SAFE = regex.compile(r"(?<=[\p{L}\p{N}])(?=[ \n])")
 PIECE_CHARS = 1 << 16
+#: Longer pieces are split by the pattern before the library sees them.
+LONG_CHARS = 4 * PIECE_CHARS
 
 
 @lru_cache(maxsize=4)
@@ -27,11 +29,17 @@ def encoding(ranks_path: str, pattern: str):
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=4)
+def splitter(pattern: str) -> regex.Pattern:
+    return regex.compile(pattern)
+
+
 def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     """Cut a long text at safe boundaries, the first at or after each size characters.
 
     The cuts leave every match of the pre-splitting pattern whole: a match holds white space
-    only as its first character or throughout, so none spans a letter followed by a space.
+    only as its first character or throughout, so none spans a letter followed by a space. A stretch
+    without such a place stays one piece.
     """
     start = 0
     while len(text) - start > size:
@@ -44,9 +52,19 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
 
 
 def encode(text: str | None, enc) -> np.ndarray:
-    """Token ids of the whole text as little-endian unsigned 32-bit integers; null is empty."""
-    parts = [np.array(enc.encode_ordinary(p), "<u4") for p in pieces(text or "")]
-    return np.concatenate(parts)
+    """Token ids of the whole text as little-endian unsigned 32-bit integers; null is empty.
+
+    A piece beyond LONG_CHARS, which holds no safe boundary for long, is split by the same pattern
+    here, and each match goes to the library's merge alone: its own pattern engine would run out
+    of stack on it.
+    """
+    parts = []
+    for piece in pieces(text or ""):
+        if len(piece) <= LONG_CHARS:
+            parts.append(np.array(enc.encode_ordinary(piece), "<u4"))
+        else:
+            parts += [np.array(enc._encode_single_piece(m[0]), "<u4") for m in splitter(enc._pat_str).finditer(piece)]
+    return np.concatenate(parts) if parts else np.zeros(0, "<u4")
 
 
 def decode(ids: np.ndarray, enc) -> bytes:

@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 from .storage import written
 
 MARKS = 16
-#: Bounds of the sample in which marks are looked for: labelled rows a domain, and characters a text and a word.
+#: Bounds of the sample in which marks are looked for: labelled rows a domain, and characters a text.
 MARK_ROWS = 128
 MARK_CHARS = 65_536
-WORD_CHARS = 64
+#: Starts of strings in a piece of a word; a piece has two characters more, so that pieces hold all strings of a word.
+PIECE_STARTS = 62
 LEAST_VARIANCE = 0.05
 STEPS = 60
 #: Steps after which rates are written, so that a rate isn't folded anew from the first step.
@@ -46,21 +47,25 @@ def _cuts(starts: Column, size: int) -> Column:
 def learn_marks(docs: DataFrame, labelled: DataFrame, domains: list[str], marks: int = MARKS, rows: int = MARK_ROWS, chars: int = MARK_CHARS) -> tuple[str, ...]:
     """The strings of 1 to 3 characters whose shares differ most between the domains of labelled texts.
 
-    docs: doc_id, text; labelled: doc_id, domain. Each domain's sample is its `rows` ids with the
-    smallest hashes, of texts of at most `chars` characters. Strings lie in a word
-    and the spaces beside it. Shares count by their roots; of two strings of two or three characters of which one holds the other, the better one stays. Without
-    a sample there are no marks.
+    docs: doc_id, text; labelled: doc_id, domain. Each domain's sample is the `rows` ids with the
+    smallest hashes among its texts of at most `chars` characters, lower-cased. Strings lie in a word, however
+    long, and the spaces beside it. Shares count by their roots; of two strings of two or three
+    characters of which one holds the other, the better one stays. Without a sample there are no
+    marks.
     """
     order = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id")
     known = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).select("doc_id", "domain").distinct()
+    fit = docs.select("doc_id", F.lower("text").alias("t")).where((F.length("t") > 0) & (F.length("t") <= chars))
     # At most `rows` ids a domain.
-    chosen = known.withColumn("at", F.row_number().over(order)).where(F.col("at") <= rows).select("doc_id", "domain")
-    texts = docs.select("doc_id", F.col("text").alias("t")).where((F.length("t") > 0) & (F.length("t") <= chars)).join(F.broadcast(chosen), "doc_id")
+    chosen = known.join(fit.select("doc_id"), "doc_id", "left_semi").withColumn("at", F.row_number().over(order)).where(F.col("at") <= rows).select("doc_id", "domain")
+    texts = fit.join(F.broadcast(chosen), "doc_id")
     # Words are counted first, with a space on each side; their strings are few.
     words = texts.select("domain", F.explode(F.split("t", "[ \n]+")).alias("w")).groupBy("domain", "w").agg(F.count(F.lit(1)).alias("c"))
-    words = words.where(F.length("w").between(1, WORD_CHARS)).withColumn("w", F.concat(F.lit(" "), "w", F.lit(" ")))
-    starts = F.sequence(F.lit(1), F.length("w"))
-    cuts = F.flatten(F.array(*[_cuts(starts, size) for size in (1, 2, 3)]))
+    words = words.where(F.length("w") > 0).withColumn("w", F.concat(F.lit(" "), "w", F.lit(" ")))
+    starts = F.sequence(F.lit(0), F.length("w") - 1, F.lit(PIECE_STARTS))
+    words = words.select("domain", "c", F.explode(F.transform(starts, lambda at: F.substring(F.col("w"), at + 1, F.lit(PIECE_STARTS + 2)))).alias("w"))
+    firsts = F.sequence(F.lit(1), F.least(F.length("w"), F.lit(PIECE_STARTS)))
+    cuts = F.flatten(F.array(*[_cuts(firsts, size) for size in (1, 2, 3)]))
     grams = words.select("domain", "c", F.explode(cuts).alias("g")).groupBy("domain", "g").agg(F.sum("c").alias("c"))
     grams = written(grams, "mix-grams")
     sizes = grams.groupBy("domain").agg(F.sum("c").alias("n"))
@@ -75,8 +80,8 @@ def learn_marks(docs: DataFrame, labelled: DataFrame, domains: list[str], marks:
 
 
 def features(text: Column, marks: tuple[str, ...]) -> Column:
-    """log share of each mark in the text; a null text counts as empty."""
-    text = F.coalesce(text, F.lit(""))
+    """log share of each mark in the lower-cased text; a null text counts as empty."""
+    text = F.lower(F.coalesce(text, F.lit("")))
     size = F.octet_length(text)
     return F.array(*[F.log(((size - F.octet_length(F.replace(text, F.lit(m), F.lit("")))) / len(m.encode()) + 0.5) / (size + 50)) for m in marks]).cast("array<double>")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import written
+from .words import spare
 
 #: (verdict, host, path) of the rules that the registered query applies.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -70,20 +71,24 @@ def blocked_bloom(listed: DataFrame, url: str = "url") -> tuple[DataFrame, int]:
 
 
 def possible_hits(rows: DataFrame, bloom: DataFrame, blocks: int, u: str = "u", broadcast_blocks: int = BROADCAST_BLOCKS) -> DataFrame:
-    """rows with maybe: whether the filter holds all bits of rows[u]; false for a null u.
+    """rows with maybe: whether the filter holds all bits of rows[u]; false for a null u. A column named maybe is replaced.
 
     Up to broadcast_blocks blocks, of 40 bytes each, the filter goes to every task and no row
-    moves. Beyond, rows meet it by block; blocks are dealt by a hash, and rows of one URL are salted,
-    by page_id, so that a URL with a third of all rows is split too.
+    moves. Beyond, rows meet it by block; blocks are dealt by a hash, and rows are salted by their
+    place in the task that reads them, so that a URL with a third of all rows is split too.
     """
-    held = lambda w: F.col(f"w{w}").bitwiseAND(_bits(F.col(u), w)) == _bits(F.col(u), w)
-    maybe = F.coalesce(reduce(lambda a, b: a & b, [held(w) for w in range(WORDS)]), F.lit(False))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(u), F.lit(blocks)))
+    names = {c: spare(c, rows.columns) for c in ("block", "salt", *(f"w{w}" for w in range(WORDS)))}
+    block, salt = names["block"], names["salt"]
+    bloom = bloom.select(*[F.col(c).alias(names[c]) for c in names if c != "salt"])
+    bits = [_bits(F.col(f"`{u}`"), w) for w in range(WORDS)]
+    held = [F.col(names[f"w{w}"]).bitwiseAND(bits[w]) == bits[w] for w in range(WORDS)]
+    maybe = F.coalesce(reduce(lambda a, b: a & b, held), F.lit(False))
+    rows = rows.withColumn(block, F.pmod(F.xxhash64(F.col(f"`{u}`")), F.lit(blocks)))
     if blocks <= broadcast_blocks:
-        return rows.join(F.broadcast(bloom), "block", "left").withColumn("maybe", maybe).drop("block", *[f"w{w}" for w in range(WORDS)])
-    salted = bloom.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", F.lit(3)), F.lit(SALTS)).cast("int"))
-    return rows.join(salted, ["block", "salt"], "left").withColumn("maybe", maybe).drop("block", "salt", *[f"w{w}" for w in range(WORDS)])
+        return rows.join(F.broadcast(bloom), block, "left").withColumn("maybe", maybe).drop(*names.values())
+    salted = bloom.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return rows.join(salted, [block, salt], "left").withColumn("maybe", maybe).drop(*names.values())
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, broadcast_blocks: int = BROADCAST_BLOCKS) -> DataFrame:

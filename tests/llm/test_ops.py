@@ -219,6 +219,17 @@ def test_bpe_pieces_join_to_whole_encodings():
         bpe.encode_documents(type("D", (), {"columns": ["text", "n_tokens"]})(), "", "")
 
 
+@pytest.mark.parametrize("text", [" " * 1_500_000, "\n" * 1_500_000, "\t" * 1_500_000, "-" * 1_500_000, "a" * 1_500_000, "- !?\n" * 300_000])
+def test_bpe_of_long_texts_without_a_safe_boundary(text):
+    enc = bpe.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    began = time.monotonic()
+    ids = bpe.encode(text, enc)
+    assert bpe.decode(ids, enc).decode() == text and time.monotonic() - began < 60
+    # Matches of a shorter text of this kind come the same way, and as the library's.
+    short = text[:300_000]
+    assert bpe.encode(short, enc).tolist() == enc.encode_ordinary(short)
+
+
 def brute_components(rows):
     sets = []
     for i, t in rows:
@@ -347,7 +358,7 @@ def test_mixing_posteriors_are_those_of_the_class_gaussians(documents):
     marks = mixing.learn_marks(documents, labelled, sorted(mixing.TARGETS))
     assert len(marks) == mixing.MARKS and not any(a != b and a in b for a in marks for b in marks if len(a) > 1)
     got = {r["doc_id"]: r["posterior"] for r in mixing.mix(documents, labelled.unionByName(labelled), mixing.TARGETS, marks=marks).collect()}
-    rows = {r["doc_id"]: (r["text"] or "", r["lang"]) for r in documents.select("doc_id", "text", "lang").collect()}
+    rows = {r["doc_id"]: ((r["text"] or "").lower(), r["lang"]) for r in documents.select("doc_id", "text", "lang").collect()}
     f = {i: np.array([math.log(((len(t.encode()) - len(t.replace(m, "").encode())) / len(m.encode()) + 0.5) / (len(t.encode()) + 50)) for m in marks]) for i, (t, _) in rows.items()}
     logs = {}
     known = [i for i in rows if i % 2 == 0 and rows[i][1] in mixing.TARGETS]
@@ -364,6 +375,24 @@ def test_mixing_posteriors_are_those_of_the_class_gaussians(documents):
     assert right / len(rows) > 0.95
 
 
+def test_marks_come_from_words_of_any_length(spark):
+    rows = [(k, "u", "zq" * 300 + f"{k}") for k in range(20)] + [(100 + k, "v", "mn" * 40_000 + " op") for k in range(20)] + [(200, "v", "op op op")]
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, d) for i, d, _ in rows], "doc_id long, domain string")
+    marks = mixing.learn_marks(docs, labelled, ["u", "v"], rows=1)
+    # The sample of v is drawn among its texts that are short enough, so it isn't empty.
+    assert any("z" in m for m in marks) and any("o" in m or "p" in m for m in marks) and not any("m" in m for m in marks)
+
+
+def test_possible_hits_keep_clashing_columns(spark):
+    bloom, blocks = urls.blocked_bloom(spark.createDataFrame([("h/1",)], "url string"))
+    rows = spark.createDataFrame([("h/1", 7, 8, 9, 1), ("h/2", 7, 8, 9, 2), (None, 7, 8, 9, 3)], "u string, block int, salt int, w0 int, Id int")
+    for most in (0, urls.BROADCAST_BLOCKS):
+        got = urls.possible_hits(rows, bloom, blocks, "u", most)
+        assert got.columns == [*rows.columns, "maybe"]
+        assert {(r["u"], r["block"], r["salt"], r["w0"], r["maybe"]) for r in got.collect()} >= {("h/1", 7, 8, 9, True), (None, 7, 8, 9, False)}
+
+
 def test_mixing_tells_what_it_cannot_meet(spark):
     docs = spark.createDataFrame([(1, "aa bb"), (2, "aa cc"), (3, "xx yy"), (4, None)], "doc_id long, text string")
     labelled = spark.createDataFrame([(1, "u"), (2, "u"), (3, "v"), (3, "v"), (None, "v")], "doc_id long, domain string")
