@@ -51,7 +51,11 @@ def gated_loudness(blocks: np.ndarray) -> float:
 
 def loudness(channels: np.ndarray, rate: float) -> dict[str, float]:
     """Integrated, range, and the loudest 400 ms and 3 s."""
-    tenth = block_powers(channels, rate)
+    return loudness_of(block_powers(channels, rate))
+
+
+def loudness_of(tenth: np.ndarray) -> dict[str, float]:
+    """loudness() from the powers of tenths of a second."""
     momentary, short = sliding_mean(tenth, 4), sliding_mean(tenth, 30)
     top = lambda v: float(recursive.to_lufs(v.max())) if len(v) else SILENCE
     heard = short[recursive.to_lufs(short) > -70]

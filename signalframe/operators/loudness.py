@@ -76,18 +76,30 @@ def weighted_blocks(weighted: DataFrame, block: int, step: int, gains: dict[int,
     return block_loudness(power.select("signal_id", "n", F.sqrt("p").alias("x")), block, step)
 
 
-def drive_gain(measure, target: float, tolerance: float = 0.3, most_probes: int = 8, most_step: float = 12.0, cap: float = 30.0) -> tuple[float, int]:
-    """(gain in dB, probes) so that measure(gain) meets the target: secant steps inside a bracket."""
-    lo, hi, gain, last = None, None, 0.0, None
-    for probe in range(1, most_probes + 1):
-        off = target - measure(gain)
-        if abs(off) <= tolerance:
-            return gain, probe
-        lo, hi = (max(lo, gain) if lo is not None else gain, hi) if off > 0 else (lo, min(hi, gain) if hi is not None else gain)
-        slope = (last[1] - off) / (gain - last[0]) if last and gain != last[0] else 1.0
-        step = off / slope if slope > 0.05 else off
-        wanted = min(gain + float(np.clip(step, -most_step, most_step)), cap)
-        if lo is not None and hi is not None and not lo < wanted < hi:
-            wanted = (lo + hi) / 2
-        last, gain = (gain, off), wanted
-    return gain, most_probes
+START = {"gain": 0.0, "lo": None, "hi": None, "last_gain": None, "last_off": None, "probes": 0, "done": False}
+
+
+def next_probe(state: dict, off: float, tolerance: float = 0.3, most_probes: int = 8, most_step: float = 12.0, cap: float = 30.0) -> dict:
+    """The state of the search for a gain after its gain turned out `off` from the target: done, or with a new gain.
+
+    Secant steps inside a bracket; after most_probes the gain of the next step stands without a probe.
+    """
+    gain, lo, hi, probes = state["gain"], state["lo"], state["hi"], state["probes"] + 1
+    if abs(off) <= tolerance:
+        return state | {"probes": probes, "done": True}
+    lo, hi = (max(lo, gain) if lo is not None else gain, hi) if off > 0 else (lo, min(hi, gain) if hi is not None else gain)
+    known = state["last_gain"] is not None and gain != state["last_gain"]
+    slope = (state["last_off"] - off) / (gain - state["last_gain"]) if known else 1.0
+    step = off / slope if slope > 0.05 else off
+    wanted = min(gain + float(np.clip(step, -most_step, most_step)), cap)
+    if lo is not None and hi is not None and not lo < wanted < hi:
+        wanted = (lo + hi) / 2
+    return {"gain": wanted, "lo": lo, "hi": hi, "last_gain": gain, "last_off": off, "probes": probes, "done": probes >= most_probes}
+
+
+def drive_gain(measure, target: float, **settings) -> tuple[float, int]:
+    """(gain in dB, probes) so that measure(gain) meets the target, by next_probe()."""
+    state = START
+    while not state["done"]:
+        state = next_probe(state, target - measure(state["gain"]), **settings)
+    return state["gain"], state["probes"]

@@ -53,10 +53,18 @@ def _block_matrices(coefficients: tuple[float, ...]) -> tuple[np.ndarray, np.nda
 
 
 def run_filter(x: np.ndarray, coefficients: tuple[float, ...], state: tuple[float, float] = (0.0, 0.0)) -> np.ndarray:
-    """A biquad from a state (rest by default), in blocks: within one a product, between them a recursion of two numbers."""
+    """A biquad from a state (rest by default)."""
+    return run_filter_on(x, coefficients, state)[0]
+
+
+def run_filter_on(x: np.ndarray, coefficients: tuple[float, ...], state: tuple[float, float] = (0.0, 0.0)) -> tuple[np.ndarray, tuple[float, float]]:
+    """(output, state after it) of a biquad, in blocks: within one a product, between them a recursion of two numbers.
+
+    The state is that after the last whole block, with zeros for input up to there.
+    """
     n = len(x)
     if n == 0:
-        return np.zeros(0)
+        return np.zeros(0), state
     outputs, of_state, to_state, carry = _block_matrices(tuple(map(float, coefficients)))
     blocks = np.zeros((-(-n // BLOCK), BLOCK))
     blocks.reshape(-1)[:n] = x
@@ -67,7 +75,7 @@ def run_filter(x: np.ndarray, coefficients: tuple[float, ...], state: tuple[floa
     for k, (g0, g1) in enumerate(gains):
         states[k] = s0, s1
         s0, s1 = c00 * s0 + c01 * s1 + g0, c10 * s0 + c11 * s1 + g1
-    return (blocks @ outputs + states @ of_state.T).reshape(-1)[:n]
+    return (blocks @ outputs + states @ of_state.T).reshape(-1)[:n], (s0, s1)
 
 
 def run_filters(x: np.ndarray, chain) -> np.ndarray:
@@ -139,12 +147,16 @@ def true_peaks(x: np.ndarray, half: int = 16) -> np.ndarray:
 
 
 def limit(x: np.ndarray, rate: float, ceiling_db: float = -1.0, lookahead: float = 0.005, release: float = 0.080) -> np.ndarray:
-    """Gain pulled down ahead of peaks, smoothed, and trimmed so that no true peak passes the ceiling.
-
-    Channels of a (channel, sample) array share one gain, so that the image doesn't move.
-    """
+    """pulled_down(), trimmed so that no true peak passes the ceiling."""
     if not x.shape[-1]:
         return x
+    y, ceiling = pulled_down(x, rate, ceiling_db, lookahead, release), 10 ** (ceiling_db / 20)
+    top = true_peaks(y).max()
+    return y * (ceiling / top) if top > ceiling else y
+
+
+def pulled_down(x: np.ndarray, rate: float, ceiling_db: float = -1.0, lookahead: float = 0.005, release: float = 0.080) -> np.ndarray:
+    """Gain pulled down ahead of peaks and smoothed; channels of a (channel, sample) array share one gain, so that the image doesn't move."""
     ceiling = 10 ** (ceiling_db / 20)
     peak = true_peaks(x)
     need = np.where(peak > ceiling, ceiling / np.maximum(peak, 1e-12), 1.0)
@@ -152,9 +164,7 @@ def limit(x: np.ndarray, rate: float, ceiling_db: float = -1.0, lookahead: float
     wanted = forward_min(need, ahead + 1)
     down, up = math.exp(-1 / max(1.0, ahead / 3)), math.exp(-1 / max(1.0, release * rate))
     g = -envelope(-wanted, down, up, -wanted[0])  # falling gain is rising reduction
-    y = x * g
-    top = true_peaks(y).max()
-    return y * (ceiling / top) if top > ceiling else y
+    return x * g
 
 
 class Limiter:
@@ -200,9 +210,9 @@ def flat_tops(x: np.ndarray, level: float, least: int, most: int) -> list[tuple[
     return [(int(lo), int(hi), int(sign[lo])) for lo, hi in zip(edge[:-1], edge[1:], strict=True) if sign[lo] and least <= hi - lo <= most and lo >= 2 and hi + 1 < len(x)]
 
 
-def hermite_bridge(x: np.ndarray, least: int, most: int, margin: float = 0.05, overshoot_db: float = 6.0) -> np.ndarray:
-    """Flat tops at the measured ceiling rebuilt by cubics between their neighbours."""
-    top = float(np.abs(x).max(initial=0.0))
+def hermite_bridge(x: np.ndarray, least: int, most: int, margin: float = 0.05, overshoot_db: float = 6.0, top: float | None = None) -> np.ndarray:
+    """Flat tops at the ceiling (that of x, or a given one) rebuilt by cubics between their neighbours."""
+    top = float(np.abs(x).max(initial=0.0)) if top is None else top
     if top < 0.98:
         return x
     level = top * 10 ** (-margin / 20)
@@ -236,32 +246,82 @@ def de_clip(x: np.ndarray, rate: float, music_ratio: float = 0.0, least: int = 3
 
 
 def burg(x: np.ndarray, order: int) -> np.ndarray:
-    """Prediction coefficients a of x[n] ~ -sum(a[k] x[n - k]), by Burg's recursion."""
-    f, b, a = x[1:].astype(float), x[:-1].astype(float), np.zeros(0)
+    """Prediction coefficients a of x[n] ~ -sum(a[k] x[n - k]), by Burg's recursion; of each row of a two-dimensional array."""
+    rows = np.atleast_2d(x)
+    if len(rows) == 1:
+        return _burg_of_one(rows[0], order).reshape(*x.shape[:-1], -1)
+    f, b, a = rows[:, 1:].astype(float), rows[:, :-1].astype(float), np.zeros((len(rows), 0))
+    dot = lambda u, v: np.einsum("ij,ij->i", u, v)
+    den = dot(f, f) + dot(b, b)
     for _ in range(order):
-        den = (f @ f) + (b @ b)
-        k = -2 * (f @ b) / den if den > 1e-20 else 0.0
-        a = np.concatenate([a + k * a[::-1], [k]])
+        k = np.where(den > 1e-20, -2 * dot(f, b) / np.maximum(den, 1e-300), 0.0)[:, None]
+        a = np.concatenate([a + k * a[:, ::-1], k], axis=1)
+        f, b = f + k * b, b + k * f
+        # What the next step sums, less the two samples that leave.
+        den = dot(f[:, 1:], f[:, 1:]) + dot(b[:, :-1], b[:, :-1])
+        f, b = f[:, 1:], b[:, :-1]
+    return a.reshape(*x.shape[:-1], -1)
+
+
+def _burg_of_one(x: np.ndarray, order: int) -> np.ndarray:
+    f, b, a = x[1:].astype(float), x[:-1].astype(float), np.zeros(order)
+    for m in range(order):
+        den = f.dot(f) + b.dot(b)
+        k = -2 * f.dot(b) / den if den > 1e-20 else 0.0
+        if m:
+            a[:m] += k * a[:m][::-1]
+        a[m] = k
         f, b = (f + k * b)[1:], (b + k * f)[:-1]
     return a
 
 
-def bridge(x: np.ndarray, lo: int, hi: int, order: int = 24, context: int = 512) -> np.ndarray:
-    """Values for places lo..hi-1: predictions from both sides, cross-faded; a line without context."""
+def predicted(past: np.ndarray, n: int, order: int) -> np.ndarray:
+    """The n values that each row of past leads to, by its own prediction."""
+    a = burg(past, order)[:, ::-1]
+    known = np.concatenate([past[:, -order:], np.zeros((len(past), n))], axis=1)
+    if len(past) == 1:
+        a, known = a[0], known[0]
+        for i in range(n):
+            known[order + i] = -a.dot(known[i : order + i])
+        return known[None, order:]
+    for i in range(n):
+        known[:, order + i] = -np.einsum("ij,ij->i", a, known[:, i : order + i])
+    return known[:, order:]
+
+
+def faded(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    fade = np.arange(1, left.shape[-1] + 1) / (left.shape[-1] + 1)
+    return left * (1 - fade) + right * fade
+
+
+def bridge(x: np.ndarray, lo: int, hi: int, order: int = 24, context: int = 512, from_right: np.ndarray | None = None) -> np.ndarray:
+    """Values for places lo..hi-1: predictions from both sides, cross-faded; a line without context.
+
+    from_right: the prediction from that side, if it is known.
+    """
     left, right = x[max(0, lo - context) : lo], x[hi : hi + context]
     n = hi - lo
     if min(len(left), len(right)) <= 2 * order:
         a, b = (x[lo - 1] if lo else 0.0), (x[hi] if hi < len(x) else 0.0)
         return a + (b - a) * np.arange(1, n + 1) / (n + 1)
-
-    def onward(past: np.ndarray) -> np.ndarray:
-        a, known = burg(past, order), past[-order:].tolist()
-        for _ in range(n):
-            known.append(-float(np.dot(a, known[: -order - 1 : -1])))
-        return np.array(known[order:])
-
-    fade = np.arange(1, n + 1) / (n + 1)
-    return onward(left) * (1 - fade) + onward(right[::-1])[::-1] * fade
+    if from_right is None and len(left) == len(right):
+        both = predicted(np.stack([left, right[::-1]]), n, order)
+        return faded(both[0], both[1][::-1])
+    if from_right is None:
+        from_right = predicted(right[None, ::-1], n, order)[0, ::-1]
+    return faded(predicted(left[None], n, order)[0], from_right)
+
+
+def from_the_right(x: np.ndarray, regions: list[tuple[int, int]], order: int, context: int, at_once: int = 256) -> dict[int, np.ndarray]:
+    """By number, the predictions of regions from the samples after them, for those with whole contexts; many together."""
+    whole = [k for k, (_, hi) in enumerate(regions) if hi + context <= len(x)]
+    longest, out = max((hi - lo for lo, hi in regions), default=0), {}
+    for at in range(0, len(whole), at_once):
+        part = whole[at : at + at_once]
+        past = np.stack([x[regions[k][1] : regions[k][1] + context][::-1] for k in part])
+        for k, made in zip(part, predicted(past, longest, order), strict=True):
+            out[k] = made[: regions[k][1] - regions[k][0]][::-1]
+    return out
 
 
 def second_difference(x: np.ndarray) -> np.ndarray:
@@ -320,17 +380,19 @@ def gap_samples(seconds: float, rate: float) -> int:
     return max(1, math.floor(seconds * rate + 0.5))
 
 
-def click_regions(mono: np.ndarray, rate: float, sigmas: float = 8.0, longest: float = 0.002, gate_db: float = -60.0) -> list[tuple[int, int]]:
+def click_regions(mono: np.ndarray, rate: float, sigmas: float = 8.0, longest: float = 0.002, gate_db: float = -60.0, sigma: float | None = None) -> list[tuple[int, int]]:
+    """sigma: that of the whole signal, if mono is a part of it."""
     if len(mono) < 4:
         return []
     d2 = second_difference(mono)
-    return outlier_regions(mono, d2, np.full(len(mono), sigmas * robust_sigma(d2[2:])), gap_samples(longest, rate), 10 ** (gate_db / 20))
+    sigma = robust_sigma(d2[2:]) if sigma is None else sigma
+    return outlier_regions(mono, d2, np.full(len(mono), sigmas * sigma), gap_samples(longest, rate), 10 ** (gate_db / 20))
 
 
-def repair_clicks(x: np.ndarray, rate: float, sigmas: float = 8.0, longest: float = 0.002, gate_db: float = -60.0) -> np.ndarray:
+def repair_clicks(x: np.ndarray, rate: float, sigmas: float = 8.0, longest: float = 0.002, gate_db: float = -60.0, sigma: float | None = None) -> np.ndarray:
     """Mouth clicks: outliers by a robust sigma of all second differences of the mean channel, bridged by lines."""
     rows = np.atleast_2d(x).astype(float).copy()
-    for lo, hi in click_regions(rows.mean(axis=0), rate, sigmas, longest, gate_db):
+    for lo, hi in click_regions(rows.mean(axis=0), rate, sigmas, longest, gate_db, sigma):
         for c in rows:
             line_between(c, max(lo - 1, 0), min(hi, rows.shape[1] - 1))
     return rows.reshape(x.shape)
@@ -362,9 +424,12 @@ def repair_crackle(x: np.ndarray, rate: float, ratio: float = 6.0, longest: floa
         return rows.reshape(x.shape)
     d2, most = second_difference(mono), gap_samples(longest, rate)
     found = outlier_regions(mono, d2, crackle_thresholds(d2, ratio), most, 10 ** (gate_db / 20))
-    for lo, hi in dilated(found, pad, len(mono), most + 2 * pad):
-        for c in rows:
-            c[lo:hi] = bridge(c, lo, hi, order, context)
+    regions = dilated(found, pad, len(mono), most + 2 * pad)
+    for c in rows:
+        # A repair changes what lies left of later regions, never what lies right of them.
+        known = from_the_right(c, regions, order, context)
+        for k, (lo, hi) in enumerate(regions):
+            c[lo:hi] = bridge(c, lo, hi, order, context, known.get(k))
     return rows.reshape(x.shape)
 
 
@@ -385,9 +450,12 @@ def nearest_rank(values: np.ndarray, p: float) -> float:
     return float(np.partition(values, at)[at])
 
 
-def is_breath(energy_db: np.ndarray, zcr: np.ndarray, floor_db: float) -> np.ndarray:
-    """Hops 6 dB above the floor and 12 dB below the loud tenth, that cross zero in a tenth of their samples."""
-    return (energy_db > floor_db + 6) & (energy_db < nearest_rank(energy_db, 0.9) - 12) & (zcr >= 0.10) if len(energy_db) else np.zeros(0, bool)
+def is_breath(energy_db: np.ndarray, zcr: np.ndarray, floor_db: float, loud_db: float | None = None) -> np.ndarray:
+    """Hops 6 dB above the floor and 12 dB below the loud tenth (of these hops, or as given), that cross zero in a tenth of their samples."""
+    if not len(energy_db):
+        return np.zeros(0, bool)
+    loud_db = nearest_rank(energy_db, 0.9) if loud_db is None else loud_db
+    return (energy_db > floor_db + 6) & (energy_db < loud_db - 12) & (zcr >= 0.10)
 
 
 def slope_limited(gain: np.ndarray, step: float) -> np.ndarray:
@@ -403,12 +471,12 @@ def slope_limited(gain: np.ndarray, step: float) -> np.ndarray:
     return gain
 
 
-def control_breath(x: np.ndarray, rate: float, floor_db: float = -60.0, reduction_db: float = 6.0, ramp: float = 0.030, hop: int = 480) -> np.ndarray:
+def control_breath(x: np.ndarray, rate: float, floor_db: float = -60.0, reduction_db: float = 6.0, ramp: float = 0.030, hop: int = 480, loud_db: float | None = None) -> np.ndarray:
     """Breaths turned down, with linear ramps before and after them."""
     if not x.shape[-1] or reduction_db <= 0:
         return x
     mono = np.atleast_2d(x).mean(axis=0)
-    flagged = is_breath(*hop_levels(mono, hop), floor_db)
+    flagged = is_breath(*hop_levels(mono, hop), floor_db, loud_db)
     if not flagged.any():
         return x
     gain = np.repeat(np.where(flagged, 10 ** (-min(reduction_db, 18.0) / 20), 1.0), hop)[: len(mono)]
@@ -486,17 +554,26 @@ def eq_edges() -> np.ndarray:
 
 def gated_spectrum(mono: np.ndarray, hop: int = 480) -> np.ndarray:
     """Mean power spectrum of windowed frames that are 10 dB above the quiet tenth, or of all."""
-    n = (len(mono) - EQ_FRAME) // hop + 1
-    frames = np.lib.stride_tricks.sliding_window_view(mono, EQ_FRAME)[:: hop][:n]
-    ms = np.einsum("ij,ij->i", frames, frames) / EQ_FRAME
-    db = np.where(ms > 1e-12, 10 * np.log10(np.maximum(ms, 1e-300)), -120.0)
+    frames, db = eq_frames(mono, hop)
     loud = np.flatnonzero(db >= nearest_rank(db, 0.10) + 10)
-    loud = loud if len(loud) else np.arange(n)
+    loud = loud if len(loud) else np.arange(len(frames))
+    return power_sum(frames, loud) / len(loud)
+
+
+def eq_frames(mono: np.ndarray, hop: int = 480) -> tuple[np.ndarray, np.ndarray]:
+    """(frames, level of each in dB), a whole frame a hop."""
+    frames = np.lib.stride_tricks.sliding_window_view(mono, EQ_FRAME)[::hop] if len(mono) >= EQ_FRAME else np.zeros((0, EQ_FRAME))
+    ms = np.einsum("ij,ij->i", frames, frames) / EQ_FRAME
+    return frames, np.where(ms > 1e-12, 10 * np.log10(np.maximum(ms, 1e-300)), -120.0)
+
+
+def power_sum(frames: np.ndarray, loud: np.ndarray) -> np.ndarray:
+    """Sum of the windowed frames' power spectra, of those numbered in loud."""
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(EQ_FRAME) / EQ_FRAME)
     total = np.zeros(EQ_FRAME // 2 + 1)
     for lo in range(0, len(loud), 256):
         total += (np.abs(np.fft.rfft(frames[loud[lo : lo + 256]] * window)) ** 2).sum(axis=0)
-    return total / len(loud)
+    return total
 
 
 def eq_fit(x: np.ndarray, rate: float, shape: str = "neutral", amount: float = 0.5, bandwidth_hz: float = 0.0, q: float = 1.0, hop: int = 480) -> list[tuple[float, float, float]]:
@@ -506,10 +583,14 @@ def eq_fit(x: np.ndarray, rate: float, shape: str = "neutral", amount: float = 0
     dB under the loudest, are never raised; signals shorter than a frame have none.
     """
     mono = np.atleast_2d(x).mean(axis=0)
+    return eq_bands(gated_spectrum(mono, hop), rate, shape, amount, bandwidth_hz, q) if len(mono) >= EQ_FRAME else []
+
+
+def eq_bands(power: np.ndarray, rate: float, shape: str = "neutral", amount: float = 0.5, bandwidth_hz: float = 0.0, q: float = 1.0) -> list[tuple[float, float, float]]:
+    """eq_fit() of a mean power spectrum."""
     amount = min(max(amount, 0.0), 1.0)
-    if amount <= 0 or len(mono) < EQ_FRAME:
+    if amount <= 0:
         return []
-    power = gated_spectrum(mono, hop)
     freq = np.arange(len(power)) * rate / EQ_FRAME
     edges = eq_edges()
     db = np.array([10 * np.log10(power[(freq >= lo) & (freq < hi)].sum() + 1e-12) for lo, hi in zip(edges[:-1], edges[1:], strict=True)])
@@ -560,7 +641,7 @@ def tame(x: np.ndarray, rate: float, target_db: float, preserve: float = 0.35) -
 
 def splitmix(seed: int, n: int) -> np.ndarray:
     """n uniform numbers in 0..1 of the splitmix64 sequence."""
-    z = np.uint64(seed) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = np.uint64(seed % 2**64) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53
@@ -578,9 +659,9 @@ def content_hash(channels: np.ndarray, rate: int) -> int:
     return fnv1a(np.ascontiguousarray(rows, "<f4").tobytes(), fnv1a(int(len(rows)).to_bytes(8, "little"), fnv1a(int(rate).to_bytes(4, "little"))))
 
 
-def dither(x: np.ndarray, bits: int, seed: int) -> np.ndarray:
-    """Triangular noise of one step, then quantisation; the seed is a content hash."""
-    lsb, u = 2.0 ** (1 - bits), splitmix(seed, 2 * len(x))
+def dither(x: np.ndarray, bits: int, seed: int, first: int = 0) -> np.ndarray:
+    """Triangular noise of one step, then quantisation; the seed is a content hash, first the place of x in its signal."""
+    lsb, u = 2.0 ** (1 - bits), splitmix(seed + 2 * first * 0x9E3779B97F4A7C15, 2 * len(x))
     v = (x + (u[::2] - u[1::2]) * lsb) / lsb
     return np.sign(v) * np.floor(np.abs(v) + 0.5) * lsb
 

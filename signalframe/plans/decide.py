@@ -40,6 +40,7 @@ def findings(configured: DataFrame, keep: list[str]) -> DataFrame:
     """keep, ord, level, title: the findings of each row of stages(), in order."""
     c = F.col
     clipped = c("clipping_regions") > 3
+    # Levels and titles.
     rules: list[tuple[str, str, Column]] = [
         ("info", "Dual-mono source", c("downmix")),
         ("warn", "Out-of-phase stereo", ~c("downmix") & (c("correlation") < -0.5)),
@@ -69,42 +70,53 @@ MODULES = ("dc_hpf", "dehum", "declip", "declick", "decrackle", "denoise", "brea
 
 
 def module_report(configured: DataFrame, keep: list[str], dither_bits: int | None = None) -> DataFrame:
-    """keep, ord, module, applied, detail of every stage in chain order.
+    """keep, ord, module, applied, reason, settings (name to number) and detail of every stage in chain order.
 
     configured: rows of stages(); with before_lufs and after_lufs the loudness row tells both.
+    reason is a code: set, music, no_hum, no_clipping, clean, no_sibilance, no_speech,
+    no_speakers or float_output. detail tells reason and settings as text.
     """
     c = F.col
-    text = lambda pattern, *values: F.format_string(pattern, *values)
-    music = "off (music mode)"
-    has = lambda name: c(name) if name in configured.columns else F.lit(None).cast("double")
-    limit_db = denoise_limit_db(c("denoise_strength"), c("music_mode"))
-    target = c("target_lufs")
+    has = lambda name: c(name) if name in configured.columns else F.lit(None)
     off = dither_bits is None or dither_bits >= 32
-    rows = {
-        "dc_hpf": (F.lit(True), text("DC blocker + %.0f Hz high-pass", c("cutoff_hz"))),
-        "dehum": (c("dehum_hz").isNotNull(), F.when(c("dehum_hz").isNull(), "skipped (no confirmed hum)").otherwise(text("notch cascade at %.0f Hz + harmonics", c("dehum_hz")))),
-        "declip": (c("declip"), F.when(c("declip"), text("%d clipped regions rebuilt, peaks trimmed to -1 dBFS", c("clipping_regions"))).when(c("clipping_regions") > 3, "off (music-mode percussion guard)").otherwise("skipped (no clipping)")),
-        "declick": (c("declick_gate").isNotNull(), F.when(c("declick_gate").isNull(), music).otherwise("mouth-click outliers bridged (up to 2 ms)")),
-        "decrackle": (c("decrackle_ratio").isNotNull(), F.when(c("decrackle_ratio").isNull(), music).otherwise(text("impulse outliers (%.0f times what is beside them) bridged by prediction (up to 1 ms)", c("decrackle_ratio")))),
-        "denoise": (c("denoise_strength").isNotNull(), F.when(c("denoise_strength").isNull(), "skipped (clean source)").otherwise(text("~%.0f dB max attenuation", limit_db))),
-        "breath": (c("breath"), F.when(c("breath"), "breaths softened by 6 dB (ramped)").otherwise(music)),
-        "deess": (c("deess_threshold").isNotNull(), F.when(c("deess_threshold").isNull(), "skipped (no sibilance)").otherwise(text("5-9 kHz 3:1 above %.2f band ratio", c("deess_threshold")))),
-        "autoeq": (c("autoeq"), F.when(c("autoeq"), "neutral target, amount 0.50 (bells within 6 dB)").otherwise("skipped (non-speech)")),
-        "speaker": (c("speaker_leveling"), F.when(c("speaker_leveling"), text("per-speaker leveling to %.0f LUFS", target)).otherwise("skipped (no diarization)")),
-        "leveler": (F.lit(True), F.concat(text("adaptive leveler to %.0f LUFS speech target", target), F.when(c("music_mode"), " (music mode)").otherwise(""))),
-        "loudness": (F.lit(True), F.when(has("after_lufs").isNull(), text("two-pass normalize (target %.0f)", target)).otherwise(text("two-pass normalize %.1f to %.1f LUFS (target %.0f)", has("before_lufs"), has("after_lufs"), target))),
-        "limiter": (F.lit(True), text("true-peak ceiling %.1f dBTP", c("ceiling_dbtp"))),
-        "dither": (F.lit(not off), F.lit("off (float output)" if off else f"TPDF dither at {dither_bits}-bit")),
+    set_ = F.lit(True)
+    # Of each module: whether it runs, why not, and its numbers.
+    rows: dict[str, tuple[Column, Column | str, dict[str, Column | float]]] = {
+        "dc_hpf": (set_, "set", {"cutoff_hz": c("cutoff_hz")}),
+        "dehum": (c("dehum_hz").isNotNull(), "no_hum", {"fundamental_hz": c("dehum_hz")}),
+        "declip": (c("declip"), F.when(c("clipping_regions") > 3, "music").otherwise("no_clipping"), {"regions": c("clipping_regions"), "peak_dbfs": -1.0}),
+        "declick": (c("declick_gate").isNotNull(), "music", {"gate_dbfs": c("declick_gate"), "longest_ms": 2.0}),
+        "decrackle": (c("decrackle_ratio").isNotNull(), "music", {"ratio": c("decrackle_ratio"), "longest_ms": 1.0}),
+        "denoise": (c("denoise_strength").isNotNull(), "clean", {"strength": c("denoise_strength"), "limit_db": denoise_limit_db(c("denoise_strength"), c("music_mode"))}),
+        "breath": (c("breath"), "music", {"reduction_db": 6.0}),
+        "deess": (c("deess_threshold").isNotNull(), "no_sibilance", {"share": c("deess_threshold"), "ratio": 3.0}),
+        "autoeq": (c("autoeq"), "no_speech", {"amount": 0.5, "most_db": 6.0}),
+        "speaker": (c("speaker_leveling"), "no_speakers", {"target_lufs": c("target_lufs")}),
+        "leveler": (set_, "set", {"target_lufs": c("target_lufs"), "music": c("music_mode").cast("double")}),
+        "loudness": (set_, "set", {"before_lufs": has("before_lufs"), "after_lufs": has("after_lufs"), "target_lufs": c("target_lufs")}),
+        "limiter": (set_, "set", {"ceiling_dbtp": c("ceiling_dbtp")}),
+        "dither": (F.lit(not off), "float_output", {"bits": F.lit(None) if off else float(dither_bits)}),
     }
-    found = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(m).alias("module"), F.coalesce(rows[m][0], F.lit(False)).alias("applied"), rows[m][1].alias("detail")) for i, m in enumerate(MODULES)])
-    return configured.select(*keep, F.explode(found).alias("m")).select(*keep, "m.*")
+
+    def row(i: int, module: str) -> Column:
+        on, why, numbers = rows[module]
+        on = F.coalesce(on, F.lit(False))
+        told = [F.struct(F.lit(k).alias("key"), (v if isinstance(v, Column) else F.lit(v)).cast("double").alias("value")) for k, v in numbers.items()]
+        settings = F.map_from_entries(F.filter(F.array(*told), lambda e: on & e["value"].isNotNull()))
+        reason = F.when(on, "set").otherwise(why if isinstance(why, Column) else F.lit(why))
+        return F.struct(F.lit(i).alias("ord"), F.lit(module).alias("module"), on.alias("applied"), reason.alias("reason"), settings.alias("settings"))
+
+    found = configured.select(*keep, F.explode(F.array(*[row(i, m) for i, m in enumerate(MODULES)])).alias("m")).select(*keep, "m.*")
+    numbers = F.array_join(F.transform(F.map_entries("settings"), lambda e: F.format_string("%s %.2f", e["key"], e["value"])), ", ")
+    return found.withColumn("detail", F.when(F.col("applied"), numbers).otherwise(F.concat(F.lit("bypassed: "), "reason")))
 
 
 def off_target(mastered: DataFrame, keep: list[str], tolerance: float = 0.5) -> DataFrame:
-    """keep, level, title, detail: a warning for each render (after_lufs, target_lufs) further than tolerance from its target."""
+    """keep, level, title, measured_lufs, target_lufs, off_lu and detail: a warning for each render (after_lufs, target_lufs) further than tolerance from its target."""
     far = F.abs(F.col("after_lufs") - F.col("target_lufs"))
-    detail = F.format_string("Output integrated loudness is %.1f LUFS, %.1f LU from the %.0f LUFS target: the limiter is at its depth limit, so driving louder would only add distortion.", F.col("after_lufs"), far, F.col("target_lufs"))
-    return mastered.where(far > tolerance).select(*keep, F.lit("warn").alias("level"), F.lit("Loudness off target").alias("title"), detail.alias("detail"))
+    detail = F.format_string("measured %.1f LUFS, aim %.1f LUFS", F.col("after_lufs"), F.col("target_lufs"))
+    # Fixed value: the title.
+    return mastered.where(far > tolerance).select(*keep, F.lit("warn").alias("level"), F.lit("Loudness off target").alias("title"), F.col("after_lufs").alias("measured_lufs"), F.col("target_lufs"), far.alias("off_lu"), detail.alias("detail"))
 
 
 def speaker_gains(speakers: DataFrame, session: str, target: float, most: float = 12.0) -> DataFrame:

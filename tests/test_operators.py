@@ -116,7 +116,8 @@ def test_mastering_through_tables(spark):
     assert abs(told["after_lufs"] + 16) <= 0.5 and told["on_target"] and told["after_peak_dbtp"] <= -0.99
     assert decide.off_target(spark.createDataFrame([("a", -18.0, -16.0), ("b", -16.2, -16.0)], "k string, after_lufs double, target_lufs double"), ["k"]).count() == 1
     modules = decide.module_report(configured.withColumns({"before_lufs": F.lit(-30.0), "after_lufs": F.lit(-16.0)}), ["signal_id"], 16).collect()
-    assert [m["module"] for m in modules] == list(decide.MODULES) and "-30.0 to -16.0" in modules[11]["detail"] and modules[13]["applied"]
+    assert [m["module"] for m in modules] == list(decide.MODULES) and modules[11]["settings"] == {"before_lufs": -30.0, "after_lufs": -16.0, "target_lufs": -16.0} and modules[13]["applied"]
+    assert all(m["reason"] == "set" if m["applied"] else m["reason"] in m["detail"] for m in modules) and modules[0]["detail"] == "cutoff_hz 80.00"
 
 
 def test_profiles_of_speakers(spark):
