@@ -243,3 +243,46 @@ def upper_median(blocks: DataFrame, values: Callable[[Chunk], np.ndarray], name:
         return {name: [group["v"][k].as_py()]}
 
     return grouped_map(exact, [key], ["v"], ["c", "place"], take, f"{name} double")
+
+
+# Long kernels and other rates.
+
+
+def convolved(blocks: DataFrame, kernel: np.ndarray, key: str = "signal_id", size: int = CHUNK) -> DataFrame:
+    """blocks through a kernel of any length, as many samples as before: each chunk by one transform with what the kernel reaches back to."""
+    kernel = np.asarray(kernel, float)
+    back = -(-(len(kernel) - 1) // BLOCK)
+
+    def run(chunk: Chunk):
+        n = 1 << (chunk.x.shape[1] + len(kernel) - 2).bit_length()
+        spectrum = np.fft.rfft(kernel, n)
+        return np.stack([np.fft.irfft(np.fft.rfft(c, n) * spectrum, n)[: len(c)] for c in chunk.x])
+
+    return mapped(blocks, run, key, left=back, size=max(size, 2 * back))
+
+
+def resampled(blocks: DataFrame, source: int, target: int, key: str = "signal_id", size: int = CHUNK) -> DataFrame:
+    """blocks at another rate by readers.resample()'s kernel; a signal's samples are those of the whole resampled at once."""
+    from ..sources.readers import resample_at
+
+    if source == target:
+        return blocks
+
+    def pieces(chunk: Chunk):
+        """New samples whose places lie in the chunk's own part, cut at the new blocks' bounds."""
+        begin, end = chunk.at + chunk.lo, chunk.at + chunk.hi
+        first = -(-begin * target // source)
+        last = int(np.floor(end * target / source + 0.5)) if chunk.last else -(-end * target // source)
+        if last <= first:
+            return None
+        y = np.stack([resample_at(c, source, target, first, last, chunk.at) for c in chunk.x])
+        cuts = [first, *range((first // BLOCK + 1) * BLOCK, last, BLOCK), last]
+        parts = list(zip(cuts[:-1], cuts[1:], strict=True))
+        return {"block": [a // BLOCK for a, _ in parts], "from": [a for a, _ in parts], "channels": [len(y)] * len(parts), "x": [packed(y[:, a - first : b - first]) for a, b in parts]}
+
+    def joined(group):
+        channels = group["channels"][0].as_py()
+        return {"channels": [channels], "x": [packed(np.concatenate([unpacked(x).reshape(channels, -1) for x in group["x"].to_pylist()], axis=1))]}
+
+    made = over_chunks(blocks, pieces, "block long, from long, channels int, x binary", key, left=1, right=1, size=size)
+    return grouped_map(made, [key, "block"], ["from"], ["channels", "x"], joined, "channels int, x binary")

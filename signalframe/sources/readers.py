@@ -101,19 +101,23 @@ def resample(x: np.ndarray, source: int, target: int, lobes: int = 16) -> np.nda
     """
     if source == target or not len(x):
         return x
-    n = int(np.floor(len(x) * target / source + 0.5))
+    return resample_at(x, source, target, 0, int(np.floor(len(x) * target / source + 0.5)), 0, lobes)
+
+
+def resample_at(x: np.ndarray, source: int, target: int, first: int, last: int, begin: int, lobes: int = 16) -> np.ndarray:
+    """The samples first..last-1 of resample() of a signal of which x is the part from place begin on."""
     cut = min(1.0, target / source)
     half = int(np.ceil(lobes / cut))
     padded = np.concatenate([np.zeros(half), x, np.zeros(half + 1)])
-    out = np.empty(n)
+    out = np.empty(last - first)
     taps = np.arange(1 - half, half + 1)
-    for lo in range(0, n, 1 << 15):
-        at = np.arange(lo, min(n, lo + (1 << 15))) * source / target
+    for lo in range(first, last, 1 << 15):
+        at = np.arange(lo, min(last, lo + (1 << 15))) * source / target
         base = np.floor(at).astype(np.int64)
         t = (at - base)[:, None] - taps
         kernel = cut * np.sinc(cut * t) * np.cos(np.pi * np.clip(t / (2 * half), -0.5, 0.5)) ** 2
         kernel /= np.maximum(kernel.sum(axis=1, keepdims=True), 1e-12)
-        out[lo : lo + len(at)] = (padded[base[:, None] + taps + half] * kernel).sum(axis=1)
+        out[lo - first : lo - first + len(at)] = (padded[(base - begin)[:, None] + taps + half] * kernel).sum(axis=1)
     return out
 
 
