@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import permutations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.grouped import grouped_map
+
 #: Columns and the deviations from a baseline that still count as noise.
 BANDS = {"lufs": 0.2, "true_peak": 0.1, "ovrl": 0.1}
 
@@ -73,28 +75,69 @@ def verdict(results: DataFrame, key: str) -> DataFrame:
     return results.groupBy(key).agg(F.coalesce(F.bool_and(F.when(~F.col("status").isin("skip", "report"), F.col("status") == "pass")), F.lit(True)).alias("passed"))
 
 
-def diarization_error(reference: DataFrame, found: DataFrame, key: str, step: float = 0.01, collar: float = 0.25, most_speakers: int = 4) -> DataFrame:
+def assigned(gain: np.ndarray) -> float:
+    """The largest total gain of a matching of rows to columns, each used once at most; gains are 0 or more.
+
+    Shortest augmenting paths with potentials, a row at a time: cubic in the smaller side.
+    """
+    cost = -(gain if gain.shape[0] <= gain.shape[1] else gain.T)
+    n, m = cost.shape
+    u, v, owner = np.zeros(n), np.zeros(m), np.full(m, -1)
+    for row in range(n):
+        least, back, used = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        i, j = row, -1
+        while i >= 0:
+            if j >= 0:
+                used[j] = True
+            slack = cost[i] - u[i] - v
+            better = ~used & (slack < least)
+            least[better], back[better] = slack[better], j
+            j = int(np.argmin(np.where(used, np.inf, least)))
+            step = least[j]
+            # Rows on the tree and their columns move by the step; the other columns come nearer.
+            u[row] += step
+            u[owner[used]] += step
+            v[used] -= step
+            least[~used] -= step
+            i = owner[j]
+        while j >= 0:
+            owner[j] = owner[back[j]] if back[j] >= 0 else row
+            j = back[j]
+    return float(-sum(cost[owner[j], j] for j in range(m) if owner[j] >= 0))
+
+
+def diarization_error(reference: DataFrame, found: DataFrame, key: str, step: float = 0.01, collar: float = 0.25) -> DataFrame:
     """key, der over a grid of steps: missed, false and confused speech over the reference's speech.
 
-    reference and found: key, speaker (0 to most_speakers - 1), t_start, t_end. Steps within the
-    collar of a reference boundary don't count; the best mapping of speakers does.
+    reference and found: key, speaker (any labels, any number of them), t_start, t_end. Steps within
+    the collar of a reference boundary don't count; the mapping of found to reference speakers with
+    the most common time does. Common steps of pairs are sums; a key's pairs, few numbers, are
+    matched where they are grouped.
     """
     def grid(df: DataFrame, name: str) -> DataFrame:
         first, last = F.ceil(F.col("t_start") / step - 0.5), F.ceil(F.col("t_end") / step - 0.5) - 1
-        rows = df.where(last >= first).select(key, "speaker", F.explode(F.sequence(first, last)).alias("i"))
+        rows = df.where(last >= first).select(key, F.col("speaker").cast("string").alias("speaker"), F.explode(F.sequence(first, last)).alias("i"))
         return rows.groupBy(key, "i").agg(F.array_sort(F.collect_set("speaker")).alias(name))
 
     edges = reference.select(key, F.explode(F.array("t_start", "t_end")).alias("e"))
     near = edges.select(key, F.explode(F.sequence(F.ceil((F.col("e") - collar) / step - 0.5), F.floor((F.col("e") + collar) / step - 0.5))).alias("i")).distinct()
     cells = grid(reference, "r").join(grid(found, "h"), [key, "i"], "full").join(near, [key, "i"], "left_anti")
-    none = F.array().cast("array<int>")
-    cells = cells.groupBy(key, F.coalesce(F.col("r").cast("array<int>"), none).alias("r"), F.coalesce(F.col("h").cast("array<int>"), none).alias("h")).agg(F.count(F.lit(1)).alias("n"))
-    maps = F.array(*[F.array(*map(F.lit, p)) for p in permutations(range(most_speakers))])
-    tried = cells.withColumn("p", F.explode(maps))
-    right = F.size(F.array_intersect("r", F.transform("h", lambda s: F.get("p", s))))
-    wrong = F.greatest(F.size("r"), F.size("h")) - right
-    sums = tried.groupBy(key, "p").agg(F.sum(wrong * F.col("n")).alias("w"), F.sum(F.size("r") * F.col("n")).alias("t"))
-    return sums.groupBy(key).agg(F.min(F.when(F.col("t") > 0, F.col("w") / F.col("t")).otherwise(0.0)).alias("der"))
+    none = F.array().cast("array<string>")
+    # Steps with the same speakers on both sides count together.
+    cells = cells.groupBy(key, F.coalesce("r", none).alias("r"), F.coalesce("h", none).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    all_ = cells.groupBy(key).agg(F.sum(F.size("r") * F.col("n")).alias("speech"), F.sum(F.greatest(F.size("r"), F.size("h")) * F.col("n")).alias("most"))
+    pairs = cells.select(key, "n", F.explode("r").alias("a"), "h").select(key, "n", "a", F.explode("h").alias("b")).groupBy(key, "a", "b").agg(F.sum("n").alias("common"))
+
+    def match(group):
+        a, rows = np.unique(group["a"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        b, columns = np.unique(group["b"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        gain = np.zeros((len(a), len(b)))
+        gain[rows, columns] = group["common"].to_numpy()
+        return {"right": [assigned(gain)]}
+
+    right = grouped_map(pairs, [key], ["a", "b"], ["common"], match, "right double").withColumnRenamed(key, "__key")
+    rows = all_.join(right, F.col(key).eqNullSafe(F.col("__key")), "left")
+    return rows.select(key, F.when(F.col("speech") > 0, (F.col("most") - F.coalesce("right", F.lit(0.0))) / F.col("speech")).otherwise(0.0).alias("der"))
 
 
 def rubric(notes: DataFrame, key: str, duration: Column, least_bullets: int = 3, least_chapters: int = 2, chapters_after: float = 600.0, least_keywords: int = 3, first: float = 0.0) -> DataFrame:
@@ -104,6 +147,7 @@ def rubric(notes: DataFrame, key: str, duration: Column, least_bullets: int = 3,
     starts = F.transform("chapters", lambda c: c["start"])
     n = F.size("chapters")
     rising = F.forall(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: (n < 2) | (F.get(starts, i) > F.get(starts, i - 1)))
+    # Names, weights and which ones are required.
     checks = [
         ("summary_length", words(F.col("summary")).between(20, 250), 2.0, True),
         ("bullets_count", F.size("bullets").between(least_bullets, 10) & filled(F.col("bullets")), 1.5, True),

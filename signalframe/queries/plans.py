@@ -146,9 +146,9 @@ def gate_verdict(spark, d):
 
 def der(spark, d):
     """Diarization error of turns moved by 2 s and with speakers 0 and 2 swapped."""
-    t = turns(spark, d).where("t_start >= 0")
+    t = turns(spark, d)
     found = t.select("conv_id", (2 - F.col("speaker")).alias("speaker"), (F.col("t_start") + 2).alias("t_start"), (F.col("t_end") + 2).alias("t_end"))
-    return _r(gates.diarization_error(t, found, "conv_id", 0.5, 1.0, 3), "der")
+    return _r(gates.diarization_error(t, found, "conv_id", 0.5, 1.0), "der")
 
 
 def rubric_score(spark, d):
@@ -253,7 +253,7 @@ ORACLES = {
         SELECT clip, metric, round(a.v - b.v, 4) AS delta, CASE WHEN b.v IS NULL THEN 'new' WHEN a.v IS NULL THEN 'gone' WHEN abs(a.v - b.v) > CASE metric WHEN 'lufs' THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END THEN 'changed' ELSE 'ok' END AS verdict FROM a FULL JOIN b USING (clip, metric)""",
     "delta_gate": f"SELECT clip, round(a.lufs - b.lufs, 4) AS delta, a.lufs - b.lufs >= -0.05::DOUBLE AS passed FROM ({_METRICS(2)}) a JOIN ({_METRICS(1)}) b USING (clip)",
     "gate_verdict": "SELECT l_orderkey, coalesce(bool_and(CASE CAST(floor(l_quantity) AS INT) % 5 WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN false ELSE true END), true) AS passed FROM lineitem GROUP BY 1",
-    "der": f"""WITH {sql.TURNS}, t AS (SELECT * FROM turns WHERE t_start >= 0), lens AS (SELECT conv_id, CAST(ceil((max(t_end) + 4) / 0.5) AS BIGINT) AS k FROM t GROUP BY 1), g AS (SELECT conv_id, unnest(range(0, k)) AS i FROM lens),
+    "der": f"""WITH {sql.TURNS}, t AS (SELECT * FROM turns), lens AS (SELECT conv_id, CAST(floor((min(t_start) - 4) / 0.5) AS BIGINT) AS j, CAST(ceil((max(t_end) + 4) / 0.5) AS BIGINT) AS k FROM t GROUP BY 1), g AS (SELECT conv_id, unnest(range(j, k)) AS i FROM lens),
         cells AS (SELECT g.conv_id, i, list_distinct(coalesce(list(t.speaker) FILTER (t_start <= (i + 0.5) * 0.5 AND (i + 0.5) * 0.5 < t_end), [])) AS r, list_distinct(coalesce(list(2 - t.speaker) FILTER (t_start + 2 <= (i + 0.5) * 0.5 AND (i + 0.5) * 0.5 < t_end + 2), [])) AS h,
             bool_or((i + 0.5) * 0.5 BETWEEN t_start - 1 AND t_start + 1 OR (i + 0.5) * 0.5 BETWEEN t_end - 1 AND t_end + 1) AS near FROM g JOIN t USING (conv_id) GROUP BY 1, 2),
         maps AS (SELECT unnest([[0, 1, 2], [0, 2, 1], [1, 0, 2], [1, 2, 0], [2, 0, 1], [2, 1, 0]]) AS p),

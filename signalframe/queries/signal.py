@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars, stats
-from ..operators import bleedgate, chain, cuts, folds, hops, islands, loudness, master, multitrack, recursive, reverb, segmentation, speakers, spectral
+from ..operators import bleedgate, blocks, chain, cuts, folds, hops, islands, longmaster, loudness, master, multitrack, recursive, reverb, segmentation, speakers, spectral
+from ..operators.grouped import grouped_map, numbers
 from ..plans import decide
+from ..sources import pcmfiles
+from ..sources.storage import settled, shared_path
 from ..sources.tables import centred, samples, vectors
 from . import sql
 
@@ -329,10 +333,13 @@ def edl_render(spark, d):
 
 
 def lanczos_values(spark, d):
-    """Each vector between its samples 20 and 21, by 16 taps of the kernel."""
-    rows = vectors(spark, d).where("n BETWEEN 13 AND 28")
-    at = F.lit(20.3)
-    return rows.groupBy("signal_id").agg(F.round(F.sum(F.col("x") * scalars.lanczos(at - F.col("n"))), 6).alias("x"))
+    """Each vector at 90 places between its samples, and beyond its ends, by the kernel of drift repair."""
+
+    def run(group):
+        at = np.arange(90) * 0.77 - 2.3
+        return {"k": np.arange(90), "x": spectral.lanczos_at(numbers(group, "x"), at)}
+
+    return _r(grouped_map(vectors(spark, d), ["signal_id"], ["n"], ["x"], run, "k long, x double"), "x")
 
 
 def drift_repair(spark, d):
@@ -354,14 +361,60 @@ def crossgate_reports(spark, d):
 
 
 def breath_hops(spark, d):
-    """Hops that look like breaths: between floor and voice, with many crossings."""
-    rows = _hops(spark, d)
-    top = stats.order_statistic(rows, ["signal_id"], "energy_db", stats.nearest_rank(0.9), "p90")
-    low = stats.order_statistic(rows, ["signal_id"], "energy_db", stats.nearest_rank(0.1), "p10")
-    return rows.join(top, "signal_id").join(low, "signal_id").select("signal_id", "hop", ((F.col("energy_db") > F.col("p10") + 2) & (F.col("energy_db") < F.col("p90") - 2) & (F.col("zcr") >= 0.10)).alias("breath"))
+    """Hops that are breaths: of signals whose levels are stretched, as speech in a quiet room has them."""
+    rows = _hops(spark, d).select("signal_id", "hop", (F.col("energy_db") * BREATH_STRETCH).alias("energy_db"), "zcr")
+
+    def run(group):
+        e = numbers(group, "energy_db")
+        return {"hop": group["hop"].to_numpy(), "breath": recursive.is_breath(e, numbers(group, "zcr"), recursive.nearest_rank(e, 0.1))}
+
+    kind = dict(rows.dtypes)["hop"]
+    return grouped_map(rows, ["signal_id"], ["hop"], ["energy_db", "zcr"], run, f"hop {kind}, breath boolean")
+
+
+BREATH_STRETCH = 6.0
+
+
+def block_filter(spark, d):
+    """K-weighting of vectors as tables of blocks, their filter states by a scan."""
+    table = blocks.to_blocks(vectors(spark, d).withColumn("ch", F.lit(0)))
+    done = blocks.filtered(table, lambda facts: list(recursive.K_WEIGHTING))
+    return _r(blocks.from_blocks(done).select("signal_id", "n", "x"), "x")
+
+
+#: A short room: the direct sound and two echoes.
+ECHOES = {0: 1.0, 5: -0.4, 23: 0.25}
 
 
-QUERIES = {f.__name__: f for f in (analyze_signals, master_signals, loudness_maxima, edl_render, lanczos_values, drift_repair, short_term_medians, crossgate_reports, breath_hops, rt60_scan, clap_decay, level_spread, render_digest, hop_energy, hop_zcr, second_difference, peaks_pyramid, noise_floor_p10, silence_rank, robust_sigma, upper_median, true_median, speech_gate, snr_two_pass, speech_music_ratio, silence_runs, energy_silence, clip_regions, mask_dilate, sliding_min, sliding_max, moving_average_edge, local_baseline, dc_offset, stereo_uncentred_corr, hum_vote, level_expressions, strength_expressions, downmix, hop_gain_ramp, slice_padded, linear_resample, dc_block, slew_limit, duck_gain, leveler_hop_gain, union_speech_mask, audible_tracks, mixdown_sum, track_place, bleed_source, quiet_floor, wls_drift_fit, segment_crossfade, loudness_gating, gcc_phat, ltas_fit, spectral_hops, true_peak)} | {
+def block_convolution(spark, d):
+    """Vectors through a kernel with two echoes, by transforms of blocks."""
+    kernel = np.zeros(max(ECHOES) + 1)
+    kernel[list(ECHOES)] = list(ECHOES.values())
+    table = blocks.to_blocks(vectors(spark, d).withColumn("ch", F.lit(0)))
+    return _r(blocks.from_blocks(blocks.convolved(table, kernel)).select("signal_id", "n", "x"), "x")
+
+
+def pcm_round_trip(spark, d):
+    """Long signals written as PCM files, read by byte ranges: length and sum of each."""
+    table = blocks.to_blocks(long_signals(spark, d).withColumn("ch", F.lit(0)))
+    folder = shared_path(spark, "pcm", "files")
+    pcmfiles.write_files(table, folder, int(RATE))
+    read = spark.read.format("pcm_blocks").option("range_bytes", 1 << 16).load(folder)
+    rows = read.select(F.regexp_extract("path", r"([0-9]+)\.wav$", 1).cast("long").alias("signal_id"), "block", "channels", "x")
+    return blocks.from_blocks(rows).groupBy("signal_id").agg(F.count(F.lit(1)).alias("frames"), F.sum(F.round(F.col("x") * 32768)).cast("long").alias("total"))
+
+
+def master_blocks(spark, d):
+    """What mastering in blocks gives each long signal, by the configuration that its report leads to."""
+    rows = _stereo(spark, d)
+    report = chain.analyze(rows, RATE).withColumns({"dc": F.array_max(F.transform("dc_offset", lambda v: F.abs(v))), "diarized": F.lit(False), "target_lufs": F.lit(-16.0), "ceiling_dbtp": F.lit(-1.0)})
+    table = settled(blocks.to_blocks(rows), "master-blocks")
+    out, told = longmaster.master_blocks(table, decide.stages(report), RATE)
+    size = F.sum(F.octet_length("x") / (8 * F.col("channels"))).cast("long")
+    return out.groupBy("signal_id").agg(size.alias("frames")).join(told, "signal_id")
+
+
+QUERIES = {f.__name__: f for f in (analyze_signals, master_signals, loudness_maxima, edl_render, lanczos_values, drift_repair, short_term_medians, crossgate_reports, breath_hops, block_filter, block_convolution, pcm_round_trip, master_blocks, rt60_scan, clap_decay, level_spread, render_digest, hop_energy, hop_zcr, second_difference, peaks_pyramid, noise_floor_p10, silence_rank, robust_sigma, upper_median, true_median, speech_gate, snr_two_pass, speech_music_ratio, silence_runs, energy_silence, clip_regions, mask_dilate, sliding_min, sliding_max, moving_average_edge, local_baseline, dc_offset, stereo_uncentred_corr, hum_vote, level_expressions, strength_expressions, downmix, hop_gain_ramp, slice_padded, linear_resample, dc_block, slew_limit, duck_gain, leveler_hop_gain, union_speech_mask, audible_tracks, mixdown_sum, track_place, bleed_source, quiet_floor, wls_drift_fit, segment_crossfade, loudness_gating, gcc_phat, ltas_fit, spectral_hops, true_peak)} | {
     "biquad_notch": _stage(lambda x: recursive.de_hum(x, RATE, 50.0)),
     "k_weighting": _stage(lambda x: recursive.run_filters(x, recursive.K_WEIGHTING), digits=6),
     "deesser": _stage(lambda x: recursive.de_ess(x, RATE)),
@@ -393,6 +446,8 @@ def _biquad(source: str, name: str, c: tuple) -> str:
 _ATTACK, _RELEASE = (repr(recursive.pole(v, RATE)) + "::DOUBLE" for v in (0.005, 0.150))
 _LOUD = "longs AS (SELECT vec_id // 500 AS signal_id, vec_id % 500 * 64 + n AS n, x FROM (SELECT vec_id, CAST(unnest(range(len(embedding))) AS BIGINT) AS n, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings))"
 
+_CONVOLVED = " + ".join(f"{w}::DOUBLE * coalesce(lag(x, {k}) OVER w, 0)" for k, w in ECHOES.items())
+
 ORACLES = {
     "k_weighting": f"WITH RECURSIVE {sql.VECTORS}, {_biquad('vectors', 'one', recursive.K_WEIGHTING[0])}, mid AS (SELECT signal_id, n, y AS x FROM one), {_biquad('mid', 'two', recursive.K_WEIGHTING[1])} SELECT signal_id, n, round(y, 6) AS x FROM two",
     "fast_tamer": f"""WITH RECURSIVE {sql.VECTORS}, env AS (SELECT signal_id, n, x, abs(x) + (0 - abs(x)) * CASE WHEN abs(x) > 0 THEN {_ATTACK} ELSE {_RELEASE} END AS e FROM vectors WHERE n = 0
@@ -406,15 +461,19 @@ ORACLES = {
         SELECT signal_id, round(coalesce(-0.691 + 10 * log10(max(m4) FILTER (c4 = 1920)), -120), 5) AS momentary_max_lufs, round(coalesce(-0.691 + 10 * log10(max(m30) FILTER (c30 = 14400)), -120), 5) AS short_term_max_lufs FROM b GROUP BY 1""",
     "edl_render": f"""WITH {sql.VECTORS}, p AS (SELECT signal_id, CASE WHEN n < 20 THEN n WHEN n < 40 THEN n - 8 ELSE n - 16 END AS n, x * CASE WHEN n BETWEEN 16 AND 19 THEN cos(pi() / 2 * (n - 15.5) / 4) WHEN n BETWEEN 24 AND 27 THEN sin(pi() / 2 * (n - 23.5) / 4)
         WHEN n BETWEEN 36 AND 39 THEN cos(pi() / 2 * (n - 35.5) / 4) WHEN n BETWEEN 44 AND 47 THEN sin(pi() / 2 * (n - 43.5) / 4) ELSE 1 END AS x FROM vectors WHERE NOT n BETWEEN 20 AND 23 AND NOT n BETWEEN 40 AND 43) SELECT signal_id, n, round(sum(x), 6) AS x FROM p GROUP BY 1, 2""",
-    "lanczos_values": f"WITH {sql.VECTORS}, k AS (SELECT signal_id, x, pi() * (20.3::DOUBLE - n) AS p FROM vectors WHERE n BETWEEN 13 AND 28) SELECT signal_id, round(sum(x * CASE WHEN abs(p) >= 8 * pi() THEN 0 ELSE 8 * sin(p) * sin(p / 8) / (p * p) END), 6) AS x FROM k GROUP BY 1",
+    "lanczos_values": f"""WITH {sql.VECTORS}, o AS (SELECT DISTINCT signal_id, k, k * 0.77::DOUBLE - 2.3 AS pos FROM vectors, range(90) t(k)),
+        w AS (SELECT o.signal_id, k, x, pi() * (pos - floor(pos) - j) AS p FROM o, range(-7, 9) r(j) LEFT JOIN vectors v ON v.signal_id = o.signal_id AND v.n = CAST(floor(pos) AS BIGINT) + j)
+        SELECT signal_id, k, round(coalesce(sum(x * CASE WHEN abs(p) < 1e-12 THEN 1 WHEN abs(p) >= 8 * pi() - 1e-9 THEN 0 ELSE 8 * sin(p) * sin(p / 8) / (p * p) END), 0), 6) AS x FROM w GROUP BY 1, 2""",
+    "block_convolution": f"WITH {sql.VECTORS} SELECT signal_id, n, round({_CONVOLVED}, 6) AS x FROM vectors WINDOW w AS (PARTITION BY signal_id ORDER BY n)",
     "drift_repair": f"""WITH {sql.VECTORS}, o AS (SELECT signal_id, CAST(m AS BIGINT) AS m, m / (1 - 0.02::DOUBLE) AS pos FROM (SELECT DISTINCT signal_id FROM vectors), range(62) t(m)),
         k AS (SELECT o.signal_id, m, x, pi() * (pos - floor(pos) - j) AS p FROM o, range(-7, 9) r(j) JOIN vectors v ON v.signal_id = o.signal_id AND v.n = CAST(floor(pos) AS BIGINT) + j)
         SELECT signal_id AS track, m AS n, round(sum(x * CASE WHEN abs(p) < 1e-12 THEN 1 WHEN abs(p) >= 8 * pi() - 1e-9 THEN 0 ELSE 8 * sin(p) * sin(p / 8) / (p * p) END), 6) AS x FROM k GROUP BY 1, 2""",
     "short_term_medians": f"""WITH {sql.VECTORS}, h AS (SELECT signal_id, n // 4 AS hop, n // 4 % 2 AS speaker, avg(x * x) AS ms FROM vectors GROUP BY 1, 2, 3), l AS (SELECT *, CASE WHEN ms > 1e-12 THEN -0.691 + 10 * log10(ms) ELSE -120 END AS lv FROM h),
         a AS (SELECT *, -0.691 + 10 * log10(avg(ms) OVER (PARTITION BY signal_id, speaker)) - 10 AS floor FROM l WHERE lv > -40), g AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY signal_id, speaker) AS hops, avg(ms) OVER (PARTITION BY signal_id, speaker ORDER BY hop ROWS 3 PRECEDING) AS m FROM a WHERE lv > floor WINDOW w AS (PARTITION BY signal_id, speaker ORDER BY hop)),
         r AS (SELECT signal_id, speaker, hops, m FROM g WHERE k >= 4 OR k = hops AND hops < 4) SELECT signal_id, speaker, hops, round(median(-0.691 + 10 * log10(m)), 5) AS median_lufs FROM r GROUP BY 1, 2, 3""",
-    "breath_hops": f"""WITH {sql.HOPS}, k AS (SELECT *, {_RANK.format(v='energy_db')} FROM hops), p AS (SELECT signal_id, max(energy_db) FILTER (r = floor((c - 1) * 0.9 + 0.5) + 1) AS p90, max(energy_db) FILTER (r = floor((c - 1) * 0.1 + 0.5) + 1) AS p10 FROM k GROUP BY 1)
-        SELECT signal_id, hop, energy_db > p10 + 2 AND energy_db < p90 - 2 AND zcr >= 0.10 AS breath FROM hops JOIN p USING (signal_id)""",
+    "breath_hops": f"""WITH {sql.HOPS}, s AS (SELECT signal_id, hop, energy_db * {BREATH_STRETCH}::DOUBLE AS energy_db, zcr FROM hops), k AS (SELECT *, {_RANK.format(v='energy_db')} FROM s), p AS (SELECT signal_id, max(energy_db) FILTER (r = floor((c - 1) * 0.9 + 0.5) + 1) AS p90, max(energy_db) FILTER (r = floor((c - 1) * 0.1 + 0.5) + 1) AS p10 FROM k GROUP BY 1)
+        SELECT signal_id, hop, energy_db > p10 + 6 AND energy_db < p90 - 12 AND zcr >= 0.10 AS breath FROM s JOIN p USING (signal_id)""",
+    "pcm_round_trip": f"WITH {_LOUD} SELECT signal_id, count(*) AS frames, CAST(sum(sign(x) * floor(abs(least(greatest(x, -1), 1)) * 32767 + 0.5)) AS BIGINT) AS total FROM longs GROUP BY 1",
     "hop_energy": f"WITH {sql.HOPS} SELECT signal_id, hop, round(energy_db, 6) AS energy_db FROM hops",
     "hop_zcr": f"WITH {sql.HOPS} SELECT signal_id, hop, round(zcr, 6) AS zcr FROM hops",
     "second_difference": f"WITH {_D2} SELECT signal_id, n, round(d2, 6) AS d2 FROM diff",
@@ -490,3 +549,4 @@ ORACLES = {
     "level_spread": f"""WITH {sql.VECTORS}, m AS (SELECT signal_id, n, avg(x * 100) OVER w AS m, count(*) OVER w AS c FROM vectors WINDOW w AS (PARTITION BY signal_id ORDER BY n ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)), k AS (SELECT *, max(m) OVER (PARTITION BY signal_id) AS top FROM m WHERE c = 6 AND n % 2 = 0)
         SELECT signal_id, round(stddev_pop(m), 6) AS sigma FROM k WHERE m >= top - 40 GROUP BY 1""",
 }
+ORACLES["block_filter"] = ORACLES["k_weighting"]

@@ -80,6 +80,17 @@ def stream_stability(spark, d):
         return streams.run_to_table(streams.stable_files(_stream(spark, observed, "observed"), 5000), path, f"{path}-state")
 
 
+SAVE_MS = 12 * 3_600_000
+
+
+def stream_autosave(spark, d):
+    """Saves of each user's edits (events), 12 hours behind the first of a burst, as far as the watermark got."""
+    source = _stream(spark, table(spark, d, "events").select(F.col("user_id").alias("document"), "ts", F.col("event_id").alias("revision")), "edits")
+    path = _folder(spark, "autosave")
+    with _state_store(spark):
+        return streams.run_to_table(streams.autosaved(streams.timed(source, late="1 hour"), SAVE_MS), path, f"{path}-state")
+
+
 METER_RATE = 100.0
 
 
@@ -94,7 +105,7 @@ def guard_meter(spark, d):
     return last.select("signal_id", db("power").alias("level_db"), db("floor").alias("floor_db")).select("*", headroom_bucket(F.col("level_db")).alias("headroom"), noise_bucket(F.col("floor_db")).alias("noise"))
 
 
-QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sliding, stream_session, stream_dedup, stream_stability, guard_meter)}
+QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sliding, stream_session, stream_dedup, stream_stability, stream_autosave, guard_meter)}
 _UP, _DOWN, _DRIFT = (f"{pole(v, METER_RATE)!r}::DOUBLE" for v in (0.010, 0.300, 4.0))
 ORACLES = {
     "guard_meter": f"""WITH RECURSIVE {sql.SAMPLES}, p AS (SELECT signal_id, n, (x / 500) * (x / 500) AS p FROM samples), f AS (SELECT signal_id, n, p + (0 - p) * CASE WHEN p > 0 THEN {_UP} ELSE {_DOWN} END AS w, p + (0 - p) * CASE WHEN p > 0 THEN {_UP} ELSE {_DOWN} END AS l FROM p WHERE n = 0
@@ -105,6 +116,9 @@ ORACLES = {
     "stream_sliding": "SELECT strftime(CAST(ts AS DATE) - k, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY 1, 2",
     "stream_session": """WITH s AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS g FROM s)
         SELECT user_id, epoch_us(min(ts)) AS "start", epoch_us(max(ts) + INTERVAL 6 HOUR) AS "end", count(*) AS n FROM g GROUP BY user_id, g""",
+    "stream_autosave": f"""WITH RECURSIVE e AS (SELECT user_id AS document, epoch_us(ts) // 1000 AS tm, event_id AS revision FROM events), w AS (SELECT max(tm) - 3600000 AS mark FROM e),
+        b(document, start) AS (SELECT document, min(tm) FROM e GROUP BY 1 UNION ALL SELECT document, (SELECT min(tm) FROM e WHERE e.document = b.document AND tm >= b.start + {SAVE_MS}) FROM b WHERE start IS NOT NULL)
+        SELECT b.document, start + {SAVE_MS} AS saved_ms, count(*) AS edits, arg_max(revision, tm * 1000000 + revision) AS revision FROM b JOIN w ON start + {SAVE_MS} <= mark JOIN e ON e.document = b.document AND tm >= start AND tm < start + {SAVE_MS} GROUP BY 1, 2""",
     "stream_dedup": "SELECT event_id, user_id FROM events",
     "stream_stability": """WITH n AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events), s AS (SELECT user_id, n, least(n // 7, 5) AS size FROM n), f AS (SELECT user_id, size, min(n) AS first FROM s GROUP BY 1, 2)
         SELECT '/f' || f.user_id AS path, CAST(f.size AS BIGINT) AS size_bytes, CAST(s.n AS BIGINT) AS mtime_ms, CAST(s.n * 1000 AS BIGINT) AS ready_ms FROM f JOIN s ON s.user_id = f.user_id AND s.n = first + 5 AND s.size = f.size""",

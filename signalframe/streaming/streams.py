@@ -73,6 +73,98 @@ def stable_files(observed: DataFrame, quiet_ms: int = 5000) -> DataFrame:
     return observed.groupBy("path").transformWithStateInPandas(Stability(quiet_ms), READY, "Append", "none")
 
 
+class Quiet(StatefulProcessor):
+    """Emits a path by timer when no sighting has changed its size for quiet_ms of the clock; no further row is needed.
+
+    Rows: path, size_bytes, mtime_ms. A changed size, or a first sighting, starts the timer anew. What
+    is known of a path is forgotten keep_ms after its last change.
+    """
+
+    def __init__(self, quiet_ms: int = 5000, keep_ms: int = 7 * 86_400_000):
+        self.quiet_ms, self.keep_ms = quiet_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "size long, mtime long", self.keep_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self.seen.get() if self.seen.exists() else None
+        frame = pd.concat(list(rows)).sort_values("mtime_ms", kind="stable")
+        size, mtime = int(frame["size_bytes"].iloc[-1]), int(frame["mtime_ms"].iloc[-1])
+        if known is None or known[0] != size or frame["size_bytes"].nunique() > 1:
+            for due in list(self.handle.listTimers()):
+                self.handle.deleteTimer(due)
+            self.seen.update((size, mtime))
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms)
+        yield pd.DataFrame(columns=["path", "size_bytes", "mtime_ms", "ready_ms"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        known = self.seen.get() if self.seen.exists() else None
+        rows = [(key[0], known[0], known[1], expiredTimerInfo.getExpiryTimeInMs())] if known is not None else []
+        yield pd.DataFrame(rows, columns=["path", "size_bytes", "mtime_ms", "ready_ms"])
+
+    def close(self) -> None:
+        pass
+
+
+def quiet_files(sighted: DataFrame, quiet_ms: int = 5000, keep_ms: int = 7 * 86_400_000) -> DataFrame:
+    """stable_files() by the clock: stream of READY rows of sighted (path, size_bytes, mtime_ms), told by timers."""
+    return sighted.groupBy("path").transformWithStateInPandas(Quiet(quiet_ms, keep_ms), READY, "Append", "ProcessingTime")
+
+
+class Autosave(StatefulProcessor):
+    """A save for each burst of edits, `after_ms` behind its first one, by event-time timer.
+
+    Later edits of a burst don't put the save off; one at or after it opens the next burst. Edits wait
+    in state until the watermark says that none before them can come, so order of arrival and cuts
+    between batches don't matter.
+    """
+
+    def __init__(self, after_ms: int):
+        self.after_ms = after_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.edits = handle.getListState("edits", "at long, revision long")
+
+    def _pending(self) -> list[tuple[int, int]]:
+        return sorted((int(r[0]), int(r[1])) for r in self.edits.get()) if self.edits.exists() else []
+
+    def _wait(self, pending: list[tuple[int, int]]) -> None:
+        for due in list(self.handle.listTimers()):
+            self.handle.deleteTimer(due)
+        if pending:
+            self.edits.put(pending)
+            self.handle.registerTimer(pending[0][0] + self.after_ms)
+        else:
+            self.edits.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows))
+        at = pd.to_datetime(frame["ts"]).astype("datetime64[us]").astype("int64") // 1000
+        self._wait(sorted([*self._pending(), *zip(at.tolist(), frame["revision"].astype("int64").tolist(), strict=True)]))
+        yield pd.DataFrame(columns=["document", "saved_ms", "edits", "revision"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        pending, out, now = self._pending(), [], timerValues.getCurrentWatermarkInMs()
+        while pending and pending[0][0] + self.after_ms <= now:
+            due = pending[0][0] + self.after_ms
+            burst = [e for e in pending if e[0] < due]
+            out.append((key[0], due, len(burst), burst[-1][1]))
+            pending = pending[len(burst) :]
+        self._wait(pending)
+        yield pd.DataFrame(out, columns=["document", "saved_ms", "edits", "revision"])
+
+    def close(self) -> None:
+        pass
+
+
+def autosaved(edits: DataFrame, after_ms: int = 30_000) -> DataFrame:
+    """Stream of document, saved_ms, edits and revision (that of the last edit) of edits (document, ts with a watermark, revision)."""
+    kind = dict(edits.dtypes)["document"]
+    return edits.groupBy("document").transformWithStateInPandas(Autosave(after_ms), f"document {kind}, saved_ms long, edits long, revision long", "Append", "EventTime")
+
+
 class Meter(StatefulProcessor):
     """Peak and RMS envelopes and a noise floor that snaps down and drifts up, by signal."""
 

@@ -1,10 +1,13 @@
 """Streams against what their batches give: carried state, durable logs, late rows."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from signalframe.operators import recursive
+from signalframe.plans import gates
 from signalframe.queries.streams import ROCKS
 from signalframe.streaming import streams
 
@@ -51,3 +54,76 @@ def test_late_rows_are_left_out(spark, tmp_path):
         got = streams.run_to_table(streams.tumbling(stream, "1 hour", ["k"], "v"), sink, f"file://{tmp_path}/state")
     assert {(str(r["start"]), r["total"]) for r in got.collect()} >= {("2024-01-01 00:00:00", 1.0), ("2024-01-01 03:00:00", 1.0)}
     assert all(r["total"] < 9 for r in got.collect())
+
+
+def test_saves_do_not_depend_on_order_or_batches(rocks, tmp_path):
+    """Bursts by definition, over edits that come out of order in several batches."""
+    rng = np.random.default_rng(2)
+    edits = [(int(d), int(t), k) for k, (d, t) in enumerate(zip(rng.integers(0, 3, 90), np.sort(rng.integers(0, 900_000, 90)), strict=True))]
+    cut = [edits[k : k + 30] for k in (0, 30, 60)]
+    for k, part in enumerate(cut):
+        rng.shuffle(part)
+        rows = rocks.createDataFrame([(int(d), int(t), int(r)) for d, t, r in part], "document long, t long, revision long")
+        rows.select("document", F.timestamp_millis("t").alias("ts"), "revision").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = rocks.readStream.schema("document long, ts timestamp, revision long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    got = streams.run_to_table(streams.autosaved(stream.withWatermark("ts", "100 seconds"), 30_000), f"file://{tmp_path}/out", f"file://{tmp_path}/state").collect()
+    mark, want = max(t for _, t, _ in edits) - 100_000, []
+    for d in range(3):
+        own = sorted((t, r) for x, t, r in edits if x == d)
+        while own and own[0][0] + 30_000 <= mark:
+            burst = [e for e in own if e[0] < own[0][0] + 30_000]
+            want.append((d, own[0][0] + 30_000, len(burst), burst[-1][1]))
+            own = own[len(burst) :]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 20
+
+
+def test_files_get_ready_without_another_sighting(rocks, tmp_path):
+    schema = "path string, size_bytes long, mtime_ms long"
+    source, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    put = lambda *rows: rocks.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    put(("a", 1, 1), ("b", 5, 1))
+    stream = rocks.readStream.schema(schema).parquet(source)
+    query = streams.quiet_files(stream, 1500).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{tmp_path}/state").trigger(processingTime="500 milliseconds").start()
+    told = lambda: sorted((r["path"], r["size_bytes"]) for r in rocks.read.schema(streams.READY).parquet(out).collect())
+
+    def until(rows):
+        end = time.monotonic() + 60
+        while time.monotonic() < end:
+            if query.exception():
+                raise query.exception()
+            try:
+                if told() == rows:
+                    return
+            except Exception as e:  # noqa: BLE001  nothing is written yet
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+            time.sleep(0.3)
+        raise AssertionError(told())
+
+    try:
+        until([("a", 1), ("b", 5)])
+        # A sighting of the same size tells nothing; a changed size does, once.
+        put(("a", 1, 2), ("b", 6, 2))
+        until([("a", 1), ("b", 5), ("b", 6)])
+        time.sleep(3)
+        until([("a", 1), ("b", 5), ("b", 6)])
+    finally:
+        query.stop()
+
+
+def test_best_mapping_of_any_number_of_speakers(spark):
+    from itertools import permutations
+
+    rng = np.random.default_rng(3)
+    for rows, columns in ((1, 1), (3, 3), (2, 4), (4, 2), (4, 4)):
+        for _ in range(40):
+            gain = rng.integers(0, 9, (rows, columns)).astype(float)
+            wide = gain if rows <= columns else gain.T
+            best = max(sum(wide[i, p[i]] for i in range(len(wide))) for p in permutations(range(wide.shape[1]), len(wide)))
+            assert gates.assigned(gain) == best
+    # Thirty speakers under other names: all time is right; one is taken for two.
+    turns = [("k", f"r{s}", 10.0 * k, 10.0 * k + 8) for k in range(90) for s in [k % 30]]
+    found = [("k", f"h{(7 * int(r[1:])) % 30}" if a >= 10 else "other", a, b) for _, r, a, b in turns]
+    names = "key string, speaker string, t_start double, t_end double"
+    got = gates.diarization_error(spark.createDataFrame(turns, names), spark.createDataFrame(found, names), "key", 0.5, 0.25).first()["der"]
+    assert abs(got - 1 / 90) < 1e-9
