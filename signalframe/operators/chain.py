@@ -166,12 +166,22 @@ def analyze(samples: DataFrame, rate: float, key: str = "signal_id") -> DataFram
     return grouped_map(samples, [key], ["ch", "n"], ["x"], lambda group: _report_row(measure(_matrix(group), rate)), REPORT)
 
 
-def front(x: np.ndarray, rate: float, config: dict, denoise: Callable | None = None, owner: np.ndarray | None = None, gains: dict | None = None, bands: dict | None = None) -> np.ndarray:
+def speakers_of(config: dict) -> tuple[np.ndarray, dict, dict] | None:
+    """(owner by hop, gains, bands) of a configuration with the columns of speakers.with_speakers(); None if the stage is bypassed."""
+    if not config.get("speaker_leveling") or config.get("owner") is None or not config.get("speaker_gains"):
+        return None
+    gains = {k: g or 0.0 for k, g in enumerate(config["speaker_gains"])}
+    bands = {k: [(b["centre_hz"], b["gain_db"], b["q"]) for b in own or []] for k, own in enumerate(config.get("speaker_bands") or [])}
+    return np.array([-1 if o is None else o for o in config["owner"]], int), gains, bands
+
+
+def front(x: np.ndarray, rate: float, config: dict, denoise: Callable | None = None, failed: list[str] | None = None) -> np.ndarray:
     """The stages before loudness, in order; a null setting bypasses its stage.
 
-    config has the columns of decide.stages(). denoise(x, rate, strength) is a hook: no model ships
-    with this library, so that stage is bypassed without it, and a failing hook leaves the signal as
-    it is. owner (speaker by hop), gains and bands serve the per-speaker stage.
+    config has the columns of decide.stages(), and for the per-speaker stage those of
+    speakers.with_speakers(). denoise(x, rate, strength) is a hook: no model ships with this library,
+    so that stage is bypassed without it. A failing hook leaves the signal as it is; what it raised
+    is added to failed.
     """
     y = x.mean(axis=0, keepdims=True) if config.get("downmix") and len(x) > 1 else x
     pass_ = recursive.biquad("highpass", rate, config.get("cutoff_hz") or 80.0, 0.7071)
@@ -188,16 +198,17 @@ def front(x: np.ndarray, rate: float, config: dict, denoise: Callable | None = N
     if config.get("denoise_strength") is not None and denoise is not None:
         try:
             y = denoise(y, rate, config["denoise_strength"])
-        except Exception:  # noqa: BLE001  a stage that fails is bypassed
-            pass
+        except Exception as e:  # noqa: BLE001  a stage that fails is bypassed and told
+            if failed is not None:
+                failed.append(f"denoise: {type(e).__name__}: {e}")
     if config.get("breath"):
         y = recursive.control_breath(y, rate, config.get("noise_floor_dbfs") if config.get("noise_floor_dbfs") is not None else -60.0)
     if config.get("deess_threshold") is not None:
         y = each(lambda c: recursive.de_ess(c, rate, config["deess_threshold"]))
     if config.get("autoeq"):
         y = recursive.equalise(y, rate, recursive.eq_fit(y, rate, bandwidth_hz=config.get("bandwidth_hz") or 0.0))
-    if config.get("speaker_leveling") and owner is not None and gains:
-        y = recursive.level_speakers(y, rate, owner, gains, bands)
+    if (speakers := speakers_of(config)) is not None:
+        y = recursive.level_speakers(y, rate, *speakers)
     gate_lufs = config.get("noise_gate_lufs")
     return recursive.level(y, rate, target=config.get("target_lufs", -16.0), gate=-50.0 if gate_lufs is None else gate_lufs, warm_start=config.get("warm_start_db") or 0.0, music=bool(config.get("music_mode")))
 
@@ -215,7 +226,7 @@ def render(x: np.ndarray, rate: float, config: dict, dither_bits: int | None = N
     return out, gain, probes
 
 
-CONFIG = ("downmix", "cutoff_hz", "dehum_hz", "declip", "music_ratio", "declick_gate", "decrackle_ratio", "denoise_strength", "breath", "noise_floor_dbfs", "deess_threshold", "autoeq", "bandwidth_hz", "speaker_leveling", "noise_gate_lufs", "warm_start_db", "music_mode", "target_lufs", "ceiling_dbtp")
+CONFIG = ("downmix", "cutoff_hz", "dehum_hz", "declip", "music_ratio", "declick_gate", "decrackle_ratio", "denoise_strength", "breath", "noise_floor_dbfs", "deess_threshold", "autoeq", "bandwidth_hz", "speaker_leveling", "noise_gate_lufs", "warm_start_db", "music_mode", "target_lufs", "ceiling_dbtp", "owner", "speaker_gains", "speaker_bands")
 
 
 def _with_config(samples: DataFrame, configured: DataFrame, key: str) -> DataFrame:
@@ -247,20 +258,21 @@ def master(samples: DataFrame, configured: DataFrame, rate: float, key: str = "s
     return grouped_map(_with_config(samples, configured, key), [key], ["ch", "n"], ["x", "config"], run, "ch int, n long, x double")
 
 
-MASTERED = "before_lufs double, after_lufs double, before_peak_dbtp double, after_peak_dbtp double, drive_db double, probes int, on_target boolean"
+MASTERED = "before_lufs double, after_lufs double, before_peak_dbtp double, after_peak_dbtp double, drive_db double, probes int, on_target boolean, failed array<string>"
 
 
-def master_report(samples: DataFrame, configured: DataFrame, rate: float, key: str = "signal_id", tolerance: float = 0.5) -> DataFrame:
-    """key and MASTERED: what mastering each signal gives, without its samples."""
+def master_report(samples: DataFrame, configured: DataFrame, rate: float, key: str = "signal_id", tolerance: float = 0.5, denoise: Callable | None = None) -> DataFrame:
+    """key and MASTERED: what mastering each signal gives, without its samples; failed tells what hooks raised."""
 
     def run(group):
         x, config = _configured(group)
         if not x.size:
             return None
-        y, gain, probes = render(x, rate, config)
+        failed: list[str] = []
+        y, gain, probes = render(x, rate, config, denoise=denoise, failed=failed)
         peak = lambda v: 20 * np.log10(max(float(recursive.true_peaks(v).max(initial=0.0)), 1e-6))
         before, after = (loudness(v, rate)["integrated_lufs"] for v in (x, y))
-        return {"before_lufs": [before], "after_lufs": [after], "before_peak_dbtp": [peak(x)], "after_peak_dbtp": [peak(y)], "drive_db": [gain], "probes": [probes], "on_target": [abs(after - config.get("target_lufs", -16.0)) <= tolerance]}
+        return {"before_lufs": [before], "after_lufs": [after], "before_peak_dbtp": [peak(x)], "after_peak_dbtp": [peak(y)], "drive_db": [gain], "probes": [probes], "on_target": [abs(after - config.get("target_lufs", -16.0)) <= tolerance], "failed": [failed]}
 
     return grouped_map(_with_config(samples, configured, key), [key], ["ch", "n"], ["x", "config"], run, MASTERED)
 

@@ -146,3 +146,20 @@ def greedy_chunks(df: DataFrame, key: str, order: str, size: str, budget: int, o
         return {c: [r[k] for r in out] for k, c in enumerate(("chunk", "first", "last"))}
 
     return grouped_map(df, [key], [order], [size], run, "chunk int, first int, last int")
+
+
+def zipped(df: DataFrame, columns: list[str], name: str = "zipped", uneven: str = "error") -> DataFrame:
+    """df with name: the arrays of columns as one array of structs, by place.
+
+    uneven: what lists of other lengths do: "error", "shortest" (the rest is left out) or "longest"
+    (nulls in the place of what is missing). A null array has no places.
+    """
+    lists = [F.coalesce(F.col(c), F.array().cast(dict(df.dtypes)[c])) for c in columns]
+    sizes = [F.size(c) for c in lists]
+    whole = F.arrays_zip(*[c.alias(n) for c, n in zip(lists, columns, strict=True)])
+    if uneven == "longest":
+        return df.withColumn(name, whole)
+    low, high = (F.least(*sizes), F.greatest(*sizes)) if len(sizes) > 1 else (sizes[0], sizes[0])
+    if uneven == "shortest":
+        return df.withColumn(name, F.slice(whole, F.lit(1), low))
+    return df.withColumn(name, F.when(low == high, whole).otherwise(F.raise_error(F.lit(f"lists of other lengths: {', '.join(columns)}"))))

@@ -160,14 +160,32 @@ def equaliser_facts(blocks: DataFrame, facts: DataFrame, rate: float, key: str)
 
 
 def _equalised(c: Chunk, rate: float) -> np.ndarray:
+    """Equaliser, then each speaker's gain and bands."""
     bands = unpacked(c.facts.get("bands")).reshape(-1, 3)
-    return recursive.equalise(c.x, rate, [tuple(b) for b in bands]) if c.facts.get("autoeq") and len(bands) else c.x
+    y = recursive.equalise(c.x, rate, [tuple(b) for b in bands]) if c.facts.get("autoeq") and len(bands) else c.x
+    if (speakers := chain.speakers_of(c.facts)) is not None:
+        owner, gains, own = speakers
+        first = max(0, (c.at + c.lo) // BLOCK - TAMER - 1) * (BLOCK // HOP)
+        y = recursive.level_speakers(y, rate, owner[c.at // HOP - first :], gains, own)
+    return y
+
+
+def _owners(blocks: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """key, chunk, owner: the owners of each chunk's hops and of those that it looks back to."""
+    each, back = BLOCK // HOP, TAMER + 1
+    ends = blocks.groupBy(key).agg(F.max("block").alias("end")).select(F.col(key).alias("__key"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("end") / CHUNK))).alias("chunk"))
+    first = F.greatest(F.col("chunk") * CHUNK - back, F.lit(0)) * each
+    return ends.join(facts.select(key, "owner"), F.col(key).eqNullSafe(F.col("__key"))).select(key, "chunk", F.slice("owner", (first + 1).cast("int"), (CHUNK + back) * each).alias("owner"))
 
 
 def levelled(blocks: DataFrame, facts: DataFrame, rate: float, key: str) -> DataFrame:
     """Equaliser, slow gain by hops and fast tamer."""
     if _engaged(facts, "autoeq"):
         facts = equaliser_facts(blocks, facts, rate, key)
+    owners = None
+    if "owner" in facts.columns:
+        # A chunk gets its own stretch of the owners only.
+        owners, facts = settled(_owners(blocks, facts, key), "master-owners"), facts.drop("owner")
 
     def hops(c: Chunk):
         # The weighting forgets within a block; the equaliser before it within another.
@@ -183,8 +201,11 @@ def levelled(blocks: DataFrame, facts: DataFrame, rate: float, key: str) -> Data
         chunks, each = g["chunk"].to_pylist(), BLOCK // HOP
         return {"chunk": chunks, "gains": [packed(db[max(0, k * CHUNK - TAMER - 1) * each : (k + 1) * CHUNK * each]) for k in chunks]}
 
-    told = over_chunks(blocks, hops, "ms binary, target double, gate double, warm double, music boolean", key, facts=facts, left=2)
-    own = by_signal(told, ["ms", "target", "gate", "warm", "music"], gains, "chunk long, gains binary", key)
+    told = over_chunks(blocks, hops, "ms binary, target double, gate double, warm double, music boolean", key, facts=facts, own=owners, left=2)
+    own = by_signal(told, ["ms", "target", "gate", "warm", "music"], gains, "chunk long, gains binary", key).select(key, "chunk", "gains")
+    if owners is not None:
+        renamed = owners.withColumnRenamed(key, "__key").withColumnRenamed("chunk", "__chunk")
+        own = own.join(renamed, F.col(key).eqNullSafe(F.col("__key")) & (F.col("chunk") == F.col("__chunk")), "left").drop("__key", "__chunk")
 
     def run(c: Chunk):
         y = _equalised(c, rate)

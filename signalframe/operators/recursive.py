@@ -615,8 +615,13 @@ def smoothed(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def level_speakers(x: np.ndarray, rate: float, owner: np.ndarray, gains: dict[int, float], bands: dict[int, list] | None = None, crossfade: float = 0.120, hop: int = 480) -> np.ndarray:
-    """Each hop at its speaker's gain (owner by hop, -1: nobody), and through its speaker's bands, cross-faded between hops."""
+    """Each hop at its speaker's gain (owner by hop, -1: nobody), and through its speaker's bands, cross-faded between hops.
+
+    Hops that owner doesn't reach are nobody's; owners beyond the last hop are left out.
+    """
     n = x.shape[-1]
+    need = -(-n // hop)
+    owner = np.concatenate([np.asarray(owner)[:need], np.full(max(0, need - len(owner)), -1)])
     width = max(1, math.floor(crossfade * rate / hop + 0.5))
     width += 1 - width % 2
     for speaker, own in (bands or {}).items():

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..functions.scalars import extension, output_name
 
 TERMINAL = ("done", "failed", "cancelled")
-#: State after an event; other events leave the state as it is.
+#: State after an event; other events leave the state as it is.
 MOVES = {("queued", "start"): "running", ("running", "finish"): "done", ("running", "fail"): "failed", ("queued", "cancel"): "cancelled", ("running", "cancel"): "cancelled", ("failed", "retry"): "queued", ("cancelled", "retry"): "queued"}
 
 # Extensions of files that a folder scan takes.
@@ -79,6 +82,108 @@ def replay(events: DataFrame, key: str, order: str) -> DataFrame:
     return rows.select(key, F.aggregate("rows", F.struct(F.lit("queued").alias("state"), F.lit(0).alias("attempts")), step).alias("s")).select(key, "s.*")
 
 
+# A work queue is three tables below a folder: items, control (at, item, action) and results by round.
+CONTROL = "at long, item string, action string"
+OUTCOME = "item string, state string, attempts int, error string, output string, at_ms long"
+
+
+def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at path, empty if nothing is there yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def control(spark: SparkSession, folder: str, at: int, action: str, item: str | None = None) -> None:
+    """Asks for pause, resume, cancel or retry of an item, or of all of them, from now on (at: a rising number)."""
+    spark.createDataFrame([(at, item, action)], CONTROL).coalesce(1).write.mode("append").parquet(f"{folder}/control")
+
+
+def item_states(spark: SparkSession, folder: str, items: DataFrame) -> DataFrame:
+    """items (item, ...) with state, attempts, error and output: queued, paused, cancelled, done or failed.
+
+    An item's latest result counts unless a later retry asks for another; pause and resume of all
+    items and of one count by which came last.
+    """
+    asked = _table(spark, f"{folder}/control", CONTROL)
+    last = lambda rows, name: rows.groupBy("item").agg(F.max_by("action", "at").alias(name), F.max("at").alias(f"{name}_at"))
+    whole = asked.where("item IS NULL AND action IN ('pause', 'resume')").agg(F.max_by("action", "at").alias("all"), F.max("at").alias("all_at"))
+    held = last(asked.where("item IS NOT NULL AND action IN ('pause', 'resume')"), "own")
+    ended = last(asked.where("item IS NOT NULL AND action IN ('cancel', 'retry')"), "end")
+    results = _table(spark, f"{folder}/results", f"{OUTCOME}, asked_at long, round long")
+    newest = Window.partitionBy("item").orderBy(F.col("round").desc())
+    told = results.withColumn("k", F.row_number().over(newest)).where("k = 1").drop("k", "round", "at_ms").withColumnRenamed("state", "told")
+    rows = items.join(held, "item", "left").join(ended, "item", "left").join(told, "item", "left").join(F.broadcast(whole), how="left")
+    c = F.col
+    again = (c("end") == "retry") & (c("end_at") > F.coalesce("asked_at", F.lit(-1)))
+    paused = F.when(c("own_at").isNull() | (c("all_at") > c("own_at")), c("all")).otherwise(c("own")) == "pause"
+    state = F.when(c("told").isNotNull() & ~F.coalesce(again, F.lit(False)), c("told")).when(c("end") == "cancel", "cancelled").when(F.coalesce(paused, F.lit(False)), "paused").otherwise("queued")
+    return rows.select(*items.columns, state.alias("state"), F.coalesce("attempts", F.lit(0)).alias("attempts"), "error", "output", F.coalesce("end_at", F.lit(0).cast("long")).alias("asked_at"))
+
+
+def work_round(spark: SparkSession, folder: str, items: DataFrame, work: Callable[[dict], str], number: int, attempts: int = 3, most: int | None = None) -> None:
+    """One round over the queued items: each is a row of the round's results, whatever becomes of it.
+
+    work(item as a dict) gives an item's output; what it raises counts as an attempt, and after the
+    last one is the row's error, so one bad item fails nothing else. most: items of a round, in their
+    order. A round that is told again after a failure replaces its own results.
+    """
+    queued = item_states(spark, folder, items).where("state = 'queued'").drop("state", "attempts", "error", "output")
+    queued = queued.orderBy("item").limit(most) if most else queued
+
+    def run(batches):
+        import time
+
+        for batch in batches:
+            rows = []
+            for row in batch.to_dict("records"):
+                asked, tried, error, output = row.pop("asked_at"), 0, None, None
+                while tried < attempts:
+                    tried += 1
+                    try:
+                        output, error = work(row), None
+                        break
+                    except Exception as e:  # noqa: BLE001  an item's failure is its result
+                        error = f"{type(e).__name__}: {e}"
+                rows.append((row["item"], "done" if error is None else "failed", tried, error, output, int(time.time() * 1000), asked))
+            yield pd.DataFrame(rows, columns=["item", "state", "attempts", "error", "output", "at_ms", "asked_at"])
+
+    queued.repartition("item").mapInPandas(run, f"{OUTCOME}, asked_at long").write.mode("overwrite").parquet(f"{folder}/results/round={number}")
+
+
+def serve(items: DataFrame, folder: str, work: Callable[[dict], str], checkpoint: str, attempts: int = 3, most: int | None = None, **trigger):
+    """The running query that works on a stream of items (item, ...): each batch adds its items and is a round."""
+    schema = items.schema
+
+    def batch(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        rows.write.mode("overwrite").parquet(f"{folder}/items/batch={number}")
+        known = spark.read.schema(schema).parquet(f"{folder}/items").dropDuplicates(["item"])
+        work_round(spark, folder, known, work, number, attempts, most)
+
+    return items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+class RoundListener(StreamingQueryListener):
+    """Tells each batch of a stream to a function: number, rows and milliseconds."""
+
+    def __init__(self, tell: Callable[[int, int, int], None]):
+        self.tell = tell
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.tell(p.batchId, p.numInputRows, p.batchDuration)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/\\]*)$", 1)
 

@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from signalframe.operators import blocks, chain, longmaster, recursive
+from signalframe.operators import blocks, chain, folds, longmaster, recursive, speakers
 from signalframe.sources import pcmfiles, readers
 
 RATE = 48_000.0
@@ -119,6 +119,55 @@ def test_mastering_blocks_without_configuration(spark, block_table, signals):
     assert np.abs(arrays(out)["c"] - recursive.dither(y[0], 16, 7)).max() < 1e-9
 
 
+def test_speakers_reach_the_master(spark, block_table, signals):
+    """Turns and profiles as tables; blocks give what whole signals give."""
+    n = signals["a"].shape[1]
+    seconds = n / RATE
+    spans = [(0, 0.0, 3.0, "eve"), (1, 3.0, 7.5, "bob"), (2, 7.0, 9.0, "eve"), (3, 9.5, 99.0, "bob")]
+    turns = spark.createDataFrame([("a", o, w, s, e) for o, s, e, w in spans], "signal_id string, ord int, speaker string, t_start double, t_end double")
+    gains = spark.createDataFrame([("a", "eve", 6.0), ("a", "bob", -9.0), ("a", "nobody", 3.0)], "signal_id string, speaker string, gain_db double")
+    bell = [(1000.0, 3.0, 1.0)]
+    bands = spark.createDataFrame([("a", "eve", bell)], "signal_id string, speaker string, bands array<struct<centre_hz:double,gain_db:double,q:double>>")
+    base = spark.createDataFrame([("a", seconds, True, -16.0, -1.0), ("c", 0.1, True, -16.0, -1.0)], "signal_id string, duration_secs double, speaker_leveling boolean, target_lufs double, ceiling_dbtp double")
+    configured = speakers.with_speakers(base, turns, gains, RATE, bands=bands)
+    row = {r["signal_id"]: r for r in configured.collect()}
+    assert row["a"]["speaker_gains"] == [-9.0, 6.0] and row["c"]["owner"] is None and len(row["a"]["owner"]) == -(-n // 480)
+    assert row["a"]["owner"][0] == 1 and row["a"]["owner"][400] == 0 and row["a"]["owner"][720] == 1 and row["a"]["owner"][920] is None
+    owner = np.array([-1 if o is None else o for o in row["a"]["owner"]])
+    whole = chain.front(signals["a"], RATE, row["a"].asDict(recursive=True))
+    plain = chain.front(signals["a"], RATE, {"target_lufs": -16.0})
+    assert not np.allclose(whole, plain)
+    y, _ = longmaster.front_blocks(block_table.where("signal_id <> 'b'"), configured, RATE)
+    got = arrays(y)
+    assert np.abs(got["a"] - whole).max() < 1e-9
+    assert np.abs(got["c"] - chain.front(signals["c"], RATE, {"target_lufs": -16.0})).max() < 1e-9
+    # Owners of another length than the hops: what is missing is nobody's, what is over is left out.
+    x, g = signals["a"], {0: -9.0, 1: 6.0}
+    assert np.array_equal(recursive.level_speakers(x, RATE, np.append(owner, [1, 1]), g), recursive.level_speakers(x, RATE, owner, g))
+    assert np.array_equal(recursive.level_speakers(x, RATE, owner[:500], g), recursive.level_speakers(x, RATE, np.concatenate([owner[:500], np.full(len(owner) - 500, -1)]), g))
+
+
+def test_lists_zip_by_place(spark):
+    df = spark.createDataFrame([([1, 2], ["a", "b"]), ([1], ["a", "b"]), (None, ["a"])], "x array<int>, y array<string>")
+    told = lambda how: [[(e["x"], e["y"]) for e in r["zipped"]] for r in folds.zipped(df, ["x", "y"], uneven=how).collect()]
+    assert told("shortest") == [[(1, "a"), (2, "b")], [(1, "a")], []]
+    assert told("longest") == [[(1, "a"), (2, "b")], [(1, "a"), (None, "b")], [(None, "a")]]
+    with pytest.raises(Exception, match="other lengths"):
+        told("error")
+
+
+def test_failing_hook_is_told(spark, block_table, signals):
+    def broken(x, rate, strength):
+        raise RuntimeError("no model")
+
+    samples = blocks.from_blocks(block_table.where("signal_id = 'c'"))
+    configured = spark.createDataFrame([("c", 0.5, -16.0)], "signal_id string, denoise_strength double, target_lufs double")
+    told = chain.master_report(samples, configured, RATE, denoise=broken).first()
+    assert told["failed"] == ["denoise: RuntimeError: no model"]
+    with pytest.raises(Exception, match="no model"):
+        longmaster.front_blocks(block_table.where("signal_id = 'c'"), configured, RATE, denoise=broken)
+
+
 @pytest.fixture
 def folder(spark, tmp_path):
     pcmfiles.register(spark)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from signalframe.operators import recursive
-from signalframe.plans import gates
+from signalframe.plans import gates, jobs
 from signalframe.queries.streams import ROCKS
 from signalframe.streaming import streams
 
@@ -127,3 +127,62 @@ def test_best_mapping_of_any_number_of_speakers(spark):
     names = "key string, speaker string, t_start double, t_end double"
     got = gates.diarization_error(spark.createDataFrame(turns, names), spark.createDataFrame(found, names), "key", 0.5, 0.25).first()["der"]
     assert abs(got - 1 / 90) < 1e-9
+
+
+def test_one_bad_item_fails_nothing_else(spark, tmp_path):
+    folder = f"file://{tmp_path}/queue"
+
+    def work(item):
+        if item["item"] == "bad":
+            raise ValueError("corrupt file")
+        if item["item"] == "shaky":
+            mark = tmp_path / "shaky"
+            if not mark.exists():
+                mark.write_text("tried")
+                raise OSError("once")
+        return f"{item['path']}.out"
+
+    names = ["a", "b", "bad", "shaky", "z"]
+    items = spark.createDataFrame([(n, f"/in/{n}") for n in names], "item string, path string")
+    state = lambda: {r["item"]: (r["state"], r["attempts"]) for r in jobs.item_states(spark, folder, items).collect()}
+    assert set(state().values()) == {("queued", 0)}
+    jobs.control(spark, folder, 1, "pause")
+    jobs.control(spark, folder, 2, "cancel", "z")
+    jobs.work_round(spark, folder, items, work, 0)
+    assert {k: v[0] for k, v in state().items()} == {"a": "paused", "b": "paused", "bad": "paused", "shaky": "paused", "z": "cancelled"}
+    jobs.control(spark, folder, 3, "resume")
+    jobs.control(spark, folder, 4, "pause", "b")
+    jobs.work_round(spark, folder, items, work, 1, attempts=2)
+    assert state() == {"a": ("done", 1), "b": ("paused", 0), "bad": ("failed", 2), "shaky": ("done", 2), "z": ("cancelled", 0)}
+    rows = {r["item"]: r for r in jobs.item_states(spark, folder, items).collect()}
+    assert rows["bad"]["error"] == "ValueError: corrupt file" and rows["a"]["output"] == "/in/a.out"
+    # A retry works on what failed or was cancelled, and once.
+    for at, n in ((5, "bad"), (6, "z")):
+        jobs.control(spark, folder, at, "retry", n)
+    jobs.control(spark, folder, 7, "resume", "b")
+    jobs.work_round(spark, folder, items, lambda item: "mended", 2, most=2)
+    assert {k: v[0] for k, v in state().items()} == {"a": "done", "b": "done", "bad": "done", "shaky": "done", "z": "queued"}
+    jobs.work_round(spark, folder, items, lambda item: "mended", 3)
+    assert {v[0] for v in state().values()} == {"done"}
+    # A round that is told again replaces its own results.
+    before = spark.read.parquet(f"{folder}/results").count()
+    jobs.work_round(spark, folder, items, lambda item: "mended", 4)
+    assert spark.read.parquet(f"{folder}/results").count() == before
+
+
+def test_stream_of_items_with_progress(spark, tmp_path):
+    schema, told = "item string, path string", []
+    for k in range(3):
+        spark.createDataFrame([(f"i{k}{j}", "p") for j in range(4)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    listener = jobs.RoundListener(lambda batch, rows, ms: told.append((batch, rows)))
+    spark.streams.addListener(listener)
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        jobs.serve(stream, f"file://{tmp_path}/queue", lambda item: "ok", f"{tmp_path}/state").awaitTermination()
+        end = time.monotonic() + 20
+        while len(told) < 3 and time.monotonic() < end:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert sorted(told)[:3] == [(0, 4), (1, 4), (2, 4)]
+    assert spark.read.parquet(f"{tmp_path}/queue/results").where("state = 'done'").select("item").distinct().count() == 12
