@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import drop_written, sent_if_small, written
+from .storage import drop_written, written
 
 #: Bytes of a part of a bucket; a group holds two parts, or one longer member beside a part.
 PART_BYTES = 1 << 20
@@ -146,6 +146,22 @@ def _part_links(likeness: Callable, least: float, exact: Callable | None) -> Cal
     return run
 
 
+def _part_candidates(likeness: Callable, least: float) -> Callable:
+    """Of two parts of a bucket: the members that are as like as least to one of another component."""
+
+    def run(rows: pa.Table) -> list[tuple[int, int]]:
+        node, label, side, sigs = rows["node"].to_numpy(), rows["component"].to_numpy(), rows["side"].to_numpy(), matrix(rows["sig"])
+        key, hit = rows["key"][0].as_py(), np.zeros(len(node), bool)
+        for i in range(len(node) - 1):
+            at = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & ((side[i + 1 :] != side[i]) | (side[i] == 2)))
+            at = at[likeness(sigs[at], sigs[i][None, :]) >= least] if len(at) else at
+            if len(at):
+                hit[at] = hit[i] = True
+        return [(key, k) for k in node[hit].tolist()]
+
+    return run
+
+
 def _each_group(batches, keys: int, run: Callable[[pa.Table], list[tuple[int, int]]]):
     """Links of each group of rows that agree in their first columns; groups come one after another, many a batch."""
     held: list[pa.RecordBatch] = []
@@ -206,39 +222,75 @@ def linked(nodes: DataFrame, likeness: Callable, least: float, payloads: Callabl
     exploded = nodes.select("node", F.explode("keys").alias("key"))
     shared = written(exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1"), "buckets")
     member = written(exploded.join(shared, "key").select("node", "key", "pivot", "n"), "members")
+    drop_written(shared)
     sigs = nodes.select("node", "sig")
-    full = sigs.withColumn("payload", F.lit(None).cast("binary"))
-    if payloads:
-        full = written(payloads(member.select("node").distinct()).join(sigs, "node").select("node", "sig", "payload"), "payloads")
-    weight = full.select("node", (F.coalesce(F.octet_length("payload"), F.lit(0)) + F.octet_length("sig") + 64).alias("bytes"))
-    confirm = lambda pairs: _confirm(written(pairs, "best"), full, weight, exact) if exact else pairs
     named = lambda labels, c: labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
 
     # Each member against its buckets' pivots: first the likeliest one, then those that are still apart.
     stars = written(member.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
     side = lambda c: sigs.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
     near = written(_star_links(stars.join(side("a"), "a").join(side("b"), "b"), likeness, least), "near")
-    if exact:
+    drop_written(stars)
+    if not exact:
+        labels = written(components(near.select("a", "b")), "labels")
+    else:
+        # Whole sets are made and moved for nodes with a likely partner only.
+        full = _with_payloads(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), sigs, payloads)
+        weight = _weight(full)
+        confirm = lambda pairs: _confirm(written(pairs, "best"), full, weight, exact)
         best = near.groupBy("a").agg(F.max(F.struct("near", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
         labels = written(components(written(confirm(best), "links")), "labels")
-    else:
-        labels = written(components(near.select("a", "b")), "labels")
+        apart = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
+        rest = written(near.join(named(labels, "a"), "a", "left").join(named(labels, "b"), "b", "left").where(apart).select("a", "b"), "apart")
+        if not rest.isEmpty():
+            labels = written(more_components(labels, written(confirm(rest), "links")), "labels")
+        drop_written(full)
+        drop_written(rest)
+    drop_written(near)
     if not search:
         return labels
-    apart = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
-    rest = near.limit(0) if not exact else written(near.join(named(labels, "a"), "a", "left").join(named(labels, "b"), "b", "left").where(apart).select("a", "b"), "apart")
-    if exact and not rest.isEmpty():
-        labels = written(more_components(labels, written(confirm(rest), "links")), "labels")
 
     # Buckets of two members are done; larger ones may hold links beside their pivot.
     placed = written(member.where("n > 2").join(labels, "node", "left").select("node", "key", F.coalesce("component", "node").alias("component")), "placed")
-    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-    several = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("big"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("big.component").alias("big"))
-    rows = written(placed.join(sent_if_small(written(several, "several"), 32), "key"), "several-rows")
+    drop_written(member)
+    rows = _of_several(placed)
     if rows.isEmpty():
         return labels
-    pairs = written(part_pairs(rows, weight), "part-pairs").join(full, "node").select("key", "x", "y", "node", "component", "side", "sig", "payload")
-    pairs = pairs.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    search = _part_links(likeness, least, exact)
-    found = written(pairs.mapInArrow(lambda batches: _each_group(batches, 3, search), "a long, b long").distinct(), "links")
+    # Members that no estimate brings near another component drop out before whole sets are made.
+    small = sigs.select("node", (F.octet_length("sig") + 64).alias("bytes"))
+    pairs = _dealt(part_pairs(rows, small), sigs.withColumn("payload", F.lit(None).cast("binary")))
+    candidates = _part_candidates(likeness, least)
+    hit = written(pairs.mapInArrow(lambda batches: _each_group(batches, 3, candidates), "a long, b long").select(F.col("a").alias("key"), F.col("b").alias("node")).distinct(), "hits")
+    rows = _of_several(placed.join(hit, ["key", "node"]))
+    if rows.isEmpty():
+        return labels
+    full = _with_payloads(hit.select("node").distinct(), sigs, payloads)
+    pairs = _dealt(part_pairs(rows, _weight(full)), full)
+    links = _part_links(likeness, least, exact)
+    found = written(pairs.mapInArrow(lambda batches: _each_group(batches, 3, links), "a long, b long").distinct(), "links")
+    drop_written(full)
     return labels if found.isEmpty() else written(more_components(labels, found), "labels")
+
+
+def _with_payloads(nodes: DataFrame, sigs: DataFrame, payloads: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """node, sig and payload of nodes."""
+    if payloads is None:
+        return written(nodes.join(sigs, "node").withColumn("payload", F.lit(None).cast("binary")), "payloads")
+    return written(payloads(nodes).join(sigs, "node").select("node", "sig", "payload"), "payloads")
+
+
+def _weight(full: DataFrame) -> DataFrame:
+    return full.select("node", (F.coalesce(F.octet_length("payload"), F.lit(0)) + F.octet_length("sig") + 64).alias("bytes"))
+
+
+def _of_several(members: DataFrame) -> DataFrame:
+    """members (key, node, component) of buckets that still hold several components, with the largest one of these as big."""
+    sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    several = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("big"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("big.component").alias("big"))
+    return written(members.join(several, "key"), "several-rows")
+
+
+def _dealt(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """The rows of part_pairs() with sig and payload, a pair of parts in one task."""
+    rows = written(pairs, "part-pairs").join(full, "node").select("key", "x", "y", "node", "component", "side", "sig", "payload")
+    return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
