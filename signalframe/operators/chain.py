@@ -8,6 +8,7 @@ segmentation, loudness, spectral), for signals that should use many tasks.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -175,42 +176,86 @@ def speakers_of(config: dict) -> tuple[np.ndarray, dict, dict] | None:
     return np.array([-1 if o is None else o for o in config["owner"]], int), gains, bands
 
 
-def front(x: np.ndarray, rate: float, config: dict, denoise: Callable | None = None, failed: list[str] | None = None) -> np.ndarray:
-    """The stages before loudness, in order; a null setting bypasses its stage.
+class Stage(NamedTuple):
+    """A stage of the front: run(y, rate, config) gives the (channel, sample) array after it, where on(config) engages it."""
+
+    name: str
+    on: Callable[[dict], bool]
+    run: Callable[[np.ndarray, float, dict], np.ndarray]
+
+
+def _given(name: str) -> Callable[[dict], bool]:
+    return lambda config: config.get(name) is not None
+
+
+def _set(name: str) -> Callable[[dict], bool]:
+    return lambda config: bool(config.get(name))
+
+
+def _each(run: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
+    return lambda y: np.stack([run(c) for c in y])
+
+
+def _or(value, other):
+    return other if value is None else value
+
+
+def _high_pass(y: np.ndarray, rate: float, config: dict) -> np.ndarray:
+    pass_ = recursive.biquad("highpass", rate, config.get("cutoff_hz") or 80.0, 0.7071)
+    return _each(lambda c: recursive.run_filter(recursive.dc_blocked(c), pass_))(y)
+
+
+def _level(y: np.ndarray, rate: float, config: dict) -> np.ndarray:
+    return recursive.level(y, rate, target=_or(config.get("target_lufs"), -16.0), gate=_or(config.get("noise_gate_lufs"), -50.0), warm_start=config.get("warm_start_db") or 0.0, music=bool(config.get("music_mode")))
+
+
+#: The stages before loudness, in order. Settings are the columns of decide.stages(); a null one bypasses its stage.
+FRONT = (
+    Stage("downmix", _set("downmix"), lambda y, rate, c: y.mean(axis=0, keepdims=True) if len(y) > 1 else y),
+    Stage("dc_hpf", lambda c: True, _high_pass),
+    Stage("dehum", _set("dehum_hz"), lambda y, rate, c: _each(lambda x: recursive.de_hum(x, rate, c["dehum_hz"]))(y)),
+    Stage("declip", _set("declip"), lambda y, rate, c: recursive.de_clip(y, rate, c.get("music_ratio") or 0.0)),
+    Stage("declick", _given("declick_gate"), lambda y, rate, c: recursive.repair_clicks(y, rate, gate_db=c["declick_gate"])),
+    Stage("decrackle", _given("decrackle_ratio"), lambda y, rate, c: recursive.repair_crackle(y, rate, c["decrackle_ratio"], gate_db=_or(c.get("declick_gate"), -60.0))),
+    Stage("breath", _set("breath"), lambda y, rate, c: recursive.control_breath(y, rate, _or(c.get("noise_floor_dbfs"), -60.0))),
+    Stage("deess", _given("deess_threshold"), lambda y, rate, c: _each(lambda x: recursive.de_ess(x, rate, c["deess_threshold"]))(y)),
+    Stage("autoeq", _set("autoeq"), lambda y, rate, c: recursive.equalise(y, rate, recursive.eq_fit(y, rate, bandwidth_hz=c.get("bandwidth_hz") or 0.0))),
+    Stage("speaker", lambda c: speakers_of(c) is not None, lambda y, rate, c: recursive.level_speakers(y, rate, *speakers_of(c))),
+    Stage("leveler", lambda c: True, _level),
+)
+
+
+def with_stage(stage: Stage, after: str | None = None, stages: tuple[Stage, ...] = FRONT) -> tuple[Stage, ...]:
+    """stages with another one right behind the stage named after (first without one); a stage of its name is replaced where it stands."""
+    names = [s.name for s in stages]
+    if stage.name in names and after is None:
+        return tuple(stage if s.name == stage.name else s for s in stages)
+    at = names.index(after) + 1 if after is not None else 0
+    return (*stages[:at], stage, *stages[at:])
+
+
+def front(x: np.ndarray, rate: float, config: dict, denoise: Callable | None = None, failed: list[str] | None = None, stages: tuple[Stage, ...] = FRONT) -> np.ndarray:
+    """The stages before loudness, in order, for a (channel, sample) array.
 
     config has the columns of decide.stages(), and for the per-speaker stage those of
-    speakers.with_speakers(). denoise(x, rate, strength) is a hook: no model ships with this library,
-    so that stage is bypassed without it. A failing hook leaves the signal as it is; what it raised
-    is added to failed.
+    speakers.with_speakers(). denoise(x, rate, strength) is a hook behind decrackle: no model ships
+    with this library, so that stage is bypassed without it. A failing hook leaves the signal as it
+    is; what it raised is added to failed. stages: FRONT, or what with_stage() makes of it.
     """
-    y = x.mean(axis=0, keepdims=True) if config.get("downmix") and len(x) > 1 else x
-    pass_ = recursive.biquad("highpass", rate, config.get("cutoff_hz") or 80.0, 0.7071)
-    y = np.stack([recursive.run_filter(recursive.dc_blocked(c), pass_) for c in y])
-    each = lambda run: np.stack([run(c) for c in y])
-    if config.get("dehum_hz"):
-        y = each(lambda c: recursive.de_hum(c, rate, config["dehum_hz"]))
-    if config.get("declip"):
-        y = recursive.de_clip(y, rate, config.get("music_ratio") or 0.0)
-    if config.get("declick_gate") is not None:
-        y = recursive.repair_clicks(y, rate, gate_db=config["declick_gate"])
-    if config.get("decrackle_ratio") is not None:
-        y = recursive.repair_crackle(y, rate, config["decrackle_ratio"], gate_db=config.get("declick_gate") if config.get("declick_gate") is not None else -60.0)
-    if config.get("denoise_strength") is not None and denoise is not None:
+    hook = Stage("denoise", _given("denoise_strength"), lambda y, rate, c: denoise(y, rate, c["denoise_strength"]))
+    behind = "decrackle" if any(s.name == "decrackle" for s in stages) else None
+    for stage in with_stage(hook, behind, stages) if denoise is not None else stages:
+        if not stage.on(config):
+            continue
+        if stage is not hook:
+            x = stage.run(x, rate, config)
+            continue
         try:
-            y = denoise(y, rate, config["denoise_strength"])
-        except Exception as e:  # noqa: BLE001  a stage that fails is bypassed and told
+            x = stage.run(x, rate, config)
+        except Exception as e:  # noqa: BLE001  a hook that fails is bypassed and told
             if failed is not None:
                 failed.append(f"denoise: {type(e).__name__}: {e}")
-    if config.get("breath"):
-        y = recursive.control_breath(y, rate, config.get("noise_floor_dbfs") if config.get("noise_floor_dbfs") is not None else -60.0)
-    if config.get("deess_threshold") is not None:
-        y = each(lambda c: recursive.de_ess(c, rate, config["deess_threshold"]))
-    if config.get("autoeq"):
-        y = recursive.equalise(y, rate, recursive.eq_fit(y, rate, bandwidth_hz=config.get("bandwidth_hz") or 0.0))
-    if (speakers := speakers_of(config)) is not None:
-        y = recursive.level_speakers(y, rate, *speakers)
-    gate_lufs = config.get("noise_gate_lufs")
-    return recursive.level(y, rate, target=config.get("target_lufs", -16.0), gate=-50.0 if gate_lufs is None else gate_lufs, warm_start=config.get("warm_start_db") or 0.0, music=bool(config.get("music_mode")))
+    return x
 
 
 def render(x: np.ndarray, rate: float, config: dict, dither_bits: int | None = None, **hooks) -> tuple[np.ndarray, float, int]:
@@ -243,7 +288,7 @@ def _configured(group) -> tuple[np.ndarray, dict]:
     return _matrix(group.slice(told)) if group.num_rows > told else np.zeros((0, 0)), (group["config"][0].as_py() or {}) if told else {}
 
 
-def master(samples: DataFrame, configured: DataFrame, rate: float, key: str = "signal_id", dither_bits: int | None = None, denoise: Callable | None = None) -> DataFrame:
+def master(samples: DataFrame, configured: DataFrame, rate: float, key: str = "signal_id", dither_bits: int | None = None, denoise: Callable | None = None, stages: tuple[Stage, ...] = FRONT) -> DataFrame:
     """key, ch, n, x of samples (key, ch, n, x) mastered by each signal's configuration (rows of decide.stages()).
 
     ch and n count from 0. Signals without a configuration have only the stages without settings.
@@ -252,7 +297,7 @@ def master(samples: DataFrame, configured: DataFrame, rate: float, key: str = "s
         x, config = _configured(group)
         if not x.size:
             return None
-        y, _, _ = render(x, rate, config, dither_bits, denoise=denoise)
+        y, _, _ = render(x, rate, config, dither_bits, denoise=denoise, stages=stages)
         return {"ch": np.repeat(np.arange(len(y)), y.shape[1]), "n": np.tile(np.arange(y.shape[1]), len(y)), "x": y.reshape(-1)}
 
     return grouped_map(_with_config(samples, configured, key), [key], ["ch", "n"], ["x", "config"], run, "ch int, n long, x double")

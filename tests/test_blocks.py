@@ -147,6 +147,23 @@ def test_speakers_reach_the_master(spark, block_table, signals):
     assert np.array_equal(recursive.level_speakers(x, RATE, owner[:500], g), recursive.level_speakers(x, RATE, np.concatenate([owner[:500], np.full(len(owner) - 500, -1)]), g))
 
 
+def test_a_stage_of_a_user_runs_in_its_place(spark, block_table, signals):
+    seen = []
+    note = chain.Stage("note", lambda c: c.get("cutoff_hz") == 80.0, lambda y, rate, c: seen.append(y.copy()) or -y)
+    x = signals["c"]
+    got = chain.front(x, RATE, {"cutoff_hz": 80.0}, stages=chain.with_stage(note, "dc_hpf"))
+    want = chain.front(x, RATE, {"cutoff_hz": 80.0})
+    assert np.allclose(got, -want) and np.allclose(seen[0], chain.FRONT[1].run(x, RATE, {"cutoff_hz": 80.0}))
+    assert np.array_equal(chain.front(x, RATE, {"cutoff_hz": 40.0}, stages=chain.with_stage(note, "dc_hpf")), chain.front(x, RATE, {"cutoff_hz": 40.0}))
+    mute = chain.with_stage(chain.Stage("leveler", lambda c: True, lambda y, rate, c: 0 * y))
+    assert len(mute) == len(chain.FRONT) and not chain.front(x, RATE, {}, stages=mute).any()
+    samples = blocks.from_blocks(block_table.where("signal_id = 'c'"))
+    configured = spark.createDataFrame([("c", 80.0)], "signal_id string, cutoff_hz double")
+    turned = chain.Stage("turned", lambda c: True, lambda y, rate, c: -y)
+    rows = chain.master(samples, configured, RATE, stages=chain.with_stage(turned, "leveler")).orderBy("n").collect()
+    assert np.allclose([r["x"] for r in rows], -chain.render(x, RATE, {"cutoff_hz": 80.0})[0][0])
+
+
 def test_lists_zip_by_place(spark):
     df = spark.createDataFrame([([1, 2], ["a", "b"]), ([1], ["a", "b"]), (None, ["a"])], "x array<int>, y array<string>")
     told = lambda how: [[(e["x"], e["y"]) for e in r["zipped"]] for r in folds.zipped(df, ["x", "y"], uneven=how).collect()]
