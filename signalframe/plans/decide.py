@@ -36,6 +36,11 @@ def stages(report: DataFrame) -> DataFrame:
     })
 
 
+def config_hash(columns: list[str]) -> Column:
+    """A 64-bit hash of the settings in columns with their names, whatever order they are given in; null settings don't count."""
+    return F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)])))
+
+
 def findings(configured: DataFrame, keep: list[str]) -> DataFrame:
     """keep, ord, level, title: the findings of each row of stages(), in order."""
     c = F.col

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from signalframe.operators import blocks, chain, folds, longmaster, recursive, speakers
+from signalframe.plans import decide
 from signalframe.sources import pcmfiles, readers
 
 RATE = 48_000.0
@@ -185,6 +186,24 @@ def test_failing_hook_is_told(spark, block_table, signals):
         longmaster.front_blocks(block_table.where("signal_id = 'c'"), configured, RATE, denoise=broken)
 
 
+def test_renders_do_not_depend_on_partitions(spark, block_table):
+    """The whole chain twice, dealt to other tasks: the same bytes, and the same hash of the configuration."""
+    names = list(CONFIG)
+    configured = spark.createDataFrame([("c", *CONFIG.values())], ["signal_id", *names])
+    part = block_table.where("signal_id = 'c'")
+    digests, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            out, _ = longmaster.master_blocks(part.repartition(int(n)), configured, RATE)
+            digests.append([bytes(r["x"]) for r in out.orderBy("block").collect()])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert digests[0] == digests[1] and len(digests[0]) == 1
+    key = lambda df, order: df.select(decide.config_hash(order)).first()[0]
+    assert key(configured, names) == key(configured, names[::-1]) != key(configured.withColumn("target_lufs", F.lit(-14.0)), names)
+
+
 @pytest.fixture
 def folder(spark, tmp_path):
     pcmfiles.register(spark)
