@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .link import linked
 from .storage import sent_if_small, written
-from .words import Hasher, chunks, mix64, split_words
+from .words import Hasher, chunks, mix64, spare, split_words
 
 BANDS = 40
 ROWS = 5  # a pair of similarity 0.8 misses all bands with odds of 1e-7
@@ -213,10 +213,16 @@ def one_of_each(docs: DataFrame, length: int = SHINGLE) -> DataFrame:
     gone = written(found.where("NOT kept").select(keys).unionByName(other.select(keys)).distinct(), "gone")
     left = found.where("kept").groupBy(keys).count().where("count > 1").join(gone, keys, "left_anti")
     repeated = written(left.select(keys), "repeated")
-    rows = docs.withColumn("text_key", text_key()).join(gone, keys, "left_anti")
+    # One join tells each row's fate, so that texts move once at most.
+    fate = written(gone.withColumn("again", F.lit(False)).unionByName(repeated.withColumn("again", F.lit(True))), "fate")
+    own = spare("__text_key", docs.columns)
+    told = fate.select(F.col("doc_id").alias(spare("__id", docs.columns)), F.col("text_key").alias(own), F.col("again").alias(spare("__again", docs.columns)))
+    id_, again = told.columns[0], told.columns[2]
+    rows = docs.join(sent_if_small(told, 48), (docs["doc_id"].cast("long") == told[id_]) & (F.xxhash64(docs["text"]) == told[own]), "left")
     names = [F.col(f"row.`{c}`") for c in docs.columns]
-    first = rows.join(repeated, keys, "left_semi").groupBy(keys).agg(F.min(F.struct(*docs.columns)).alias("row")).select(names)
-    return rows.join(repeated, keys, "left_anti").select(docs.columns).unionByName(first)
+    alone = rows.where(F.col(again).isNull()).select([F.col(f"`{c}`") for c in docs.columns])
+    first = rows.where(F.col(again)).groupBy(id_, own).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")).select(names)
+    return alone.unionByName(first)
 
 
 def labelled(docs: DataFrame, length: int = SHINGLE) -> DataFrame:
