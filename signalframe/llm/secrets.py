@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import new_path, written
@@ -44,6 +44,8 @@ ADDED = (
 )
 RULES = BASE + ADDED
 SPAN = "struct<start:bigint,kind:int,end:bigint>"
+#: Code points of a piece in which places are cut from a text.
+PIECE = 1024
 
 
 def rule_version(rules: tuple[Rule, ...] = RULES) -> str:
@@ -55,28 +57,33 @@ def blob_of(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
-def _spans_of(text: Column, rule: Rule, number: int) -> Column:
-    """Leftmost non-overlapping matches that are long enough, as SPAN in code points."""
+def _steps(text: Column, rule: Rule, number: int) -> Column:
+    """The matches of a rule in order: lengths (code points) of the gap before and of the match, and whether it counts."""
     hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    gaps = F.split(text, rule.pattern, -1)
-    kept = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else hits
-    steps = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), kept.alias("kept"))
-    steps = F.filter(steps, lambda x: x["hit"].isNotNull())
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    parts = [F.split(text, rule.pattern, -1).alias("gap"), hits.alias("hit")]
+    if rule.group:
+        parts.append(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)).alias("kept"))
 
-    def step(acc, x):
-        first = acc["at"] + F.length(x["gap"])
-        last = first + F.length(x["hit"])
-        span = F.struct(first.alias("start"), F.lit(number).alias("kind"), last.alias("end"))
-        return F.struct(last.alias("at"), F.when(F.length(x["kept"]) >= rule.least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def step(x, i):
+        fields = F.lit(number).alias("kind"), i.alias("pos"), F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit")
+        return F.struct(*fields, (F.length(x["kept" if rule.group else "hit"]) >= rule.least).alias("counts"))
 
-    found = F.aggregate(steps, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
+    steps = F.transform(F.filter(F.arrays_zip(*parts), lambda x: x["hit"].isNotNull()), step)
+    return F.when(text.rlike(rule.pattern), steps).otherwise(F.array().cast("array<struct<kind:int,pos:int,gap:int,hit:int,counts:boolean>>"))
 
 
-def spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """All spans of a text, by start and then by the order of the rules."""
-    return F.array_sort(F.concat(*[_spans_of(text, rule, i) for i, rule in enumerate(rules)]))
+def spans(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """blob, found (its SPANs, by start and then by the order of the rules) for each blob of texts (blob, text).
+
+    Places are running sums over the matches of a blob, as rows, so the work is linear in a text's
+    matches (but for sorting); texts themselves aren't moved. Repeated rows give one.
+    """
+    steps = texts.select("blob", F.explode_outer(F.concat(*[_steps(F.col("text"), rule, i) for i, rule in enumerate(rules)])).alias("step"))
+    steps = steps.select("blob", "step.*").repartition("blob").groupBy("blob", "kind", "pos").agg(*[F.any_value(c).alias(c) for c in ("gap", "hit", "counts")])
+    end = F.sum(F.col("gap") + F.col("hit")).over(Window.partitionBy("blob", "kind").orderBy("pos"))
+    placed = steps.withColumn("end", end)
+    span = F.struct((F.col("end") - F.col("hit")).alias("start"), "kind", "end")
+    return placed.groupBy("blob").agg(F.sort_array(F.collect_list(F.when(F.col("counts"), span))).cast(f"array<{SPAN}>").alias("found"))
 
 
 def joined(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -102,15 +109,16 @@ def update_ledger(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = R
         blobs = blobs.join(read_ledger(docs, ledger_path, rules).select("blob"), "blob", "left_anti")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     new = texts.join(blobs, texts["doc_id"].eqNullSafe(blobs["rep"]), "inner").where(blob_of(F.col("text")) == F.col("blob"))
-    scanned = new.select("blob", F.lit(version).alias("version"), spans(F.col("text"), rules).alias("found"))
-    # Rows that repeat an id and a text scan alike; one stays.
-    scanned.groupBy("blob", "version").agg(F.any_value("found").alias("found")).write.mode("append").parquet(ledger_path)
+    scanned = spans(new.select("blob", "text"), rules).select("blob", F.lit(version).alias("version"), "found")
+    scanned.write.mode("append").parquet(ledger_path)
     return paths
 
 
 def read_ledger(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger's rows of these rules, one a blob, even if two writers have scanned it."""
     schema = f"blob string, version string, found array<{SPAN}>"
-    return docs.sparkSession.read.schema(schema).parquet(ledger_path).where(F.col("version") == rule_version(rules))
+    rows = docs.sparkSession.read.schema(schema).parquet(ledger_path).where(F.col("version") == rule_version(rules))
+    return rows.dropDuplicates(["blob"])
 
 
 def scan(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -124,16 +132,44 @@ def scan(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...
     return paths.join(read_ledger(docs, ledger_path, rules), "blob").select("doc_id", "blob", "found")
 
 
-def redacted(text: Column, found: Column, mark: str = "[REDACTED]") -> Column:
-    """The text with each run of overlapping spans replaced by mark."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+def pieces_of(found: DataFrame, size: int = PIECE) -> DataFrame:
+    """blob, marks for each blob of found (blob, found) with spans: what to cut from its text, piece by piece.
 
-    def step(acc, s):
-        piece = F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        covered = s["start"] < acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(covered, acc["out"]).otherwise(piece).alias("out"))
-
-    return F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text).cast("bigint"))))
+    The text is seen as pieces of size code points; marks lists for each piece, up to the last that
+    a span touches, the places (first, last, opens) to cut, where opens tells whether the mark stands
+    there. Overlapping spans are one place; touching ones are two.
+    """
+    order = Window.partitionBy("blob").orderBy("start", "kind")
+    rows = found.select("blob", F.explode("found").alias("span")).select("blob", "span.*")
+    rows = rows.withColumn("reach", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("run", F.sum((F.col("reach").isNull() | (F.col("start") >= F.col("reach"))).cast("int")).over(order))
+    runs = rows.groupBy("blob", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    cut = runs.withColumn("piece", F.explode(F.expr(f"sequence(start div {size}, (end - 1) div {size})")))
+    first = F.greatest(F.col("start") - F.col("piece") * size, F.lit(0)).cast("int")
+    last = F.least(F.col("end") - F.col("piece") * size, F.lit(size)).cast("int")
+    place = F.struct(first.alias("first"), last.alias("last"), (F.col("start") >= F.col("piece") * size).alias("opens"))
+    cut = cut.groupBy("blob", "piece").agg(F.sort_array(F.collect_list(place)).alias("places"))
+    # Pieces without a place since the last one with any get an empty list each.
+    skipped = (F.col("piece") - F.coalesce(F.lag("piece").over(Window.partitionBy("blob").orderBy("piece")), F.lit(-1)) - 1).cast("int")
+    filled = cut.withColumn("lists", F.concat(F.array_repeat(F.filter("places", lambda _: F.lit(False)), skipped), F.array("places")))
+    listed = filled.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("piece", "lists"))).alias("lists"))
+    return listed.select("blob", F.flatten(F.transform("lists", lambda x: x["lists"])).alias("marks"))
+
+
+def redacted(text: Column, marks: Column, mark: str = "[REDACTED]", size: int = PIECE) -> Column:
+    """The text with each place of marks (see pieces_of) replaced by mark; linear in text and places."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def piece(part, i):
+        def step(acc, p):
+            between = part.substr(acc["at"] + 1, p["first"] - acc["at"])
+            return F.struct(p["last"].alias("at"), F.concat(acc["out"], between, F.when(p["opens"], F.lit(mark)).otherwise("")).alias("out"))
+
+        cut = F.aggregate(F.get(marks, i), start, step, lambda acc: F.concat(acc["out"], part.substr(acc["at"] + 1, F.lit(size))))
+        return F.when(F.size(F.get(marks, i)) > 0, cut).otherwise(part)
+
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return F.array_join(F.transform(parts, piece), "")
 
 
 def redact(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -143,10 +179,11 @@ def redact(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, .
     """
     ledger_path = ledger_path or new_path(docs.sparkSession, "ledger")
     update_ledger(docs, ledger_path, rules)
-    hits = read_ledger(docs, ledger_path, rules).where(F.size("found") > 0).select(F.col("blob").alias("__blob"), F.col("found").alias("__found"))
-    joined_ = docs.join(hits, blob_of(docs["text"]) == hits["__blob"], "left")
-    text = F.when(F.col("__found").isNotNull(), redacted(docs["text"], F.col("__found"))).otherwise(docs["text"])
-    columns = {c: docs[f"`{c}`"] for c in docs.columns} | {"text": text}
+    hits = pieces_of(read_ledger(docs, ledger_path, rules).where(F.size("found") > 0)).toDF("__blob", "__marks")
+    rows = docs.join(hits, blob_of(docs["text"]) == hits["__blob"], "left")
+    hit, changed = hits["__marks"].isNotNull(), "_" * (1 + max(map(len, docs.columns)))
+    columns = {c: docs[f"`{c}`"] for c in docs.columns} | {"text": F.when(hit, redacted(docs["text"], hits["__marks"])).otherwise(docs["text"])}
+    rows = rows.select(*[v.alias(c) for c, v in columns.items()], hit.alias(changed))
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.col("__found").isNotNull(), F.length(text).cast("bigint")).otherwise(docs["n_chars"])
-    return joined_.select(*[v.alias(c) for c, v in columns.items()])
+        rows = rows.withColumn("n_chars", F.when(F.col(changed), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+    return rows.drop(changed)

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import time
 import zlib
@@ -84,6 +85,50 @@ def test_redaction(odd):
     assert text[6].startswith('[REDACTED]" and [REDACTED] \U0001f600 token:short [REDACTED]') and text[2] is None and text[5] == LONG
 
 
+def cut_spans(text, spans, mark="[REDACTED]"):
+    """Brute force of redaction: overlapping spans are one place."""
+    out, at = [], 0
+    for start, _, end in sorted(spans):
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+@pytest.mark.parametrize("size", [1, 3, 16, 1024])
+def test_redaction_in_pieces_is_that_of_whole_texts(spark, size):
+    draw = random.Random(size)
+    texts = ["".join(draw.choice("ab\U0001f600\u00e9\n") for _ in range(draw.randint(0, 90))) for _ in range(40)]
+    found = [sorted((a, draw.randint(0, 4), draw.randint(a + 1, len(t))) for a in (draw.randrange(len(t)) for _ in range(draw.randint(1, 6)))) if t else [] for t in texts]
+    df = spark.createDataFrame([(str(i), t, f) for i, (t, f) in enumerate(zip(texts, found))], f"blob string, text string, found array<{secrets.SPAN}>")
+    marks = secrets.pieces_of(df.select("blob", "found"), size)
+    got = {r["blob"]: r["cut"] for r in df.join(marks, "blob").select("blob", secrets.redacted(F.col("text"), F.col("marks"), size=size).alias("cut")).collect()}
+    assert got == {str(i): cut_spans(t, f) for i, (t, f) in enumerate(zip(texts, found)) if f}
+
+
+def test_very_many_secrets_in_one_text(spark):
+    words = [f"{i * 2654435761 % 2**64:016x}" if i % 4 else f"\u00e9 token={i:012d}" for i in range(200_000)]
+    text = " ".join(words)
+    df = spark.createDataFrame([(1, text, len(text)), (2, text, len(text)), (3, "clean", 5)], "doc_id long, text string, n_chars long")
+    began = time.time()
+    got = {r["doc_id"]: r["found"] for r in secrets.scan(df).select("doc_id", "found").collect()}
+    want = [(a, k, e) for a, k, e, _ in base_spans(text)]
+    assert [tuple(x) for x in got[1]] == want and len(got[2]) == len(want) >= 200_000 and got[3] == []
+    clean = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets.redact(df).collect()}
+    cut = cut_spans(text, want)
+    assert clean == {1: (cut, len(cut)), 2: (cut, len(cut)), 3: ("clean", 5)}
+    assert time.time() - began < 90
+
+
+def test_two_writers_of_one_ledger(spark, odd, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    secrets.update_ledger(odd, path)
+    other = f"file://{tmp_path}/other"
+    secrets.update_ledger(odd, other)
+    spark.read.parquet(other).write.mode("append").parquet(path)
+    assert secrets.scan(odd, path).count() == len(ODD)
+
+
 def test_secrets_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
