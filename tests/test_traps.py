@@ -1,10 +1,13 @@
 """Rules that are easy to get wrong: ties, ranks, roundings, bounds and errors."""
 
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from signalframe.functions import scalars, stats
-from signalframe.operators import intervals
+from signalframe.operators import cuts, hops, intervals, islands, segmentation, spectral, text
 from signalframe.plans import jobs
 from signalframe.sources import readers
 
@@ -95,3 +98,103 @@ def test_floors_of_silence_differ(spark):
 def test_correlation_is_not_centred(spark):
     df = spark.createDataFrame([(1.0, 1.1), (1.0, 0.9)], "l double, r double")
     assert df.agg(*stats.stereo(F.col("l"), F.col("r"))).first()["correlation"] > 0.99
+
+
+def tone(hops, hop=480, hz=1000.0, rate=48_000, level=0.5):
+    return [(1, i, level * math.sin(2 * math.pi * hz * i / rate)) for i in range(int(hops * hop))]
+
+
+def test_a_short_last_hop_counts_only_where_asked(spark):
+    df = spark.createDataFrame(tone(2.5), "signal_id long, n long, x double")
+    assert sorted(r["hop"] for r in hops.hop_features(df, 480).collect()) == [0, 1]
+    got = {r["hop"]: r["size"] for r in hops.hop_features(df, 480, partial=True).collect()}
+    assert got == {0: 480, 1: 480, 2: 240}
+
+
+def test_spectra_begin_with_zeros_before_the_signal(spark):
+    x = np.array([v for _, _, v in tone(6)])
+    frames = spectral.ring_frames(x, 480, 2048)
+    assert len(frames) == 6
+    for k, frame in enumerate(frames):
+        seen = min(2048, 480 * (k + 1))
+        assert not frame[: 2048 - seen].any() and np.array_equal(frame[2048 - seen :], x[480 * (k + 1) - seen : 480 * (k + 1)])
+    df = spark.createDataFrame(tone(6), "signal_id long, n long, x double")
+    want = spectral.frame_features(frames, 48_000.0)
+    got = spectral.hop_spectra(df, 480, 2048, 48_000.0, block=2).orderBy("hop").collect()
+    assert [r["hop"] for r in got] == list(range(6))
+    for name in spectral.FEATURES:
+        assert np.allclose([r[name] for r in got], want[name], rtol=1e-9, atol=1e-12), name
+
+
+def test_ratios_are_over_all_hops(spark):
+    # 100 hops of steady hiss (musical), 100 of pauses and words, 100 of silence; only gated ones are told apart.
+    rows = [(1, h, -20.0, 0.5, 0.1, True) for h in range(100)]
+    rows += [(1, 100 + h, -20.0 if h % 2 else -60.0, 0.05, 0.2, h % 2 == 1) for h in range(100)]
+    rows += [(1, 200 + h, -80.0, 0.5, 0.1, False) for h in range(100)]
+    marked = spark.createDataFrame(rows, "signal_id long, hop long, energy_db double, flatness double, zcr double, speech boolean")
+    got = segmentation.ratios(marked).first()
+    assert (got["speech_ratio"], got["music_ratio"]) == (pytest.approx(50 / 300), pytest.approx(100 / 300))
+
+
+def test_hum_is_of_all_hops_and_ties_go_to_50_hz(spark):
+    rows = [("tie", h, 8.0, 8.0, h % 2 == 0) for h in range(30)]
+    # Speech hops alone would say 60 Hz: the mask has no part in it.
+    rows += [("all", h, 9.0 if h < 20 else 1.0, 1.0 if h < 20 else 9.0, h >= 20) for h in range(30)]
+    rows += [("few", h, 9.0, 1.0, True) for h in range(19)]
+    df = spark.createDataFrame(rows, "signal_id string, hop long, hum50 double, hum60 double, speech boolean")
+    got = {r["signal_id"]: (r["fundamental_hz"], r["stable"]) for r in segmentation.hum(df).collect()}
+    assert got == {"tie": (50.0, True), "all": (50.0, True)}
+
+
+def test_terms_of_a_text(spark):
+    line = "Don't the cats' glass é éa été 2024 buses status dogs oxen it's"
+    df = spark.createDataFrame([(1, line)], "k long, text string")
+    got = {r["term"]: r["tf"] for r in text.term_counts(df, ["k"]).collect()}
+    # Contractions lose their mark, so "dont" is a term and "its" a stopword; lengths are bytes, so "éa" is long enough and "é" isn't.
+    assert got == {"dont": 1, "cat": 1, "glass": 1, "éa": 1, "été": 1, "buse": 1, "status": 1, "dog": 1, "oxen": 1}
+
+
+def test_clipped_texts(spark):
+    cases = [("short", 10, "short"), ("  padded  ", 6, "padded"), ("one two, three", 10, "one two…"), ("ééééé ffff", 7, "ééééé…"), ("unbroken", 3, "unb…"), ("a b;: c", 6, "a b…")]
+    for value, most, want in cases:
+        df = spark.createDataFrame([(value,)], "t string")
+        assert one(df, text.clip(F.col("t"), most)) == want, value
+
+
+def test_bounds_of_intervals_differ(spark):
+    a = spark.createDataFrame([(1, 0.0, 1.0)], "k long, s double, e double")
+    b = spark.createDataFrame([(1, 1.0, 2.0)], "k long, s2 double, e2 double")
+    met = lambda closed: intervals.overlap_join(a, b, "k", "s", "e", "s2", "e2", closed).count()
+    assert (met(False), met(True)) == (0, 1)
+    # A hop's middle at a turn's end is outside of it, at its start inside.
+    marks = spark.createDataFrame([(1, 0), (1, 1), (1, 2)], "k long, hop long")
+    turns = spark.createDataFrame([(1, 0, 1.5, 2.5, 7)], "k long, ord long, t_start double, t_end double, speaker int")
+    assert {r["hop"]: r["speaker"] for r in intervals.hop_owners(marks, turns, "k", 1.0).collect()} == {0: None, 1: 7, 2: None}
+    # A protected time at a silence's end keeps it whole; music that only touches doesn't.
+    silences = spark.createDataFrame([(1, 0.0, 4.0), (1, 10.0, 14.0), (1, 20.0, 24.0)], "k long, start double, end double")
+    music = spark.createDataFrame([(1, 4.0, 5.0)], "k long, m_start double, m_end double")
+    kept = spark.createDataFrame([(1, 14.0)], "k long, t double")
+    cut = cuts.silence_cuts(silences, music, kept, "k", 1.0, 1.0)
+    assert sorted(r["start"] for r in cut.collect()) == [0.5, 20.5]
+    # Cuts that are exactly the slack apart are one.
+    near = spark.createDataFrame([(1, 0.0, 1.0), (1, 1.25, 2.0), (1, 2.5, 3.0)], "k long, start double, end double")
+    got = islands.merge_intervals(near, "k", slack=0.25).select("start", "end").orderBy("start").collect()
+    assert [tuple(r) for r in got] == [(0.0, 2.0), (2.5, 3.0)]
+    # Words that only touch a segment vote, with a millisecond.
+    segments = spark.createDataFrame([(1, 0, 1.0, 2.0)], "k long, seg long, s_start double, s_end double")
+    words = spark.createDataFrame([(1, 0.0, 1.0, 3)], "k long, start double, end double, speaker int")
+    assert intervals.dominant_speakers(segments, words, "k").first()["speaker"] == 3
+
+
+def test_who_wins_ties(spark):
+    turns = spark.createDataFrame([(1, 0, 0.0, 2.0, 9), (1, 1, 0.0, 2.0, 4)], "k long, ord long, t_start double, t_end double, speaker int")
+    words = spark.createDataFrame([(1, 0, 0.5, 1.0)], "k long, word long, start double, end double")
+    assert intervals.word_speakers(words, turns, "k").first()["speaker"] == 9  # the first turn
+    marks = spark.createDataFrame([(1, 0)], "k long, hop long")
+    assert intervals.hop_owners(marks, turns, "k", 1.0).first()["speaker"] == 4  # the last turn
+    segments = spark.createDataFrame([(1, 0, 0.0, 2.0)], "k long, seg long, s_start double, s_end double")
+    votes = spark.createDataFrame([(1, 0.0, 1.0, 9), (1, 1.0, 2.0, 4)], "k long, start double, end double, speaker int")
+    assert intervals.dominant_speakers(segments, votes, "k").first()["speaker"] == 4  # the lower id
+    points = spark.createDataFrame([(1, 5.0)], "k long, at double")
+    near = spark.createDataFrame([(1, 4.0), (1, 6.0)], "k long, t double")
+    assert intervals.nearest(points, near, "k", "at", "t").first()["nearest"] == 4.0  # the earlier mark
