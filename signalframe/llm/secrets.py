@@ -129,7 +129,8 @@ def scan(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...
     """
     ledger_path = ledger_path or new_path(docs.sparkSession, "ledger")
     paths = update_ledger(docs, ledger_path, rules)
-    return paths.join(read_ledger(docs, ledger_path, rules), "blob").select("doc_id", "blob", "found")
+    # Written, so that the join meets plain shuffles on both sides and Spark can split a blob of many copies.
+    return paths.join(written(read_ledger(docs, ledger_path, rules), "found"), "blob").select("doc_id", "blob", "found")
 
 
 def pieces_of(found: DataFrame, size: int = PIECE) -> DataFrame:
@@ -180,6 +181,7 @@ def redact(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, .
     ledger_path = ledger_path or new_path(docs.sparkSession, "ledger")
     update_ledger(docs, ledger_path, rules)
     hits = pieces_of(read_ledger(docs, ledger_path, rules).where(F.size("found") > 0)).toDF("__blob", "__marks")
+    hits = written(hits, "marks")  # as in scan()
     rows = docs.join(hits, blob_of(docs["text"]) == hits["__blob"], "left")
     hit, changed = hits["__marks"].isNotNull(), "_" * (1 + max(map(len, docs.columns)))
     columns = {c: docs[f"`{c}`"] for c in docs.columns} | {"text": F.when(hit, redacted(docs["text"], hits["__marks"])).otherwise(docs["text"])}
