@@ -3,7 +3,8 @@
 A walk reads a text's characters; after each step a shared random function of the step and the
 character tells whether it goes on to the next one. Walks over texts with few edits fall into step
 again, so edit distance becomes Hamming distance between what the walks read. A fingerprint
-samples bits of the walk; bands of sampled bits find candidates, and the whole fingerprint decides.
+samples bits of the walk; masks that cover all small differences find candidates, and the whole
+fingerprint decides.
 """
 
 from __future__ import annotations
@@ -19,17 +20,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .link import linked
-from .storage import sent_if_small, written
-from .words import mix64
+from .link import components, matrix
+from .storage import dealt_keys, sent_if_small, written
 
 PERIOD = 4096
 SYMBOLS = 256
 #: Bits of a fingerprint, each of a step of its own.
 SAMPLES = 512
-#: Likeness from which fingerprints link, and the share of such pairs that bands find.
+#: Likeness from which fingerprints link.
 LEAST = 0.8
-RECALL = 0.92
+#: Up to so many fingerprints are searched by one task; more are dealt to this many parts at least, of so many rows at most.
+FEW, PARTS, PART_ROWS = 4096, 8, 1 << 18
 GROUP_CHARS = 1 << 23
 #: Texts that are walked together while so many are left; the rest one by one.
 TOGETHER = 48
@@ -115,28 +116,100 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(1 - 2 * unlike / SAMPLES, 0.0)
 
 
-def band_plan(documents: int, least: float = LEAST, recall: float = RECALL) -> tuple[int, int]:
-    """(bits a band, bands): so many bits that a document meets few unlike ones in a band, whose bits
-    agree somewhat more often than by halves, and so many bands that a pair of likeness `least` meets
-    with odds of `recall`."""
-    bits = max(12, math.ceil((math.log2(max(documents, 1)) + 3) / 0.86))
-    return bits, math.ceil(math.log(1 - recall) / math.log1p(-(((1 + least) / 2) ** bits)))
+def most_unlike(least: float = LEAST) -> int:
+    """How many bits of two fingerprints of likeness `least` (above 0) may differ."""
+    most = SAMPLES // 2
+    while most and 1 - 2 * most / SAMPLES < least:
+        most -= 1
+    return most
 
 
-def band_keys(prints: np.ndarray, bits: int, bands: int) -> np.ndarray:
-    """Text by band: a 64-bit key of `bits` bits, sampled for each band, and the band's number."""
-    flat = np.unpackbits(prints, axis=1)
-    out = np.empty((len(prints), bands), np.uint64)
-    for k in range(bands):
-        chosen = np.random.default_rng([17, k]).choice(SAMPLES, bits, replace=False)
-        packed = np.packbits(flat[:, chosen], axis=1)
-        wide = np.zeros((len(prints), 8 * -(-packed.shape[1] // 8)), np.uint8)
-        wide[:, : packed.shape[1]] = packed
-        key = np.full(len(prints), k + 1, np.uint64)
-        for part in wide.view(np.uint64).T:
-            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + part)
-        out[:, k] = key
-    return out.view(np.int64)
+def _words(flat: np.ndarray) -> np.ndarray:
+    """Rows of up to 64 bits as a number each."""
+    packed = np.packbits(flat, axis=1)
+    wide = np.zeros((len(flat), 8), np.uint8)
+    wide[:, : packed.shape[1]] = packed
+    return wide.view(np.uint64)[:, 0]
+
+
+def cover(prints: int, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(bits, masks) of blocks of bits: of any two fingerprints with at most `most` unlike bits, one mask hides them in its block.
+
+    So many blocks that one of them holds at most `radius` unlike bits. There each bit has a vector of
+    radius + 1 bits, and a mask a vector too: it keeps the bits whose vectors have an odd product with
+    its own. Some mask's vector is orthogonal to any `radius` vectors (covering locality-sensitive
+    hashing, Pagh 2016). The radius is that of the least work for so many prints.
+    """
+
+    def work(radius):
+        blocks = max(SAMPLES // 64, most // (radius + 1) + 1)
+        kept = SAMPLES / blocks * 2**radius / (2 ** (radius + 1) - 1)
+        # Sorting a key takes about a quarter of what a pair takes; bits of unlike prints agree somewhat more often than by halves.
+        return blocks * (2 ** (radius + 1) - 1) * (prints + 2 * prints**2 * 2 ** (-0.8 * kept)), radius, blocks
+
+    _, radius, blocks = min(work(r) for r in range(1, 7))
+    rng, out = np.random.default_rng(17), []
+    for bits in np.array_split(rng.permutation(SAMPLES), blocks):
+        vector = np.resize(1 + rng.permutation(2 ** (radius + 1) - 1), len(bits))
+        kept = np.bitwise_count(vector & np.arange(1, 2 ** (radius + 1))[:, None]) % 2
+        out.append((bits, _words(kept.astype(np.uint8))))
+    return out
+
+
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """label with those of each a and b made one, and the places of the pairs that joined two."""
+    up: dict[int, int] = {}
+
+    def top(x):
+        while x in up:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
+
+    kept = []
+    for k, (x, y) in enumerate(zip(label[a].tolist(), label[b].tolist(), strict=True)):
+        x, y = top(x), top(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            kept.append(k)
+    new = np.arange(len(label))
+    for x in up:
+        new[x] = top(x)
+    return new[label], kept
+
+
+def near_links(prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of prints with at most `most` unlike bits that join all rows which such pairs join."""
+    n, words, plan = len(prints), np.ascontiguousarray(prints).view(np.uint64), cover(len(prints), most)
+    block = np.empty((len(plan), n), np.uint64)
+    for lo in range(0, n, 16_384):
+        flat = np.unpackbits(prints[lo : lo + 16_384], axis=1)
+        for k, (bits, _) in enumerate(plan):
+            block[k, lo : lo + 16_384] = _words(flat[:, bits])
+    label, found = np.arange(n), [np.zeros((2, 0), np.int64)]
+    for k, mask in ((k, m) for k, (_, masks) in enumerate(plan) for m in masks):
+        key = block[k] & mask
+        order = np.argsort(key)
+        key, step = key[order], 1
+        at = np.flatnonzero(key[1:] == key[:-1])
+        # All pairs of each run of equal keys, by their distance in it; runs of one label are done.
+        while len(at):
+            a, b = order[at], order[at + step]
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            near = np.concatenate([np.bitwise_count(words[a[i : i + 65_536]] ^ words[b[i : i + 65_536]]).sum(axis=1, dtype=np.int64) <= most for i in range(0, len(a), 65_536)] or [np.zeros(0, bool)])
+            if near.any():
+                a, b = a[near], b[near]
+                label, kept = _joined(label, a, b)
+                found.append(np.stack([a[kept], b[kept]]))
+            step += 1
+            at = at[at + step < n]
+            at = at[key[at] == key[at + step]]
+            if len(at) and step & (step - 1) == 0:
+                named = label[order]
+                turns = np.concatenate([[0], np.cumsum(named[1:] != named[:-1])])
+                at = at[turns[np.searchsorted(key, key[at], "right") - 1] > turns[np.searchsorted(key, key[at], "left")]]
+    return tuple(np.concatenate(found, axis=1))
 
 
 def edited(text: str, following: str) -> str:
@@ -158,40 +231,46 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def near_classes(prints: DataFrame, least: float = LEAST, recall: float = RECALL) -> DataFrame:
+def near_classes(prints: DataFrame, least: float = LEAST) -> DataFrame:
     """sig (the fingerprint's bytes) and component_id of those (doc_id, fingerprint) that aren't alone.
 
-    Fingerprints of likeness `least` or more link if they share a band; component_id is the
-    smallest doc_id that links lead to. Equal fingerprints form a class, which meets others once.
+    All fingerprints of likeness `least` or more link; component_id is the smallest doc_id that links
+    lead to. Equal fingerprints form a class. Classes are dealt to parts, and each two parts are
+    searched by a task of their own, which tells links that join its rows.
     """
+    spark, most = prints.sparkSession, most_unlike(least)
     real = (F.col("fingerprint") != "0" * (SAMPLES // 4)) & F.col("doc_id").isNotNull()
-    bits, bands = band_plan(prints.count(), least, recall)
     classes = prints.where(real).groupBy(F.unhex("fingerprint").alias("sig")).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
-
-    def keyed(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
-                sigs = part.column(0).to_pylist()
-                keys = band_keys(np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1), bits, bands)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(keys), pa.list_(pa.int64()))], ["sig", "id", "n", "keys"])
-
-    nodes = classes.mapInArrow(keyed, "sig binary, id long, n long, keys array<long>").withColumn("node", F.monotonically_increasing_id())
-    nodes = written(nodes, "print-classes")
-    labels = linked(nodes.select("node", "keys", "sig"), likeness, least, search=False)
+    nodes = written(classes.withColumn("node", F.monotonically_increasing_id()), "print-classes")
+    count = nodes.count()
+    parts = 1 if count <= FEW else max(PARTS, math.ceil(count / PART_ROWS))
+    tiles = [(x, y) for x in range(parts) for y in range(x + 1, parts)] or [(0, 0)]
+    of_part = [[k for k, tile in enumerate(tiles) if x in tile] for x in range(parts)]
+    part = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(parts)).cast("int")
+    places = spark.createDataFrame([(x, k) for x in range(parts) for k in of_part[x]], "part int, tile int")
+    dealt = spark.createDataFrame(list(enumerate(dealt_keys(spark, len(tiles)))), "tile int, k int")
+    rows = nodes.select("node", "sig", part.alias("part")).join(F.broadcast(places.join(F.broadcast(dealt), "tile")), "part").select("k", "node", "sig")
+
+    def run(tile: pa.Table) -> pa.Table:
+        node = tile["node"].to_numpy()
+        a, b = near_links(matrix(tile["sig"]), most)
+        return pa.table({"a": pa.array(node[a], pa.int64()), "b": pa.array(node[b], pa.int64())})
+
+    links = written(rows.repartition(len(tiles), "k").groupBy("k").applyInArrow(run, "a long, b long"), "print-links")
+    labels = written(components(links), "labels")
     placed = written(nodes.select("node", "sig", "id", "n").join(sent_if_small(labels, 32), "node", "left").where("component IS NOT NULL OR n > 1"), "print-placed")
     first = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("first"))
     named = placed.join(first, "component", "left").select("sig", F.coalesce("first", "id").alias("component_id"))
     return written(named, "print-named")
 
 
-def grouped(prints: DataFrame, least: float = LEAST, recall: float = RECALL) -> DataFrame:
+def grouped(prints: DataFrame, least: float = LEAST) -> DataFrame:
     """prints (doc_id, fingerprint and others) with component_id, by near_classes().
 
     Null fingerprints, and those of empty texts (all 0), link with nothing; rows with a null id
     have a null component. Repeated rows have a row each, an empty table none.
     """
-    named = sent_if_small(near_classes(prints, least, recall), 128)
+    named = sent_if_small(near_classes(prints, least), 128)
     found = prints.withColumn("sig", F.unhex("fingerprint")).join(named, "sig", "left").drop("sig")
     return found.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
 
@@ -295,5 +374,5 @@ def compare_edits(docs: DataFrame) -> DataFrame:
 
 
 def compare_and_group(docs: DataFrame) -> DataFrame:
-    """compare_edits() with component_id: the smallest doc_id among near documents, found by bands and verified."""
+    """compare_edits() with component_id: the smallest doc_id among near documents, found by covering masks and verified."""
     return grouped(compare_edits(docs))

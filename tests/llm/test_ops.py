@@ -241,6 +241,40 @@ def test_grouped_odd_prints(spark):
     assert fingerprints.grouped(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("few", [4096, 200])
+def test_every_near_fingerprint_links(spark, monkeypatch, few):
+    """Pairs about the threshold, alone and in a crowd about one print, against brute force; in one task and in many."""
+    monkeypatch.setattr(fingerprints, "FEW", few)
+    rng = np.random.default_rng(3)
+    base = rng.random((300, fingerprints.SAMPLES)) < 0.5
+    bits = [base]
+    for k, unlike in [(k, int(rng.integers(45, 56))) for k in range(300)] + [(7, 45)] * 100:
+        row = base[k].copy()
+        row[rng.choice(fingerprints.SAMPLES, unlike, replace=False)] ^= True
+        bits.append(row[None])
+    prints = np.packbits(np.concatenate(bits), axis=1)
+    near = np.array([fingerprints.likeness(prints, p[None, :]) >= fingerprints.LEAST for p in prints])
+    comp = np.arange(len(prints))
+    while (least := np.array([comp[row].min() for row in near])).tolist() != comp.tolist():
+        comp = least
+    df = spark.createDataFrame([(i, p.tobytes().hex()) for i, p in enumerate(prints)], "doc_id long, fingerprint string")
+    got = {r["doc_id"]: r["component_id"] for r in fingerprints.grouped(df).collect()}
+    assert [got[i] for i in range(len(prints))] == comp.tolist()
+    assert 100 < near.sum() // 2 - len(prints) // 2 < len(prints) ** 2 / 8
+
+
+def test_cover_hides_every_small_difference():
+    """Any `radius` bits of a block are hidden by one of its masks, whatever the number of prints."""
+    rng = np.random.default_rng(4)
+    for many in (100, 50_000, 2_000_000):
+        plan = fingerprints.cover(many, 51)
+        assert sorted(b for bits, _ in plan for b in bits.tolist()) == list(range(fingerprints.SAMPLES))
+        for _ in range(300):
+            unlike = np.zeros((1, fingerprints.SAMPLES), np.uint8)
+            unlike[0, rng.choice(fingerprints.SAMPLES, 51, replace=False)] = 1
+            assert any((fingerprints._words(unlike[:, bits]) & masks == 0).any() for bits, masks in plan)
+
+
 @pytest.mark.parametrize("which", ["odd", "documents"])
 def test_bpe_matches_the_other_library(request, which):
     from tokenizers import Tokenizer
