@@ -1,7 +1,9 @@
 """Queries over whole inputs, against DuckDB SQL without cuts."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from signalframe.functions import scalars
 from signalframe.queries import ORACLES, QUERIES
 
 from .conftest import DATA
@@ -59,3 +61,18 @@ def test_places_of_odd_vectors(spark, duck, tmp_path, name):  # noqa: F811
     cur = duck.execute(query)
     assert got == rows([c[0] for c in cur.description], cur.fetchall())
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fixed_as_formatted(spark):
+    """Fast decimals tell what format_string tells, and reports are not made by it."""
+    values = [0.0, -0.0, 0.005, -0.005, -0.004, 0.125, -0.125, 2.675, 1.005, -1.005, 99.995, -30.0, 123456789.985, 1e15, -3e18, float("nan"), float("inf"), float("-inf"), None, 0.1 + 0.2, 1e-9]
+    values += [k / 1000 - 3 for k in range(6001)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (1, 2):
+        told = df.select("x", scalars.fixed(F.col("x"), digits).alias("got"), F.format_string(f"%.{digits}f", "x").alias("want"))
+        assert told.where("NOT got <=> want").collect() == []
+    seconds = [0.0, 59.4, 59.5, 61.0, 3599.5, 3600.0, 86_399.0, 400_000.0, -3.0, None]
+    clock = [r[0] for r in spark.createDataFrame([(v,) for v in seconds], "x double").select(scalars.timecode(F.col("x"))).collect()]
+    assert clock == ["0:00", "0:59", "1:00", "1:01", "1:00:00", "1:00:00", "23:59:59", "111:06:40", "0:00", "0:00"]
+    plan = QUERIES["html_reports"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and plan.count("format_string(%.2f") == plan.count("format_string(") - plan.count("format_string(%.1f")
