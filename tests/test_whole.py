@@ -76,3 +76,9 @@ def test_fixed_as_formatted(spark):
     assert clock == ["0:00", "0:59", "1:00", "1:01", "1:00:00", "1:00:00", "23:59:59", "111:06:40", "0:00", "0:00"]
     plan = QUERIES["html_reports"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" not in plan and plan.count("format_string(%.2f") == plan.count("format_string(") - plan.count("format_string(%.1f")
+
+
+def test_module_report_explodes_names_only(spark):
+    """A count of modules makes no settings."""
+    plan = QUERIES["module_report"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" in plan and "map_from_entries" not in plan and "fundamental_hz" not in plan
