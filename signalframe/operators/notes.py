@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import parse_clock, timecode
+from ..sources.storage import settled
 from . import text
 from .folds import thin
 from .grouped import grouped_map, numbers
@@ -19,14 +20,14 @@ BULLETS, SUMMARY, KEYWORDS = 5, 3, 8
 CHAPTERS = "array<struct<start:double,title:string>>"
 
 
-def boundaries(segments: DataFrame, terms: DataFrame, key: str, seg: str = "seg", least_seconds: float = LEAST_SECONDS, most: int = MOST_CHAPTERS) -> DataFrame:
+def boundaries(segments: DataFrame, posts: DataFrame, key: str, seg: str = "seg", least_seconds: float = LEAST_SECONDS, most: int = MOST_CHAPTERS) -> DataFrame:
     """key, seg where a chapter begins, the first segment not among them.
 
     Deepest gaps first, of those that reach the cutoff; each at least least_seconds from the ends and
     from those taken, and most - 1 at most.
     """
     sizes = segments.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    deep = text.depths(text.gap_similarity(terms, sizes, key, seg, WINDOW), key)
+    deep = settled(text.depths(text.gap_similarity(posts, sizes, key, seg, WINDOW), key), "depths")
     cutoff = text.depth_cutoff(deep, key)
     span = segments.groupBy(key).agg(F.min_by("s_start", seg).alias("first"), F.max_by("s_end", seg).alias("last"))
     starts = segments.select(key, F.col(seg).alias("gap"), "s_start")
@@ -46,21 +47,28 @@ def boundaries(segments: DataFrame, terms: DataFrame, key: str, seg: str = "seg"
     return grouped_map(rows, [key], ["rank", "gap"], ["s_start"], take, f"`{seg}` {dict(segments.dtypes)[seg]}")
 
 
-def chapters(segments: DataFrame, terms: DataFrame, key: str, seg: str = "seg") -> DataFrame:
-    """key, chapter (from 0), start, title of segments (key, seg, s_start, s_end, text).
+def chapters(segments: DataFrame, posts: DataFrame, key: str, seg: str = "seg") -> DataFrame:
+    """key, chapter (from 0), start, title of segments (key, seg, s_start, s_end, text) and their text.postings, which are read twice.
 
     A title is made of the three terms that tell a chapter from the others; one that was used before
     is marked as continued, and a chapter without terms has its number.
     """
     first = segments.groupBy(key).agg(F.min(seg).alias(seg))
-    starts = first.unionByName(boundaries(segments, terms, key, seg)).withColumn("opens", F.lit(1))
+    starts = first.unionByName(boundaries(segments, posts, key, seg)).withColumn("opens", F.lit(1))
     order = Window.partitionBy(key).orderBy(seg)
     placed = segments.select(key, seg, "s_start").join(starts, [key, seg], "left").withColumn("chapter", F.sum(F.coalesce("opens", F.lit(0))).over(order) - 1)
-    begin = placed.groupBy(key, "chapter").agg(F.min_by("s_start", seg).alias("start"))
-    tf = terms.join(placed.select(key, seg, "chapter"), [key, seg]).groupBy(key, "chapter", "term").agg(F.sum("tf").alias("tf"))
-    weights = text.idf(tf.select(key, "chapter", "term"), begin.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key)
+    begin = settled(placed.groupBy(key, "chapter").agg(F.min_by("s_start", seg).alias("start"), F.min(seg).alias("from"), F.max(seg).alias("to")), "chapters")
+    bounds = begin.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chapter", "from", "to"))).alias("c"))
+    within = lambda c: F.aggregate(F.filter("posts", lambda p: p["seg"].between(c["from"], c["to"])), F.lit(0).cast("long"), lambda s, p: s + p["tf"])
+    told = F.filter(F.transform("c", lambda c: F.struct(c["chapter"].alias("chapter"), within(c).alias("tf"))), lambda x: x["tf"] > 0)
+    # A term of one segment in a transcript of one chapter, the most frequent case, needs no search.
+    post, only = F.get("posts", F.lit(0)), F.get("c", F.lit(0))
+    alone = F.when(post["seg"].between(only["from"], only["to"]), F.array(F.struct(only["chapter"].alias("chapter"), post["tf"].alias("tf"))))
+    told = F.when((F.size("posts") == 1) & (F.size("c") == 1), alone).otherwise(told)
+    tf = posts.join(bounds, key).select(key, "term", F.size("c").alias("n"), told.alias("told")).withColumn("idf", F.log(1 + F.col("n") / F.size("told")))
+    tf = tf.select(key, "term", "idf", F.inline("told"))
     score = F.round(F.col("tf") * F.col("idf"), 9)
-    ranked = tf.join(weights.select(key, "term", "idf"), [key, "term"]).withColumn("r", F.row_number().over(Window.partitionBy(key, "chapter").orderBy(score.desc(), "term"))).where("r <= 3")
+    ranked = tf.withColumn("r", F.row_number().over(Window.partitionBy(key, "chapter").orderBy(score.desc(), "term"))).where("r <= 3")
     best = ranked.groupBy(key, "chapter").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: text.title_case(x["term"])).alias("t"))
     rows = begin.join(best, [key, "chapter"], "left")
     title = F.when(F.coalesce(F.size("t"), F.lit(0)) > 0, text.join_terms(F.col("t"))).otherwise(F.concat(F.lit("Chapter "), (F.col("chapter") + 1).cast("string")))
@@ -81,15 +89,15 @@ def titles(keywords: Column) -> Column:
 
 def show_notes(segments: DataFrame, key: str, seg: str = "seg") -> DataFrame:
     """key, summary, bullets, chapters, titles, keywords of segments (key, seg from 0, s_start, s_end, text)."""
-    terms = text.term_counts(segments, [key, seg])
-    weights = text.idf(terms, segments.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key)
-    listed = lambda column, order, name: F.transform(F.array_sort(F.collect_list(F.struct(order, column))), lambda x: x[column]).alias(name)
-    words = text.keywords(terms, weights, key, KEYWORDS).groupBy(key).agg(listed("term", "rank", "keywords"))
-    ranked = text.ranked_segments(text.segment_scores(segments, terms, weights, key, seg), key, seg).where(F.col("rank") <= BULLETS).join(segments.select(key, seg, "text"), [key, seg])
-    points = ranked.withColumn("b", text.clip(F.col("text"), 240)).groupBy(key).agg(listed("b", seg, "bullets"))
-    short = ranked.where(F.col("rank") <= SUMMARY).withColumn("t", F.trim("text")).groupBy(key).agg(listed("t", seg, "s"))
-    parts = chapters(segments, terms, key, seg).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "title"))).alias("chapters"))
-    rows = segments.select(key).distinct().join(points, key, "left").join(short, key, "left").join(words, key, "left").join(parts, key, "left")
+    sizes = segments.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    weights = settled(text.idf(text.postings(text.term_counts(segments, [key, seg]), key, seg), sizes, key), "weights")
+    listed = lambda item, order, name: F.transform(F.array_sort(F.collect_list(F.struct(order, item.alias("x")))), lambda s: s["x"]).alias(name)
+    words = text.keywords(weights, key, KEYWORDS).groupBy(key).agg(listed(F.col("term"), "rank", "keywords"))
+    ranked = text.ranked_segments(text.segment_scores(segments, weights, key, seg), key, seg).where(F.col("rank") <= BULLETS).join(segments.select(key, seg, "text"), [key, seg])
+    short = F.collect_list(F.when(F.col("rank") <= SUMMARY, F.struct(seg, F.trim("text").alias("t"))))
+    points = ranked.withColumn("b", text.clip(F.col("text"), 240)).groupBy(key).agg(listed(F.col("b"), seg, "bullets"), F.transform(F.array_sort(short), lambda s: s["t"]).alias("s"))
+    parts = chapters(segments, weights, key, seg).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "title"))).alias("chapters"))
+    rows = sizes.select(key).join(points, key, "left").join(words, key, "left").join(parts, key, "left")
     none = F.array().cast("array<string>")
     keys = F.coalesce("keywords", none)
     return rows.select(key, text.clip(F.coalesce(F.array_join("s", " "), F.lit("")), 700).alias("summary"), F.coalesce("bullets", none).alias("bullets"), F.coalesce("chapters", F.array().cast(CHAPTERS)).alias("chapters"), titles(keys).alias("titles"), keys.alias("keywords"))

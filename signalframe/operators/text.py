@@ -17,8 +17,11 @@ STOPWORDS = (
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters, numbers and apostrophes, apostrophes taken out."""
-    parts = F.split(F.lower(text), r"[^\p{IsAlphabetic}\p{N}']+")
-    return F.filter(F.transform(parts, lambda t: F.replace(t, F.lit("'"), F.lit(""))), lambda t: t != "")
+    return F.filter(F.transform(_parts(text), lambda t: F.replace(t, F.lit("'"), F.lit(""))), lambda t: t != "")
+
+
+def _parts(text: Column) -> Column:
+    return F.split(F.lower(text), r"[^\p{IsAlphabetic}\p{N}']+")
 
 
 def fold_plural(term: Column) -> Column:
@@ -28,34 +31,45 @@ def fold_plural(term: Column) -> Column:
 
 
 def term_counts(segments: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, term, tf. Terms have 3 bytes or more, aren't numbers or stopwords, plurals folded."""
-    t = segments.select(*keys, F.explode(tokens(F.col(text))).alias("t"))
+    """keys, term, tf. Terms have 3 bytes or more, aren't numbers or stopwords, plurals folded.
+
+    Texts are dealt by the first key before they are split, as a file of few row groups is read by few tasks;
+    what groups by that key, and by others beside it, moves no term.
+    """
+    dealt = segments.select(*keys, text).repartition(keys[0])
+    t = dealt.select(*keys, F.explode(_parts(F.col(text))).alias("t")).withColumn("t", F.replace("t", F.lit("'"), F.lit("")))
     t = t.where((F.octet_length("t") >= 3) & ~F.col("t").isin(STOPWORDS))
     # Numbers have no plural, so they are told from the terms, of which there are fewer.
     found = t.groupBy(*keys, fold_plural(F.col("t")).alias("term")).agg(F.count(F.lit(1)).alias("tf"))
     return found.where(~F.col("term").rlike(r"^\p{N}+$"))
 
 
-def idf(terms: DataFrame, docs: DataFrame, owner: str) -> DataFrame:
-    """owner, term, df, idf = ln(1 + N / df), N the owner's segments (docs: owner, n)."""
-    df = terms.groupBy(owner, "term").agg(F.count(F.lit(1)).alias("df"))
-    return df.join(docs, owner).select(owner, "term", "df", F.log(1 + F.greatest("n", F.lit(1)) / F.col("df")).alias("idf"), "n")
+def postings(terms: DataFrame, owner: str, seg: str) -> DataFrame:
+    """owner, term, tf, posts: a term's count and its segments as structs (seg, tf), in order."""
+    return terms.groupBy(owner, "term").agg(F.sum("tf").alias("tf"), F.array_sort(F.collect_list(F.struct(F.col(seg).alias("seg"), "tf"))).alias("posts"))
+
+
+def idf(posts: DataFrame, docs: DataFrame, owner: str) -> DataFrame:
+    """owner, term, tf, posts, df, idf = ln(1 + N / df), n = N, the owner's segments (docs: owner, n)."""
+    df = posts.withColumn("df", F.size("posts").cast("long"))
+    return df.join(docs, owner).select(owner, "term", "tf", "posts", "df", F.log(1 + F.greatest("n", F.lit(1)) / F.col("df")).alias("idf"), "n")
 
 
-def keywords(terms: DataFrame, weights: DataFrame, owner: str, most: int = 8, digits: int = 9) -> DataFrame:
+def keywords(weights: DataFrame, owner: str, most: int = 8, digits: int = 9) -> DataFrame:
     """owner, term, rank, score: the highest sums of tf * idf; terms of one segment don't count from 10 segments on."""
-    total = terms.join(weights, [owner, "term"]).groupBy(owner, "term").agg(F.sum(F.col("tf") * F.col("idf")).alias("score"), F.first("df").alias("df"), F.first("n").alias("n"))
-    total = total.where((F.col("n") < 10) | (F.col("df") >= 2))
+    total = weights.where((F.col("n") < 10) | (F.col("df") >= 2)).select(owner, "term", (F.col("tf") * F.col("idf")).alias("score"))
     rank = F.row_number().over(Window.partitionBy(owner).orderBy(F.round("score", digits).desc(), "term"))
     return total.select(owner, "term", "score", rank.alias("rank")).where(F.col("rank") <= most)
 
 
-def segment_scores(segments: DataFrame, terms: DataFrame, weights: DataFrame, owner: str, seg: str, text: str = "text") -> DataFrame:
+def segment_scores(segments: DataFrame, weights: DataFrame, owner: str, seg: str, text: str = "text") -> DataFrame:
     """owner, seg, score: tf * idf over the root of distinct terms; 0 below 6 words."""
-    mass = terms.join(weights.select(owner, "term", "idf"), [owner, "term"]).groupBy(owner, seg).agg((F.sum(F.col("tf") * F.col("idf")) / F.sqrt(F.count(F.lit(1)))).alias("mass"))
+    rows = weights.select(owner, "idf", F.explode("posts").alias("p")).select(owner, F.col("p.seg").alias(seg), (F.col("p.tf") * F.col("idf")).alias("x"))
+    mass = rows.groupBy(owner, seg).agg((F.sum("x") / F.sqrt(F.count(F.lit(1)))).alias("mass"))
+    # Words are counted behind the join, where texts are dealt to more tasks than read them.
     words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
-    rows = segments.select(owner, seg, words.alias("words")).join(mass, [owner, seg], "left")
-    return rows.select(owner, seg, F.when(F.col("words") < 6, 0.0).otherwise(F.coalesce("mass", F.lit(0.0))).alias("score"))
+    rows = segments.select(owner, seg, text).join(mass, [owner, seg], "left")
+    return rows.select(owner, seg, F.when(words < 6, 0.0).otherwise(F.coalesce("mass", F.lit(0.0))).alias("score"))
 
 
 def ranked_segments(scores: DataFrame, owner: str, seg: str, digits: int = 9) -> DataFrame:
@@ -64,21 +78,32 @@ def ranked_segments(scores: DataFrame, owner: str, seg: str, digits: int = 9) ->
     return scores.where("score > 0").withColumn("rank", rank)
 
 
-def gap_similarity(terms: DataFrame, docs: DataFrame, owner: str, seg: str, window: int = 3) -> DataFrame:
+def gap_similarity(posts: DataFrame, docs: DataFrame, owner: str, seg: str, window: int = 3) -> DataFrame:
     """owner, gap, sim: cosine of the term counts of the w segments before and from each gap on.
 
     docs: owner, n; segments are numbered 0 to n - 1; w = window, at most n // 3 and at least 1.
+    Both sides are sums of segments, so their products are sums of those of near segments: terms are summed
+    once a pair of segments, and only these sums are spread over the gaps.
     """
     w = F.greatest(F.least(F.lit(window), F.floor(F.col("n") / 3)), F.lit(1))
     sized = docs.withColumn("w", w).where(F.col("n") >= 2 * w + 1)
-    rows = terms.join(sized, owner)
-    s = F.col(seg)
-    # A segment lies before the gaps s+1..s+w and after the gaps s-w+1..s.
-    gaps = F.sequence(s - F.col("w") + 1, s + F.col("w"))
-    spread = rows.withColumn("gap", F.explode(gaps)).where((F.col("gap") >= F.col("w")) & (F.col("gap") <= F.col("n") - F.col("w")))
-    sides = spread.groupBy(owner, "gap", "term").agg(F.coalesce(F.sum(F.when(F.col(seg) < F.col("gap"), F.col("tf"))), F.lit(0)).alias("a"), F.coalesce(F.sum(F.when(F.col(seg) >= F.col("gap"), F.col("tf"))), F.lit(0)).alias("b"))
-    norm = F.sqrt(F.sum(F.col("a") * F.col("a")) * F.sum(F.col("b") * F.col("b")))
-    sims = sides.groupBy(owner, "gap").agg(F.when(norm > 0, F.sum(F.col("a") * F.col("b")) / norm).otherwise(0.0).alias("sim"))
+    ahead = lambda p, i: F.filter(F.slice("posts", i + 1, F.lit(2 * window)), lambda q: q["seg"] - p["seg"] < 2 * window)
+    pair = lambda p, q: F.struct(p["seg"].alias("s"), (q["seg"] - p["seg"]).alias("d"), (p["tf"] * q["tf"]).alias("v"))
+    pairs = F.flatten(F.transform("posts", lambda p, i: F.transform(ahead(p, i), lambda q: pair(p, q))))
+    # Most terms have one segment, which needs no search.
+    only = F.get("posts", F.lit(0))
+    pairs = F.when(F.size("posts") == 1, F.array(pair(only, only))).otherwise(pairs)
+    near = posts.select(owner, F.explode(pairs).alias("p")).select(owner, "p.*").groupBy(owner, "s", "d").agg(F.sum("v").alias("v"))
+    # Segments s and s + d lie in the frame of the gaps s+d-w+1..s+w, on one side or on both.
+    rows = near.join(sized, owner).where(F.col("d") < 2 * F.col("w"))
+    spread = rows.withColumn("gap", F.explode(F.sequence(F.col("s") + F.col("d") - F.col("w") + 1, F.col("s") + F.col("w"))))
+    spread = spread.where((F.col("gap") >= F.col("w")) & (F.col("gap") <= F.col("n") - F.col("w")))
+    before, after = F.col("s") + F.col("d") < F.col("gap"), F.col("s") >= F.col("gap")
+    twice = F.when(F.col("d") == 0, F.col("v")).otherwise(2 * F.col("v"))
+    part = lambda where, v: F.coalesce(F.sum(F.when(where, v)), F.lit(0))
+    sides = spread.groupBy(owner, "gap").agg(part(before, twice).alias("aa"), part(after, twice).alias("bb"), part(~before & ~after, F.col("v")).alias("ab"))
+    norm = F.sqrt(F.col("aa") * F.col("bb"))
+    sims = sides.select(owner, "gap", F.when(norm > 0, F.col("ab") / norm).otherwise(0.0).alias("sim"))
     every = sized.select(owner, F.explode(F.sequence(F.col("w"), F.col("n") - F.col("w"))).alias("gap"))
     return every.join(sims, [owner, "gap"], "left").select(owner, "gap", F.coalesce("sim", F.lit(0.0)).alias("sim"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import cuts, folds, intervals, notes, text, transcript
 from ..sources import readers
+from ..sources.storage import settled
 from ..sources.tables import segments, table, turns, words
 from . import sql
 
@@ -26,8 +27,12 @@ def _terms(spark, d):
     return text.term_counts(segments(spark, d), [OWNER, SEG])
 
 
+def _posts(spark, d):
+    return text.postings(_terms(spark, d), OWNER, SEG)
+
+
 def _weights(spark, d):
-    return text.idf(_terms(spark, d), _sizes(spark, d), OWNER)
+    return text.idf(_posts(spark, d), _sizes(spark, d), OWNER)
 
 
 def term_counts(spark, d):
@@ -39,18 +44,18 @@ def idf_smoothed(spark, d):
 
 
 def keywords_topk(spark, d):
-    return _r(text.keywords(_terms(spark, d), _weights(spark, d), OWNER).select(OWNER, "rank", "term", "score"), "score")
+    return _r(text.keywords(_weights(spark, d), OWNER).select(OWNER, "rank", "term", "score"), "score")
 
 
 def episode_titles(spark, d):
     """Title candidates from a conversation's first keywords."""
-    kw = text.keywords(_terms(spark, d), _weights(spark, d), OWNER, 3)
+    kw = text.keywords(_weights(spark, d), OWNER, 3)
     rows = kw.groupBy(OWNER).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: text.title_case(x["term"])).alias("t"))
     return rows.select(OWNER, text.join_terms(F.col("t")).alias("title"))
 
 
 def _scores(spark, d):
-    return text.segment_scores(segments(spark, d), _terms(spark, d), _weights(spark, d), OWNER, SEG)
+    return text.segment_scores(segments(spark, d), _weights(spark, d), OWNER, SEG)
 
 
 def segment_rank(spark, d):
@@ -65,7 +70,7 @@ def extractive_summary(spark, d):
 
 
 def _sims(spark, d):
-    return text.gap_similarity(_terms(spark, d), _sizes(spark, d), OWNER, SEG, 2)
+    return text.gap_similarity(_posts(spark, d), _sizes(spark, d), OWNER, SEG, 2)
 
 
 def texttiling_similarity(spark, d):
@@ -283,7 +288,7 @@ def clean_titles(spark, d):
 
 def note_chapters(spark, d):
     """Chapters of conversations with titles."""
-    return notes.chapters(segments(spark, d), _terms(spark, d), OWNER)
+    return notes.chapters(segments(spark, d), settled(_posts(spark, d), "postings"), OWNER)
 
 
 def show_notes(spark, d):

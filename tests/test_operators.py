@@ -1,12 +1,14 @@
 """Operators that no registered query shows whole: multitrack, notes, profiles, catalogue, queues and files."""
 
 import json
+import math
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from signalframe.operators import bleedgate, chain, cuts, grouped, master, notes, recursive, speakers, spectral
+from signalframe.operators import bleedgate, chain, cuts, grouped, master, notes, recursive, speakers, spectral, text
 from signalframe.plans import catalog, decide, jobs
 from signalframe.sources import readers
 
@@ -151,6 +153,40 @@ def test_notes_by_a_completer_and_without(spark):
     assert "Part 2 of 4" in asked["m"] and "1:00 to 2:00" in asked["m"] and "1:00:00" in asked["r"] and "the language of the transcript" in asked["r"]
 
 
+def test_texts_are_split_once_in_dealt_rows(spark):
+    rows = [(k, s, s * 60.0, s * 60.0 + 40, f"topic{k} river{s} boats carry stones along quiet water") for k in range(4) for s in range(5)]
+    segments = spark.createDataFrame(rows, "k long, seg long, s_start double, s_end double, text string").coalesce(1)
+    plan = text.term_counts(segments, ["k", "seg"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+    # What follows reads the written weights; nothing else splits a text into terms.
+    assert "IsAlphabetic" not in notes.show_notes(segments, "k")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_similarity_of_gaps_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    said = {(k, s): " ".join(f"word{'abcdefgh'[w]}" for w in rng.integers(0, 8, rng.integers(0, 7))) for k, n in enumerate((2, 3, 4, 6, 8, 9, 25)) for s in range(n) if (n, s) != (9, 4)}
+    segments = spark.createDataFrame([(k, s, t) for (k, s), t in said.items()], "k long, seg long, text string")
+    sizes = segments.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    posts = text.postings(text.term_counts(segments, ["k", "seg"]), "k", "seg")
+    for window in (1, 2, 3):
+        got = {(r["k"], r["gap"]): r["sim"] for r in text.gap_similarity(posts, sizes, "k", "seg", window).collect()}
+        want = {}
+        for k, n in ((r["k"], r["n"]) for r in sizes.collect()):
+            w = max(min(window, n // 3), 1)
+            for gap in range(w, n - w + 1) if n >= 2 * w + 1 else ():
+                a, b = (Counter(" ".join(said.get((k, s), "") for s in side).split()) for side in (range(gap - w, gap), range(gap, gap + w)))
+                norm = math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+                want[k, gap] = sum(a[t] * b[t] for t in a) / norm if norm else 0.0
+        assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_a_segment_told_twice_counts_once_in_titles(spark):
+    rows = [(1, 0, 0.0, 40.0, "zebra zebra zebra zebra zebra zebra apple")] + 2 * [(1, 1, 60.0, 100.0, "apple apple boat")]
+    segments = spark.createDataFrame(rows, "k long, seg long, s_start double, s_end double, text string")
+    # Six zebras, five apples (one and twice two) and two boats; the terms of segment 1 told twice again would put apples first.
+    assert [c["title"] for c in notes.show_notes(segments, "k").first()["chapters"]] == ["Zebra, Apple & Boat"]
+
+
 def test_titles_and_keywords(spark):
     df = spark.createDataFrame([([],), (["a"],), (["a", "b"],), (["x", "y", "z", "q"],)], "k array<string>")
     assert [r[0] for r in df.select(notes.titles(F.col("k"))).collect()] == [[], ["A"], ["A & B", "A and B"], ["X, Y & Z", "X and Y", "X, Y, Z"]]
